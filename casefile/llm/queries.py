@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import quality_rules, simhash
+from casefile.llm import quality_cnn, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    found = quality_cnn.quality_scores(_table(spark, sf_dir, "documents"), labels)
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_classifier, op9_quality_rules)}
 
 
 #: DuckDB SQL of the queries that SQL can express.
