@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import quality_cnn, quality_rules, secrets, simhash
+from casefile.llm import packing, quality_cnn, quality_rules, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,20 +21,23 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+
+
+def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"), _good(spark, sf_dir))
+    found = quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"), good_labels(spark, sf_dir))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    found = quality_cnn.quality_scores(_table(spark, sf_dir, "documents"), labels)
+    found = quality_cnn.quality_scores(_table(spark, sf_dir, "documents"), quality_labels(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
@@ -44,8 +47,20 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where this machine keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_classifier, op6_secret_scans, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_classifier, op6_secret_scans, op9_quality_rules, op10_best_fit_packing)}
 
 
 #: DuckDB SQL of the queries that SQL can express.

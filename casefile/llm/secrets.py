@@ -124,27 +124,39 @@ def chain_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sa
     return trained([r.t for r in rows.orderBy("h", "t").limit(sample).collect()])
 
 
-def scanned(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
+def scanned(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id``, ``n_assign``, ``n_access``, ``n_hex``, ``n_markov``,
-    ``base_sha256``, ``spans``, and with ``redact`` the text without its secrets.
+    ``base_sha256``, ``spans``.
 
-    A null text is scanned as empty (and stays null when redacted). Offsets are code points, ends
-    exclusive. Ties of start go by kind. Texts of any length are scanned whole.
+    A null text is scanned as empty. Offsets are code points, ends exclusive. Ties of start go by
+    kind. Texts of any length are scanned whole; other columns are not read.
     """
+    names = ["id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in batch.column(1).to_pylist():
                 found = spans(t or "", chain)
-                base = [x for x in found if x[1] < 3]
-                n = [sum(k == i for _, k, _ in found) for i in range(4)]
-                rows.append((*n, hashlib.sha256(as_text(base).encode()).hexdigest(), as_text(found), redacted(t, found) if redact and t is not None else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.string()] * 3
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "redacted"])
+                base = as_text(x for x in found if x[1] < 3)
+                rows.append((*(sum(k == i for _, k, _ in found) for i in range(4)), hashlib.sha256(base.encode()).hexdigest(), as_text(found)))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    out = rows.mapInArrow(each, "id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, redacted string")
-    return out if redact else out.drop("redacted")
+    return rows.mapInArrow(each, "id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+
+
+def redacted_docs(docs: DataFrame, chain: Chain, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs``, all rows and columns, with every secret replaced by the name of its kind; where a
+    column counts the text's characters, it counts the new text's. Null texts stay null."""
+    at = docs.columns.index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is None else redacted(t, spans(t, chain)) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    out = docs.mapInArrow(each, docs.schema)
+    return out.withColumn(chars_col, F.coalesce(F.char_length(text_col), F.col(chars_col)).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
