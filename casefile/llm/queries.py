@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import packing, quality_cnn, quality_rules, secrets, simhash
+from casefile.llm import packing, quality_cnn, quality_rules, secrets, sharding, simhash, url_templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,30 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of the URL filter, as (verdict, host, path).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number ends its path: good if of quality and not toxic."""
+    pages = _table(spark, sf_dir, "pages")
+    number = F.regexp_extract(url_templates.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.html)?/?$", 1).try_cast("long")
+    good = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("number"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    labels = pages.select(F.col("page_id").alias("id"), number.alias("number")).join(good, "number").select("id", "good")
+    return url_templates.url_verdicts(pages, URL_RULES, labels).withColumnRenamed("id", "page_id")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("law", F.lit("key"))
+
+
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
 
@@ -60,7 +84,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_classifier, op6_secret_scans, op9_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (
+            op2_simhash_near_dedup, op3_url_filters, op4_quality_classifier, op5_sharding, op6_secret_scans, op9_quality_rules, op10_best_fit_packing,
+        )}
 
 
 #: DuckDB SQL of the queries that SQL can express.
