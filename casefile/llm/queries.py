@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import packing, quality_cnn, quality_rules, secrets, sharding, simhash, url_templates
+from casefile.llm import packing, quality_cnn, quality_rules, secrets, sharding, simhash, url_templates, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 #: The rules of the URL filter, as (verdict, host, path).
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -85,9 +89,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-            op2_simhash_near_dedup, op3_url_filters, op4_quality_classifier, op5_sharding, op6_secret_scans, op9_quality_rules, op10_best_fit_packing,
+            op1_warc, op2_simhash_near_dedup, op3_url_filters, op4_quality_classifier, op5_sharding, op6_secret_scans, op9_quality_rules, op10_best_fit_packing,
         )}
 
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+        ), f AS (
+          SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 AND page_id IS NOT NULL GROUP BY d
+        )
+        SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN f.first_id < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
+    """,
+}
