@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import packing, quality_cnn, quality_rules, secrets, sharding, simhash, url_templates, warc
+from casefile.llm import packing, quality_cnn, quality_rules, secrets, sharding, simhash, url_templates, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").withColumn("law", F.lit("key"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
 
@@ -89,7 +93,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-            op1_warc, op2_simhash_near_dedup, op3_url_filters, op4_quality_classifier, op5_sharding, op6_secret_scans, op9_quality_rules, op10_best_fit_packing,
+            op1_warc, op2_simhash_near_dedup, op3_url_filters, op4_quality_classifier, op5_sharding, op6_secret_scans, op8_embedding_near_dedup, op9_quality_rules, op10_best_fit_packing,
         )}
 
 
@@ -106,4 +110,20 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
     """,
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+        ), r(a, b) AS (
+          SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        )
+        SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id,
+               e.vec_id = m.c AS kept
+        FROM embeddings e JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = e.vec_id
+    """,
 }
