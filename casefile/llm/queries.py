@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import packing, quality_cnn, quality_rules, secrets, sharding, simhash, url_templates, vector_dedup, warc
+from casefile.llm import packing, piece_codec, quality_cnn, quality_rules, secrets, sharding, simhash, url_templates, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").withColumn("law", F.lit("key"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_codec.tokenized(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -93,7 +98,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-            op1_warc, op2_simhash_near_dedup, op3_url_filters, op4_quality_classifier, op5_sharding, op6_secret_scans, op8_embedding_near_dedup, op9_quality_rules, op10_best_fit_packing,
+            op1_warc, op2_simhash_near_dedup, op3_url_filters, op4_quality_classifier, op5_sharding, op6_secret_scans, op7_sentencepiece, op8_embedding_near_dedup, op9_quality_rules, op10_best_fit_packing,
         )}
 
 
