@@ -184,13 +184,15 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, learn_from: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``held_out``, ``score``, ``predicted`` (1 if score >= 0.5).
 
+    The labelled texts are those of ``learn_from``, or of ``docs`` where it is not given.
     Rows whose crc32(id) leaves 1 modulo 3 are never learned from. Without labels of both classes
     every text gets the same score. Null ids are scored, and count as not held out; repeated rows
     each keep a row; other columns are not read.
     """
-    model = fitted(*training_rows(docs.filter(~held_out(id_col)), labels.filter(~held_out("id")), id_col, text_col, max_rows))
+    texts = docs if learn_from is None else learn_from
+    model = fitted(*training_rows(texts.filter(~held_out(id_col)), labels.filter(~held_out("id")), id_col, text_col, max_rows))
     p = scored(docs, model, id_col, text_col)
     return p.select("id", F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
