@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casefile.functions.lexicon import REPAIRS
 
@@ -74,7 +75,7 @@ def inline_markup(c: Column) -> Column:
     return F.regexp_replace(c, r"`(.+?)`", '<font face="Courier">$1</font>')
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
