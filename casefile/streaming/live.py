@@ -14,19 +14,26 @@ from casefile.operators.admission import admitted_flags
 OPEN, CLOSE = "<think>", "</think>"
 
 
+def _closed_removed(text: str) -> str:
+    while (a := text.find(OPEN)) >= 0 and (b := text.find(CLOSE, a)) >= 0:
+        text = text[:a] + text[b + len(CLOSE) :]
+    return text
+
+
 def visible(chunks: list[str]) -> Iterator[str]:
-    """What may be shown after each chunk: nothing while a block is open, then what closed blocks leave."""
+    """What may be shown after each chunk: nothing from an opening tag, or what may become one, on; a
+    block that never closes is shown at the end."""
     held, shown = "", 0
     for chunk in chunks:
-        held += chunk
-        if OPEN in held and CLOSE not in held:
-            continue
-        text = held
-        while OPEN in text and CLOSE in text[text.index(OPEN) :]:
-            a = text.index(OPEN)
-            text = text[:a] + text[text.index(CLOSE, a) + len(CLOSE) :]
-        yield text[shown:]
-        shown = max(shown, len(text))
+        held = _closed_removed(held + chunk)
+        at = held.find(OPEN)
+        if at < 0:
+            at = len(held) - max(n for n in range(len(OPEN)) if held.endswith(OPEN[:n]))
+        if at > shown:
+            yield held[shown:at]
+            shown = at
+    if len(held) > shown:
+        yield held[shown:]
 
 
 def reassembled(chunks: DataFrame, stream: str, seq: str, chunk: str) -> DataFrame:
