@@ -131,4 +131,27 @@ ORACLE_SQL: dict[str, str] = {
                e.vec_id = m.c AS kept
         FROM embeddings e JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = e.vec_id
     """,
+    # CRC-32 bit by bit over the text's bytes; list_reduce folds each text in order
+    "op5_sharding": """
+        WITH RECURSIVE k(i, c, n) AS (
+          SELECT i, i, 0 FROM range(256) t(i)
+          UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM k WHERE n < 8
+        ), crc AS (SELECT list(c ORDER BY i) AS t FROM k WHERE n = 8),
+        h AS (
+          SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS x,
+                 list_transform(range(0, 25), lambda s: ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || s), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)) AS bids
+          FROM documents
+        ), d AS (
+          SELECT doc_id, size::BIGINT AS size,
+                 xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+                                 lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32,
+                 list_position(list_slice(bids, 1, 24), list_max(list_slice(bids, 1, 24))) - 1 AS shard,
+                 list_position(bids, list_max(bids)) - 1 AS grown_shard
+          FROM h, crc
+        )
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 3), doc_id, text_crc32, size) - 1 AS slot,
+               grown_shard::INT AS grown_shard
+        FROM d
+    """,
 }

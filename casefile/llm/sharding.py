@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from casefile.llm.store import written
 
-SLOT_BUCKETS = 4096
+#: A shard's rows are numbered by bucket: the first hexadecimal digits of the key's MD5.
+BUCKET_DIGITS = 3
 
 
 def bid(key: Column, shard: int, weight: float = 1.0) -> Column:
@@ -38,7 +39,7 @@ def sharded(docs: DataFrame, shards: int = 24, key_col: str = "doc_id", text_col
     """One row per row of ``docs``: ``id, size, text_crc32, shard, slot, grown_shard``.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 8. ``slot`` numbers a shard's rows from 0
-    without gaps: rows are counted by hash bucket within the shard, so no task holds a whole shard.
+    without gaps, by hash bucket, id, checksum and size: buckets are counted first, so no task holds a whole shard.
     ``grown_shard`` is the shard if one of weight 1 were added. Repeated rows share a shard and get
     slots of their own. Texts are read once and never shuffled.
     """
@@ -50,7 +51,8 @@ def sharded(docs: DataFrame, shards: int = 24, key_col: str = "doc_id", text_col
         F.crc32(text.cast("binary")).alias("text_crc32"),
         shard_of(F.col(key_col), weights).alias("shard"),
         shard_of(F.col(key_col), [*weights, 1.0]).alias("grown_shard"),
-    ).withColumn("b", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(SLOT_BUCKETS)))
+        F.substring(F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary")), 1, BUCKET_DIGITS).alias("b"),
+    )
     rows = written(rows, "shards")
     before = Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("shard", "b").agg(F.count("*").alias("n")).select("shard", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
