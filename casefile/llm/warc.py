@@ -46,6 +46,7 @@ def records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
     named = rows.filter(F.col("id").isNotNull() & (F.col("bytes") >= least)).select("id", "digest")
     first = named.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     again = named.join(first, "digest").filter("id <> first").select("id", "digest", F.col("first").alias("refers_to")).distinct()
+    again = written(again, "revisits")  # of known size when the join is planned: payloads are shuffled only where it is large
     rows = rows.join(again, ["id", "digest"], "left")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("")
@@ -151,6 +152,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     holder = F.last(F.when(F.col("reached"), F.struct(F.col("offset").alias("at"), "after")), ignorenulls=True).over(up_to)
     split = marked.withColumn("holder", holder).filter("not (reached and whole)")
     split = split.select("file", "block", (F.col("offset") - F.col("base")).alias("rel"), "offset", F.when(F.col("holder.after") > F.col("offset"), F.col("holder.at")).alias("owner"))
+    split = written(split, "split")  # few rows or none, as a rule: the joins below are planned by its size
     keys = ["file", "block", "rel"]
     apart = pieces.join(split, keys).filter("owner is not null")
     parts = F.array_sort(F.collect_list(F.struct("offset", "piece")))
