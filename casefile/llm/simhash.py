@@ -46,12 +46,12 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) ->
     return np.packbits(2 * ones > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``(id, fp)`` for every row; fp is the fingerprint's bit pattern as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = b"".join(fingerprint(t) for t in batch.column(1).to_pylist())
+            fps = b"".join(fingerprint(t, words) for t in batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=["id", "fp"]
             )
@@ -136,7 +136,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int | None =
     return h.join(c, (h.anchor == c.anchor) & near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int | None = None, words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``fp``, ``component_id`` (smallest id reachable by links).
 
     Null and word-less texts have fingerprint zero and are linked like others. Equal fingerprints
@@ -144,10 +144,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint, and names a component only if no other member has an id. Other columns of ``docs``
     are not read. Empty table: empty result.
     """
-    marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    marked = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
     roots = components(links(nodes, max_bits, segments), "a", "b").select(F.col("node").alias("fp"), "root")
-    grouped = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
+    grouped = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "grouped")
+    lowest = written(grouped.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")  # the join below can then split a large component
     by_fp = grouped.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("id", "fp", "component_id")

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -37,6 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def by_count(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` hinted for a join: broadcast where it has at most ``most`` rows (of a few numbers and a
+    path each, some 20 MB), merged beyond. Files of repetitive rows are small, so their size is no guide."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that no later plan reads."""
     path = getattr(df, "_casefile_path", None)

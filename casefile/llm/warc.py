@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casefile.llm.store import new_path, written
+from casefile.llm.store import by_count, new_path, written
 
 MAGIC = b"WARC/1."
 END = "\r\n\r\n"
@@ -46,7 +46,7 @@ def records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
     named = rows.filter(F.col("id").isNotNull() & (F.col("bytes") >= least)).select("id", "digest")
     first = named.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     again = named.join(first, "digest").filter("id <> first").select("id", "digest", F.col("first").alias("refers_to")).distinct()
-    again = written(again, "revisits")  # of known size when the join is planned: payloads are shuffled only where it is large
+    again = by_count(written(again, "revisits"))  # payloads are shuffled only where the list is long
     rows = rows.join(again, ["id", "digest"], "left")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("")
@@ -139,12 +139,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(totals.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "splits")
     # a piece's offset is that of the magic before it, so a file's lead has a negative one
-    known = pieces.drop("piece").join(bases, ["file", "block"])
+    known = pieces.drop("piece").join(by_count(bases), ["file", "block"])
     known = known.withColumns({c: F.col(c) + F.col("base") for c in ("rel", "after", "exit")}).withColumnRenamed("rel", "offset")
     known = written(known.filter("offset >= 0"), "candidates")
     reached = _entered(known)
     marked = written(
-        known.join(reached.withColumn("entry", F.lit(True)), ["file", "offset"], "left").groupBy("file", "block").applyInPandas(_marked, "file string, block long, base long, offset long, size long, after long, whole boolean, reached boolean"),
+        known.join(by_count(reached).withColumn("entry", F.lit(True)), ["file", "offset"], "left").groupBy("file", "block").applyInPandas(_marked, "file string, block long, base long, offset long, size long, after long, whole boolean, reached boolean"),
         "marked",
     )
     # what is not one whole record in one piece: pieces inside payloads, and the records that hold them
@@ -152,29 +152,29 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     holder = F.last(F.when(F.col("reached"), F.struct(F.col("offset").alias("at"), "after")), ignorenulls=True).over(up_to)
     split = marked.withColumn("holder", holder).filter("not (reached and whole)")
     split = split.select("file", "block", (F.col("offset") - F.col("base")).alias("rel"), "offset", F.when(F.col("holder.after") > F.col("offset"), F.col("holder.at")).alias("owner"))
-    split = written(split, "split")  # few rows or none, as a rule: the joins below are planned by its size
+    split = by_count(written(split, "split"))  # few rows or none, as a rule
     keys = ["file", "block", "rel"]
     apart = pieces.join(split, keys).filter("owner is not null")
     parts = F.array_sort(F.collect_list(F.struct("offset", "piece")))
     joined = apart.groupBy("file", F.col("owner").alias("offset")).agg(parts.alias("parts")).select(
         "file", "offset", F.aggregate(F.slice("parts", 2, 1 << 30), F.element_at("parts", 1)["piece"], lambda a, x: F.concat(a, F.lit(MAGIC), x["piece"])).alias("piece")
     )
-    alone = pieces.join(split, keys, "left_anti").filter("after >= 0").join(bases, ["file", "block"]).select("file", (F.col("rel") + F.col("base")).alias("offset"), "piece")
+    alone = pieces.join(split, keys, "left_anti").filter("after >= 0").join(by_count(bases), ["file", "block"]).select("file", (F.col("rel") + F.col("base")).alias("offset"), "piece")
     return alone.unionByName(joined).mapInArrow(_opened, "file string, offset long, headers map<string,string>, payload binary")
 
 
 def _entered(known: DataFrame) -> DataFrame:
     """``(file, offset)`` of the candidates at which a chain from a file's start enters a split."""
-    jump = known.select("file", "offset", "exit").join(known.select("file", F.col("offset").alias("exit")), ["file", "exit"])
+    jump = known.select("file", "offset", "exit").join(known.select("file", F.col("offset").alias("exit")).hint("merge"), ["file", "exit"])
     jump = written(jump.select("file", "offset", "exit"), "jump")
     reached = written(known.filter("offset = 0").select("file", "offset").distinct(), "reached")
     n = 0
     while (now := reached.count()) != n:  # after k rounds: all within 2**k - 1 hops
         n = now
-        hop = reached.join(jump, ["file", "offset"]).select("file", F.col("exit").alias("offset"))
+        hop = reached.join(jump.hint("merge"), ["file", "offset"]).select("file", F.col("exit").alias("offset"))
         reached = written(reached.unionByName(hop).distinct(), "reached")
         far = jump.select("file", F.col("offset").alias("exit"), F.col("exit").alias("to"))
-        jump = written(jump.join(far, ["file", "exit"]).select("file", "offset", F.col("to").alias("exit")), "jump")
+        jump = written(jump.join(far.hint("merge"), ["file", "exit"]).select("file", "offset", F.col("to").alias("exit")), "jump")
     return reached
 
 
@@ -222,7 +222,7 @@ def archived(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     )
     found = written(found, "archived")
     source = found.filter("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("d").alias("told"), F.col("n").alias("full")).distinct()
-    again = found.filter("record_type = 'revisit'").join(source, ["refers_to", "told"])
+    again = found.filter("record_type = 'revisit'").join(source.hint("merge"), ["refers_to", "told"])
     out = ["id", F.col("full").alias("payload_bytes"), F.col("told").alias("payload_digest"), "record_type", "refers_to"]
     same = found.filter("record_type = 'response'").withColumn("full", F.col("n")).withColumn("told", F.col("d"))
     return same.select(*out).unionByName(again.select(*out))
