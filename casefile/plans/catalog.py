@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from casefile.functions import checks, numeric, text
 from casefile.functions.lexicon import CHI_STEPS, CNPJ_WEIGHTS, CONTEXT_TAGS, DOCUMENT_TYPES, ENTITY_PATTERNS, MEMORY_TIERS, STOPWORDS, THREATS
-from casefile.operators import admission, classify, consistency, conversation, entities, exif_rules, images, incremental, rollup, similarity, timeline
+from casefile.operators import admission, classify, consistency, conversation, entities, exif_rules, images, incremental, records, rollup, similarity, timeline
 from casefile.plans import postprocess
 from casefile.sinks import reports
+from casefile.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -604,3 +605,87 @@ def forensic_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", images.recompression_verdict(n, n * 2, n / 10, F.col("p_size") % 4).alias("ela"), images.ghost_verdict(F.col("p_size") % 7).alias("ghost"),
         similarity.copy_verdict(F.col("p_size") % 5).alias("clone"), F.array_join(images.quality_advice(n * 4, n / 50, n / 60), ",").alias("advice"),
     )
+
+
+# --- records and sources --------------------------------------------------------------------------
+
+
+@query("SELECT 'v_' || printf('%02dm%02ds', f // 100 // 60, f // 100 % 60) || '.jpg' AS name, max(f) AS frame FROM (SELECT o_orderkey AS f FROM orders WHERE o_orderkey % 30 = 0) GROUP BY 1")
+def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame"), F.lit(100).alias("fps"), F.lit("v").alias("stem"))
+    return files.keyframes(frames, "frame", "fps", "stem")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' THEN 'one' ELSE replace(split_part(p_brand || '.5:' || p_size, ':', 1), '.', '') END AS short_name,
+  CASE WHEN p_size % 3 = 0 THEN 'openai' ELSE 'ollama' END AS kind, CASE WHEN p_size > 30 THEN 'a' WHEN p_size > 10 THEN 'b' ELSE 'none' END AS engine, p_size % 2 = 0 AS vision FROM part
+""")
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    full = F.when(F.col("p_brand") == "Brand#1", "Brand#1").otherwise(F.concat("p_brand", F.lit(".5:"), n.cast("string")))
+    kind = records.model_type(F.when(n % 3 == 0, "gpt-x").otherwise("qwen"), "default")
+    engine = records.first_available([("a", n > 30), ("b", n > 10)])
+    vision = checks.vision_model(F.when(n % 2 == 0, "My-Qwen3:8b").otherwise("phi:qwen"), ["qwen", "llava"])
+    return table(spark, sf_dir, "part").select("p_partkey", text.short_model_name(full, {"Brand#1": "one"}).alias("short_name"), kind.alias("kind"), engine.alias("engine"), vision.alias("vision"))
+
+
+@query("""
+WITH a AS (SELECT s_nationkey, round(s_acctbal)::BIGINT % 360 + 360 AS x FROM supplier), g AS (SELECT a.s_nationkey, least(abs(a.x % 360 - b.x % 360), 360 - abs(a.x % 360 - b.x % 360)) AS gap FROM a JOIN a b USING (s_nationkey)),
+n AS (SELECT s_nationkey, max(gap)::DOUBLE AS max_gap FROM g GROUP BY 1), c AS (SELECT s_nationkey, count(*) AS k FROM a GROUP BY 1)
+SELECT s_nationkey AS image, max_gap, CASE WHEN k < 2 THEN 'inconclusivo' WHEN max_gap > 50 THEN 'inconsistente' WHEN max_gap > 25 THEN 'inconclusivo' ELSE 'consistente' END AS verdict FROM n JOIN c USING (s_nationkey)
+""")
+def shadow_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    angle = ((F.round("s_acctbal").cast("long") % 360 + 360) % 360).cast("double")
+    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(angle).alias("angles"))
+    return similarity.widest_angle(rows, "s_nationkey", "angles")
+
+
+@query("""
+WITH f AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS content FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+SELECT c_custkey, content, f.o_custkey IS NOT NULL AS success, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 0.5::DOUBLE END AS gps_lat, c_nationkey::DOUBLE AS quality_score FROM customer LEFT JOIN f ON o_custkey = c_custkey
+""")
+def summary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_nationkey")
+    gps = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("GPS: "), n.cast("string"), F.lit(".5, 3"))).otherwise("GPS: none")
+    quality = F.concat(gps, F.lit("\nScore de qualidade (0-100): "), n.cast("string"))
+    items = table(spark, sf_dir, "customer").select("c_custkey", quality.alias("q"))
+    analyses = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", (F.col("o_orderstatus") == "F").alias("ok"), F.col("o_orderpriority").alias("content"))
+    out = records.summary_entries(items, analyses, "c_custkey", "o_orderkey", "ok", "content", "q")
+    return out.select("c_custkey", "content", "success", "gps_lat", "quality_score")
+
+
+@query("SELECT n_name || CASE WHEN n_nationkey < 10 THEN '_imported' ELSE '' END AS id, true AS is_custom FROM nation")
+def imported_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), "n_nationkey")
+    return incremental.imported(names.select("id"), names.filter("n_nationkey < 10").select("id"), "id").select("id", "is_custom")
+
+
+@query("SELECT c_custkey, 'r/' || c_name || '.md' AS path, CASE WHEN c_custkey % 3 = 0 THEN 'r/' || c_name || '.json' END AS payload_path FROM customer")
+def report_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    path = lambda ext: F.concat(F.lit("r/"), F.col("c_name"), F.lit(ext))
+    return incremental.sidecar(c.select("c_custkey", path(".md").alias("path")), c.filter("c_custkey % 3 = 0").select(path(".json").alias("path"))).select("c_custkey", "path", "payload_path")
+
+
+@query("SELECT doc_id, len(list_distinct(regexp_extract_all(left(text, 200) || ' {a} {b_1} {a}', '\\{(\\w+)\\}', 1))) AS n FROM documents")
+def template_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.left("text", F.lit(200)), F.lit(" {a} {b_1} {a}"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.template_variables(t)).alias("n"))
+
+
+@query("""
+SELECT p_partkey, array_to_string(list_filter(['Nitidez: ' || CASE WHEN p_size < 20 THEN 'Borrada' ELSE 'Nítida' END, 'Iluminação: ' || CASE WHEN p_size < 15 THEN 'Escura' WHEN p_size > 35 THEN 'Clara' ELSE 'Equilibrada' END,
+  'Avisos: Nenhum', CASE WHEN p_size % 3 > 0 THEN 'Faces detectadas: ' || (p_size % 3) END, CASE WHEN p_size % 2 = 0 THEN 'GPS: ' || printf('%.6f, %.6f', p_size::DOUBLE, -p_size::DOUBLE) END], lambda x: x IS NOT NULL), chr(10)) AS lines FROM part
+""")
+def quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    gps = F.when(n % 2 == 0, F.struct(n.cast("double").alias("lat"), (-n.cast("double")).alias("lon")))
+    none = F.array().cast("array<string>")
+    full = records.quality_text(n < 20, n.cast("double"), n / 50.0, F.lit(0.5), F.lit(0.1), none, n % 3, none, gps)
+    kept = F.filter(F.split(full, "\n"), lambda x: ~x.startswith("Score") & ~x.startswith("Mapa"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(kept, "\n").alias("lines"))
+
+
+@query()
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.markdown_blocks(report_markdown(spark, sf_dir), "doc_id", "markdown")
