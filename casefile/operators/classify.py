@@ -12,24 +12,32 @@ def _hits(low: Column, words: list[str]) -> Column:
     return sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
-def _best(low: Column, table: dict[str, list[str]], none: str) -> tuple[Column, Column]:
-    """(label, hits); ``none`` where nothing hits."""
-    scored = F.greatest(*(F.struct(_hits(low, w).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, w) in enumerate(table.items())))
-    return F.when(scored["n"] > 0, scored["k"]).otherwise(none), scored["n"]
+def _best(low: Column, table: dict[str, list[str]]) -> Column:
+    """Struct (n, o, k): most hits, minus the label's place, the label."""
+    return F.greatest(*(F.struct(_hits(low, w).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, w) in enumerate(table.items())))
+
+
+def _tags(low: Column) -> Column:
+    return F.array_compact(F.array(*(F.when(_hits(low, words) > 0, F.lit(tag)) for tag, words in CONTEXT_TAGS.items())))
+
+
+def _result(kind: Column, threat: Column, tags: Column) -> Column:
+    label = lambda best, none: F.when(best["n"] > 0, best["k"]).otherwise(none)
+    sure = F.least(F.lit(1.0), (kind["n"] + threat["n"] + F.size(tags)) / F.lit(5.0))
+    return F.struct(label(kind, "indefinido").alias("document_type"), label(threat, "nenhuma").alias("threat_type"), tags.alias("context_tags"), sure.alias("confidence"))
 
 
 def classification(text: Column) -> Column:
     """Struct (document_type, threat_type, context_tags, confidence). Null text: as empty."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    kind, kind_hits = _best(low, DOCUMENT_TYPES, "indefinido")
-    threat, threat_hits = _best(low, THREATS, "nenhuma")
-    tags = F.array_compact(F.array(*(F.when(_hits(low, words) > 0, F.lit(tag)) for tag, words in CONTEXT_TAGS.items())))
-    sure = F.least(F.lit(1.0), (kind_hits + threat_hits + F.size(tags)) / F.lit(5.0))
-    return F.struct(kind.alias("document_type"), threat.alias("threat_type"), tags.alias("context_tags"), sure.alias("confidence"))
+    return _result(_best(low, DOCUMENT_TYPES), _best(low, THREATS), _tags(low))
 
 
 def classify(df: DataFrame, text_col: str) -> DataFrame:
-    return df.withColumn("_c", classification(F.col(text_col))).select("*", "_c.*").drop("_c")
+    """``df`` with the classification's columns. In steps, so that each text is lower-cased and searched once."""
+    low = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    found = low.select(*df.columns, _best(F.col("_low"), DOCUMENT_TYPES).alias("_k"), _best(F.col("_low"), THREATS).alias("_t"), _tags(F.col("_low")).alias("_g"))
+    return found.select(*df.columns, _result(F.col("_k"), F.col("_t"), F.col("_g")).alias("_c")).select(*df.columns, "_c.*")
 
 
 def histogram(df: DataFrame, label: str, exclude: tuple[str, ...] = ()) -> DataFrame:

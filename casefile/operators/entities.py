@@ -48,13 +48,30 @@ def entity_array(t: Column, kinds: list[str] | None = None) -> Column:
     return F.flatten(F.array(*(_entities_of(t, kind) for kind in kinds or list(ENTITY_PATTERNS))))
 
 
+def _may_hold(t: Column, kind: str) -> Column:
+    """Cheap test that a text without it holds no entity of the kind, so most texts skip the full pattern."""
+    if kind == "email":
+        return F.contains(t, F.lit("@"))
+    if kind == "ipv6":
+        return F.contains(t, F.lit(":"))
+    if kind == "url":
+        return F.contains(t, F.lit("http")) | F.contains(t, F.lit("www."))
+    if kind == "pix_key":
+        return t.rlike("[0-9a-fA-F]{32}")
+    if kind == "bitcoin":
+        return t.rlike("[13][a-zA-HJ-NP-Z0-9]{25}")
+    if kind == "ipv4":
+        return t.rlike(r"\p{Nd}\.\p{Nd}")
+    return t.rlike(r"\p{Nd}{2}")
+
+
 def _entities_of(t: Column, kind: str) -> Column:
     def row(m: Column) -> Column:
         value, norm, valid = _form(kind, m["value"])
         near = F.lit("") if kind == "ipv6" else text.context(t, m["start"], F.length(m["value"]), BEFORE, AFTER)
         return F.struct(F.lit(kind).alias("type"), value.alias("value"), norm.alias("normalized"), valid.alias("valid"), near.alias("context"), m["start"].alias("start"))
 
-    found = F.transform(text.matches(t, ENTITY_PATTERNS[kind]), row)
+    found = F.transform(text.matches(F.when(_may_hold(t, kind), t).otherwise(""), ENTITY_PATTERNS[kind]), row)
     return F.filter(found, lambda e: e["normalized"].isNotNull()) if kind in ("cpf", "cnpj", "rg", "boleto") else found
 
 
