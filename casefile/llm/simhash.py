@@ -31,9 +31,14 @@ WIDE_FROM = 1 << 25
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) -> bytes:
     """Eight bytes, most significant first; no words (or a null text): zero."""
+    return _marks(text, words, seed)[0]
+
+
+def _marks(text: str | None, words: int, seed: int = 42, sketch: int = 0) -> tuple[bytes, bytes]:
+    """The fingerprint, and the ``sketch`` smallest different shingle hashes."""
     data = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower and split know ASCII only
     if not data:
-        return bytes(8)
+        return bytes(8), b""
     joined, n = b" ".join(data), max(1, len(data) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
@@ -43,21 +48,22 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) ->
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # a very long text is counted in slices
         ones += np.unpackbits(h[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n).tobytes()
+    low = np.unique(h.view(">u8").ravel())[:sketch].astype("<u8").tobytes() if sketch else b""
+    return np.packbits(2 * ones > n).tobytes(), low
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(id, fp)`` for every row; fp is the fingerprint's bit pattern as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, sketch: int = 0) -> DataFrame:
+    """``(id, fp, sketch)`` for every row; fp is the fingerprint's bit pattern as a signed long, sketch
+    the smallest shingle hashes (empty where none are asked for)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = b"".join(fingerprint(t, words) for t in batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=["id", "fp"]
-            )
+            marks = [_marks(t, words, sketch=sketch) for t in batch.column(1).to_pylist()]
+            fps = np.frombuffer(b"".join(m[0] for m in marks), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([m[1] for m in marks], pa.binary())], names=["id", "fp", "sketch"])
 
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return ids.mapInArrow(each, "id long, fp long")
+    return ids.mapInArrow(each, "id long, fp long, sketch binary")
 
 
 @cache
@@ -136,18 +142,40 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int | None =
     return h.join(c, (h.anchor == c.anchor) & near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int | None = None, words: int = SHINGLE_WORDS) -> DataFrame:
+def _alike(batches: Iterator[pa.RecordBatch], least: float, size: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches show a Jaccard similarity of at least ``least``: among the smallest
+    hashes of both texts together, the share that both have. Exact up to ``size`` different shingles."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            union = np.union1d(a, b)[:size]
+            both = np.intersect1d(a, b, assume_unique=True)
+            keep.append(len(union) == 0 or np.isin(both, union, assume_unique=True).sum() >= least * len(union))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int | None = None,
+    words: int = SHINGLE_WORDS, similarity: float | None = None, sketch: int = 192,
+) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``fp``, ``component_id`` (smallest id reachable by links).
 
+    With ``similarity``, fingerprints that differ link only if their texts' shingles are that alike
+    (Jaccard, from sketches of bounded size), so ``max_bits`` may be wide without joining strangers.
     Null and word-less texts have fingerprint zero and are linked like others. Equal fingerprints
     are one node, so copies never become pairs. Repeated ids each keep a row; a null id has a
     fingerprint, and names a component only if no other member has an id. Other columns of ``docs``
     are not read. Empty table: empty result.
     """
-    marked = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    roots = components(links(nodes, max_bits, segments), "a", "b").select(F.col("node").alias("fp"), "root")
-    grouped = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "grouped")
+    marked = written(fingerprints(docs, id_col, text_col, words, sketch if similarity else 0), "fingerprints")
+    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("low"), F.min("sketch").alias("sketch")), "nodes")
+    near = links(nodes, max_bits, segments)
+    if similarity:
+        a, b = (nodes.select(F.col("fp").alias(x), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+        near = near.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b").mapInArrow(lambda x: _alike(x, similarity, sketch), "a long, b long")
+    roots = components(near, "a", "b").select(F.col("node").alias("fp"), "root")
+    grouped = written(nodes.drop("sketch").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "grouped")
     lowest = written(grouped.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")  # the join below can then split a large component
     by_fp = grouped.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("id", "fp", "component_id")
+    return marked.select("id", "fp").join(by_fp, "fp").select("id", "fp", "component_id")

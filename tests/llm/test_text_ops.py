@@ -92,6 +92,34 @@ def test_anchor_links(spark, segments):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a & m) ^ (b & m)).bit_count() <= 4}
 
 
+def test_near_copies_need_alike_texts(spark):
+    own = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(12):
+        text = own.choices(vocabulary, k=own.randint(300, 600))
+        rows.append(text)
+        for k in (1, 2, 40):
+            changed = list(text)
+            for at in own.sample(range(len(text)), k):
+                changed[at] = "new"
+            rows.append(changed)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.near_duplicates(df, words=5, max_bits=16, segments=16, similarity=0.8).collect()}
+    fps = {i: int.from_bytes(simhash.fingerprint(" ".join(t), 5), "big") for i, t in enumerate(rows)}
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in enumerate(rows)}
+
+    def jaccard(a, b):
+        return len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+
+    def near(a, b):
+        return (fps[a] ^ fps[b]).bit_count() <= 16 and jaccard(a, b) >= 0.8
+
+    # sketches of longer texts are estimates: no pair here is close enough to the limit to matter
+    assert all(abs(jaccard(a, b) - 0.8) > 0.06 for a in sets for b in sets if a < b)
+    assert got == plain_components(list(fps), near) and len(set(got.values())) == 24
+
+
 def plain_counts(t):
     t = t or ""
     w = words_of(t)
