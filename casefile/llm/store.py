@@ -6,10 +6,13 @@ mode) a temporary folder of this process takes its place.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -20,9 +23,13 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="casefile-"))
+    if "dir" not in _own:
+        path = tempfile.mkdtemp(prefix="casefile-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own["dir"] = "file://" + path
+    return _own["dir"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -44,6 +51,16 @@ def by_count(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
+def sample_by_hash(df: DataFrame, keys: list[str], most: int, seed: int = 5) -> list[Row]:
+    """At most ``most`` rows of ``df``, the first by a hash of ``keys``, on the driver. The hash bounds what
+    tasks send, too: about ``most`` rows and a quarter over all of them, however many tasks there are."""
+    n = df.count()
+    h = F.xxhash64(F.lit(seed), *keys)
+    part = F.pmod(h, F.lit(1 << 40)) < int(min(1.0, (1.25 * most + 50) / max(n, 1)) * (1 << 40))
+    rows = df.withColumn("_h", h).filter(part).collect()
+    return sorted(rows, key=lambda r: (r["_h"], str(r)))[:most]
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that no later plan reads."""
     path = getattr(df, "_casefile_path", None)

@@ -44,7 +44,7 @@ def _rest(url: Column) -> Column:
 
 def rule_fit(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, or null. ``rules``: (verdict, host, path
-    with its leading slash). A rule fits its host and all subdomains; of rules as long, the first wins."""
+    with its leading slash). A rule fits its host and all subdomains; of rules as long, the later one wins."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
