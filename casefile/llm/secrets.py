@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casefile.llm.store import sample_by_hash
+
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -120,8 +122,8 @@ def redacted(text: str, found: Iterable[tuple[int, int, int]], mark: str = "[{}]
 
 def chain_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE_DOCS) -> Chain:
     """The models, from the starts of at most ``sample`` texts, chosen by a hash of the id."""
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(F.lit(5), id_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t"))
-    return trained([r.t for r in rows.orderBy("h", "t").limit(sample).collect()])
+    rows = docs.select(F.col(id_col).alias("id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("t"))
+    return trained([r.t for r in sample_by_hash(rows, ["id"], sample)])
 
 
 def scanned(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
