@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casefile.llm.store import sample_by_hash
+
 MAX_ROWS, MAX_BYTES = 2000, 3072
 
 
@@ -159,7 +161,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     span = F.greatest(F.octet_length(text) - max_bytes + 1, F.lit(1))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), (F.pmod(F.xxhash64(F.lit(3), id_col), span) + 1).cast("int").alias("at"))
     # the ids are chosen first, so no text is shuffled or sorted
-    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows).collect()
+    chosen = sample_by_hash(known, ["id"], max_rows)
     if not chosen:
         return [], []
     own = docs.sparkSession.createDataFrame([(r.id, r.label) for r in chosen], "id long, label int")
