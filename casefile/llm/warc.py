@@ -26,10 +26,13 @@ MAGIC = b"WARC/1."
 END = "\r\n\r\n"
 MIN_REVISIT_BYTES = 100
 _HEAD = re.compile(rb"[0-9]\r\n((?:[^\r\n]+\r\n)+)\r\n")
+#: A head that ends where the piece does: a magic within it cut it.
+_OPEN = re.compile(rb"[0-9]\r\n(?:[^\r\n]+\r\n)*[^\r\n]*\Z")
 
 
 def _header(name: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), F.translate(value.cast("string"), "\r\n", "  "), F.lit("\r\n"))).otherwise("")
+    """A magic in the value gets its dot percent-encoded (the same URI): readers of splits see no cut head."""
+    return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), F.replace(F.translate(value.cast("string"), "\r\n", "  "), F.lit(MAGIC.decode()), F.lit("WARC/1%2E")), F.lit("\r\n"))).otherwise("")
 
 
 def records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", least: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -77,6 +80,16 @@ def _parsed(piece: bytes) -> tuple[int, int, list[tuple[str, str]]] | None:
     return (head.end(), int(length), headers) if length.isascii() and length.isdigit() else None
 
 
+def _joined(pieces: list[bytes], i: int) -> bytes:
+    """Piece ``i``, with those after it where magics within a head have cut it."""
+    piece, k = pieces[i], i + 1
+    if not _OPEN.match(piece) or k == len(pieces):
+        return piece
+    while k < len(pieces) - 1 and b"\r\n\r\n" not in pieces[k]:
+        k += 1
+    return MAGIC.join(pieces[i : k + 1])
+
+
 def _index(starts: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Position in ``starts`` of each successor, and of the candidate itself where it has none here."""
     at = np.minimum(np.searchsorted(starts, after), max(0, len(starts) - 1))
@@ -94,8 +107,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> Iterator[pa.RecordBatch]:
         if not rows:
             return
+        pieces, ends = [r[2] for r in rows], []
+        for i, (start, _, _) in enumerate(rows):
+            found = None if start < 0 and key[1] == 0 else _parsed(_joined(pieces, i))  # the bytes before a file's first magic are no candidate
+            ends.append(start + len(MAGIC) + found[0] + found[1] + len(END) if found else -1 << 40)
         starts = np.array([r[0] for r in rows], np.int64)
-        after = np.array([r[2] for r in rows], np.int64)
+        after = np.array(ends, np.int64)
         to = _index(starts, after)
         while True:  # pointer jumping: each round doubles the hops
             further = to[to]
@@ -104,7 +121,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = further
         n = len(rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int64()), pa.array(starts), pa.array([r[1] for r in rows], pa.int64()), pa.array(after), pa.array(after[to]), pa.array([r[3] for r in rows], pa.binary())],
+            [pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int64()), pa.array(starts), pa.array([r[1] for r in rows], pa.int64()), pa.array(after), pa.array(after[to]), pa.array(pieces, pa.binary())],
             names=["file", "block", "rel", "size", "after", "exit", "piece"],
         )
 
@@ -113,13 +130,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (file, block) != key:
                 yield from done()
                 key, rows, pos = (file, block), [], 0
-                lead = block == 0  # the bytes before a file's first magic are no candidate
-            else:
-                lead = False
-            start = pos - len(MAGIC)
-            found = None if lead else _parsed(piece)
-            after = start + len(MAGIC) + found[0] + found[1] + len(END) if found else -1 << 40
-            rows.append((start, len(piece), after, piece))
+            rows.append((pos - len(MAGIC), len(piece), piece))
             pos += len(piece) + len(MAGIC)
     yield from done()
 
@@ -128,7 +139,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """``(file, offset, headers, payload)`` of every record that a chain from its file's start reaches.
 
     Header names are lower-case; of repeated ones the last counts. A chain ends at a head that does
-    not parse or a length that leads to no record; what follows it in that file is not returned. Empty files and a file that does
+    not parse (also where a magic within it stands across two splits) or a length that leads to no record; what follows it in that file is not returned. Empty files and a file that does
     not begin with a record give no rows.
     """
     lines = spark.read.option("lineSep", MAGIC.decode()).text(path)

@@ -78,3 +78,14 @@ def test_broken_chain_stops(spark, tmp_path):
     (tmp_path / "d.warc").write_bytes((good + good[:-9]).encode())
     got = warc.read_warc(spark, str(tmp_path)).collect()
     assert sorted((r.file[-6:], r.offset, bytes(r.payload)) for r in got) == [("a.warc", 0, b"x" * 10), ("a.warc", len(good), b"12345"), ("d.warc", 0, b"x" * 10)]
+
+
+def test_magic_in_urls(spark, tmp_path):
+    urls = ["http://x/WARC/1.0/spec", "http://x/WARC/1.", "WARC/1.1\r\n", "http://x/WARC/1.WARC/1.1", "http://x/a"]
+    rows = [(i, urls[i % 5], "same " * 30 if i % 2 else f"page {i} WARC/1.1\r\n", "z") for i in range(20)]
+    got = warc.archived(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert {tuple(r) for r in got} == _expected(rows) and len(got) == len(rows)
+    raw = b"".join(f"WARC/1.1\r\nWARC-Target-URI: {u.strip()}\r\nContent-Length: 4\r\n\r\nab{i:02}\r\n\r\n".encode() for i, u in enumerate(urls))
+    (tmp_path / "other.warc").write_bytes(raw)  # of a writer that leaves the magic as it is
+    found = sorted(warc.read_warc(spark, str(tmp_path / "other.warc")).collect(), key=lambda r: r.offset)
+    assert [(r.headers["warc-target-uri"], bytes(r.payload)) for r in found] == [(u.strip(), f"ab{i:02}".encode()) for i, u in enumerate(urls)]
