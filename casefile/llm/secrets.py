@@ -2,7 +2,8 @@
 
 The method cuts a text into runs of key characters, and scores each long run under two
 order-1 character models. A run whose log-likelihood ratio per character and in all speaks for
-randomness is a span of kind ``markov``. Pattern spans always stay. Both models are trained from
+randomness is a span of kind ``markov``; of any other run its stretches that do are, so ordinary
+characters around a key do not hide it. Pattern spans always stay. Both models are trained from
 labelled samples: random strings from a seeded generator, and words of a bounded sample of the
 corpus's own texts that no pattern matches.
 """
@@ -31,6 +32,8 @@ KINDS = ("assign", "access", "hex", "markov")
 _HINTS = ("passw", "secret", "token", "api")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_STEPS = 19  # of a stretch: as many as the shortest run has
+_SEPARATORS = "+/_=-"
 _SYMBOLS = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 _CODE = np.full(128, len(_SYMBOLS), np.int64)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(len(_SYMBOLS))
@@ -46,8 +49,54 @@ class Chain:
     ratio: np.ndarray
 
     def score(self, run: str) -> tuple[float, int]:
+        steps = self.steps(run)
+        return float(steps.sum()), len(steps)
+
+    def steps(self, run: str) -> np.ndarray:
         x = _CODE[np.frombuffer(run.encode("ascii"), np.uint8)]
-        return float(self.ratio[x[:-1], x[1:]].sum()), len(x) - 1
+        return self.ratio[x[:-1], x[1:]]
+
+
+def _stretch(r: np.ndarray) -> tuple[int, int] | None:
+    """First and last character of a stretch of the steps ``r`` that is random by both limits; None
+    only if no stretch of ``LEAST_STEPS`` is. Linear scans."""
+    if len(r) < LEAST_STEPS or r[r > 0].sum() < TOTAL:
+        return None
+    total = np.concatenate(([0.0], np.cumsum(r)))
+    over = total - PER_STEP * np.arange(len(total))
+    # the longest stretch of the mean: from the first place not above the end's value
+    first = np.searchsorted(-np.minimum.accumulate(over), -over, "left")
+    j = int((np.arange(len(over)) - first).argmax())
+    i = int(first[j])
+    if j - i < LEAST_STEPS:
+        return None
+    if total[j] - total[i] < TOTAL:  # then it is short: no longer one has the mean, and one as short may have the sum
+        best = max(((total[n:] - total[:-n]).max(), n) for n in range(LEAST_STEPS, j - i + 1))
+        if best[0] < TOTAL:
+            return None
+        i = int((total[best[1] :] - total[: -best[1]]).argmax())
+        j = i + best[1]
+    part = total[i : j + 1]  # its ends that speak against randomness go
+    rise = part - np.minimum.accumulate(part)
+    b = int(rise.argmax())
+    return i + int(part[: b + 1].argmin()), i + b
+
+
+def stretches(run: str, chain: Chain) -> list[tuple[int, int]]:
+    """(start, end) of the random stretches of a run, widened to the separators around them."""
+    r, out, todo = chain.steps(run), [], [(0, len(run))]
+    while todo:
+        lo, hi = todo.pop()
+        found = _stretch(r[lo : hi - 1])
+        if found:
+            a, b = lo + found[0], lo + found[1] + 1
+            while a > lo and run[a - 1] not in _SEPARATORS:
+                a -= 1
+            while b < hi and run[b] not in _SEPARATORS:
+                b += 1
+            out.append((a, b))
+            todo += [(lo, a), (b, hi)]
+    return sorted(out)
 
 
 def _transitions(words: Iterable[str]) -> np.ndarray:
@@ -93,7 +142,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def spans(text: str, chain: Chain) -> list[tuple[int, int, int]]:
-    """Base spans and the method's, by start and then kind. A run inside a base span adds nothing."""
+    """Base spans and the method's, by start and then kind. A run or stretch inside a base span adds nothing."""
     base = base_spans(text)
     out = list(base)
     for m in RUN.finditer(text):
@@ -103,6 +152,9 @@ def spans(text: str, chain: Chain) -> list[tuple[int, int, int]]:
         total, steps = chain.score(m[0])
         if total >= TOTAL and total >= PER_STEP * steps:
             out.append((a, 3, b))
+        else:
+            parts = ((a + x, a + y) for x, y in stretches(m[0], chain))
+            out += [(x, 3, y) for x, y in parts if not any(s <= x and y <= e for s, _, e in base)]
     return sorted(out)
 
 

@@ -190,6 +190,24 @@ def test_secrets(spark):
     assert secrets.scanned(rows.limit(0), chain).count() == 0
 
 
+def test_keys_inside_long_runs():
+    words = "region account storage bucket folder archive report summary picture document".split()
+    chain, r = secrets.trained([" ".join(words * 3)] * 30), random.Random(4)
+    for n in (0, 5, 15, 40):
+        for _ in range(20):
+            key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+            path = ["/".join(r.choices(words, k=n)) for _ in range(2)]
+            text = f"see {path[0]}/{key}/{path[1]} there"
+            found = secrets.spans(text, chain)
+            assert any(k == 3 and a <= text.index(key) and text.index(key) + 40 <= b for a, k, b in found)
+            assert key not in secrets.redacted(text, found)
+            assert n == 0 or not secrets.spans(path[0], chain)
+    keys = ["".join(r.choices("ABCDEFGHIJKLMNOPabcdefghij0123456789", k=32)) for _ in range(2)]
+    text = "/".join([*words * 5, keys[0], *words * 5, keys[1], *words * 5])
+    found = [text[a:b] for a, _, b in secrets.spans(text, chain)]  # a word beside the key may go with it
+    assert len(found) == 2 and all(k in f and len(f) <= len(k) + 20 for k, f in zip(keys, found, strict=True))
+
+
 def test_tokens_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
