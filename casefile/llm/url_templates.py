@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from casefile.llm.store import dropped, written
 
-#: Levels of the tree; what lies deeper is one last segment, generalised as a whole.
-DEPTH = 6
 #: A branch with so many children, of so few rows each on average, has a variable next segment.
 MANY, FEW = 8, 4.0
 #: Siblings closer than so many standard errors are merged.
@@ -64,9 +62,7 @@ def _shape(segment: Column) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.transform(F.slice(parts, 1, DEPTH), _shape)
-    return F.when(F.size(parts) > DEPTH, F.concat(head, F.array(F.lit("{deep}")))).otherwise(head)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _shape)
 
 
 def templates(urls: DataFrame) -> DataFrame:
@@ -80,10 +76,11 @@ def templates(urls: DataFrame) -> DataFrame:
         .withColumn("parts", _segments(F.col("path"))).withColumn("template", F.lit(""))
     )
     shapes = written(paths.groupBy("host", "parts").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("template", F.lit("")), "shapes")
-    tree = shapes
-    for level in range(1, (shapes.agg(F.max(F.size("parts"))).first()[0] or 0) + 1):
-        before, tree = tree, written(_grown(tree, level), "tree")  # a level reads the one before twice
-        if before is not shapes:
+    tree, level = shapes.withColumn("done", F.size("parts") == 0), 0
+    while not tree.filter("not done").isEmpty():  # a level reads the one before twice
+        level += 1
+        before, tree = tree, written(_grown(tree, level), "tree")
+        if level > 1:
             dropped(before)
     leaf = tree.groupBy("host", "template").agg(F.sum("n").alias("rows"), F.sum("good").alias("t_good"), F.sum("bad").alias("t_bad"))
     g, b = shapes.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
@@ -93,10 +90,11 @@ def templates(urls: DataFrame) -> DataFrame:
 
 
 def _grown(tree: DataFrame, level: int) -> DataFrame:
-    """The template of each shape with its segment of this level added, kept or generalised."""
-    tree = tree.withColumn("s", F.try_element_at("parts", F.lit(level)))
-    child = tree.filter("s is not null").groupBy("host", "template", "s").agg(F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    branch = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("rows"), F.sum("g").alias("all_g"), F.sum("b").alias("all_b"))
+    """The template of each shape with its segment of this level added, kept or generalised. A shape
+    alone in its branch can meet no sibling further down, so it gets all its segments at once."""
+    tree = tree.withColumn("s", F.when(~F.col("done"), F.try_element_at("parts", F.lit(level))))
+    child = tree.filter("s is not null").groupBy("host", "template", "s").agg(F.count("*").alias("shapes"), F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    branch = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("shapes").alias("branch_shapes"), F.sum("n").alias("rows"), F.sum("g").alias("all_g"), F.sum("b").alias("all_b"))
     both = child.join(branch, ["host", "template"])
     seen, rest = F.col("g") + F.col("b"), F.col("all_g") + F.col("all_b") - F.col("g") - F.col("b")
     pooled = F.try_divide(F.col("all_g"), F.col("all_g") + F.col("all_b"))
@@ -106,9 +104,12 @@ def _grown(tree: DataFrame, level: int) -> DataFrame:
     # alike: labels on both sides, and no significant difference between the child and its siblings
     alike = (seen > 0) & (rest > 0) & (apart <= Z * error)
     name = F.when((F.col("kids") > 1) & (rare | F.coalesce(alike, F.lit(False))), "*").otherwise(F.col("s"))
-    names = both.select("host", "template", "s", name.alias("as"))
+    names = both.select("host", "template", "s", name.alias("as"), (F.col("branch_shapes") == 1).alias("alone"))
     grown = tree.join(names, ["host", "template", "s"], "left")
-    return grown.withColumn("template", F.when(F.col("as").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "as"))).drop("s", "as")
+    rest = F.array_join(F.slice("parts", level, F.size("parts")), "/")
+    longer = F.concat(F.col("template"), F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("as")))
+    done = F.col("done") | F.coalesce("alone", F.lit(False)) | (F.size("parts") <= level)
+    return grown.withColumns({"template": F.when(F.col("as").isNull(), F.col("template")).otherwise(longer), "done": done}).drop("s", "as", "alone")
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

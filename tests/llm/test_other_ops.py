@@ -101,6 +101,16 @@ def test_similar_branches_merge(spark):
     assert "/odd/{number}" in got
 
 
+def test_branches_part_at_any_depth(spark):
+    rows = [(i, f"http://h/a/b/c/d/e/f/g/{'bad' if i % 2 else 'good'}/x/y", i % 2 == 0) for i in range(60)]
+    rows += [(100, "http://g" + "/deep" * 300, True), (101, "http://g", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, good boolean")
+    got = {r.id: r for r in url_templates.url_verdicts(pages, [], pages.select(F.col("page_id").alias("id"), "good")).collect()}
+    assert {r.verdict for i, r in got.items() if i < 60 and i % 2} == {"block"}
+    assert {r.verdict for i, r in got.items() if i < 60 and i % 2 == 0} == {"allow"}
+    assert got[0].template.endswith("/good/x/y") and got[100].template == "/deep" * 300 and got[101].template == ""
+
+
 def test_shards(spark):
     rows = [(i, "é" * (i % 50) if i % 9 else None, "c") for i in range(1500)] + [(3, "again", "c"), (None, "n", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
