@@ -327,6 +327,15 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest_batch(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", "vec_id", "embedding").select("query_id", "rank", "id")
 
 
+@query(f"WITH h AS (SELECT {_SQL_BITS} AS h, vec_id FROM embeddings) SELECT DISTINCT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 12")
+def hash_near_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of :func:`hash_near_pairs`, whose SQL leaves equal hashes out, and those at distance 0."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", _sign_hash("embedding").alias("h"))
+    x, y = (rows.select("h", F.col("vec_id").alias(c)) for c in "ab")
+    equal = x.join(y, "h").filter("a < b").select("a", "b", F.lit(0).alias("distance")).distinct()
+    return hash_near_pairs(spark, sf_dir).unionByName(equal)
+
+
 @query(f"""
 WITH h AS (SELECT vec_id, label AS image, (vec_id * 37 % 512)::INT AS x, (vec_id * 53 % 512)::INT AS y, {_SQL_BITS} AS h FROM embeddings)
 SELECT a.image, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE AS similarity FROM h a JOIN h b
