@@ -169,6 +169,13 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", text.snippet(F.col("html")).alias("snippet"), text.xml_escaped(F.left("html", F.lit(200))).alias("escaped"), text.sanitized_filename(F.left("url", F.lit(150))).alias("filename"))
 
 
+@query()
+def text_forms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`text_forms`, whose SQL reads prefixes, over whole columns."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", text.snippet(F.col("html")).alias("snippet"), text.xml_escaped(F.col("html")).alias("escaped"), text.sanitized_filename(F.col("url")).alias("filename"))
+
+
 def _sql_hits(words: list[str], low: str = "low") -> str:
     return "(" + " + ".join(f"contains({low}, {quoted(w)})::INT" for w in words) + ")"
 
@@ -575,11 +582,21 @@ SELECT doc_id, '# doc ' || doc_id || chr(10) || chr(10) || '## Text' || chr(10)
 FROM documents LEFT JOIN labels USING (doc_id)
 """)
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report_markdown(spark, sf_dir, F.left("text", F.lit(200)))
+
+
+def _report_markdown(spark: SparkSession, sf_dir: str, shown: Column) -> DataFrame:
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    body = reports.markdown(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), {"Text": F.left("text", F.lit(200)), "Quality": F.col("quality").cast("string")})
+    body = reports.markdown(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), {"Text": shown, "Quality": F.col("quality").cast("string")})
     return both.select("doc_id", body.alias("markdown"))
 
 
+@query()
+def report_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`report_markdown`, whose SQL reads prefixes, over whole texts."""
+    return _report_markdown(spark, sf_dir, F.col("text"))
+
+
 @query("SELECT c_custkey, '{\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || ',\"segment\":\"' || c_mktsegment || '\"}' AS payload FROM customer")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
@@ -589,7 +606,7 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", reports.html(F.col("url"), {"Source": F.left("html", F.lit(500))}).alias("page"))
+    return p.select("page_id", reports.html(F.col("url"), {"Source": F.col("html")}).alias("page"))
 
 
 @query("""
@@ -682,6 +699,13 @@ def template_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.template_variables(t)).alias("n"))
 
 
+@query()
+def template_variables_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`template_variables`, whose SQL reads prefixes, over whole texts."""
+    t = F.concat("text", F.lit(" {a} {b_1} {a}"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.template_variables(t)).alias("n"))
+
+
 @query("""
 SELECT p_partkey, array_to_string(list_filter(['Nitidez: ' || CASE WHEN p_size < 20 THEN 'Borrada' ELSE 'Nítida' END, 'Iluminação: ' || CASE WHEN p_size < 15 THEN 'Escura' WHEN p_size > 35 THEN 'Clara' ELSE 'Equilibrada' END,
   'Avisos: Nenhum', CASE WHEN p_size % 3 > 0 THEN 'Faces detectadas: ' || (p_size % 3) END, CASE WHEN p_size % 2 = 0 THEN 'GPS: ' || printf('%.6f, %.6f', p_size::DOUBLE, -p_size::DOUBLE) END], lambda x: x IS NOT NULL), chr(10)) AS lines FROM part
@@ -697,4 +721,4 @@ def quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.markdown_blocks(report_markdown(spark, sf_dir), "doc_id", "markdown")
+    return records.markdown_blocks(report_markdown_whole(spark, sf_dir), "doc_id", "markdown")

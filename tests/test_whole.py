@@ -20,3 +20,22 @@ def test_equal_hashes_are_pairs(spark, tmp_path):
     want = {(a, b, apart(a, b)) for a in range(6) for b in range(a + 1, 6) if apart(a, b) <= 12}
     got = catalog.hash_near_pairs_all(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want and any(d == 0 for _, _, d in want)
+
+
+def test_whole_texts(spark, tmp_path):
+    texts = ["x " * 300 + "{late} {a}\n# Head\n```\ncode\n```", "short {early}", ""]
+    _written(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    _written(spark, tmp_path, "labels", [(0, 1)], "doc_id long, quality int")
+    pages = [(0, "http://h/" + "p" * 230 + ".html", "y" * 600 + "<b>'&\""), (1, "http://h/a", "<i>")]
+    _written(spark, tmp_path, "pages", pages, "page_id long, url string, html string")
+    at = str(tmp_path)
+    assert {r.doc_id: r.n for r in catalog.template_variables_whole(spark, at).collect()} == {i: len(set(re.findall(r"\{(\w+)\}", t + " {a} {b_1} {a}"))) for i, t in enumerate(texts)}
+    reports = {r.doc_id: r.markdown for r in catalog.report_markdown_whole(spark, at).collect()}
+    assert texts[0] in reports[0] and texts[1] in reports[1]
+    assert any("code" in str(r) for r in catalog.markdown_blocks(spark, at).collect())
+    forms = {r.page_id: r for r in catalog.text_forms_whole(spark, at).collect()}
+    for i, url, source in pages:
+        assert forms[i].escaped == html.escape(source).replace("&#x27;", "&#39;")
+    assert forms[0].filename == ("http___h_" + "p" * 230)[:195] + ".html"
+    shown = {r.page_id: r.page for r in catalog.report_html(spark, at).collect()}
+    assert "&lt;b&gt;" in shown[0]
