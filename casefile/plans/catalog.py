@@ -228,6 +228,13 @@ def consistency_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.compare(turns, "question", "answer", entities=False).select("conv_id", "turn", "score", F.size("inconsistencies").alias("n_odd"), "verdict")
 
 
+@query()
+def consistency_check_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rule: :func:`consistency_check`, whose SQL knows words and numbers only, with missing entities counted."""
+    turns = conversation.answered(table(spark, sf_dir, "conversations"))
+    return consistency.compare(turns, "question", "answer").select("conv_id", "turn", "score", F.size("inconsistencies").alias("n_odd"), "verdict")
+
+
 @query("SELECT conv_id, turn, pos, with_image FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'system' THEN 0 ELSE 1 END, turn) - 1 AS pos, coalesce(role = 'user' AND turn = min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id), false) AS with_image FROM conversations)")
 def chat_history_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.request_order(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "pos", "with_image")

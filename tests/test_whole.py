@@ -39,3 +39,12 @@ def test_whole_texts(spark, tmp_path):
     assert forms[0].filename == ("http___h_" + "p" * 230)[:195] + ".html"
     shown = {r.page_id: r.page for r in catalog.report_html(spark, at).collect()}
     assert "&lt;b&gt;" in shown[0]
+
+
+def test_missing_entities_count(spark, tmp_path):
+    rows = [(1, 0, "user", "write ana@site.com and bob@site.com about report"), (1, 1, "assistant", "write about report"), (2, 0, "user", "write about report"), (2, 1, "assistant", "write about report"), (3, 0, "user", "write ana@site.com about report"), (3, 1, "assistant", "write ana@site.com about report")]
+    _written(spark, tmp_path, "conversations", rows, "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: r for r in catalog.consistency_check_entities(spark, str(tmp_path)).collect()}
+    less = {r.conv_id: r for r in catalog.consistency_check(spark, str(tmp_path)).collect()}
+    assert got[1].n_odd >= 2 and less[1].n_odd == 0 and got[1].verdict != "consistente"
+    assert (got[2].n_odd, got[2].verdict) == (0, "consistente") and got[3].n_odd == 0
