@@ -34,17 +34,25 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) ->
     return _marks(text, words, seed)[0]
 
 
-def _marks(text: str | None, words: int, seed: int = 42, sketch: int = 0) -> tuple[bytes, bytes]:
-    """The fingerprint, and the ``sketch`` smallest different shingle hashes."""
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """Eight bytes, most significant first, for every shingle in order; no words (or a null text): none."""
     data = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower and split know ASCII only
     if not data:
-        return bytes(8), b""
+        return np.empty((0, 8), np.uint8)
     joined, n = b" ".join(data), max(1, len(data) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[-n:] - 1).tolist()
     pieces = map(joined.__getitem__, map(slice, starts, stops))
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, pieces, repeat(seed))), np.uint8).reshape(n, 8)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, pieces, repeat(seed))), np.uint8).reshape(n, 8)
+
+
+def _marks(text: str | None, words: int, seed: int = 42, sketch: int = 0) -> tuple[bytes, bytes]:
+    """The fingerprint, and the ``sketch`` smallest different shingle hashes."""
+    h = shingle_hashes(text, words, seed)
+    n = len(h)
+    if not n:
+        return bytes(8), b""
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # a very long text is counted in slices
         ones += np.unpackbits(h[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)

@@ -6,14 +6,35 @@ from Parquet. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import packing, quality_cnn, quality_rules, secrets, simhash
+from casefile.llm import alike, packing, quality_cnn, quality_rules, secrets
 from casefile.llm.queries import good_labels, quality_labels, tokenizer_path
 from casefile.llm.store import written
 
 
+def rowed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, ``_row``: file and place, as every reader of a stored table sees them.
+    Only a table that is not read from Parquet is written first. Files: fewer than 2**23, of fewer than 2**40 rows."""
+    try:
+        at = docs.select(F.col("_metadata.file_path").alias("_file"))
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    files = sorted(r[0] for r in at.distinct().collect())
+    number = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _number long")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    rows = placed.join(F.broadcast(number), "_file")
+    return rows.select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_at")).alias("_row"))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in ``gone.row``, without the key."""
+    return rows.join(gone, rows["_row"] == gone["row"], "left_anti").drop("_row")
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go. A document whose id repeats goes if any row of it is rejected."""
     verdicts = quality_rules.quality_verdicts(docs, good_labels(spark, sf_dir))
@@ -29,11 +50,11 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, by shingles of five words, the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs, words=5)
-    gone = groups.filter("id <> component_id").select(F.col("id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, linked by a similarity of 0.8 or more of their shingles of five
+    words, one row stays: that with the smallest id, a null id only where no row of the group has one."""
+    rows = rowed(docs)
+    return without(rows, alike.near_copies(rows, "_row").filter("row <> keeper").select("row"))
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +70,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality_rules", quality_rules_stage),
     ("quality_classifier", quality_classifier_stage),
-    ("simhash_near_dedup", simhash_stage),
+    ("simhash_near_dedup", near_dedup_stage),
     ("secret_scans", secret_scan_stage),
     ("best_fit_packing", packing_stage),
 ]
