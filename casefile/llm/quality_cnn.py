@@ -170,24 +170,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return [bytes(r.t) for r in found], [r.label for r in found]
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` for every row of ``docs``; the model (a few kB) travels with the tasks."""
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(id, row, score)`` for every row of ``docs``; ``row`` is ``row_col``, or null. The model (a few kB) travels with the tasks."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model)
         for batch in batches:
             p = [score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p, pa.float64())], names=["id", "row", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(each, "id long, score double")
+    row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), row).mapInArrow(each, "id long, row long, score double")
 
 
 def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, learn_from: DataFrame | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``held_out``, ``score``, ``predicted`` (1 if score >= 0.5).
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, learn_from: DataFrame | None = None, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``row`` (of ``row_col``, or null), ``held_out``, ``score``, ``predicted`` (1 if score >= 0.5).
 
     The labelled texts are those of ``learn_from``, or of ``docs`` where it is not given.
     Rows whose crc32(id) leaves 1 modulo 3 are never learned from. Without labels of both classes
@@ -196,5 +197,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     texts = docs if learn_from is None else learn_from
     model = fitted(*training_rows(texts.filter(~held_out(id_col)), labels.filter(~held_out("id")), id_col, text_col, max_rows))
-    p = scored(docs, model, id_col, text_col)
-    return p.select("id", F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    p = scored(docs, model, id_col, text_col, row_col)
+    return p.select("id", "row", F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -70,22 +70,24 @@ def counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """``(id, stratum, counts...)``, one row per row of ``docs``; a null stratum is one of its own."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", row_col: str | None = None) -> DataFrame:
+    """``(id, stratum, row, counts...)``, one row per row of ``docs``; a null stratum is one of its own.
+    ``row`` is ``row_col``, or null."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(zip(*map(counts, batch.column(2).to_pylist()), strict=True)) or [()] * len(_COUNTS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "stratum", *_COUNTS]
+                [batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "stratum", "row", *_COUNTS]
             )
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
         F.col(text_col).cast("string").alias("t"),
+        (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
     )
-    return rows.mapInArrow(each, "id long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return rows.mapInArrow(each, "id long, stratum string, row long, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def _ratio(a: str, b: str):
@@ -165,12 +167,12 @@ def judged(features: DataFrame, cutoffs: list[tuple]) -> DataFrame:
     return features.withColumn("base_failed", base).withColumn("reasons", found).withColumn("kept", ~base & (F.size("reasons") == 0))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``stratum``, the counts, ``base_failed``, ``reasons``, ``kept``.
+def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``stratum``, ``row`` (of ``row_col``, or null), the counts, ``base_failed``, ``reasons``, ``kept``.
 
     ``labels`` holds ``id`` and boolean ``good``; null labels and labels without a document are
     ignored, repeated ones count each time. Null text: empty, hence fails the base rules. No labels
     or an empty table: only the base rules apply. Other columns are not read.
     """
-    features = written(measured(docs, id_col, text_col, stratum_col), "features")
+    features = written(measured(docs, id_col, text_col, stratum_col, row_col), "features")
     return judged(features, fitted_cutoffs(features, labels, risk, delta))

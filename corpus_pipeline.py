@@ -36,18 +36,17 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects go. A document whose id repeats goes if any row of it is rejected."""
-    verdicts = quality_rules.quality_verdicts(docs, good_labels(spark, sf_dir))
-    gone = verdicts.filter(~F.col("kept")).select(F.col("id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """Rows that a rule rejects go, each by its own verdict: other rows of the same id stay."""
+    rows = rowed(docs)
+    return without(rows, quality_rules.quality_verdicts(rows, good_labels(spark, sf_dir), row_col="_row").filter(~F.col("kept")).select("row"))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score under one half go. The model learns from the corpus as it came: the
+    """Rows with a score under one half go. The model learns from the corpus as it came: the
     rules have removed most of what a label marks as bad."""
-    scores = quality_cnn.quality_scores(docs, quality_labels(spark, sf_dir), learn_from=spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    gone = scores.filter("predicted = 0").select(F.col("id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    rows = rowed(docs)
+    scores = quality_cnn.quality_scores(rows, quality_labels(spark, sf_dir), learn_from=spark.read.parquet(f"{sf_dir}/documents.parquet"), row_col="_row")
+    return without(rows, scores.filter("predicted = 0").select("row"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

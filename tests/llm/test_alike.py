@@ -85,3 +85,23 @@ def test_bitmaps_never_part_similar_sets():
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert corpus_pipeline.near_dedup_stage(spark, docs, "").count() == 0
+
+
+def test_every_row_has_its_own_verdict(spark, sf_dir):
+    """Null and repeated ids: a rejected row takes no other with it, and of equal texts one row stays."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for stage in (corpus_pipeline.quality_rules_stage, corpus_pipeline.quality_classifier_stage):
+        alone = {r.doc_id for r in stage(spark, docs, sf_dir).select("doc_id").collect()}
+        # rows of a third get the null id, of another third one id; labels stay with the other rows' ids
+        other = docs.withColumn("was", F.col("doc_id")).withColumn("doc_id", F.when(F.col("was") % 3 == 0, F.lit(None)).when(F.col("was") % 3 == 1, F.lit(-5)).otherwise(F.col("was")).cast("long"))
+        kept = [r for r in stage(spark, other, sf_dir).select("doc_id", "was").collect()]
+        assert {r.was for r in kept if r.was % 3 == 0} and {r.was for r in kept if r.was % 3 == 1}
+        assert len(kept) == len({r.was for r in kept}) and len({r.was for r in kept} ^ alone) < 0.1 * len(alone)
+
+
+def test_one_row_of_equal_texts_stays(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    for ids in ([4, 4, 4], [None, None], [None, 7, 7], [9, 3, None]):
+        docs = spark.createDataFrame([(i, text) for i in ids] + [(1, "another text that shares nothing at all")], "doc_id long, text string")
+        got = [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").filter(F.col("text") == text).collect()]
+        assert got == [min((i for i in ids if i is not None), default=None)]
