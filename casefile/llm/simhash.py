@@ -3,9 +3,12 @@
 A 64-bit fingerprint is cut into segments. Two fingerprints that differ in at most ``t`` bits
 differ in at most ``t // segments`` bits of some segment. For each segment a covering code is the
 set of anchors: a Hamming code on the first 2**r - 1 bits, every pattern on the rest, so each
-value lies within one bit of its home anchor. A fingerprint stands at its home, and is replicated
-to all anchors within covering radius plus segment threshold. A near pair therefore meets at the
-home of its smaller member, where the exact distance is tested inside the join.
+value lies within one bit, the covering radius, of its home anchor. Replicating one member of a
+pair to its home and the other to all anchors within radius plus threshold makes every near pair
+meet. So does replicating both to all anchors within radius plus half the threshold: the anchor
+that covers the point half way between them is that near to both. The second takes a tenth of
+the replicas (33 a fingerprint, not 343), so it is what is done here. The exact distance is
+tested inside the join, anchor by anchor.
 """
 
 from __future__ import annotations
@@ -25,8 +28,7 @@ from casefile.llm.store import written
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
-#: From so many distinct fingerprints on, two wide segments cost less than three narrow ones.
-WIDE_FROM = 1 << 25
+SEGMENTS = 2
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) -> bytes:
@@ -47,17 +49,19 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh64_digest, pieces, repeat(seed))), np.uint8).reshape(n, 8)
 
 
+def majority(h: np.ndarray) -> bytes:
+    """The fingerprint of shingle hashes: a bit is 1 if set in over half of them; of none: zero."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):  # a very long text is counted in slices
+        ones += np.unpackbits(h[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).tobytes()
+
+
 def _marks(text: str | None, words: int, seed: int = 42, sketch: int = 0) -> tuple[bytes, bytes]:
     """The fingerprint, and the ``sketch`` smallest different shingle hashes."""
     h = shingle_hashes(text, words, seed)
-    n = len(h)
-    if not n:
-        return bytes(8), b""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # a very long text is counted in slices
-        ones += np.unpackbits(h[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    low = np.unique(h.view(">u8").ravel())[:sketch].astype("<u8").tobytes() if sketch else b""
-    return np.packbits(2 * ones > n).tobytes(), low
+    low = np.unique(h.view(">u8").ravel())[:sketch].astype("<u8").tobytes() if sketch and len(h) else b""
+    return majority(h), low
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, sketch: int = 0) -> DataFrame:
@@ -121,33 +125,40 @@ def anchors(values: np.ndarray, r: int, width: int, near: int) -> tuple[np.ndarr
     return (np.concatenate(rows), np.concatenate(out)) if rows else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
-def _stand(batches: Iterator[pa.RecordBatch], segments: int, max_bits: int, home: bool) -> Iterator[pa.RecordBatch]:
+def _stand(batches: Iterator[pa.RecordBatch], segments: int, max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Every fingerprint at all anchors within covering radius plus half the threshold, segment by
+    segment. ``turn``: the bit, if any, that leads from the value to its home; ``home``: this is its home."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             fp = batch.column(0).slice(lo, 4096).to_numpy(zero_copy_only=False)
             for k, (first, width, r, t) in enumerate(_plan(segments, max_bits)):
                 part = (fp.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << width) - 1)
-                if home:
-                    s = _syndromes(part, r)
-                    rows, at = np.arange(len(fp)), part ^ np.where(s > 0, np.uint64(1) << (np.maximum(s, 1) - 1).astype(np.uint64), np.uint64(0))
-                else:
-                    rows, at = anchors(part, r, width, 1 + t)
+                s = _syndromes(part, r)
+                turn = np.where(s > 0, np.uint64(1) << (np.maximum(s, 1) - 1).astype(np.uint64), np.uint64(0))
+                rows, at = anchors(part, r, width, 1 + (t + 1) // 2)
+                home = at == (part ^ turn)[rows]
                 key = (at | np.uint64(k << 60)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[rows])], names=["anchor", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(fp[rows]), pa.array((turn << np.uint64(first)).view(np.int64)[rows]), pa.array(home)], names=["anchor", "fp", "turn", "home"]
+                )
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
     """``(a, b)`` with a < b: all pairs of the different values in ``distinct.fp`` that differ in at
     most ``max_bits`` bits. ``segments`` changes cost only, never the pairs."""
-    if segments is None:
-        segments = 2 if distinct.count() >= WIDE_FROM else 3
-    seat = "anchor long, fp long"
-    homes = distinct.select("fp").mapInArrow(lambda b: _stand(b, segments, max_bits, True), seat)
-    copies = distinct.select("fp").mapInArrow(lambda b: _stand(b, segments, max_bits, False), seat)
-    h, c = homes.select("anchor", F.col("fp").alias("a")), copies.select("anchor", F.col("fp").alias("b"))
-    near = F.col("a") < F.col("b")
-    near &= F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return h.join(c, (h.anchor == c.anchor) & near).select("a", "b").distinct()
+    seats = distinct.select("fp").mapInArrow(lambda b: _stand(b, segments, max_bits), "anchor long, fp long, turn long, home boolean")
+    x, y = seats.select("anchor", F.col("fp").alias("a"), "turn", "home"), seats.select(F.col("anchor").alias("there"), F.col("fp").alias("b"))
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(apart) <= max_bits)
+    # a pair that can meet at the home of its smaller member meets there only
+    away, k = F.lit(False), F.shiftrightunsigned("anchor", 60)
+    for i, (first, width, _, t) in enumerate(_plan(segments, max_bits)):
+        mask = ((1 << width) - 1) << first
+        from_home = F.bit_count(apart.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).bitwiseXOR(F.col("turn")))
+        away = away | ((k == i) & (from_home > 1 + (t + 1) // 2))
+    # merged, never broadcast: the planner takes the replicas' size for that of the file under them
+    met = x.hint("merge").join(y, (F.col("anchor") == F.col("there")) & near & (F.col("home") | away))
+    return met.select("a", "b").distinct()
 
 
 def _alike(batches: Iterator[pa.RecordBatch], least: float, size: int) -> Iterator[pa.RecordBatch]:
@@ -164,7 +175,7 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float, size: int) -> Iterat
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int = SEGMENTS,
     words: int = SHINGLE_WORDS, similarity: float | None = None, sketch: int = 192,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``fp``, ``component_id`` (smallest id reachable by links).
