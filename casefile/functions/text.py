@@ -15,6 +15,15 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+#: Matches whose places are summed up in one block: appending copies, so blocks keep a text of many matches linear.
+_BLOCK = 128
+
+
+def bound(c: Column, f) -> Column:
+    """``f`` of ``c``, which is evaluated once however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, value) of all matches, left to right; start counts code points from 0.
 
@@ -22,16 +31,26 @@ def matches(text: Column, pattern: str) -> Column:
     all matches before it. Null text: null.
     """
     p = "(?U)" + pattern
-    found, pieces = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
     empty = F.array().cast("array<struct<start:int,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def add(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["piece"])
         return F.struct((start + F.length(x["value"])).alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), x["value"].alias("value")))).alias("out"))
 
-    zipped = F.zip_with(found, F.slice(pieces, 1, F.greatest(F.size(found), F.lit(0))), lambda v, b: F.struct(b.alias("piece"), v.alias("value")))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, state, add, lambda s: s["out"])).otherwise(F.when(text.isNotNull(), empty))
+    def placed(pairs: Column) -> Column:
+        def block(s: Column, k: Column) -> Column:
+            own = F.slice(pairs, k * _BLOCK + 1, F.lit(_BLOCK))
+            return F.aggregate(own, F.struct(s["at"].alias("at"), empty.alias("out")), add, lambda x: F.struct(x["at"].alias("at"), F.concat(s["out"], F.array(x["out"])).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _BLOCK).cast("int"))
+        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,value:string>>>").alias("out"))
+        return F.flatten(F.aggregate(blocks, state, block, lambda s: s["out"]))
+
+    def located(found: Column) -> Column:
+        pieces = F.slice(F.split(text, p, -1), 1, F.size(found))
+        return F.when(F.size(found) > 0, bound(F.zip_with(found, pieces, lambda v, b: F.struct(b.alias("piece"), v.alias("value"))), placed)).when(F.size(found) == 0, empty)
+
+    return bound(F.regexp_extract_all(text, F.lit(p), F.lit(0)), located)
 
 
 def context(text: Column, start: Column, size: Column, before: int, after: int) -> Column:
@@ -80,20 +99,30 @@ def _composed(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
+def _repaired(c: Column) -> Column:
+    """The fixed repairs, in their order: those of two characters, which share the first, then single ones."""
+    long, short = [r for r in REPAIRS if len(r[0]) > 1], [r for r in REPAIRS if len(r[0]) == 1]
+    mended = c
+    for bad, good in long:
+        mended = F.replace(mended, F.lit(bad), F.lit(good))
+    heads = {bad[0] for bad, _ in long}
+    c = F.when(F.greatest(*(F.contains(c, F.lit(h)) for h in heads), F.lit(False)), mended).otherwise(c)
+    kept = sorted(short, key=lambda r: r[1] == "")  # translate() deletes what has no counterpart
+    return F.translate(c, "".join(bad for bad, _ in kept), "".join(good for _, good in kept))
+
+
 def normalized(c: Column) -> Column:
     """Recognized text, cleaned: encodings repaired, composed, without junk runs and lines of symbols.
 
     An empty text and one that starts with ``[`` (a status, not a text) are returned as they are.
     Only texts with characters outside ASCII go through Python, for Unicode composition.
     """
-    t = c
-    for bad, good in REPAIRS:
-        t = F.replace(t, F.lit(bad), F.lit(good))
-    t = F.when(t.rlike(r"[^\x00-\x7f]"), _composed(F.when(t.rlike(r"[^\x00-\x7f]"), t))).otherwise(t)
+    t = F.coalesce(_composed(F.when(c.rlike(r"[^\x00-\x7f]"), _repaired(c))), _repaired(c))
     t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
     for run, one in ((r"[|]{3,}", ""), (r"-{5,}", "---"), (r"_{5,}", "___"), (r"={5,}", "==="), (r"~{3,}", "")):
         t = F.regexp_replace(t, run, one)
-    worth = lambda line: (stripped(line) != "") & ~stripped(line).rlike(r"^[^a-zA-Z0-9À-ÿ]{3,}$")
+    # a line without letters and digits stays only if it has one or two characters
+    worth = lambda line: F.when(line.rlike("[a-zA-Z0-9À-ÿ]"), True).otherwise(F.length(stripped(line)).between(1, 2))
     t = F.array_join(F.filter(F.split(t, "\n", -1), worth), "\n")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return F.when((c == "") | c.startswith("["), c).otherwise(stripped(t))

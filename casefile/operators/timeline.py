@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,42 +12,51 @@ from casefile.functions import text
 from casefile.functions.lexicon import RECORDER_PATTERNS, TIMESTAMP_FORMATS, TIMESTAMP_PATTERNS
 
 
+def _shape(fmt: str) -> str:
+    """What a format accepts: as many digits as it has letters, and its other characters."""
+    parts = re.findall(r"'([^']*)'|([A-Za-z]+)|([^A-Za-z']+)", fmt)
+    return "^" + "".join(rf"\d{{{len(letters)}}}" if letters else re.escape(quoted or other) for quoted, letters, other in parts) + "$"
+
+
 def parsed(ts: Column, formats: list[str] | None = None) -> Column:
-    """First format that fits, without time zone; null if none does."""
-    t = text.stripped(ts)
-    return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in formats or TIMESTAMP_FORMATS))
+    """The first format that fits by shape, without time zone; null if none does, or if there is no such time."""
+    t, out = text.stripped(ts), F.lit(None).cast("timestamp_ntz")
+    for f in reversed(formats or TIMESTAMP_FORMATS):
+        out = F.when(t.rlike(_shape(f)), F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz")).otherwise(out)
+    return out
 
 
-def _events(t: Column, patterns: list[str], source: str) -> Column:
+def _events(t: Column, patterns: list[str]) -> Column:
+    """(timestamp, seq, description) of the first match of each spelling; seq: place among all matches, pattern by pattern."""
     def row(m: Column) -> Column:
         near = text.stripped(text.context(t, m["start"], F.length(m["value"]), 50, 100))
         near = F.left(F.regexp_replace(near, r"(?U)\s+", " "), F.lit(150))
-        return F.struct(m["value"].alias("timestamp"), parsed(m["value"]).alias("parsed"), near.alias("description"), F.lit(source).alias("source"))
-
-    return F.flatten(F.array(*(F.transform(text.matches(t, p), row) for p in patterns)))
+        return F.struct(m["value"].alias("timestamp"), near.alias("description"))
 
+    def first_of_each(events: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(events, lambda e: e["timestamp"]))
+        return F.array_compact(F.zip_with(events, F.slice(before, 1, F.size(events)), lambda e, last: F.when(~e["timestamp"].eqNullSafe(last), e)))
 
-def _first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Rows whose timestamp is the first of its spelling among the rows with equal keys."""
-    own = Window.partitionBy(*keys, "timestamp").orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+    every = F.flatten(F.array(*(F.transform(text.matches(t, p), row) for p in patterns)))
+    placed = F.transform(every, lambda e, i: F.struct(e["timestamp"].alias("timestamp"), i.alias("seq"), e["description"].alias("description")))
+    return text.bound(F.array_sort(placed), first_of_each)
 
 
-def _exploded(df: DataFrame, id_col: str, events: Column) -> DataFrame:
-    return df.select(id_col, F.posexplode(events).alias("seq", "e")).select(id_col, "seq", "e.*")
+def _extracted(df: DataFrame, id_col: str, text_col: str, patterns: list[str], source: str) -> DataFrame:
+    """Spellings are deduplicated within their text's array, so nothing is shuffled; times are parsed a row each."""
+    rows = df.select(id_col, F.explode(_events(F.col(text_col), patterns)).alias("e"))
+    return rows.select(id_col, "e.seq", "e.timestamp", parsed(F.col("e.timestamp")).alias("parsed"), "e.description", F.lit(source).alias("source"))
 
 
 def extract(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, seq, timestamp, parsed, description, source)``: each spelling once per text; order by
+    """``(id, seq, timestamp, parsed, description, source)``: each spelling once per row of ``df``; order by
     ``parsed`` (nulls last), then ``seq``."""
-    found = _exploded(df, id_col, _events(F.col(text_col), TIMESTAMP_PATTERNS, "text"))
-    return _first_of_each(found, [id_col], [F.asc_nulls_last("parsed"), F.asc("seq")])
+    return _extracted(df, id_col, text_col, TIMESTAMP_PATTERNS, "text")
 
 
 def extract_recorder(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Timestamps of a recorder's overlay, each spelling once per text, in order of pattern and place."""
-    found = _exploded(df, id_col, _events(F.col(text_col), RECORDER_PATTERNS, "dvr_timestamp"))
-    return _first_of_each(found, [id_col], [F.asc("seq")])
+    """Timestamps of a recorder's overlay, each spelling once per row of ``df``; order by ``seq``, that of pattern and place."""
+    return _extracted(df, id_col, text_col, RECORDER_PATTERNS, "dvr_timestamp")
 
 
 def merged(df: DataFrame, id_col: str, first_col: str, all_col: str) -> DataFrame:
