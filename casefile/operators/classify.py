@@ -42,5 +42,6 @@ def classify(df: DataFrame, text_col: str) -> DataFrame:
 
 def histogram(df: DataFrame, label: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Rows per label, most first, ties by label; ``exclude`` drops default labels on request."""
-    kept = df.filter(~F.col(label).isin("", *exclude))
-    return kept.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label)
+    # a filter on the label would be pushed below it, and the classification be made twice
+    counted = df.groupBy(label).agg(F.count_if(~F.col(label).isin("", *exclude)).alias("n")).filter("n > 0")
+    return counted.orderBy(F.desc("n"), label)

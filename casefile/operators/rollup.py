@@ -27,6 +27,12 @@ def top_values(entities: DataFrame, order: list[str], k: int = 5) -> DataFrame:
     return both.select("type", "n", F.transform("v", lambda x: x["value"]).alias("values"))
 
 
+def with_rest(values: Column, n: Column, glue: str = ", ") -> Column:
+    """The values shown, and how many more there are."""
+    more = n - F.size(values)
+    return F.concat(F.array_join(values, glue), F.when(more > 0, F.concat(F.lit(" e mais "), more.cast("string"))).otherwise(""))
+
+
 def object_totals(df: DataFrame, text_col: str) -> DataFrame:
     """``(name, n)`` from lines ``- Nx name``: split at the first x, lines without a number skipped,
     texts that say the detector did not run skipped."""

@@ -29,6 +29,26 @@ def near_hashes(df: DataFrame, hash_col: str, near: int) -> DataFrame:
     return pairs.select("a", "b", apart.alias("distance")).distinct()
 
 
+def members(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:
+    """``(id, representative)``: of each row with a hash, the smallest id that has the same."""
+    own = df.select(F.col(id_col), F.col(hash_col).alias("_h")).filter("_h is not null")
+    first = own.groupBy("_h").agg(F.min(id_col).alias("representative"))
+    return own.join(first, "_h").select(id_col, "representative")
+
+
+def representative_pairs(df: DataFrame, id_col: str, hash_col: str, near: int) -> DataFrame:
+    """``(a, b, n_a, n_b, distance)``, a < b, of representatives within ``near`` bits; n: rows each stands for. A
+    representative of several stands in a row with itself, at distance 0: copies are not expanded into pairs."""
+    groups = df.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"), F.count("*").alias("n"))
+    pairs = near_hashes(groups, "h", near)
+    x, y = (groups.select(F.col("h").alias(c), F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    turned = F.col("id_a") > F.col("id_b")
+    swap = lambda p, q: F.when(turned, F.col(q)).otherwise(F.col(p))
+    apart = both.select(swap("id_a", "id_b").alias("a"), swap("id_b", "id_a").alias("b"), swap("n_a", "n_b").alias("n_a"), swap("n_b", "n_a").alias("n_b"), "distance")
+    return apart.unionByName(groups.filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(0).alias("distance")))
+
+
 def image_duplicates(df: DataFrame, id_col: str, phash: str, dhash: str, md5: str, near: int = 8) -> DataFrame:
     """``(a, b, ph_distance, dh_distance, similarity, same_md5)``, a < b: equal MD5, or both hashes
     within ``near`` bits. A missing hash is 64 bits from any."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casefile.functions import checks, numeric, text
-from casefile.functions.lexicon import CHI_STEPS, CNPJ_WEIGHTS, CONTEXT_TAGS, DOCUMENT_TYPES, ENTITY_PATTERNS, MEMORY_TIERS, STOPWORDS, THREATS
+from casefile.functions.lexicon import CHI_STEPS, CNPJ_WEIGHTS, CONTEXT_TAGS, DOCUMENT_TYPES, ENTITY_PATTERNS, MEMORY_TIERS, RECORDER_PATTERNS, STOPWORDS, THREATS, TIMESTAMP_PATTERNS, WORD_LETTERS
 from casefile.operators import admission, classify, consistency, conversation, entities, exif_rules, images, incremental, records, rollup, similarity, timeline
 from casefile.plans import postprocess
 from casefile.sinks import reports
@@ -52,12 +52,14 @@ def _sql_checked(d: str, size: int, weights) -> str:
     return f"(length({d}) = {size} AND {d} <> repeat(substr({d}, 1, 1), {size}) AND coalesce({ends}, false))"
 
 
+_SQL_BRANCH = [f"regexp_extract(v, {quoted(ENTITY_PATTERNS['bank_account'])}, {i})" for i in (1, 2)]
 _CPF_WEIGHTS = (range(10, 1, -1), range(11, 1, -1))
 _SQL_FORMS = {
     "cpf": ("v", f"CASE WHEN length({_SQL_DIGITS}) = 11 THEN regexp_replace({_SQL_DIGITS}, '^(\\d{{3}})(\\d{{3}})(\\d{{3}})(\\d{{2}})$', '\\1.\\2.\\3-\\4') END", _sql_checked(_SQL_DIGITS, 11, _CPF_WEIGHTS)),
     "phone": ("v", _SQL_DIGITS, f"length({_SQL_DIGITS}) BETWEEN 10 AND 13"),
-    "email": ("v", "lower(v)", "true"),
-    "ipv4": ("v", "v", "true"),
+    "email": ("v", "lower(v)", "regexp_matches(v, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$')"),
+    "ipv4": ("v", "v", "len(string_split(v, '.')) = 4 AND list_bool_and(list_transform(string_split(v, '.'), lambda x: NOT regexp_matches(x, '^[0-9]+$') OR coalesce(try_cast(x AS INT) <= 255, false)))"),
+    "ipv6": ("v", "lower(v)", "true"),
     "url": ("v", "v", "true"),
     "plate": ("upper(v)", "regexp_replace(upper(v), '[-\\s]', '', 'g')", "length(regexp_replace(v, '[-\\s]', '', 'g')) = 7"),
     "cnpj": ("v", f"CASE WHEN length({_SQL_DIGITS}) = 14 THEN regexp_replace({_SQL_DIGITS}, '^(\\d{{2}})(\\d{{3}})(\\d{{3}})(\\d{{4}})(\\d{{2}})$', '\\1.\\2.\\3/\\4-\\5') END", _sql_checked(_SQL_DIGITS, 14, CNPJ_WEIGHTS)),
@@ -65,6 +67,7 @@ _SQL_FORMS = {
     "pix_key": ("v", "lower(v)", "true"),
     "boleto": ("v", f"CASE WHEN length({_SQL_DIGITS}) >= 44 THEN {_SQL_DIGITS} END", f"length({_SQL_DIGITS}) IN (44, 47, 48)"),
     "bitcoin": ("v", "v", "true"),
+    "bank_account": (f"'Ag: ' || {_SQL_BRANCH[0]} || ' Conta: ' || {_SQL_BRANCH[1]}", f"{_SQL_BRANCH[0]} || '-' || {_SQL_BRANCH[1]}", f"{_SQL_BRANCH[0]} <> '' AND {_SQL_BRANCH[1]} <> ''"),
 }
 _SQL_KINDS = list(_SQL_FORMS)
 
@@ -78,7 +81,47 @@ def _sql_entities(source: str, id_col: str, text_col: str, kinds: list[str]) ->
     return " UNION ALL ".join(parts)
 
 
+def _sql_places(source: str, patterns: dict[str, str]) -> str:
+    """(id, t, k, i, v, start) of every match of ``source`` (id, t): a match starts after the pieces and matches before it."""
+    parts = []
+    for i, (name, p) in enumerate(patterns.items()):
+        cut = f"SELECT id, t, regexp_extract_all(t, {quoted(p)}) AS vs, string_split_regex(t, {quoted(p)}) AS bs FROM {source}"
+        parts.append(f"""SELECT id, t, {i} AS k, '{name}' AS kind, i, vs[i] AS v,
+          list_sum(list_transform(bs[:i], lambda x: length(x)))::INT + coalesce(list_sum(list_transform(vs[:i - 1], lambda x: length(x))), 0)::INT AS start
+          FROM (SELECT id, t, vs, bs, unnest(range(1, len(vs) + 1)) AS i FROM ({cut}))""")
+    return " UNION ALL ".join(parts)
+
+
+def _sql_entity_rows(source: str, kinds: list[str] | None = None) -> str:
+    """(id, seq, type, value, normalized, valid, context, start): all entities of ``source`` (id, t), placed."""
+    kinds = kinds or list(ENTITY_PATTERNS)
+    form = lambda j: "CASE kind " + " ".join(f"WHEN '{k}' THEN {_SQL_FORMS[k][j]}" for k in kinds) + " END"
+    near = "CASE WHEN kind = 'ipv6' THEN '' ELSE substr(t, greatest(start - 30, 0) + 1, start + length(v) + 30 - greatest(start - 30, 0)) END"
+    placed = _sql_places(source, {k: ENTITY_PATTERNS[k] for k in kinds})
+    rows = f"SELECT id, k, i, start, kind AS type, {form(0)} AS value, {form(1)} AS normalized, {form(2)} AS valid, {near} AS context FROM ({placed})"
+    return f"SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k, i) - 1)::INT AS seq, type, value, normalized, valid, context, start FROM ({rows}) WHERE normalized IS NOT NULL"
+
+
 _THREE = ["email", "ipv4", "phone"]
+_DOCS = "(SELECT doc_id AS id, text AS t FROM documents)"
+
+#: Texts with what the tables lack: every kind of entity, right and wrong ones, in the manners in which they are written.
+_SAMPLES = [
+    "CPF 529.982.247-25", "cpf 111.111.111-11", "52998224726", "CNPJ 11.222.333/0001-81", "cnpj 11222333000182", "placa ABC-1234", "placa abc1d23", "RG 12.345.678-9",
+    "pix 0123456789abcdef0123456789ABCDEF", "boleto 23790504004188711911234567890123456789012345678", "linha 237905040041.8 87119112345.6 78901234567.8 90123456789.0 1",
+    "carteira 1BoatSLRHtKNngkdXEeobR76b53LETtpyT", "bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq", "Agência: 1234-5, conta 12345-6", "ag. 0001 e a conta: 987654-0",
+    "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::", "see ::1 here", "10.0.0.255 and 10.0.0.256", "site https://a.example/x?y=(1) or www.b.example.", "Ana.Lima+1@Example.com.br",
+    "+55 (11) 98765-4321", "11 3333 4444", "12345678901234567890", "nothing here", "R$ 1.234,56",
+]
+_SQL_MADE = f"""(SELECT o_orderkey AS id, s[o_orderkey % {len(_SAMPLES)} + 1] || ' e ' || s[(o_orderkey * 7 + o_custkey) % {len(_SAMPLES)} + 1] || chr(10) || s[o_custkey % {len(_SAMPLES)} + 1] || ' n. ' || o_orderkey AS t
+  FROM orders, (SELECT [{", ".join(map(quoted, _SAMPLES))}] AS s))"""
+
+
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c, n = F.col("o_orderkey"), F.col("o_custkey"), len(_SAMPLES)
+    samples = F.array(*map(F.lit, _SAMPLES))
+    at = lambda i: F.element_at(samples, (i % n + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(at(k), F.lit(" e "), at(k * 7 + c), F.lit("\n"), at(c), F.lit(" n. "), k.cast("string")).alias("t"))
 
 
 @query(f"SELECT type, count(*) AS n, count(*) FILTER (valid) AS n_valid FROM ({_sql_entities('documents', 'doc_id', 'text', _THREE)}) GROUP BY type")
@@ -91,21 +134,29 @@ def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.extract(table(spark, sf_dir, "documents"), "doc_id", "text", _SQL_KINDS).select("doc_id", "type", "value", "normalized", "valid")
 
 
-@query()
+@query(_sql_entity_rows(_DOCS).replace("SELECT id, (row_number", "SELECT id AS doc_id, (row_number"))
 def entity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.extract(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query(_sql_entity_rows(_SQL_MADE))
+def entity_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All thirteen kinds, on texts that hold each of them, valid and not."""
+    return entities.extract(_made(spark, sf_dir), "id", "t")
+
+
 @query(_sql_entities("pages", "page_id", "concat_ws(' ', url, html)", ["url", "email", "ipv4", "rg"]).replace("SELECT id,", "SELECT id AS page_id,"))
 def url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("t"))
     return entities.extract(pages, "page_id", "t", ["url", "email", "ipv4", "rg"]).select("page_id", "type", "value", "normalized", "valid")
 
 
-@query()
+@query(f"""
+SELECT type, count(*) AS n, array_to_string((list(value ORDER BY id, start))[:5], ',') || CASE WHEN count(*) > 5 THEN ' e mais ' || (count(*) - 5) ELSE '' END AS shown FROM ({_sql_entity_rows(_SQL_MADE)}) GROUP BY type
+""")
 def entity_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = entities.extract(table(spark, sf_dir, "documents"), "doc_id", "text", ["phone", "email"])
-    return rollup.top_values(found, ["doc_id", "start"])
+    found = rollup.top_values(entities.extract(_made(spark, sf_dir), "id", "t"), ["id", "start"])
+    return found.select("type", "n", rollup.with_rest(F.col("values"), F.col("n"), ",").alias("shown"))
 
 
 @query(f"""
@@ -159,21 +210,19 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.normalized(noisy).alias("normalized"))
 
 
-@query("""
+_SQL_NAME = "regexp_replace(translate(u, '<>:\"/\\|?*', '_________'), '[\\x01-\\x1f\\x7f-\\x{9f}]', '', 'g')"
+
+
+@query(f"""
 SELECT page_id, replace(left(html, 300), chr(10), ' ') || '...' AS snippet,
-  replace(replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
-  regexp_replace(translate(left(url, 150), '<>:"/\\|?*', '_________'), '^\\s+|\\s+$', '', 'g') AS filename FROM pages
+  replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&#39;') AS escaped,
+  regexp_replace(CASE WHEN length(n) > 200 THEN left(regexp_replace(n, '\\.[^.]*$', ''), 195) || CASE WHEN e <> '' THEN '.' || e ELSE '' END ELSE n END, '^\\s+|\\s+$', '', 'g') AS filename
+FROM (SELECT *, regexp_extract(n, '\\.([^.]*)$', 1) AS e FROM (SELECT *, {_SQL_NAME} AS n FROM (SELECT *, CASE WHEN page_id % 3 = 0 THEN url || repeat('p/', 120) || '.html' ELSE url END AS u FROM pages)))
 """)
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", text.snippet(F.col("html")).alias("snippet"), text.xml_escaped(F.left("html", F.lit(200))).alias("escaped"), text.sanitized_filename(F.left("url", F.lit(150))).alias("filename"))
-
-
-@query()
-def text_forms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`text_forms`, whose SQL reads prefixes, over whole columns."""
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", text.snippet(F.col("html")).alias("snippet"), text.xml_escaped(F.col("html")).alias("escaped"), text.sanitized_filename(F.col("url")).alias("filename"))
+    name = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("p/" * 120 + ".html"))).otherwise(F.col("url"))
+    return p.select("page_id", text.snippet(F.col("html")).alias("snippet"), text.xml_escaped(F.col("html")).alias("escaped"), text.sanitized_filename(name).alias("filename"))
 
 
 def _sql_hits(words: list[str], low: str = "low") -> str:
@@ -192,47 +241,80 @@ def _sql_classified(source: str) -> str:
     return f"SELECT id, {kind} AS document_type, {threat} AS threat_type, array_to_string({tags}, ',') AS tags, least(1.0::DOUBLE, ({kind_hits} + {threat_hits} + len({tags})) / 5.0::DOUBLE) AS confidence FROM (SELECT id, lower(t) AS low FROM ({source}))"
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    return classify.classify(docs, "t")
+_KEYWORDS = [w for labels in (DOCUMENT_TYPES, THREATS, CONTEXT_TAGS) for words in labels.values() for w in words]
+_SQL_WORDY = f"""SELECT l_orderkey * 10 + l_linenumber AS id, 'Um ' || w[l_orderkey % {len(_KEYWORDS)} + 1] || ', ' || w[l_partkey % {len(_KEYWORDS)} + 1] || ' E ' || w[(l_suppkey * 13 + l_linenumber) % {len(_KEYWORDS)} + 1] AS t
+  FROM lineitem, (SELECT [{", ".join(map(quoted, _KEYWORDS))}] AS w)"""
 
 
-_CLASSIFIED = _sql_classified("SELECT doc_id AS id, text AS t FROM documents")
+def _wordy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(*map(F.lit, _KEYWORDS))
+    at = lambda i: F.element_at(words, (i % len(_KEYWORDS) + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        F.concat(F.lit("Um "), at(F.col("l_orderkey")), F.lit(", "), at(F.col("l_partkey")), F.lit(" E "), at(F.col("l_suppkey") * 13 + F.col("l_linenumber"))).alias("t"),
+    )
 
 
-@query(f"SELECT id AS doc_id, document_type, threat_type, tags, confidence FROM ({_CLASSIFIED})")
+@query(f"SELECT id AS doc_id, document_type, threat_type, tags, confidence FROM ({_sql_classified('SELECT doc_id AS id, text AS t FROM documents')})")
 def classify_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir).select(F.col("id").alias("doc_id"), "document_type", "threat_type", F.array_join("context_tags", ",").alias("tags"), "confidence")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return classify.classify(docs, "t").select(F.col("id").alias("doc_id"), "document_type", "threat_type", F.array_join("context_tags", ",").alias("tags"), "confidence")
+
 
+@query(_sql_classified(_SQL_WORDY))
+def classify_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of three keywords each, so that every label is reached, with ties."""
+    return classify.classify(_wordy(spark, sf_dir), "t").select("id", "document_type", "threat_type", F.array_join("context_tags", ",").alias("tags"), "confidence")
 
-@query(f"SELECT document_type, count(*) AS n FROM ({_CLASSIFIED}) GROUP BY document_type")
+
+@query(f"SELECT document_type, count(*) AS n FROM ({_sql_classified(_SQL_WORDY)}) GROUP BY document_type")
 def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.histogram(_classified(spark, sf_dir), "document_type")
+    return classify.histogram(classify.classify(_wordy(spark, sf_dir), "t"), "document_type")
 
 
 _TURNS = "SELECT conv_id, turn, text AS question, lead(role) OVER w AS r, lead(text) OVER w AS answer, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
 
 
-@query(f"""
-WITH q AS (SELECT conv_id, turn, question, answer FROM ({_TURNS}) WHERE role = 'user' AND r = 'assistant'),
-w AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')), lambda x: regexp_matches(x, '^[a-záàâãéèêíïóôõúüç]{{4,}}$') AND x NOT IN ({", ".join(map(quoted, STOPWORDS))})) AS ws,
+def _sql_consistent(source: str) -> str:
+    """(id, score, odd, verdict) of ``source`` (id, question, answer), entities included."""
+    skip = "coalesce(question = '' OR starts_with(question, '[') OR answer = '' OR len(ws) = 0, true) OR answer IS NULL"
+    return f"""
+WITH q AS (SELECT id, question, answer FROM ({source})),
+w AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')), lambda x: regexp_matches(x, '^[{WORD_LETTERS}]{{4,}}$') AND x NOT IN ({", ".join(map(quoted, STOPWORDS))})) AS ws,
   list_distinct(list_filter(regexp_extract_all(question, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[0-9]{{3,}}$'))) AS ns FROM q),
-s AS (SELECT *, len(list_filter(ws, lambda x: contains(lower(answer), x))) / len(ws)::DOUBLE AS share, len(list_filter(ns, lambda x: NOT contains(answer, x))) AS odd FROM w)
-SELECT conv_id, turn, CASE WHEN question = '' OR starts_with(question, '[') OR answer = '' OR len(ws) = 0 THEN 0 ELSE share END AS score,
-  CASE WHEN question = '' OR starts_with(question, '[') OR answer = '' OR len(ws) = 0 THEN 0 ELSE odd END AS n_odd,
-  CASE WHEN question = '' OR starts_with(question, '[') OR answer = '' OR len(ws) = 0 THEN 'nao_avaliado'
-    WHEN share >= 0.7 AND odd <= 1 THEN 'consistente' WHEN share >= 0.4 THEN 'parcialmente_consistente' ELSE 'inconsistente' END AS verdict FROM s
-""")
+e1 AS ({_sql_entity_rows("(SELECT id, question AS t FROM q)")}), e2 AS ({_sql_entity_rows("(SELECT id, answer AS t FROM q)")}),
+gone AS (SELECT id, list(DISTINCT 'entity:' || normalized) AS es FROM e1 WHERE NOT EXISTS (SELECT 1 FROM e2 WHERE e2.id = e1.id AND e2.normalized = e1.normalized) GROUP BY id),
+s AS (SELECT w.*, len(list_filter(ws, lambda x: contains(lower(answer), x))) / len(ws)::DOUBLE AS share,
+  list_sort(list_concat(list_transform(list_filter(ns, lambda x: NOT contains(answer, x)), lambda x: 'number:' || x), coalesce(es, []))) AS odd FROM w LEFT JOIN gone USING (id))
+SELECT id, CASE WHEN {skip} THEN 0 ELSE share END AS score, CASE WHEN {skip} THEN '' ELSE array_to_string(odd, ',') END AS odd,
+  CASE WHEN {skip} THEN 'nao_avaliado' WHEN share >= 0.7 AND len(odd) <= 1 THEN 'consistente' WHEN share >= 0.4 THEN 'parcialmente_consistente' ELSE 'inconsistente' END AS verdict FROM s"""
+
+
+_SQL_QUESTIONS = f"SELECT conv_id || '-' || turn AS id, question, answer FROM ({_TURNS}) WHERE role = 'user' AND r = 'assistant'"
+#: Accounts of one item: the first names samples that the second leaves out or keeps.
+_SQL_ACCOUNTS = f"""SELECT id, 'Relatório sobre veículo ' || t AS question, CASE id % 4 WHEN 0 THEN 'relatório sobre veículo ' || t WHEN 1 THEN 'Relatório: ' || left(t, 20) WHEN 2 THEN 'veículo sobre relatório' ELSE '' END AS answer FROM {_SQL_MADE}"""
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, t = F.col("id") % 4, F.col("t")
+    answer = F.when(k == 0, F.concat(F.lit("relatório sobre veículo "), t)).when(k == 1, F.concat(F.lit("Relatório: "), F.left(t, F.lit(20)))).when(k == 2, "veículo sobre relatório").otherwise("")
+    return _made(spark, sf_dir).select("id", F.concat(F.lit("Relatório sobre veículo "), t).alias("question"), answer.alias("answer"))
+
+
+def _compared(df: DataFrame) -> DataFrame:
+    return consistency.compare(df, "question", "answer").select("id", "score", F.array_join("inconsistencies", ",").alias("odd"), "verdict")
+
+
+@query(_sql_consistent(_SQL_QUESTIONS))
 def consistency_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation.answered(table(spark, sf_dir, "conversations"))
-    return consistency.compare(turns, "question", "answer", entities=False).select("conv_id", "turn", "score", F.size("inconsistencies").alias("n_odd"), "verdict")
+    return _compared(turns.withColumn("id", F.concat_ws("-", "conv_id", "turn")))
 
 
-@query()
-def consistency_check_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole rule: :func:`consistency_check`, whose SQL knows words and numbers only, with missing entities counted."""
-    turns = conversation.answered(table(spark, sf_dir, "conversations"))
-    return consistency.compare(turns, "question", "answer").select("conv_id", "turn", "score", F.size("inconsistencies").alias("n_odd"), "verdict")
+@query(_sql_consistent(_SQL_ACCOUNTS))
+def consistency_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts in which entities of every kind are kept or left out."""
+    return _compared(_accounts(spark, sf_dir))
 
 
 @query("SELECT conv_id, turn, pos, with_image FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'system' THEN 0 ELSE 1 END, turn) - 1 AS pos, coalesce(role = 'user' AND turn = min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id), false) AS with_image FROM conversations)")
@@ -270,10 +352,24 @@ def timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "timestamp", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
-@query()
+def _sql_timeline(source: str, patterns: list[str], name: str, k: int) -> str:
+    placed = _sql_places(source, {str(i): p for i, p in enumerate(patterns)})
+    spaces = "[\\s\\x0b\\x1c-\\x1f]"
+    near = f"regexp_replace(substr(t, greatest(start - 50, 0) + 1, start + length(v) + 100 - greatest(start - 50, 0)), '^{spaces}+|{spaces}+$', '', 'g')"
+    at = "coalesce(" + ", ".join(f"try_strptime(v, '{f}')" for f in ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d %H:%M:%S", "%Y-%m-%d %H:%M", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M")) + ")"
+    return f"""SELECT id, v AS "timestamp", {at} AS parsed, left(regexp_replace({near}, '{spaces}+', ' ', 'g'), 150) AS description, '{name}' AS source, {k} AS which, seq
+      FROM (SELECT *, row_number() OVER (PARTITION BY id, v ORDER BY seq) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, i) AS seq FROM ({placed}))) WHERE n = 1"""
+
+
+@query(f"""
+SELECT id AS event_id, "timestamp", strftime(parsed, '%Y-%m-%d %H:%M:%S') AS parsed, description, source, (row_number() OVER (PARTITION BY id ORDER BY parsed NULLS LAST, which, seq) - 1)::INT AS pos FROM (
+{_sql_timeline(f"(SELECT event_id AS id, t || chr(10) || chr(10) AS t FROM ({_STAMPED}))", TIMESTAMP_PATTERNS, "text", 0)} UNION ALL
+{_sql_timeline(f"(SELECT event_id AS id, t FROM ({_STAMPED}))", RECORDER_PATTERNS, "dvr_timestamp", 1)})
+""")
 def timeline_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stamped(spark, sf_dir).withColumn("nothing", F.lit(""))
-    return postprocess.timelines(rows, "event_id", "t", "nothing", "nothing")
+    found = postprocess.timelines(rows, "event_id", "t", "nothing", "nothing")
+    return found.withColumn("parsed", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS in_minute, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_hour FROM events")
@@ -282,7 +378,18 @@ def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.observed(e, "user_id", "ts", 3600, "in_hour").select("event_id", "in_minute", "in_hour")
 
 
-@query()
+# one call of each user a round; the state is the list of what was admitted
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk(user_id, event_id, n, admitted, past) AS (
+  SELECT user_id, event_id, n, true, [t] FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, n, ok, CASE WHEN ok THEN list_append(past, t) ELSE past END FROM (
+    SELECT e.user_id, e.event_id, e.n, e.t, w.past, (len(w.past) = 0 OR e.t - list_max(w.past) >= 30)
+      AND len(list_filter(w.past, lambda x: x > e.t - 60)) < 2 AND len(list_filter(w.past, lambda x: x > e.t - 3600)) < 10 AS ok
+    FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT user_id, event_id, admitted FROM walk
+""")
 def rate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.admission(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 2, 10, 30.0)
 
@@ -306,21 +413,27 @@ def _sign_hash(col: str) -> Column:
 _SQL_BITS = "list_aggregate(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN '1' ELSE '0' END), 'string_agg', '')::BIT"
 
 
-@query(f"WITH h AS (SELECT DISTINCT {_SQL_BITS} AS h, vec_id FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 12 AND a.h <> b.h")
-def hash_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", _sign_hash("embedding").alias("h"))
-    pairs = similarity.near_hashes(rows, "h", 12)
-    both = pairs.join(rows.select(F.col("h").alias("a"), F.col("vec_id").alias("x")), "a").join(rows.select(F.col("h").alias("b"), F.col("vec_id").alias("y")), "b")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+#: The vectors' hashes, and of each of them one with a bit turned; every tenth one twice.
+_SQL_HASHES = f"""(SELECT vec_id, {_SQL_BITS} AS h FROM embeddings UNION ALL SELECT vec_id + 1000000, set_bit(h, (vec_id % 60)::INT, 1 - get_bit(h, (vec_id % 60)::INT)) FROM (SELECT vec_id, {_SQL_BITS} AS h FROM embeddings)
+  UNION ALL SELECT vec_id + 2000000, {_SQL_BITS} FROM embeddings WHERE vec_id % 10 = 0)"""
 
 
-@query(f"WITH h AS (SELECT {_SQL_BITS} AS h, vec_id FROM embeddings) SELECT DISTINCT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 12")
-def hash_near_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of :func:`hash_near_pairs`, whose SQL leaves equal hashes out, and those at distance 0."""
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", _sign_hash("embedding").alias("h"))
-    x, y = (rows.select("h", F.col("vec_id").alias(c)) for c in "ab")
-    equal = x.join(y, "h").filter("a < b").select("a", "b", F.lit(0).alias("distance")).distinct()
-    return hash_near_pairs(spark, sf_dir).unionByName(equal)
+    turned = rows.select((F.col("vec_id") + 1000000).alias("vec_id"), F.col("h").bitwiseXOR(F.expr("shiftleft(1L, cast(vec_id % 60 as int))")).alias("h"))
+    return rows.unionByName(turned).unionByName(rows.filter("vec_id % 10 = 0").withColumn("vec_id", F.col("vec_id") + 2000000))
+
+
+@query(f"WITH h AS (SELECT h, min(vec_id) AS id, count(*) AS n FROM {_SQL_HASHES} GROUP BY 1) SELECT a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON (a.id < b.id OR (a.id = b.id AND a.n > 1)) AND bit_count(xor(a.h, b.h)) <= 12")
+def hash_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of representatives, the smallest id of each hash, and with itself one that stands for several:
+    its vectors are at distance 0. Membership: :func:`hash_members`."""
+    return similarity.representative_pairs(_hashes(spark, sf_dir), "vec_id", "h", 12)
+
+
+@query(f"SELECT vec_id, min(vec_id) OVER (PARTITION BY h) AS representative FROM {_SQL_HASHES}")
+def hash_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.members(_hashes(spark, sf_dir), "vec_id", "h")
 
 
 @query(f"""
@@ -584,33 +697,33 @@ def prompt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports --------------------------------------------------------------------------------------
 
 
-@query("""
-SELECT doc_id, '# doc ' || doc_id || chr(10) || chr(10) || '## Text' || chr(10) || chr(10) || coalesce(nullif(left(text, 200), ''), 'Não disponível.') || chr(10) || chr(10) || '## Quality' || chr(10) || chr(10) || coalesce(quality::VARCHAR, 'Não disponível.') || chr(10) AS markdown
+_SQL_REPORT = """
+SELECT doc_id, '# doc ' || doc_id || chr(10) || chr(10) || '## Text' || chr(10) || chr(10) || coalesce(nullif(text, ''), 'Não disponível.') || chr(10) || chr(10) || '## Quality' || chr(10) || chr(10) || coalesce(quality::VARCHAR, 'Não disponível.') || chr(10) AS markdown
 FROM documents LEFT JOIN labels USING (doc_id)
-""")
-def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report_markdown(spark, sf_dir, F.left("text", F.lit(200)))
+"""
 
 
-def _report_markdown(spark: SparkSession, sf_dir: str, shown: Column) -> DataFrame:
+@query(_SQL_REPORT)
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    body = reports.markdown(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), {"Text": shown, "Quality": F.col("quality").cast("string")})
+    body = reports.markdown(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), {"Text": F.col("text"), "Quality": F.col("quality").cast("string")})
     return both.select("doc_id", body.alias("markdown"))
 
 
-@query()
-def report_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`report_markdown`, whose SQL reads prefixes, over whole texts."""
-    return _report_markdown(spark, sf_dir, F.col("text"))
-
-
 @query("SELECT c_custkey, '{\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || ',\"segment\":\"' || c_mktsegment || '\"}' AS payload FROM customer")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", reports.json_payload(name=F.col("c_name"), nation=F.col("c_nationkey"), segment=F.col("c_mktsegment")).alias("payload"))
 
 
-@query()
+def _sql_escaped(c: str) -> str:
+    return f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\'\'', '&#39;')"
+
+
+@query(f"""
+SELECT page_id, '<!DOCTYPE html><html><head><meta charset="utf-8"><style>h1{{color:#1f2937}}</style><title>' || {_sql_escaped("url")} || '</title></head><body><h1>' || {_sql_escaped("url")} || '</h1><h2>Source</h2><pre>'
+  || {_sql_escaped("coalesce(nullif(html, ''), 'Não disponível.')")} || '</pre></body></html>' AS page FROM pages
+""")
 def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", reports.html(F.col("url"), {"Source": F.col("html")}).alias("page"))
@@ -624,14 +737,30 @@ def report_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.consolidated(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name").withColumnRenamed("n_regionkey", "group")
 
 
-@query()
+_SQL_BOTH = f"(SELECT id, question || chr(10) || answer AS t FROM ({_SQL_ACCOUNTS}))"
+
+
+@query(f"""
+SELECT c.id, d.question AS normalized_text, document_type, threat_type, tags, confidence, score, odd, verdict, coalesce(entities, '') AS entities
+FROM ({_SQL_ACCOUNTS}) d JOIN ({_sql_classified(f"SELECT * FROM {_SQL_BOTH}")}) c USING (id) JOIN ({_sql_consistent(_SQL_ACCOUNTS)}) v USING (id)
+LEFT JOIN (SELECT id, string_agg(type || '=' || normalized || '@' || start, ',' ORDER BY seq) AS entities FROM ({_sql_entity_rows(_SQL_BOTH)}) GROUP BY id) e USING (id)
+""")
 def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = conversation.answered(table(spark, sf_dir, "conversations")).withColumn("exif", F.lit(""))
-    rows = turns.withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    return postprocess.process(rows, "id", "question", "answer", "exif")
+    rows = postprocess.process(_accounts(spark, sf_dir).withColumn("exif", F.lit("")), "id", "question", "answer", "exif")
+    found = F.transform("entities", lambda e: F.concat(e["type"], F.lit("="), e["normalized"], F.lit("@"), e["start"].cast("string")))
+    return rows.select(
+        "id", "normalized_text", "classification.document_type", "classification.threat_type", F.array_join("classification.context_tags", ",").alias("tags"), "classification.confidence",
+        "validation.score", F.array_join("validation.inconsistencies", ",").alias("odd"), "validation.verdict", F.array_join(found, ",").alias("entities"),
+    )
 
 
-@query()
+@query("""
+SELECT p_partkey, CASE WHEN n < 5 AND n / 10 < 0.5 THEN 'sem_indicios' WHEN n > 20 OR (n / 10 > 3 AND h >= 2) THEN 'suspeito' WHEN n * 2 > 1.5 * n AND h >= 1 THEN 'suspeito' WHEN n >= 5 THEN 'inconclusivo' ELSE 'indeterminado' END AS ela,
+  CASE WHEN p_size % 7 >= 5 THEN 'suspeito' WHEN p_size % 7 >= 1 THEN 'inconclusivo' ELSE 'sem_indicios' END AS ghost,
+  CASE WHEN p_size % 5 >= 3 THEN 'suspeito' WHEN p_size % 5 >= 1 THEN 'inconclusivo' ELSE 'sem_indicios' END AS clone,
+  array_to_string(list_filter([CASE WHEN n * 4 < 100 THEN 'blurry' END, CASE WHEN n / 50 < 0.3 THEN 'dark' END, CASE WHEN n / 50 > 0.7 THEN 'bright' END, CASE WHEN n / 60 < 0.3 THEN 'flat' END], lambda x: x IS NOT NULL), ',') AS advice
+FROM (SELECT *, p_size::DOUBLE AS n, p_size % 4 AS h FROM part)
+""")
 def forensic_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size").cast("double")
     return table(spark, sf_dir, "part").select(
@@ -700,15 +829,8 @@ def report_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.sidecar(c.select("c_custkey", path(".md").alias("path")), c.filter("c_custkey % 3 = 0").select(path(".json").alias("path"))).select("c_custkey", "path", "payload_path")
 
 
-@query("SELECT doc_id, len(list_distinct(regexp_extract_all(left(text, 200) || ' {a} {b_1} {a}', '\\{(\\w+)\\}', 1))) AS n FROM documents")
+@query("SELECT doc_id, len(list_distinct(regexp_extract_all(text || ' {a} {b_1} {a}', '\\{(\\w+)\\}', 1))) AS n FROM documents")
 def template_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.left("text", F.lit(200)), F.lit(" {a} {b_1} {a}"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.template_variables(t)).alias("n"))
-
-
-@query()
-def template_variables_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`template_variables`, whose SQL reads prefixes, over whole texts."""
     t = F.concat("text", F.lit(" {a} {b_1} {a}"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.template_variables(t)).alias("n"))
 
@@ -726,6 +848,23 @@ def quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(kept, "\n").alias("lines"))
 
 
-@query()
+#: Every kind of block, after a document's own text.
+_BLOCKS = "\n## Head\n### Lower\n- one\n* two\n| a | b |\n|---|:-:|\n| 1 | 2 |\n\npara one\npara two\n```\ncode\n\n# not a head\n```\nend"
+_SQL_STRIP = "regexp_replace(line, '^[\\s\\x0b\\x1c-\\x1f]+|[\\s\\x0b\\x1c-\\x1f]+$', '', 'g')"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS n FROM (SELECT doc_id, markdown || {quoted(_BLOCKS)} AS t FROM ({_SQL_REPORT}))),
+s AS (SELECT *, {_SQL_STRIP} AS s, sum(starts_with({_SQL_STRIP}, '```')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS f FROM l),
+k AS (SELECT *, CASE WHEN starts_with(s, '```') THEN 'fence' WHEN f % 2 = 1 THEN 'code' WHEN s = '' THEN 'blank'
+  WHEN starts_with(s, '|') THEN CASE WHEN regexp_matches(s, '^\\|?(\\s*:?-+:?\\s*\\|)*\\s*:?-+:?\\s*\\|?$') THEN 'rule' ELSE 'table' END
+  WHEN starts_with(s, '## ') THEN 'h2' WHEN starts_with(s, '### ') THEN 'h3' WHEN regexp_matches(s, '^[*-] ') THEN 'bullet' ELSE 'paragraph' END AS kind FROM s),
+g AS (SELECT *, CASE WHEN kind IN ('h2', 'h3', 'bullet', 'fence', 'blank') OR kind IS DISTINCT FROM lag(kind) OVER w OR f <> lag(f) OVER w THEN 1 ELSE 0 END AS new FROM k WHERE kind <> 'rule' WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM g),
+b AS (SELECT *, CASE kind WHEN 'code' THEN line WHEN 'h2' THEN substr(s, 4) WHEN 'h3' THEN substr(s, 5) WHEN 'bullet' THEN substr(s, 3) ELSE s END AS body FROM i WHERE kind NOT IN ('fence', 'blank')),
+j AS (SELECT doc_id, island, kind, CASE kind WHEN 'paragraph' THEN string_agg(body, ' ' ORDER BY n) ELSE string_agg(body, chr(10) ORDER BY n) END AS content FROM b GROUP BY doc_id, island, kind)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1)::INT AS block, kind, content FROM j
+""")
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.markdown_blocks(report_markdown_whole(spark, sf_dir), "doc_id", "markdown")
+    made = report_markdown(spark, sf_dir).withColumn("markdown", F.concat("markdown", F.lit(_BLOCKS)))
+    return records.markdown_blocks(made, "doc_id", "markdown")
