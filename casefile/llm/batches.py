@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def byte_slices(texts: pa.StringArray, most: int = 32 << 20) -> Iterator[tuple[int, int]]:
@@ -18,3 +20,20 @@ def byte_slices(texts: pa.StringArray, most: int = 32 << 20) -> Iterator[tuple[i
         hi = max(lo + 1, int(np.searchsorted(total, before + most, "right")))
         yield lo, hi
         lo = hi
+
+
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` rows, so that few texts at once are Python strings."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, most):
+            yield batch.slice(lo, most)
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row's columns as the struct ``doc``, which Python passes on as it is: no name in it can clash."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+
+
+def text_in(column: pa.Array, at: int | None) -> list[str | None]:
+    """The texts of a column, or of its field ``at`` where it holds whole rows."""
+    return (column if at is None else column.field(at).cast(pa.string())).to_pylist()

@@ -3,8 +3,8 @@
 A text's UTF-8 bytes are embedded, and learned filters slide over overlapping chunks that cover
 all of it. Each filter is max-pooled within a chunk; the mean and the maximum over the chunks make
 the document's vector, which a logistic layer turns into one probability. Only the fit is bounded:
-it takes at most ``max_rows`` labelled rows, of each ``max_bytes`` at most (a window at a place
-fixed by the row's id). Scores always read whole texts.
+it takes at most ``max_rows`` labelled rows, and no more of them than have ``MAX_BYTES`` in all;
+their texts are whole. Scores always read whole texts.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from casefile.llm.batches import sliced, text_in, whole
 from casefile.llm.store import sample_by_hash
 
-MAX_ROWS, MAX_BYTES = 2000, 3072
+#: Bounds of the sample that is learned from: rows, and bytes of all their texts. A text of over a quarter of that is left out.
+MAX_ROWS, MAX_BYTES = 2000, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -151,51 +154,59 @@ def fitted(texts: list[bytes], labels: list[int], shape: Shape | None = None, ep
     return m
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[bytes], list[int]]:
-    """At most ``max_rows`` labelled rows, the first by a hash of the id, and a window of each text.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> tuple[list[bytes], list[int]]:
+    """At most ``max_rows`` labelled rows that differ, the first by a hash, with their whole texts.
 
     ``labels`` holds ``id`` and ``label`` (0, 1); null and other labels are ignored.
     """
     known = labels.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull()).select("id", F.col("label").cast("int").alias("label"))
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    span = F.greatest(F.octet_length(text) - max_bytes + 1, F.lit(1))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), (F.pmod(F.xxhash64(F.lit(3), id_col), span) + 1).cast("int").alias("at"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.octet_length(text).alias("size")).filter(F.col("size") <= MAX_BYTES // 4)
     # the ids are chosen first, so no text is shuffled or sorted
-    chosen = sample_by_hash(known, ["id"], max_rows)
+    chosen = sample_by_hash(known, ["id", "label"], max_rows)
     if not chosen:
         return [], []
     own = docs.sparkSession.createDataFrame([(r.id, r.label) for r in chosen], "id long, label int")
-    found = rows.join(F.broadcast(own), "id").select("id", "label", F.substring("t", F.col("at"), F.lit(max_bytes)).alias("t")).collect()
-    found = sorted(found, key=lambda r: (r.id, r.label, bytes(r.t)))[: 2 * max_rows]
+    found = sample_by_hash(rows.join(F.broadcast(own), "id"), ["id", "label", "t"], max_rows, size_col="size", most_bytes=MAX_BYTES)
+    found.sort(key=lambda r: (r.id, r.label, bytes(r.t)))
     return [bytes(r.t) for r in found], [r.label for r in found]
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """``(id, row, score)`` for every row of ``docs``; ``row`` is ``row_col``, or null. The model (a few kB) travels with the tasks."""
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carried: bool = False) -> DataFrame:
+    """``(id, score)`` for every row of ``docs``; if ``carried``, also ``doc``, the row's columns as a struct.
+    The model (a few kB) travels with the tasks."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(docs) if carried else F.col(text_col).cast("string").alias("t"))
+    at = docs.columns.index(text_col) if carried else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model)
-        for batch in batches:
-            p = [score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p, pa.float64())], names=["id", "row", "score"])
+        for batch in sliced(batches):
+            p = pa.array([score(t) for t in text_in(batch.column(1), at)], pa.float64())
+            keep = [0, 1] if carried else [0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), p], names=[*(batch.schema.names[i] for i in keep), "score"])
 
-    row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), row).mapInArrow(each, "id long, row long, score double")
+    return rows.mapInArrow(each, T.StructType([f for f in rows.schema if f.name != "t"] + [T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, learn_from: DataFrame | None = None, row_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``row`` (of ``row_col``, or null), ``held_out``, ``score``, ``predicted`` (1 if score >= 0.5).
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, learn_from: DataFrame | None = None, carried: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``held_out``, ``score``, ``predicted`` (1 if score >= 0.5);
+    if ``carried``, also ``doc``, the row's columns as a struct.
 
     The labelled texts are those of ``learn_from``, or of ``docs`` where it is not given.
     Rows whose crc32(id) leaves 1 modulo 3 are never learned from. Without labels of both classes
     every text gets the same score. Null ids are scored, and count as not held out; repeated rows
-    each keep a row; other columns are not read.
+    each keep a row; other columns are not read. Empty table: empty result.
     """
     texts = docs if learn_from is None else learn_from
     model = fitted(*training_rows(texts.filter(~held_out(id_col)), labels.filter(~held_out("id")), id_col, text_col, max_rows))
-    p = scored(docs, model, id_col, text_col, row_col)
-    return p.select("id", "row", F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    p = scored(docs, model, id_col, text_col, carried)
+    return p.select("id", F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *["doc"] * carried)
+
+
+def kept_docs(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with a score of one half or more, with their columns: one narrow pass."""
+    return quality_scores(docs, labels, carried=True, **options).filter("predicted = 1").select("doc.*")

@@ -51,20 +51,29 @@ def by_count(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
-def sample_by_hash(df: DataFrame, keys: list[str], most: int, seed: int = 5) -> list[Row]:
-    """At most ``most`` rows of ``df``, the first by a hash of ``keys``, on the driver. The hash bounds what
-    tasks send, too: about ``most`` rows and a quarter over all of them, however many tasks there are."""
-    n = df.count()
-    h = F.xxhash64(F.lit(seed), *keys)
-    part = F.pmod(h, F.lit(1 << 40)) < int(min(1.0, (1.25 * most + 50) / max(n, 1)) * (1 << 40))
-    rows = df.withColumn("_h", h).filter(part).collect()
-    return sorted(rows, key=lambda r: (r["_h"], str(r)))[:most]
+def sample_by_hash(df: DataFrame, keys: list[str], most: int, seed: int = 5, size_col: str | None = None, most_bytes: int | None = None) -> list[Row]:
+    """At most ``most`` rows of ``df`` that differ in ``keys``, the first by a hash of those, on the driver; with
+    ``size_col``, about ``most_bytes`` of it in all. A threshold on the hash, from the number of different keys, bounds
+    what tasks send, too: about ``most`` rows and a quarter over all of them, however many tasks there
+    are and however often a key repeats."""
+    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
+    mean = F.avg(size_col) if size_col else F.lit(0.0)
+    n, each = rows.agg(F.approx_count_distinct("_h", 0.02), mean).first()
+    share = (1.25 * most + 50) / max(n, 1)
+    if most_bytes and each:
+        share = min(share, most_bytes / (n * each))
+    part = F.pmod(F.col("_h"), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))
+    return rows.filter(part).dropDuplicates(["_h"]).orderBy("_h").limit(most).collect()
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete what stands under ``path`` in the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that no later plan reads."""
     path = getattr(df, "_casefile_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+        deleted(df.sparkSession, path)
