@@ -1,28 +1,35 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-Each rule rejects a document when one ratio passes a cutoff. Cutoffs are chosen per stratum from
-labelled holdouts: going from the laxest candidate to tighter ones, a cutoff is certified while
-the exact (Clopper-Pearson) upper bound on the share of good documents it rejects stays within the
-rule's part of the allowed risk. The walk stops at the first failure, so the sequence needs no
-correction of its own; rules and strata are corrected by Bonferroni. Of the certified cutoffs the
-laxest one that rejects as many labelled bad documents as the tightest certified one is used. A
-stratum with too few labels certifies nothing, and its documents face the base rules only.
+Each rule rejects a document when one ratio passes a cutoff. A tenth of the labelled rows, chosen
+by a hash of the id, orders all cutoffs of all rules into one path: laxest first, by the share of good
+rows they reject there. The other rows are the holdout that certifies. In each stratum the walk along
+the path tightens one rule a step, and goes on while the exact (Clopper-Pearson) upper bound on the
+share of good holdout rows that the rules so far reject together stays within the allowed risk. The
+walk stops at the first failure, so the sequence needs no correction of its own, and as all rules are
+counted together, nor do rules; strata are corrected by Bonferroni, the error rate divided in proportion to the
+square root of their good rows, which says nothing about what is rejected. Of the certified steps the
+first that rejects as many labelled bad rows as the last is used. A stratum with too few labels (219
+good ones at four equal strata) certifies nothing, and its documents face the base rules only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import lgamma, log, log1p
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from casefile.llm.store import written
+from casefile.llm.batches import sliced, text_in, whole
+from casefile.llm.store import dropped, written
 
-#: Share of good documents that all rules of a stratum together may reject, and the error rate.
+#: Share of a stratum's good documents, of those that pass the base rules, that the rules together may reject; the error rate.
 RISK, DELTA = 0.02, 0.05
+#: Of the labelled rows, by hash, the share in percent that orders the path; a step of it may reject so much of their good rows.
+ORDER_PERCENT, ORDER_RISK = 10, 0.01
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -70,24 +77,24 @@ def counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", row_col: str | None = None) -> DataFrame:
-    """``(id, stratum, row, counts...)``, one row per row of ``docs``; a null stratum is one of its own.
-    ``row`` is ``row_col``, or null."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = list(zip(*map(counts, batch.column(2).to_pylist()), strict=True)) or [()] * len(_COUNTS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "stratum", "row", *_COUNTS]
-            )
-
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carried: bool = False) -> DataFrame:
+    """``(id, stratum, counts...)``, one row per row of ``docs``; a null stratum is one of its own. If
+    ``carried``, with ``doc``, the row's columns as a struct."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
-        F.col(text_col).cast("string").alias("t"),
-        (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
+        whole(docs) if carried else F.col(text_col).cast("string").alias("t"),
     )
-    return rows.mapInArrow(each, "id long, stratum string, row long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    at = docs.columns.index(text_col) if carried else None
+    kinds = [T.StructField(c, T.LongType()) for c in _COUNTS]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            cols = list(zip(*map(counts, text_in(batch.column(2), at)), strict=True)) or [()] * len(_COUNTS)
+            keep = [0, 1, 2] if carried else [0, 1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *(pa.array(c, pa.int64()) for c in cols)], names=[*(batch.schema.names[i] for i in keep), *_COUNTS])
+
+    return rows.mapInArrow(each, T.StructType([f for f in rows.schema if f.name != "t"] + kinds))
 
 
 def _ratio(a: str, b: str):
@@ -107,72 +114,126 @@ def _rules():
     ]
 
 
+def _upper_tail(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function by its continued fraction (Lentz's way), in constant memory."""
+    if not 0 < x < 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _upper_tail(b, a, 1 - x)
+    tiny, c, value = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (value if abs(value) > tiny else tiny)
+    out = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-13:
+            break
+    return exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) * out / a
+
+
 def upper_bound(k: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the largest p with P(at most k of n | p) >= delta."""
     if n == 0 or k >= n:
         return 1.0
-    j = np.arange(k + 1)
-    logc = lgamma(n + 1) - np.array([lgamma(i + 1) + lgamma(n - i + 1) for i in j])
     lo, hi = k / n, 1.0
     for _ in range(60):
         p = (lo + hi) / 2
-        terms = logc + j * log(p) + (n - j) * log1p(-p) if 0 < p < 1 else np.full(k + 1, -np.inf)
-        top = terms.max()
-        lo, hi = (p, hi) if top > -np.inf and top + log(np.exp(terms - top).sum()) >= log(delta) else (lo, p)
+        lo, hi = (p, hi) if 1 - _upper_tail(k + 1, n - k, p) >= delta else (lo, p)
     return hi
 
 
-def certified_cutoff(good: list[int], bad: list[int], n_good: int, risk: float, delta: float) -> int | None:
-    """Index of the cutoff to use. good, bad: labelled rows each candidate rejects, laxest first."""
-    best = None
-    for i, k in enumerate(good):
-        if upper_bound(k, n_good, delta) > risk:
-            break
-        if bad[i] > 0 and (best is None or bad[i] > bad[best]):
-            best = i
-    return best
+def path_of(good: dict[str, list[int]], bad: dict[str, list[int]], n_good: int) -> list[tuple[str, float]]:
+    """(rule, cutoff) in the order of tightening. good, bad: rows of the ordering part that each candidate rejects."""
+    steps = []
+    for at, (name, _, cut) in enumerate(_rules()):
+        before = 0
+        for i, c in enumerate(cut):
+            if good[name][i] > ORDER_RISK * n_good:
+                break
+            if bad[name][i] > before:  # a step that rejects no further bad row has nothing to give
+                steps.append((good[name][i], at, i, name, float(c)))
+                before = bad[name][i]
+    return [(name, c) for *_, name, c in sorted(steps)]
+
+
+def certified_steps(good: list[int], bad: list[int], n_good: int, risk: float, delta: float) -> int:
+    """How many steps of the path to take. good, bad: holdout rows that the first 1, 2, ... steps reject together."""
+    last = 0
+    while last < len(good) and upper_bound(good[last], n_good, delta) <= risk:
+        last += 1
+    return next(i for i in range(last + 1) if (bad[i - 1] if i else 0) == (bad[last - 1] if last else 0))
+
+
+def _step_of(path: list[tuple[str, float]]):
+    """First step of the path that rejects a row, from 1 on; null if none does."""
+    out = []
+    for name, value, _ in _rules():
+        at = F.lit(None).cast("int")
+        for i, (_, c) in reversed([(i, x) for i, x in enumerate(path, 1) if x[0] == name]):
+            at = F.when(value > c, F.lit(i)).otherwise(at)
+        out.append(at)
+    return F.least(*out)
+
+
+def _base_failed():
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
 def fitted_cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> list[tuple]:
     """``(stratum, rule, cutoff)`` certified on ``labels(id, good)``.
 
-    All labelled rows count, summed by stratum, rule and candidate before anything is collected:
-    the driver gets strata x rules x candidates numbers, however many rows there are.
+    All labelled rows that pass the base rules count, summed before anything is collected: the driver
+    gets rules x candidates numbers, then strata x steps, however many rows there are.
     """
+    known = features.join(labels, "id").filter(F.col("good").isNotNull() & ~_base_failed())
+    part = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(100)) < ORDER_PERCENT
+    known = written(known.select("stratum", F.col("good").cast("boolean").alias("good"), part.alias("orders"), *_COUNTS), "labelled")
     rules = _rules()
     passed = [F.array(*(F.sum((v > c).cast("long")) for c in cut)).alias(name) for name, v, cut in rules]
-    known = features.join(labels, "id").filter("good is not null").groupBy("stratum", "good").agg(F.count("*").alias("n"), *passed)
-    by = {(r.stratum, bool(r.good)): r for r in known.collect()}
-    strata = sorted({s for s, _ in by})
-    each_risk, each_delta = risk / len(rules), delta / max(1, len(rules) * len(strata))
-    out = []
+    by = {r.good: r for r in known.filter("orders").groupBy("good").agg(F.count("*").alias("n"), *passed).collect()}
+    good, bad = by.get(True), by.get(False)
+    path = path_of({n: good[n] for n, *_ in rules}, {n: bad[n] for n, *_ in rules}, good.n) if good and bad else []
+    if not path:
+        dropped(known)
+        return []
+    counted = known.filter("not orders").groupBy("stratum", "good", _step_of(path).alias("step")).agg(F.count("*").alias("n")).collect()
+    dropped(known)
+    strata, out = sorted({r.stratum for r in counted}), []
+    n_good = {s: sum(r.n for r in counted if r.stratum == s and r.good) for s in strata}
+    part_of = {s: n_good[s] ** 0.5 / max(1.0, sum(n**0.5 for n in n_good.values())) for s in strata}
     for s in strata:
-        good, bad = by.get((s, True)), by.get((s, False))
-        for name, _, cut in rules:
-            at = good and bad and certified_cutoff(good[name], bad[name], good.n, each_risk, each_delta)
-            if at is not None:
-                out.append((s, name, float(cut[at])))
+        hit = {g: [sum(r.n for r in counted if r.stratum == s and r.good == g and r.step and r.step <= i) for i in range(1, len(path) + 1)] for g in (True, False)}
+        taken = path[: certified_steps(hit[True], hit[False], n_good[s], risk, delta * part_of[s])]
+        out += [(s, name, min(c for n, c in taken if n == name)) for name, *_ in rules if any(n == name for n, _ in taken)]
     return out
 
 
 def judged(features: DataFrame, cutoffs: list[tuple]) -> DataFrame:
     """``features`` with ``base_failed``, ``kept`` and ``reasons`` (the rules that reject, in order)."""
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     reasons = []
     for name, value, _ in _rules():
         own = [x for s, r, c in cutoffs if r == name for x in (F.lit(s), F.lit(c))]
         if own:
             reasons.append(F.when(value > F.try_element_at(F.create_map(*own), F.col("stratum")), F.lit(name)))
     found = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
-    return features.withColumn("base_failed", base).withColumn("reasons", found).withColumn("kept", ~base & (F.size("reasons") == 0))
+    return features.withColumn("base_failed", _base_failed()).withColumn("reasons", found).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA, row_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``stratum``, ``row`` (of ``row_col``, or null), the counts, ``base_failed``, ``reasons``, ``kept``.
+def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA, carried: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``stratum``, the counts, ``base_failed``, ``reasons``, ``kept``;
+    if ``carried``, also ``doc``, the row's columns as a struct.
 
     ``labels`` holds ``id`` and boolean ``good``; null labels and labels without a document are
     ignored, repeated ones count each time. Null text: empty, hence fails the base rules. No labels
     or an empty table: only the base rules apply. Other columns are not read.
     """
-    features = written(measured(docs, id_col, text_col, stratum_col, row_col), "features")
+    features = written(measured(docs, id_col, text_col, stratum_col, carried), "features")
     return judged(features, fitted_cutoffs(features, labels, risk, delta))
+
+
+def kept_docs(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their columns. Texts are written once beside their
+    counts, so that neither a join nor a second measuring follows the fit."""
+    return quality_verdicts(docs, labels, carried=True, **columns).filter("kept").select("doc.*")
