@@ -1,12 +1,15 @@
-"""Near copies by the similarity of their shingles: every pair at or above a Jaccard similarity is found.
-
-Under any one order of all shingles, two sets of similarity 4/5 or more share one among the first
-``n // 5 + 1`` of each (prefix filter), so rows that meet at no such shingle need no test, and all
-others are tested: on a bitmap that bounds what they can share, and what passes on whole sets. The order puts shingles that a sample shows to be common
-last; it decides the cost and never the pairs. Texts with equal sets are one node. Before the pairs
-are listed, hubs of equal minimum hashes link most of each large group, and pairs within one
-component are left out: only components are asked for. What is left of a group costs the product
-of its parts.
+"""Near copies by the similarity of their shingles, for whole corpora.
+
+SimHash fingerprints and their anchors (``simhash``) propose pairs first, and so do hubs, nodes of
+equal minimum hashes; what passes the test on whole sets links most of each group, with a number of
+pairs linear in its texts. Fingerprints within a few bits alone would miss pairs near the limit: of
+those of similarity 0.80 to 0.85, 4 % differ in four bits or fewer. So a prefix filter completes the links:
+under any one order of all shingles, two sets of similarity 4/5 or more share ``c`` among the first
+``n // 5 + c`` of each, and pairs that share fewer need no test; ``c`` grows with the sets, so a
+passage in common makes no candidates. Pairs within one component are left out, as only components are asked for. Where prefixes meet, parity bitmaps that
+travel with them drop what cannot be similar inside the join; what passes is tested on whole sets.
+The order puts shingles that a sample shows to be common last; it decides the cost and never the
+pairs. Texts with equal sets are one node. What is left of a group costs the product of its parts.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casefile.llm.graph import components
-from casefile.llm.simhash import shingle_hashes
+from casefile.llm.simhash import links, majority, shingle_hashes
+from casefile.llm.batches import sliced
 from casefile.llm.store import by_count, dropped, sample_by_hash, written
 
 WORDS = 5
@@ -28,6 +33,13 @@ WORDS = 5
 P, Q = 4, 5
 #: Sampled texts, the characters read of each, and the sampled texts that make a shingle common (cost only).
 SAMPLE_DOCS, SAMPLE_CHARS, COMMON = 2000, 4000, 4
+#: Bits of the parity bitmap that travels with each prefix row, in words of 64; and of the one that sets of
+#: more than ``WIDE_FROM`` shingles have besides, for which the first is too small to tell much.
+FOLD_WORDS, WIDE_WORDS, WIDE_FROM = 8, 32, 1000
+#: A set of n shingles must share 1 + n // SHARE_OF of its prefix, which is longer by as many.
+SHARE_OF = 32
+#: Prefix shingles that are matched in one task.
+MATCHED = 2_000_000
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -42,17 +54,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return (P + Q) * both >= P * (len(a) + len(b))
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """A bitmap of at least four bits a shingle, each the parity of its shingles. Two maps, folded to one
-    size, differ in at most as many bits as their sets in shingles."""
-    size = 1 << max(6, (4 * len(s) - 1).bit_length())
-    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 == 1).tobytes()
-
-
-def bits_apart(a: bytes, b: bytes) -> int:
-    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+def fold(s: np.ndarray, words: int = FOLD_WORDS) -> np.ndarray:
+    """A bitmap of one size for all sets, each bit the parity of its shingles, as signed words. Two sets'
+    maps differ in at most as many bits as the sets in shingles."""
+    size = 64 * words
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 == 1).view(np.int64)
 
 
 def common_shingles(rows: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -64,49 +70,90 @@ def common_shingles(rows: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def _marked(rows: DataFrame, common: np.ndarray, words: int) -> DataFrame:
-    """``(row, id, key, n, bits, mins, prefix)``; key: of the whole set."""
+    """``(row, id, key, n, fp, fold, wide, mins, prefix)``; key: of the whole set."""
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    names = ["key", "n", "fp", "fold", "wide", "mins", "prefix"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, bits, mins, prefixes = [], [], [], [], []
+        for batch in sliced(batches):
+            out = []
             for t in batch.column(2).to_pylist():
-                s = shingle_set(t, words)
+                h = shingle_hashes(t, words)
+                s = np.unique(h.view(">u8").ravel().astype(np.uint64))
                 late = np.isin(s, common, assume_unique=True)
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sizes.append(len(s))
-                bits.append(parity_bits(s))
-                mins.append([(s * m).min().view(np.int64) for m in _TURNS] if len(s) else [])
-                prefixes.append(np.concatenate([s[~late], s[late]])[: len(s) * (Q - P) // Q + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["row", "id", "key", "n", "bits", "mins", "prefix"],
-            )
+                least = [(s * m).min().view(np.int64) for m in _TURNS] if len(s) else []
+                prefix = np.concatenate([s[~late], s[late]])[: len(s) * (Q - P) // Q + 1 + len(s) // SHARE_OF]
+                wide = fold(s, WIDE_WORDS).tobytes() if len(s) > WIDE_FROM else None
+                out.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), int.from_bytes(majority(h), "big", signed=True), fold(s), wide, least, prefix.tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, cols, kinds)], names=["row", "id", *names])
+
+    return rows.mapInArrow(each, "row long, id long, key binary, n long, fp long, fold array<long>, wide binary, mins array<long>, prefix binary")
 
-    return rows.mapInArrow(each, "row long, id long, key binary, n long, bits binary, mins array<long>, prefix array<long>")
+
+def _matched(nodes: DataFrame) -> DataFrame:
+    """``(h, node)`` of every prefix shingle that two nodes or more have. They travel packed, by parts of the
+    hash space, and only once; a shingle that all nodes have is no harder than others."""
+    spark = nodes.sparkSession
+    total = nodes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // MATCHED))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 8
+            h = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+            node = np.repeat(batch.column(0).to_numpy(), sizes)
+            part = ((h >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            h, node, cuts = h[order], node[order], np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
+            own = np.flatnonzero(np.diff(cuts))
+            packed = ([x[cuts[k] : cuts[k + 1]].tobytes() for k in own] for x in (h, node))
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "h", "node"])
+
+    def met(group: pa.Table) -> pa.Table:
+        h, node = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("h", "node"))
+        order = np.argsort(h, kind="stable")
+        h, node = h[order], node[order]
+        same = np.concatenate(([False], h[1:] == h[:-1], [False]))
+        keep = same[1:] | same[:-1]
+        return pa.table({"h": h[keep], "node": node[keep]})
+
+    return nodes.select("node", "prefix").mapInArrow(dealt, "part int, h binary, node binary").groupBy("part").applyInArrow(met, "h long, node long")
+
+
+def _apart(x: str, y: str):
+    """Bits that differ in two array columns of words."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
 
 
 def _tested(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose whole sets are similar."""
+    """The pairs ``(a, b)`` of nodes whose whole sets are similar. ``pairs`` may hold some twice."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [(P + Q) * bits_apart(x, y) <= (Q - P) * n for n, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            keep = []
+            for n, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                apart = 0 if x is None or y is None else int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
+                keep.append((P + Q) * apart <= (Q - P) * n)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "s"])
 
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    known = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bits_a", "bits_b")
-    pairs = written(known.mapInArrow(close, "a long, b long"), "pairs")
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    n = F.col("n_a") + F.col("n_b")
+    known = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").filter((P + Q) * _apart("fold_a", "fold_b") <= (Q - P) * n)
+    pairs = written(known.select("a", "b", n.alias("n"), "wide_a", "wide_b").mapInArrow(close, "a long, b long"), "pairs")
     ends = written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "ends")
-    sets = written(rows.select("row", "t").join(by_count(ends), "row", "left_semi").mapInArrow(each, "row long, s array<long>"), "sets")
+    # up to 2 million places (some 50 MB) are broadcast, so texts stay where they are; more are merged
+    sets = written(rows.select("row", "t").join(by_count(ends, 2_000_000), "row", "left_semi").mapInArrow(each, "row long, s array<long>"), "sets")
     a, b = (sets.select(F.col("row").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
     both = F.size(F.array_intersect("s_a", "s_b"))
-    links = written(pairs.join(a, "a").join(b, "b").filter((P + Q) * both >= P * (F.size("s_a") + F.size("s_b"))).select("a", "b"), "links")
-    dropped(sets)
+    links = written(pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").filter((P + Q) * both >= P * (F.size("s_a") + F.size("s_b"))).select("a", "b"), "links")
+    for done in (pairs, ends, sets):
+        dropped(done)
     return links
 
 
@@ -129,27 +176,34 @@ def near_copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     marked = written(_marked(rows, common_shingles(rows, words), words), "marks")
     best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row")).alias("best"))
     same = written(marked.groupBy("key").agg(F.min("row").alias("node"), best.alias("best")), "same")
-    nodes = marked.withColumnRenamed("row", "node").join(same.select("node"), "node")
-
+    copies = written(marked.select("row", "key").join(same.select("key", "node").hint("merge"), "key").filter("row <> node").select("row"), "copies")
+    nodes = marked.join(by_count(copies, 2_000_000), "row", "left_anti").withColumnRenamed("row", "node")
+
+    # texts of equal fingerprints meet at the first of them, others as their fingerprints do
+    groups = written(nodes.groupBy("fp").agg(F.min("node").alias("a")), "groups")
+    equal = nodes.join(groups, "fp").filter("a < node").select("a", F.col("node").alias("b"))
+    x, y = groups.select(F.col("fp").alias("a"), F.col("a").alias("one")), groups.select(F.col("fp").alias("b"), F.col("a").alias("two"))
+    close = links(groups).join(x, "a").join(y, "b").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
     turns = nodes.select("node", F.posexplode("mins").alias("turn", "least"))
     hubs = turns.groupBy("turn", "least").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last")
-    star = turns.join(hubs.drop("last"), ["turn", "least"]).filter("a < node").select("a", F.col("node").alias("b")).distinct()
-    first = _tested(star, nodes, rows, words)
+    star = turns.join(hubs.drop("last"), ["turn", "least"]).filter("a < node").select("a", F.col("node").alias("b"))
+    first = _tested(equal.unionByName(close).unionByName(star).distinct(), nodes, rows, words)
     roots = written(_rooted(same.select("node"), first), "rooted")
 
-    at = nodes.select("node", "n", "prefix").join(roots, "node").select("node", "root", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = at.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    at = written(at.join(shared.select("h"), "h", "left_semi"), "shared")
+    shared = written(_matched(nodes), "shared").hint("merge").join(nodes.select("node", "n", "fold"), "node").join(roots.hint("merge"), "node")
+    at = written(shared.select("h", "node", "root", "n", *(F.col("fold")[i].alias(f"f{i}") for i in range(FOLD_WORDS))), "meeting")
+    parted = at.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+    at = at.join(parted.hint("merge"), "h", "left_semi")
     a, b = at.alias("x"), at.alias("y")
-    # the prefixes' orders are one, so what both sets hold past this shingle is bounded by the shorter rest
-    one, two = F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1
-    most = F.least("x.pos", "y.pos") + 1 + F.least(one, two)
+    total = F.col("x.n") + F.col("y.n")
     meet = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    pairs = a.join(b, meet & ((P + Q) * most >= P * (F.col("x.n") + F.col("y.n")))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = first.unionByName(_tested(pairs, nodes, rows, words))
-    dropped(at)
+    apart = sum((F.bit_count(F.col(f"x.f{i}").bitwiseXOR(F.col(f"y.f{i}"))) for i in range(FOLD_WORDS)), F.lit(0))
+    meet &= ((P + Q) * apart <= (Q - P) * total) & ((P + Q) * F.least("x.n", "y.n") >= P * total)
+    met = a.hint("merge").join(b, meet).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = met.agg(F.count("*").alias("shared"), F.first(F.least("x.n", "y.n")).alias("least")).filter(f"shared > floor(least / {SHARE_OF})").select("a", "b")
+    links_ = first.unionByName(_tested(pairs, nodes, rows, words))
 
-    rooted = written(_rooted(same, links), "rooted")
+    rooted = written(_rooted(same, links_), "rooted")
     keepers = written(rooted.groupBy("root").agg(F.min("best")["row"].alias("keeper")), "keepers")
     by_key = rooted.select("key", "root").join(keepers, "root").select("key", "keeper")
     return marked.select("row", "key").join(by_key, "key").select("row", "keeper")

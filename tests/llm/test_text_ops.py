@@ -147,8 +147,9 @@ def test_bounds_and_cutoffs():
 
         assert abs(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) - delta) < 1e-6
     assert quality_rules.upper_bound(5, 5, 0.05) == 1.0 and quality_rules.upper_bound(0, 0, 0.05) == 1.0
-    assert quality_rules.certified_cutoff([0, 0, 0, 40], [1, 5, 5, 9], 2000, 0.01, 0.01) == 1  # the laxest that does as much
-    assert quality_rules.certified_cutoff([0], [5], 10, 0.01, 0.01) is None  # too few labels
+    assert quality_rules.certified_steps([0, 0, 0, 40], [1, 5, 5, 9], 2000, 0.01, 0.01) == 2  # the laxest that does as much
+    assert quality_rules.certified_steps([0], [5], 10, 0.01, 0.01) == 0  # too few labels
+    assert 0.0099 < quality_rules.upper_bound(990_000, 10**8, 0.01) < 0.01  # constant work and memory
 
 
 def test_rules_learn_a_cutoff(spark):
@@ -174,8 +175,12 @@ SECRETS = [
 ]
 
 
+def chain_from(texts):
+    return secrets.trained(sum(secrets.transitions(t) for t in texts))
+
+
 def test_secrets(spark):
-    chain = secrets.trained(["the quick brown fox jumps over the lazy dog and then some other words follow in the text"] * 30)
+    chain = chain_from(["the quick brown fox jumps over the lazy dog and then some other words follow in the text"] * 30)
     rows = spark.createDataFrame([(i, t, "c") for i, t in enumerate(SECRETS)], "doc_id long, text string, spans string")
     got = {r.id: r for r in secrets.scanned(rows, chain).collect()}
     for i, t in enumerate(SECRETS):
@@ -192,7 +197,7 @@ def test_secrets(spark):
 
 def test_keys_inside_long_runs():
     words = "region account storage bucket folder archive report summary picture document".split()
-    chain, r = secrets.trained([" ".join(words * 3)] * 30), random.Random(4)
+    chain, r = chain_from([" ".join(words * 3)] * 30), random.Random(4)
     for n in (0, 5, 15, 40):
         for _ in range(20):
             key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
@@ -321,12 +326,29 @@ def test_unigram_viterbi_is_the_librarys():
     assert piece_codec.encode(pa.array(texts), m).to_pylist() == sp.encode(texts)
 
 
-def test_long_word_heap_is_the_matrix():
+def test_long_words_are_as_rows_of_a_matrix():
     m = piece_codec._model(tokenizer_path("piece_bpe_32k.model"))
     own = random.Random(2)
     for n in (2, 3, 40, 200):
-        chars = np.array([[ord(c) for c in own.choices("theinga ▁", k=n)]], np.uint64)
-        assert piece_codec._merged(chars, m)[0].tolist() == piece_codec._merged_long(chars, m).tolist()
+        for alphabet in ("theinga ▁", "aaab", "é你x"):
+            word = "".join(own.choices(alphabet, k=n))
+            chars = np.array([[ord(c) for c in word]], np.uint64)
+            assert piece_codec._viterbi(chars, m)[0].tolist() == piece_codec._viterbi_long(word, m).tolist()
+
+
+def test_bpe_by_agreement_is_the_librarys():
+    """Random words of several alphabets, repeats and unknown characters among them, also beyond a matrix."""
+    import sentencepiece
+
+    path, own = tokenizer_path("piece_bpe_32k.model"), random.Random(5)
+    m, sp = piece_codec._model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "aaaaab", "ethionas", "äöüéßñ你好世界", "0123", "ABCabc_-/", "😀x"]
+    texts = ["".join(own.choices(own.choice(alphabets), k=own.randint(1, 50))) for _ in range(3000)]
+    texts += ["".join(own.choices(own.choice(alphabets), k=own.randint(257, 600))) for _ in range(30)] + ["ab" * 40_000]
+    assert piece_codec.encode(pa.array(texts), m).to_pylist() == sp.encode(texts)
+    pieces = own.choices(range(3, 32000), k=4000)
+    a, b = np.array(pieces[::2]), np.array(pieces[1::2])
+    assert m.merges.agree(a, b).tolist() == [m.merges._agree(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
 def test_tokenized(docs, empty):
