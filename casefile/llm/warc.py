@@ -1,11 +1,13 @@
 """WARC archives: written with Spark's text sink, read back by boundary-chain verification.
 
-The reader cuts files at the magic, which also occurs inside payloads. Each task therefore emits
-candidates: the offset of a magic, and that of the successor its Content-Length names. Pointer
-jumping within each split contracts the chains to (candidate, exit); pointer jumping over the
-exits, from the start of each file, finds where chains enter each split; a last jump within the
-splits marks the candidates that a chain reaches. All others lie inside payloads, and their bytes
-go back to the record that holds them. Rounds: the logarithm of a file's number of splits.
+The reader cuts files at the magic, which also occurs inside payloads. A first pass therefore emits
+candidates, without payloads: the offset of a magic, and that of the successor its Content-Length
+names. Pointer jumping within each split contracts the chains to (candidate, exit); pointer jumping
+over the exits, from the start of each file, finds where chains enter each split; a last jump within
+the splits marks the candidates that a chain reaches. All others lie inside payloads, and their bytes
+go back to the record that holds them. A second pass over the files takes the payloads along. Rounds:
+the logarithm of a file's number of splits. Memory: a few batches of pieces, and of a split the
+numbers of its candidates.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casefile.llm.store import by_count, new_path, written
+from casefile.llm.store import by_count, deleted, dropped, new_path, written
 
 MAGIC = b"WARC/1."
 END = "\r\n\r\n"
 MIN_REVISIT_BYTES = 100
+#: Bytes up to which a head that magics within it have cut is put together: a longer one does not parse.
+MOST_HEAD = 1 << 20
+#: Bytes of payload in a batch that leaves Python, but for a single larger one.
+BATCH_BYTES = 16 << 20
 _HEAD = re.compile(rb"[0-9]\r\n((?:[^\r\n]+\r\n)+)\r\n")
 #: A head that ends where the piece does: a magic within it cut it.
 _OPEN = re.compile(rb"[0-9]\r\n(?:[^\r\n]+\r\n)*[^\r\n]*\Z")
@@ -64,8 +70,9 @@ def records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
     return rows.select("id", kind.alias("type"), "refers_to", "digest", "bytes", F.concat(head, body).alias("record"))
 
 
-def write_warc(pages: DataFrame, path: str, compression: str = "gzip", **columns) -> None:
-    """One archive per task. The text sink's separator is the record's end, so files are plain WARC."""
+def write_warc(pages: DataFrame, path: str, compression: str = "none", **columns) -> None:
+    """One archive per task. The text sink's separator is the record's end, so files are plain WARC, and
+    readers can split them; whole-file compression keeps each file in one split."""
     records(pages, **columns).select("record").write.option("lineSep", END).option("compression", compression).text(path)
 
 
@@ -80,98 +87,166 @@ def _parsed(piece: bytes) -> tuple[int, int, list[tuple[str, str]]] | None:
     return (head.end(), int(length), headers) if length.isascii() and length.isdigit() else None
 
 
-def _joined(pieces: list[bytes], i: int) -> bytes:
-    """Piece ``i``, with those after it where magics within a head have cut it."""
-    piece, k = pieces[i], i + 1
-    if not _OPEN.match(piece) or k == len(pieces):
-        return piece
-    while k < len(pieces) - 1 and b"\r\n\r\n" not in pieces[k]:
-        k += 1
-    return MAGIC.join(pieces[i : k + 1])
-
-
 def _index(starts: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Position in ``starts`` of each successor, and of the candidate itself where it has none here."""
     at = np.minimum(np.searchsorted(starts, after), max(0, len(starts) - 1))
     return np.where(starts[at] == after, at, np.arange(len(starts))) if len(starts) else at
 
 
-_PIECES = "file string, block long, rel long, size long, after long, exit long, piece binary"
+_SPLIT = "file string, block long"
+
+
+def _after(rel: int, found: tuple[int, int, list] | None) -> int:
+    return rel + len(MAGIC) + found[0] + found[1] + len(END) if found else -1 << 40
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every piece between magics, with its candidate's successor and exit, by split. Offsets are
-    relative to the split's first byte. Memory: one split, which Spark bounds."""
-    key, rows, pos = None, [], 0
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        pieces, ends = [r[2] for r in rows], []
-        for i, (start, _, _) in enumerate(rows):
-            found = None if start < 0 and key[1] == 0 else _parsed(_joined(pieces, i))  # the bytes before a file's first magic are no candidate
-            ends.append(start + len(MAGIC) + found[0] + found[1] + len(END) if found else -1 << 40)
-        starts = np.array([r[0] for r in rows], np.int64)
-        after = np.array(ends, np.int64)
-        to = _index(starts, after)
-        while True:  # pointer jumping: each round doubles the hops
-            further = to[to]
-            if (further == to).all():
-                break
-            to = further
-        n = len(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int64()), pa.array(starts), pa.array([r[1] for r in rows], pa.int64()), pa.array(after), pa.array(after[to]), pa.array(pieces, pa.binary())],
-            names=["file", "block", "rel", "size", "after", "exit", "piece"],
-        )
+    """(file, block, rel, size, after) of every piece between magics; rel and after, its successor, count from
+    the split's first byte. Of the pieces only heads that a magic has cut are kept, until they end."""
+    key, pos, rows = None, 0, []
+    waiting: list[tuple[int, int, int]] = []  # (rel, size, first piece) of open heads
+    held: list[bytes] = []
+
+    def batch_of() -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["file", "block", "rel", "size", "after"])
+
+    def settle(data: list[bytes]) -> None:
+        rows.extend((*key, rel, size, _after(rel, _parsed(MAGIC.join(data[at:])))) for rel, size, at in waiting)
+        waiting.clear()
+        held.clear()
 
     for batch in batches:
         for file, block, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (file, block) != key:
-                yield from done()
-                key, rows, pos = (file, block), [], 0
-            rows.append((pos - len(MAGIC), len(piece), piece))
+                if key:
+                    settle(held)
+                key, pos = (file, block), 0
+            rel, size = pos - len(MAGIC), len(piece)
+            pos += size + len(MAGIC)
+            if waiting:
+                held.append(piece)
+            if rel < 0 and block == 0:  # the bytes before a file's first magic are no candidate
+                rows.append((*key, rel, size, _after(rel, None)))
+            elif _OPEN.match(piece):
+                if not waiting:
+                    held.append(piece)
+                waiting.append((rel, size, len(held) - 1))
+            else:
+                rows.append((*key, rel, size, _after(rel, _parsed(piece))))
+            if waiting and (END.encode() in piece or sum(map(len, held)) > MOST_HEAD):
+                settle(held)
+            if len(rows) >= 1 << 16:
+                yield batch_of()
+    if key:
+        settle(held)
+    yield batch_of()
+
+
+def _exits(split: pa.Table) -> pa.Table:
+    """A split's candidates with the end of the chain within it that begins at each."""
+    split = split.sort_by("rel")
+    starts, after = split.column("rel").to_numpy(), split.column("after").to_numpy()
+    to = _index(starts, after)
+    while True:  # pointer jumping: each round doubles the hops
+        further = to[to]
+        if (further == to).all():
+            break
+        to = further
+    return split.append_column("exit", pa.array(after[to]))
+
+
+def _bounded(rows: Iterator[tuple], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose last columns hold some ``BATCH_BYTES``, one larger row alone."""
+    ready, size = [], 0
+
+    def batch_of() -> pa.RecordBatch:
+        cols = list(zip(*ready, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    for row in rows:
+        if ready and size + len(row[-1]) > BATCH_BYTES:
+            yield batch_of()
+            ready, size = [], 0
+        ready.append(row)
+        size += len(row[-1])
+    yield batch_of()
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
+    """(file, block, rel, piece) of every piece."""
+    key, pos = None, 0
+    for batch in batches:
+        for file, block, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, block) != key:
+                key, pos = (file, block), 0
+            yield file, block, pos - len(MAGIC), piece
             pos += len(piece) + len(MAGIC)
-    yield from done()
+
+
+_HEADERS = pa.map_(pa.string(), pa.string())
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces that are one whole record each."""
+    rows = ((f, b, rel, list(dict(p[2]).items()), x[p[0] : p[0] + p[1]]) for f, b, rel, x in _placed(batches) if (p := _parsed(x)) and p[0] + p[1] + len(END) == len(x))
+    yield from _bounded(rows, [pa.string(), pa.int64(), pa.int64(), _HEADERS, pa.binary()], ["file", "block", "rel", "headers", "payload"])
+
+
+def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _bounded(_placed(batches), [pa.string(), pa.int64(), pa.int64(), pa.binary()], ["file", "block", "rel", "piece"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """``(file, offset, headers, payload)`` of every record that a chain from its file's start reaches.
 
     Header names are lower-case; of repeated ones the last counts. A chain ends at a head that does
-    not parse (also where a magic within it stands across two splits) or a length that leads to no record; what follows it in that file is not returned. Empty files and a file that does
-    not begin with a record give no rows.
+    not parse (also where a magic within it stands across two splits, or one of over 1 MiB that magics
+    cut) or a length that leads to no record; what follows it in that file is not returned. Empty files
+    and a file that does not begin with a record give no rows. Null, repeated and tied records do not
+    exist in files; payloads of any length come back whole. The files are read again when the result is,
+    by splits as now: an error tells if the session's split size has changed meanwhile.
     """
     lines = spark.read.option("lineSep", MAGIC.decode()).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
-    pieces = written(lines.mapInArrow(_cut, _PIECES), "pieces")
-    step = F.lit(len(MAGIC))
-    totals = pieces.groupBy("file", "block").agg(F.sum(F.col("size") + step).alias("total"))
+    pieces = written(lines.mapInArrow(_cut, _SPLIT + ", rel long, size long, after long"), "pieces")
+    step, split_of = F.lit(len(MAGIC)), ["file", "block"]
+    totals = pieces.groupBy(*split_of).agg(F.sum(F.col("size") + step).alias("total"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = written(totals.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "splits")
+    bases = written(totals.select(*split_of, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "splits")
     # a piece's offset is that of the magic before it, so a file's lead has a negative one
-    known = pieces.drop("piece").join(by_count(bases), ["file", "block"])
+    known = pieces.groupBy(*split_of).applyInArrow(_exits, _SPLIT + ", rel long, size long, after long, exit long").join(by_count(bases), split_of)
     known = known.withColumns({c: F.col(c) + F.col("base") for c in ("rel", "after", "exit")}).withColumnRenamed("rel", "offset")
     known = written(known.filter("offset >= 0"), "candidates")
     reached = _entered(known)
     marked = written(
-        known.join(by_count(reached).withColumn("entry", F.lit(True)), ["file", "offset"], "left").groupBy("file", "block").applyInPandas(_marked, "file string, block long, base long, offset long, size long, after long, whole boolean, reached boolean"),
+        known.join(by_count(reached).withColumn("entry", F.lit(True)), ["file", "offset"], "left").groupBy(*split_of).applyInPandas(_marked, _SPLIT + ", base long, offset long, size long, after long, whole boolean, reached boolean"),
         "marked",
     )
-    # what is not one whole record in one piece: pieces inside payloads, and the records that hold them
-    up_to = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    holder = F.last(F.when(F.col("reached"), F.struct(F.col("offset").alias("at"), "after")), ignorenulls=True).over(up_to)
-    split = marked.withColumn("holder", holder).filter("not (reached and whole)")
-    split = split.select("file", "block", (F.col("offset") - F.col("base")).alias("rel"), "offset", F.when(F.col("holder.after") > F.col("offset"), F.col("holder.at")).alias("owner"))
-    split = by_count(written(split, "split"))  # few rows or none, as a rule
-    keys = ["file", "block", "rel"]
-    apart = pieces.join(split, keys).filter("owner is not null")
+    # what is not one whole record in one piece: pieces inside payloads, and the records that hold them.
+    # The holder of a piece is the last record reached, in its split or in the last split before with one
+    hold = F.when(F.col("reached"), F.struct(F.col("offset").alias("at"), "after"))
+    up_to = Window.partitionBy(*split_of).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = marked.groupBy(*split_of).agg(F.max(hold).alias("own")).select(*split_of, F.last("own", ignorenulls=True).over(before).alias("carried"))
+    here = marked.withColumn("holder", F.last(hold, ignorenulls=True).over(up_to)).filter("not (reached and whole)")
+    here = here.join(by_count(written(lasts, "carried")), split_of).withColumn("holder", F.coalesce("holder", "carried"))
+    split = written(here.select(*split_of, (F.col("offset") - F.col("base")).alias("rel"), "offset", F.when(F.col("holder.after") > F.col("offset"), F.col("holder.at")).alias("owner")), "split")
+    for done in (pieces, known, marked, reached):
+        dropped(done)
+    few = by_count(split)  # few rows or none, as a rule
+    keys = [*split_of, "rel"]
+    at = F.coalesce("base", F.raise_error(F.lit("the files' splits have changed since they were read first")).cast("long"))
+    alone = lines.mapInArrow(_alone, _SPLIT + ", rel long, headers map<string,string>, payload binary").join(by_count(bases), split_of, "left")
+    alone = alone.withColumn("offset", F.col("rel") + at).filter("offset >= 0").join(few, keys, "left_anti").select("file", "offset", "headers", "payload")
+    if split.isEmpty():
+        return alone
+    apart = lines.mapInArrow(_raw, _SPLIT + ", rel long, piece binary").join(few, keys).filter("owner is not null")
     parts = F.array_sort(F.collect_list(F.struct("offset", "piece")))
-    joined = apart.groupBy("file", F.col("owner").alias("offset")).agg(parts.alias("parts")).select(
-        "file", "offset", F.aggregate(F.slice("parts", 2, 1 << 30), F.element_at("parts", 1)["piece"], lambda a, x: F.concat(a, F.lit(MAGIC), x["piece"])).alias("piece")
-    )
-    alone = pieces.join(split, keys, "left_anti").filter("after >= 0").join(by_count(bases), ["file", "block"]).select("file", (F.col("rel") + F.col("base")).alias("offset"), "piece")
-    return alone.unionByName(joined).mapInArrow(_opened, "file string, offset long, headers map<string,string>, payload binary")
+    joined = apart.groupBy("file", F.col("owner").alias("offset")).agg(parts.alias("parts")).select("file", "offset", F.concat(
+        F.element_at("parts", 1)["piece"], F.aggregate(F.slice("parts", 2, 1 << 30), F.lit(b""), lambda a, x: F.concat(a, F.lit(MAGIC), x["piece"]))
+    ).alias("piece"))
+    return alone.unionByName(joined.mapInArrow(_opened, "file string, offset long, headers map<string,string>, payload binary"))
 
 
 def _entered(known: DataFrame) -> DataFrame:
@@ -205,15 +280,8 @@ def _marked(split: pd.DataFrame) -> pd.DataFrame:
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
-    for batch in batches:
-        rows = []
-        for file, offset, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            head, length, headers = _parsed(piece)
-            if len(piece) >= head + length:  # else the file ends within the record
-                rows.append((file, offset, list(dict(headers).items()), piece[head : head + length]))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file", "offset", "headers", "payload"])
+    rows = ((f, at, list(dict(p[2]).items()), x[p[0] : p[0] + p[1]]) for batch in batches for f, at, x in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (p := _parsed(x)) and len(x) >= p[0] + p[1])  # else the file ends within the record
+    yield from _bounded(rows, [pa.string(), pa.int64(), _HEADERS, pa.binary()], ["file", "offset", "headers", "payload"])
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url") -> DataFrame:
@@ -221,6 +289,9 @@ def archived(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     ``id, payload_bytes, payload_digest, record_type, refers_to``, one row per row of ``pages``.
 
     A revisit's payload is that of the response it names, looked up by id and digest among what was read.
+    A null payload is empty, a null id is always a response, repeated rows are a record each, and of
+    ties the smallest id is the response. Payloads of any length are written and read whole. Other columns are not
+    read. Empty table: empty result. The archives are deleted once read.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
@@ -232,6 +303,7 @@ def archived(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
         F.regexp_extract(F.col("headers")["warc-payload-digest"], r"^sha256:([0-9a-f]{64})$", 1).alias("told"),
     )
     found = written(found, "archived")
+    deleted(spark, path)
     source = found.filter("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("d").alias("told"), F.col("n").alias("full")).distinct()
     again = found.filter("record_type = 'revisit'").join(source.hint("merge"), ["refers_to", "told"])
     out = ["id", F.col("full").alias("payload_bytes"), F.col("told").alias("payload_digest"), "record_type", "refers_to"]
