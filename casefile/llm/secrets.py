@@ -3,9 +3,12 @@
 The method cuts a text into runs of key characters, and scores each long run under two
 order-1 character models. A run whose log-likelihood ratio per character and in all speaks for
 randomness is a span of kind ``markov``; of any other run its stretches that do are, so ordinary
-characters around a key do not hide it. Pattern spans always stay. Both models are trained from
-labelled samples: random strings from a seeded generator, and words of a bounded sample of the
-corpus's own texts that no pattern matches.
+characters around a key do not hide it. Pattern spans always stay.
+
+Both models learn from labelled strings of all texts, which the base patterns label: what they match is
+random, with strings of a seeded generator; words outside their spans are ordinary, and so are the
+identifiers that words make in the usual manners (CamelCase, snake_case, kebab-case). Tasks count
+transitions; the driver gets one number for each pair of symbols and class.
 """
 
 from __future__ import annotations
@@ -22,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casefile.llm.store import sample_by_hash
-
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -31,6 +32,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 _HINTS = ("passw", "secret", "token", "api")
 
+#: The method scores runs of so many characters on: shorter ones cannot reach TOTAL by what is usual per step.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_STEPS = 19  # of a stretch: as many as the shortest run has
 _SEPARATORS = "+/_=-"
@@ -39,7 +41,6 @@ _CODE = np.full(128, len(_SYMBOLS), np.int64)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(len(_SYMBOLS))
 #: A run is random from so much log-likelihood ratio on, per step and in all.
 PER_STEP, TOTAL = 0.7, 16.0
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 4000
 
 
 @dataclass(frozen=True)
@@ -99,14 +100,60 @@ def stretches(run: str, chain: Chain) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _transitions(words: Iterable[str]) -> np.ndarray:
-    n = len(_SYMBOLS) + 1
-    counts = np.full((n, n), 0.2)
-    for w in words:
-        b = np.frombuffer(w.encode("ascii", "replace"), np.uint8)
-        x = _CODE[np.minimum(b, 127)]
-        np.add.at(counts, (x[:-1], x[1:]), 1)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+_N = len(_SYMBOLS) + 1  # the last for all other bytes
+_BYTE = np.concatenate([_CODE, np.full(128, len(_SYMBOLS), np.int64)])
+#: Kinds of counts: transitions of random strings; of words; first two symbols of words; last symbol of a word and first of the next.
+_RANDOM, _WORD, _HEAD, _JOINT = range(4)
+_UP = np.array([_SYMBOLS.find(c.upper()) for c in _SYMBOLS] + [_N - 1])
+_LOW = np.array([_SYMBOLS.find(c.lower()) for c in _SYMBOLS] + [_N - 1])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bincount(a * _N + b, minlength=_N * _N).reshape(_N, _N)
+
+
+def transitions(text: str) -> np.ndarray:
+    """Counts of each kind and pair of symbols in a text; words are runs of two symbols or more outside base spans."""
+    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    x, out = _BYTE[data], np.zeros((4, _N, _N), np.int64)
+    spans_ = base_spans(text)
+    if spans_:
+        at = np.cumsum([0, *(len(c.encode("utf-8", "replace")) for c in text)]) if not text.isascii() else np.arange(len(text) + 1)
+        x = x.copy()
+        for lo, _, hi in spans_:
+            own = x[at[lo] : at[hi]]
+            value = _BYTE[data[at[lo] : at[hi]]]
+            inside = (value[:-1] < _N - 1) & (value[1:] < _N - 1)
+            out[_RANDOM] += _pairs(value[:-1][inside], value[1:][inside])
+            own[:] = _N - 1
+    word = x < _N - 1
+    both = word[:-1] & word[1:]
+    out[_WORD] = _pairs(x[:-1][both], x[1:][both])
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], word.view(np.int8), [0]))))
+    first, last = edge[::2], edge[1::2] - 1
+    first, last = first[last > first], last[last > first]
+    out[_HEAD] = _pairs(x[first], x[first + 1])
+    out[_JOINT] = _pairs(x[last[:-1]], x[first[1:]])
+    return out
+
+
+def counted(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """:func:`transitions` of all texts together."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4 * _N * _N, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    total += transitions(t).ravel()
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(each, "cell long, n long")
+    out = np.zeros(4 * _N * _N, np.int64)
+    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most 4 numbers a pair of symbols
+        out[r.cell] = r.n
+    return out.reshape(4, _N, _N)
 
 
 def random_strings(n: int = 6000, seed: int = 11) -> list[str]:
@@ -116,17 +163,33 @@ def random_strings(n: int = 6000, seed: int = 11) -> list[str]:
     return ["".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(20, 64))) for i in range(n)]
 
 
-def trained(texts: Iterable[str], randoms: Iterable[str] | None = None) -> Chain:
-    """``texts``: samples of ordinary writing; what a base pattern matches is left out."""
-    ordinary = []
-    for t in texts:
-        for pattern in (ASSIGN, ACCESS, HEX):
-            t = pattern.sub(" ", t)
-        words = re.findall(r"[A-Za-z0-9+/_=-]{2,}", t)
-        # identifiers are words run together, in the usual manners
-        ordinary += words + ["".join(w.capitalize() for w in words[i : i + 3]) for i in range(0, len(words), 9)]
-        ordinary += ["_".join(w.lower() for w in words[i : i + 3]) for i in range(4, len(words), 9)] + ["-".join(words[i : i + 3]) for i in range(6, len(words), 9)]
-    return Chain(_transitions(randoms or random_strings()) - _transitions(ordinary))
+def _shown(n: np.ndarray) -> np.ndarray:
+    n = n + 0.2
+    return np.log(n / n.sum(axis=1, keepdims=True))
+
+
+def trained(counts: np.ndarray) -> Chain:
+    """The two models' ratio, from counts of :func:`transitions`. Of nine words three each also stand in CamelCase,
+    snake_case and kebab-case identifiers of three words."""
+    words, head, joint = (counts[k].astype(float) for k in (_WORD, _HEAD, _JOINT))
+    ordinary, parts, joints = words.copy(), np.zeros_like(words), joint * 2 / 9
+    camel = words - head
+    np.add.at(camel, (_UP[:, None], _LOW[None, :]), head)
+    np.add.at(parts, (_LOW[:, None], _LOW[None, :]), words)
+    ordinary += (camel + parts + words) / 3
+    np.add.at(ordinary, (np.arange(_N)[:, None], _UP[None, :]), joints)
+    for mark, names in (("_", _LOW), ("-", np.arange(_N))):
+        k = _SYMBOLS.index(mark)
+        np.add.at(ordinary, (names, k), joints.sum(axis=1))
+        np.add.at(ordinary, (k, names), joints.sum(axis=0))
+    # the generator's strings weigh no less than what the patterns found, whatever kinds of those there are
+    made, found = sum(transitions_of(s) for s in random_strings()), counts[_RANDOM].astype(float)
+    return Chain(_shown(made + found * min(1.0, made.sum() / max(found.sum(), 1.0))) - _shown(ordinary))
+
+
+def transitions_of(run: str) -> np.ndarray:
+    x = _CODE[np.frombuffer(run.encode("ascii"), np.uint8)]
+    return _pairs(x[:-1], x[1:])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -144,17 +207,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def spans(text: str, chain: Chain) -> list[tuple[int, int, int]]:
     """Base spans and the method's, by start and then kind. A run or stretch inside a base span adds nothing."""
     base = base_spans(text)
-    out = list(base)
+    out, seen, reach = list(base), 0, -1
+
+    def covered(a: int, b: int) -> bool:
+        """Asked for ascending starts: both lists are merged once."""
+        nonlocal seen, reach
+        while seen < len(base) and base[seen][0] <= a:
+            reach, seen = max(reach, base[seen][2]), seen + 1
+        return b <= reach
+
     for m in RUN.finditer(text):
         a, b = m.span()
-        if any(s <= a and b <= e for s, _, e in base):
+        if covered(a, b):
             continue
         total, steps = chain.score(m[0])
         if total >= TOTAL and total >= PER_STEP * steps:
             out.append((a, 3, b))
         else:
-            parts = ((a + x, a + y) for x, y in stretches(m[0], chain))
-            out += [(x, 3, y) for x, y in parts if not any(s <= x and y <= e for s, _, e in base)]
+            out += [(a + x, 3, a + y) for x, y in stretches(m[0], chain) if not covered(a + x, a + y)]
     return sorted(out)
 
 
@@ -172,10 +242,10 @@ def redacted(text: str, found: Iterable[tuple[int, int, int]], mark: str = "[{}]
     return "".join(out) + text[at:]
 
 
-def chain_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE_DOCS) -> Chain:
-    """The models, from the starts of at most ``sample`` texts, chosen by a hash of the id."""
-    rows = docs.select(F.col(id_col).alias("id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("t"))
-    return trained([r.t for r in sample_by_hash(rows, ["id"], sample)])
+def chain_of(docs: DataFrame, text_col: str = "text") -> Chain:
+    """The models, from all texts whole. Null and empty texts add nothing; an empty table leaves the ordinary
+    model even."""
+    return trained(counted(docs, text_col))
 
 
 def scanned(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
