@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces after Martello-Toth dominance reduction.
 
 Packing needs only how many pieces there are of each length: at most ``capacity`` numbers, however
-many documents. On that histogram the reduction fixes sequences that dominate any alternative
-(a long piece alone, or with the one piece that is at least as good as whatever could stand in its
+many documents. On that histogram the reduction examines every length and fixes sequences that dominate any alternative
+(a piece alone, or with the one piece that is at least as good as whatever could stand in its
 place); the rest is packed best-fit decreasing. Both work on whole runs of equal lengths at once,
 so the plan is a short list of patterns, each with a count. Pieces then find their place by their
 rank among the pieces of their length, which is counted in buckets, never in one task.
@@ -151,48 +151,45 @@ class _Stock:
 def reduced(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Sequences that some best packing contains, as (lengths, count), and what is left.
 
-    For the longest piece j: nothing fits beside it: {j} is fixed. Else let k be the longest piece
-    that fits. {j, k} is fixed if it fills the sequence, or if no two pieces fit beside j together,
-    or if k is at least as long as the longest two-piece filling and no three fit: k can
-    then be swapped for whatever stands beside j in any packing. Otherwise the longest piece is
-    passed over and the reduction stops there, as its alternatives are open.
+    Every length j is examined, the longest first, undecided ones again while others get fixed. Nothing fits beside a piece of
+    length j: {j} is fixed. Else let k be the longest piece that fits. {j, k} is fixed if it fills the
+    sequence, or if whatever else can stand beside j is no longer than k: k can then be swapped for
+    it in any packing. That is so if no two pieces fit beside j together, or if no three do and the
+    longest two that fit are no longer than k. Otherwise j's alternatives are open, and it is left.
     """
-    stock, fixed = _Stock(histogram), []
-    while stock.sizes:
-        j = stock.sizes[-1]
-        room = capacity - j
-        k = stock.largest(room, j)
-        if k is None:
-            n = stock.left[j] if stock.sizes[0] > room else 1
-            fixed.append(((j,), n))
-            stock.take(j, n)
-            continue
-        small = []
-        for size in stock.sizes[:4]:
-            small += [size] * min(3, stock.left[size] - (size == j))
-        small = sorted(small)[:3]
-        two = len(small) > 1 and small[0] + small[1] <= room
-        three = len(small) > 2 and sum(small) <= room
-        if k != room and two and (three or k < _best_pair(stock, room, j)):
-            break
-        n = stock.left[j] // 2 if j == k else min(stock.left[j], stock.left[k])
-        # while both last, each repetition meets the same sizes and so the same grounds
-        fixed.append(((j, k), n))
-        stock.take(j, n)
-        stock.take(k, n)
+    stock, fixed, again = _Stock(histogram), [], True
+    while again:
+        again = False
+        for j in sorted(stock.left, reverse=True):
+            while j in stock.left and (found := _dominating(stock, j, capacity - j)):
+                k, n = found
+                fixed.append(((j,) if k is None else (j, k), n))
+                stock.take(j, n)
+                if k is not None:
+                    stock.take(k, n)
+                again = True
     return fixed, dict(stock.left)
 
 
+def _dominating(stock: _Stock, j: int, room: int) -> tuple[int | None, int] | None:
+    """What dominates all else beside a piece of length j: (k or None, number of times), or None if that is open."""
+    k = stock.largest(room, j)
+    if k is None:
+        return None, stock.left[j] if j > room else 1
+    if k != room:
+        small = [s for s in stock.sizes[:4] for _ in range(min(3, stock.left[s] - (s == j)))][:3]
+        two, three = len(small) > 1 and sum(small[:2]) <= room, len(small) > 2 and sum(small) <= room
+        if two and (three or k < _best_pair(stock, room, j)):
+            return None
+    # while both last, each repetition meets the same sizes and so the same grounds
+    return k, stock.left[j] // 2 if j == k else min(stock.left[j], stock.left[k])
+
+
 def _best_pair(stock: _Stock, room: int, j: int) -> int:
-    """Longest sum of two pieces that fits in ``room``."""
-    best = 0
-    for a in stock.sizes:
-        if 2 * a > room:
-            break
-        b = stock.largest(room - a, j)
-        if b is not None and b >= a and (b != a or stock.left[a] - (a == j) > 1):
-            best = max(best, a + b)
-    return best
+    """Longest sum of two pieces that fits in ``room``, or more where that takes a piece twice: then less is fixed."""
+    sizes = np.array(stock.sizes)
+    small = sizes[: np.searchsorted(sizes, room - sizes[0], "right")]
+    return int((small + sizes[np.searchsorted(sizes, room - small, "right") - 1]).max()) if len(small) else 0
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
