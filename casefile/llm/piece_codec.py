@@ -1,18 +1,22 @@
-"""SentencePiece encoding and decoding in batched numpy.
+"""SentencePiece encoding and decoding by batched numpy Viterbi.
 
 Texts are cut into words (a run of space marks and what follows it); no piece crosses from other
 characters into a space mark, which is checked when a model is loaded. The different words of a
-batch are encoded together by length: words of equal length advance one step at a time as rows of
-a matrix, and substrings are looked up by probing the sorted hashes of the pieces.
-
-Unigram models: Viterbi; each step takes the vectorised maximum over the piece lengths and stores
-backpointers. BPE models have no additive score for Viterbi to maximise, so their step is the
-merge of each word's best pair: all rows lose one boundary a step and stay equally long.
+batch are encoded together by length: words of equal length advance one character at a time as rows
+of a matrix, substrings are looked up by probing the sorted hashes of the pieces, and each step takes
+the vectorised maximum over the piece lengths and stores backpointers.
+
+Unigram models: the maximum is that of the summed scores. BPE models have no additive score. But a
+sequence of pieces is what their merges make exactly if each two neighbours are, so every prefix
+of a word has one last piece that agrees with the piece before it: the maximum is taken over the
+pieces that agree. Two pieces agree if, while each is merged on its own, nothing at their border
+would be merged first; the pieces at the border at any time are the right ends of the left
+piece and the left ends of the right one, which a table made at loading lists with the scores
+that make and end them.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -32,8 +36,10 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _ODD = f"  |^ | $|{SPACE}"
 _P = np.uint64(0x9E3779B97F4A7C15)
-#: Characters of a word beyond which its pairs are kept in a heap rather than a matrix row.
+#: Characters of a word from which on it is encoded alone, its numbers in lists: as a row of a matrix it would be the only one.
 LONG_WORD = 256
+#: Slots of the cache of pairs of pieces that agree or not.
+_SLOTS = 1 << 20
 #: The types of pieces and models in a SentencePiece model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -92,6 +98,7 @@ class PieceModel:
             self.bytes_at[int(self.pieces[i][3:5], 16)] = i
         self.longest = max((len(self.pieces[i]) for i in ids), default=1)
         self.lowest = float(self.scores[ids].min()) if len(ids) else 0.0
+        self.merges = Merges(self) if self.kind == BPE else None
 
     @classmethod
     def load(cls, data: bytes) -> PieceModel:
@@ -146,88 +153,129 @@ def _between(h: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, pow
     return (h[row, hi] - h[row, lo] * power[n]) ^ (n.astype(np.uint64) << np.uint64(57))
 
 
-def _merged(chars: np.ndarray, m: PieceModel) -> list[np.ndarray]:
-    """BPE: the boundaries of each row's final symbols."""
-    w, n = chars.shape
-    h, power = _prefixes(chars), _powers(n)
-    rows, out = np.arange(w), [None] * w
-    edge = np.tile(np.arange(n + 1), (w, 1))
-
-    def pair(row, lo, hi):
-        found = m.find(_between(h, row, lo, hi, power))
-        return np.where(found >= 0, m.scores[found], -np.inf)
-
-    score = np.full((w, max(n - 1, 0)), -np.inf)
-    for k in range(n - 1):
-        score[:, k] = pair(rows, edge[:, k], edge[:, k + 2])
-    while True:
-        best = score.argmax(axis=1) if score.shape[1] else np.zeros(len(rows), int)
-        open_ = score[np.arange(len(rows)), best] > -np.inf if score.shape[1] else np.zeros(len(rows), bool)
-        for i in np.flatnonzero(~open_):
-            out[rows[i]] = edge[i]
-        rows, edge, score, best = rows[open_], edge[open_], score[open_], best[open_]
-        if not len(rows):
-            return out
-        at, left = np.arange(len(rows)), edge.shape[1] - 1
-        keep = np.ones(edge.shape, bool)
-        keep[at, best + 1] = False
-        edge = edge[keep].reshape(len(rows), left)
-        keep = np.ones(score.shape, bool)
-        keep[at, best] = False
-        score = score[keep].reshape(len(rows), left - 2)
-        # the merged symbol's pairs: with the one before it and the one after it
-        some = np.flatnonzero(best > 0)
-        k = best[some] - 1
-        score[some, k] = pair(rows[some], edge[some, k], edge[some, k + 2])
-        some = np.flatnonzero(best < left - 2)
-        k = best[some]
-        score[some, k] = pair(rows[some], edge[some, k], edge[some, k + 2])
-
-
-def _merged_long(chars: np.ndarray, m: PieceModel) -> np.ndarray:
-    """BPE of one long word, its pairs in a heap."""
-    n = chars.shape[1]
-    h, power, zero = _prefixes(chars), _powers(n), np.zeros(1, int)
-
-    def score(lo, hi):
-        found = m.find(_between(h, zero, np.array([lo]), np.array([hi]), power))[0]
-        return None if found < 0 else -float(m.scores[found])
-
-    after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    lo = np.arange(n - 1)
-    found = m.find(_between(h, np.zeros(n - 1, int), lo, lo + 2, power))
-    heap = [(-float(m.scores[f]), i, i + 2) for i, f in enumerate(found) if f >= 0]
-    heapq.heapify(heap)
-    alive = [True] * n
-    while heap:
-        _, i, end = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or j >= n or ends[j] != end or not alive[j]:
-            continue
-        ends[i], after[i], alive[j] = end, after[j], False
-        if after[i] < n:
-            before[after[i]] = i
-            if (s := score(i, ends[after[i]])) is not None:
-                heapq.heappush(heap, (s, i, ends[after[i]]))
-        if (p := before[i]) >= 0 and (s := score(p, end)) is not None:
-            heapq.heappush(heap, (s, p, end))
-    return np.array([i for i in range(n) if alive[i]] + [n])
+class Merges:
+    """Which pieces of a BPE model may stand side by side."""
+
+    def __init__(self, m: PieceModel):
+        self.m, n = m, len(m.pieces)
+        ids = [int(i) for i in np.flatnonzero(m.types == NORMAL)]
+        self.ids = {m.pieces[i]: i for i in ids}
+        if any(c not in self.ids for i in ids for c in m.pieces[i]):
+            raise ValueError("a piece holds a character that is no piece")
+        self.score = m.scores.astype(float)
+        self.born = [float("inf") if len(p) == 1 else s for p, s in zip(m.pieces, self.score.tolist(), strict=True)]
+        #: Of each piece the pieces at its ends while it is merged, itself first, each with the score of what ends it there.
+        self.rights: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        self.lefts: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for i in sorted(ids, key=lambda i: (len(m.pieces[i]) > 1, -self.score[i])):
+            p, ended = m.pieces[i], -float("inf")
+            if len(p) == 1:
+                self.rights[i], self.lefts[i] = [(i, ended)], [(i, ended)]
+                continue
+            made = float(self.score[i])
+            for cut in range(1, len(p)):
+                x, y = self.ids.get(p[:cut], -1), self.ids.get(p[cut:], -1)
+                if x >= 0 and y >= 0 and self.rights[x] and self.lefts[y] and self._agree(x, y, made):
+                    self.rights[i] = [(i, ended), (y, made), *self.rights[y][1:]]
+                    self.lefts[i] = [(i, ended), (x, made), *self.lefts[x][1:]]
+                    break  # else the merges never make this piece
+        self.made = np.array([bool(r) for r in self.rights])
+        deep = max(map(len, self.rights + self.lefts), default=1)
+        self.right, self.right_end = self._table(self.rights, deep)
+        self.left, self.left_end = self._table(self.lefts, deep)
+        self.births = np.array(self.born)
+        self.sizes = np.array([len(p) for p in m.pieces])
+        power = _powers(int(self.sizes.max(initial=1)))
+        self.power, self.hash = power[self.sizes], np.zeros(n, np.uint64)
+        for i in ids:
+            self.hash[i] = _prefixes(np.array([[ord(c) for c in m.pieces[i]]], np.uint64))[0, -1]
+        self.seen, self.answer = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
+        self.known: dict[tuple[int, int], bool] = {}
+
+    @staticmethod
+    def _table(ends: list[list[tuple[int, float]]], deep: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, score = np.full((len(ends), deep), -1), np.full((len(ends), deep), -np.inf)
+        for i, own in enumerate(ends):
+            for k, (x, end) in enumerate(own):
+                ids[i, k], score[i, k] = x, end
+        return ids, score
+
+    def _agree(self, a: int, b: int, made: float = -float("inf")) -> bool:
+        """Whether nothing at the border of a and b is merged before ``made`` ends them. Of equal scores the left goes first."""
+        for x, x_end in self.rights[a]:
+            x_end = max(x_end, made)
+            for y, y_end in self.lefts[b]:
+                y_end = max(y_end, made)
+                if self.born[y] > x_end and self.born[x] >= y_end:  # both are there at some time
+                    k = self.ids.get(self.m.pieces[x] + self.m.pieces[y])
+                    if k is not None and self.score[k] > x_end and self.score[k] >= y_end:
+                        return False
+        return True
+
+    def agree_one(self, a: int, b: int) -> bool:
+        if (found := self.known.get((a, b))) is None:
+            if len(self.known) >= _SLOTS:
+                self.known.clear()
+            found = self.known[a, b] = self._agree(a, b)
+        return found
+
+    def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`_agree` for arrays of pieces, through a cache."""
+        key = a.astype(np.int64) * len(self.sizes) + b
+        slot = ((key.astype(np.uint64) * _P) >> np.uint64(44)).astype(np.int64) & (_SLOTS - 1)
+        out, miss = self.answer[slot], np.flatnonzero(self.seen[slot] != key)
+        if len(miss):
+            new, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            own = miss[first]
+            found = ~self._clash(a[own], b[own])
+            self.seen[slot[own]], self.answer[slot[own]] = new, found
+            out[miss] = found[back]
+        return out
+
+    def _clash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for i in range(self.right.shape[1]):
+            left = np.flatnonzero((self.right[a, i] >= 0) & ~out)
+            for k in range(self.left.shape[1]):
+                left = left[(self.left[b[left], k] >= 0)]
+                if not len(left):
+                    break
+                x, y, x_end, y_end = self.right[a[left], i], self.left[b[left], k], self.right_end[a[left], i], self.left_end[b[left], k]
+                both = (self.births[y] > x_end) & (self.births[x] >= y_end)
+                at, x, y, x_end, y_end = left[both], x[both], y[both], x_end[both], y_end[both]
+                key = (self.hash[x] * self.power[y] + self.hash[y]) ^ ((self.sizes[x] + self.sizes[y]).astype(np.uint64) << np.uint64(57))
+                found = self.m.find(key)
+                score = np.where(found >= 0, self.score[found], -np.inf)
+                out[at[(score > x_end) & (score >= y_end) & (found >= 0)]] = True
+        return out
 
 
 def _viterbi(chars: np.ndarray, m: PieceModel) -> list[np.ndarray]:
-    """Unigram: the boundaries of each row's best segmentation; of equal ones that with the longest last piece."""
+    """The boundaries of each row's best segmentation; of equally good ones that with the longest last piece."""
     w, n = chars.shape
     h, power, rows = _prefixes(chars), _powers(n), np.arange(w)
     best, back = np.zeros((w, n + 1)), np.zeros((w, n + 1), np.int64)
+    last = np.full((w, n + 1), -1)  # BPE: the last piece, -1 for a character without one
     for j in range(1, n + 1):
         sizes = np.arange(min(m.longest, j), 0, -1)
-        options = np.empty((len(sizes), w))
+        options, ids = np.full((len(sizes), w), -np.inf), np.empty((len(sizes), w), np.int64)
         for k, size in enumerate(sizes):
-            found = m.find(_between(h, rows, np.full(w, j - size), np.full(w, j), power))
-            none = m.lowest - _UNKNOWN_PENALTY if size == 1 else -np.inf
-            options[k] = best[:, j - size] + np.where(found >= 0, m.scores[found], none)
+            ids[k] = m.find(_between(h, rows, np.full(w, j - size), np.full(w, j), power))
+        if m.merges:
+            ids = np.where((ids >= 0) & m.merges.made[ids], ids, -1)
+            k, row = np.nonzero(ids >= 0)
+            before = last[row, j - sizes[k]]
+            ok = before < 0  # nothing, or what merges with nothing
+            ok[~ok] = m.merges.agree(before[~ok], ids[k, row][~ok])
+            options[k[ok], row[ok]] = sizes[k[ok]]
+            options[-1, ids[-1] < 0] = 1
+        else:
+            none = np.where(sizes == 1, m.lowest - _UNKNOWN_PENALTY, -np.inf)[:, None]
+            options = best[:, j - sizes].T + np.where(ids >= 0, m.scores[ids], none)
         k = options.argmax(axis=0)
-        best[:, j], back[:, j] = options[k, rows], j - sizes[k]
+        best[:, j], back[:, j], last[:, j] = options[k, rows], j - sizes[k], ids[k, rows]
+    if m.merges and not np.isfinite(best[:, 1:]).all():
+        raise ValueError("no pieces of the model agree on a word")
     out = []
     for i in range(w):
         edge = [n]
@@ -237,6 +285,48 @@ def _viterbi(chars: np.ndarray, m: PieceModel) -> list[np.ndarray]:
     return out
 
 
+def _viterbi_long(word: str, m: PieceModel) -> np.ndarray:
+    """:func:`_viterbi` for one long word: the substrings are looked up in slices, the steps taken in lists."""
+    n, step = len(word), 1 << 15
+    chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    best, back, last = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    agree, scores = m.merges.agree_one if m.merges else None, m.scores.tolist()
+    for lo in range(0, n, step):
+        first, hi = max(0, lo - m.longest + 1), min(n, lo + step)
+        h, power = _prefixes(chars[None, first:hi]), _powers(hi - first)
+        ends = np.arange(lo + 1, hi + 1) - first
+        table = []
+        for size in range(min(m.longest, hi), 0, -1):
+            own = np.maximum(ends - size, 0)
+            found = m.find(_between(h, np.zeros(len(ends), int), own, ends, power))
+            if m.merges:
+                found = np.where(m.merges.made[found], found, -1)
+            table.append(np.where(ends - size + first < 0, -1, found))
+        at, k = np.nonzero(np.array(table).T >= 0)
+        pieces, sizes = np.array(table).T[at, k].tolist(), (min(m.longest, hi) - k).tolist()
+        cuts = np.searchsorted(at, np.arange(len(ends) + 1)).tolist()
+        for i in range(len(ends)):
+            j, top, where, which, single = lo + i + 1, -float("inf"), -1, -1, False
+            for c in range(cuts[i], cuts[i + 1]):
+                size, piece = sizes[c], pieces[c]
+                single |= size == 1
+                before = last[j - size]
+                value = best[j - size] + scores[piece] if agree is None else float(size) if before < 0 or agree(before, piece) else -1.0
+                if value > top:
+                    top, where, which = value, j - size, piece
+            if not single:
+                value = best[j - 1] + m.lowest - _UNKNOWN_PENALTY if agree is None else 1.0
+                if value > top:
+                    top, where, which = value, j - 1, -1
+            if agree is not None and top < 0:
+                raise ValueError("no pieces of the model agree on a word")
+            best[j], back[j], last[j] = top, where, which
+    edge = [n]
+    while edge[-1]:
+        edge.append(back[edge[-1]])
+    return np.array(edge[::-1])
+
+
 def _encoded(words: list[str], m: PieceModel) -> list[list[int]]:
     """Ids of each word (with its space marks), equal lengths together."""
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -246,10 +336,7 @@ def _encoded(words: list[str], m: PieceModel) -> list[list[int]]:
         for at in range(0, len(own), max(1, (1 << 20) // int(n))):
             part = own[at : at + max(1, (1 << 20) // int(n))]
             chars = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), n).astype(np.uint64)
-            if m.kind == UNIGRAM:
-                edges = _viterbi(chars, m)
-            else:
-                edges = [_merged_long(chars, m)] if n > LONG_WORD and len(part) == 1 else [_merged_long(c[None], m) for c in chars] if n > LONG_WORD else _merged(chars, m)
+            edges = [_viterbi_long(words[i], m) for i in part] if n > LONG_WORD else _viterbi(chars, m)
             counts = np.fromiter((len(e) - 1 for e in edges), np.int64, len(edges))
             row = np.repeat(np.arange(len(part)), counts)
             lo, hi = np.concatenate([e[:-1] for e in edges]), np.concatenate([e[1:] for e in edges])
@@ -329,7 +416,8 @@ def _model(path: str) -> PieceModel:
 def tokenized(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, ids, round_trip)`` for every row: the text's pieces, and whether decoding them
     gives the text again. A null or empty text has no pieces. Whole texts, in slices of a batch that
-    bound memory; the model file is a public one that every machine has at ``model_path``."""
+    bound memory; the model file is a public one that every machine has at ``model_path``. Ties go to the
+    longest last piece; repeated rows each keep a row; other columns are not read. Empty table: empty result."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model_path)
