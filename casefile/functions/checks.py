@@ -94,3 +94,23 @@ def problems(rules: Sequence[tuple[Column, str]]) -> Column:
 def vision_model(name: Column, prefixes: Sequence[str]) -> Column:
     base = F.lower(F.split_part(name, F.lit(":"), F.lit(1)))
     return F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.contains(base, p))
+
+
+#: Modes of analysis in which objects are not detected.
+MODES_WITHOUT_OBJECTS = ["documentos", "screenshots"]
+
+
+def detects_objects(mode: Column) -> Column:
+    return ~mode.isin(*MODES_WITHOUT_OBJECTS)
+
+
+def of_class(detections: Column, name: Column | str) -> Column:
+    """The detections, an array of structs, whose ``class_name`` is the name in any case."""
+    wanted = F.lower(name if isinstance(name, Column) else F.lit(name))
+    return F.filter(detections, lambda d: F.lower(d["class_name"]) == wanted)
+
+
+def of_classes(detections: Column, names: Sequence[str]) -> Column:
+    """The detections of the listed classes in any case; an empty list: all."""
+    low = [n.lower() for n in names]
+    return F.filter(detections, lambda d: F.lower(d["class_name"]).isin(*low)) if low else detections

@@ -11,10 +11,17 @@ from pyspark.sql.window import Window
 
 
 def observed(df: DataFrame, key: str, ts: str, seconds: int, name: str) -> DataFrame:
-    """Calls of the key in the ``seconds`` up to each, the far end exclusive. Microsecond clock."""
+    """Calls of the key in the ``seconds`` up to each, the far end exclusive. Microsecond clock.
+
+    A key's history is cut into stretches of that length: a call is counted in its own and lent to the next, so
+    a busy key is many groups. Null times count nothing."""
+    span = seconds * 1_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    own = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn(name, F.count("*").over(own))
+    rows = df.withColumn("_at", at).withColumn("_own", F.floor(F.col("_at") / span).cast("long"))
+    lent = rows.withColumn("_in", F.explode(F.when(F.col("_at").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array("_own", F.col("_own") + 1))))
+    own = Window.partitionBy(key, "_in").orderBy("_at").rangeBetween(-span + 1, 0)
+    counted = lent.withColumn(name, F.count("_at").over(own)).filter(F.col("_in").eqNullSafe(F.col("_own")))
+    return counted.select(*df.columns, name)
 
 
 def admitted_flags(times: list[float], per_minute: int, per_hour: int, interval: float) -> list[bool]:
@@ -35,12 +42,23 @@ def admitted_flags(times: list[float], per_minute: int, per_hour: int, interval:
 
 def admission(df: DataFrame, key: str, ts: str, order: str, per_minute: int, per_hour: int, interval: float) -> DataFrame:
     """``(key, order, admitted)``. Admission depends on earlier ones, so each key is walked in order of
-    time; a key's walk is inherently serial, and holds only its times."""
+    time. After an hour without a call nothing counts against the next, so a key's history is cut there, and the
+    pieces are walked apart; a piece's walk is inherently serial, and holds only its times."""
     rows = df.select(F.col(key).alias("key"), F.col(order).alias("order"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
+    # quiet hours are found among ten-minute slots, of which a key has few, not among its calls
+    slot = F.floor(F.col("t") / 600).cast("long").alias("slot")
+    slots = rows.groupBy("key", slot).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    own = Window.partitionBy("key").orderBy("slot")
+    starts = F.coalesce((F.col("first") - F.lag("last").over(own) >= 3600).cast("int"), F.lit(1))
+    # pieces that begin within the same thousands of slots are walked in one call
+    numbered = slots.withColumn("starts", starts).withColumn("n", F.row_number().over(own))
+    begun = F.max(F.when(F.col("starts") == 1, F.col("n"))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    pieces = numbered.select("key", "slot", F.floor(begun / 4096).alias("piece"))
+    rows = rows.select("*", slot).join(pieces, ["key", "slot"]).select("key", "piece", "order", "t")
 
     def walk(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["t", "order"])
         return own[["key", "order"]].assign(admitted=admitted_flags(own["t"].tolist(), per_minute, per_hour, interval))
 
     kind = rows.schema["key"].dataType.simpleString(), rows.schema["order"].dataType.simpleString()
-    return rows.groupBy("key").applyInPandas(walk, f"key {kind[0]}, order {kind[1]}, admitted boolean".replace("order ", "`order` ")).withColumnsRenamed({"key": key, "order": order})
+    return rows.groupBy("key", "piece").applyInPandas(walk, f"key {kind[0]}, order {kind[1]}, admitted boolean".replace("order ", "`order` ")).withColumnsRenamed({"key": key, "order": order})

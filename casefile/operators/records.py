@@ -137,3 +137,30 @@ def markdown_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     glue = F.transform(F.col("rows"), lambda r: r["body"])
     content = F.when(F.col("kind") == "paragraph", F.array_join(glue, " ")).otherwise(F.array_join(glue, "\n"))
     return joined.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("island")) - 1).alias("block"), "kind", content.alias("content"))
+
+
+def by_category(templates: DataFrame, category: str) -> DataFrame:
+    return templates.filter(F.col("category") == category)
+
+
+def categories(templates: DataFrame) -> DataFrame:
+    return templates.select("category").distinct().orderBy("category")
+
+
+def installed(wanted: DataFrame, models: DataFrame, name: str = "model") -> DataFrame:
+    """``wanted`` with ``installed``: a model of that name is there, or one with that base, the part before ``:``."""
+    base = F.split_part(F.col(name), F.lit(":"), F.lit(1))
+    there = models.select(F.explode(F.array(F.col(name), base)).alias("_k")).distinct().withColumn("_there", F.lit(True))
+    keyed = wanted.withColumn("_k", F.when(F.contains(F.col(name), F.lit(":")), F.col(name)).otherwise(base))
+    return keyed.join(there, "_k", "left").withColumn("installed", F.coalesce("_there", F.lit(False))).drop("_k", "_there")
+
+
+def model_choices(api: DataFrame, tier: DataFrame, vision: DataFrame, custom: DataFrame) -> DataFrame:
+    """All that can be chosen, ``source`` saying from where; a model may occur several times."""
+    sources = {"api": api, "tier": tier, "vision": vision, "custom": custom}
+    parts = [df.select("model", F.lit(s).alias("source")) for s, df in sources.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).filter("model <> ''")
+
+
+def newest_first(reports: DataFrame, stamp: str = "mtime", name: str = "path") -> DataFrame:
+    return reports.orderBy(F.desc(stamp), name)

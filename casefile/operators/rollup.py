@@ -92,3 +92,17 @@ def severity_counts(anomalies: Column) -> Column:
 def consolidated_names(df: DataFrame, image: str, model: str) -> DataFrame:
     """Distinct images, and the sorted names of the models (a small set) in one string."""
     return df.agg(F.count_distinct(image).alias("images"), F.array_join(F.array_sort(F.collect_set(model)), ", ").alias("models"))
+
+
+def duplicate_counts(pairs: DataFrame, same: str = "same_md5") -> DataFrame:
+    """Exact pairs, and near ones."""
+    return pairs.agg(F.count_if(same).alias("exact"), F.count_if(~F.col(same)).alias("near"))
+
+
+def cache_hits(df: DataFrame, hit: str = "cache_hit") -> DataFrame:
+    return df.agg(F.count_if(hit).alias("hits"), F.count("*").alias("total"))
+
+
+def map_total(counts: Column) -> Column:
+    """Sum of a map's values; null or empty: 0."""
+    return F.aggregate(F.coalesce(F.map_values(counts), F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))

@@ -119,13 +119,18 @@ def nearest(docs: DataFrame, query: list[float], id_col: str, vector_col: str, k
     return docs.select(F.col(id_col).alias("id"), squared_distance(F.col(vector_col), q).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def nearest_batch(docs: DataFrame, queries: DataFrame, id_col: str, vector_col: str, query_id: str, query_vector: str, k: int = 5) -> DataFrame:
-    """The ``k`` nearest rows of each query, ``rank`` from 1. ``queries`` is a stated set: each task
-    of ``docs`` meets all of them, and keeps k rows a query before the shuffle."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
-    met = docs.select(F.col(id_col).alias("id"), F.col(vector_col).alias("dv"), F.spark_partition_id().alias("part")).join(F.broadcast(q), F.lit(True))
-    scored = met.select("query_id", "id", "part", squared_distance(F.col("dv"), F.col("qv")).alias("distance"))
-    order = [F.asc("distance"), F.asc("id")]
-    local = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("r") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+def nearest_batch(docs: DataFrame, queries: DataFrame, id_col: str, vector_col: str, query_id: str, query_vector: str, k: int = 5, block: int = 4096) -> DataFrame:
+    """The ``k`` nearest rows of each query, ``rank`` from 1. ``queries`` is a stated set, taken in blocks of about
+    ``block``: only a block is broadcast at a time, each task of ``docs`` meets all of it, and keeps k rows a query
+    before the shuffle."""
+    blocks, out = max(1, -(-queries.count() // block)), None
+    for n in range(blocks):
+        q = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == n).select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
+        met = docs.select(F.col(id_col).alias("id"), F.col(vector_col).alias("dv"), F.spark_partition_id().alias("part")).join(F.broadcast(q), F.lit(True))
+        scored = met.select("query_id", "id", "part", squared_distance(F.col("dv"), F.col("qv")).alias("distance"))
+        order = [F.asc("distance"), F.asc("id")]
+        local = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("r") <= k)
+        ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+        found = ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+        out = found if out is None else out.unionByName(found)
+    return out

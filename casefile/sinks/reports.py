@@ -38,10 +38,10 @@ def html(title: Column, sections: dict[str, Column], color: str = "#1f2937", ima
     return F.concat(*parts, F.lit("</body></html>"))
 
 
-def export(df: DataFrame, folder: str, name_col: str, texts: dict[str, str]) -> dict[str, str]:
-    """Write one text file tree per format, from the column named for it. Unknown formats are skipped;
-    a format that fails does not stop the others. Returns format to path."""
-    done = {}
+def export(df: DataFrame, folder: str, name_col: str, texts: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """Write one text file tree per format, from the column named for it. Unknown formats are skipped; a format that
+    fails does not stop the others. Returns format to path of those written, and format to error of those that failed."""
+    done, failed = {}, {}
     for form, col in texts.items():
         if form not in (MARKDOWN, JSON, HTML):
             continue
@@ -50,9 +50,9 @@ def export(df: DataFrame, folder: str, name_col: str, texts: dict[str, str]) ->
             out = df.select(sanitized_filename(F.col(name_col)).alias("name"), F.col(col).alias("value"))
             out.write.mode("overwrite").partitionBy("name").text(path)
             done[form] = path
-        except Exception:  # reported by its absence
-            continue
-    return done
+        except Exception as error:
+            failed[form] = str(error)
+    return done, failed
 
 
 def consolidated(df: DataFrame, group: str, order: str, text: str, most: int = 3000) -> DataFrame:

@@ -6,21 +6,32 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casefile.functions.text import map_link
+
 #: Names of the tags of interest, by number.
 TAGS = {
     0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0112: "Orientation", 0x011A: "XResolution", 0x011B: "YResolution", 0x0128: "ResolutionUnit", 0x0131: "Software",
     0x0132: "DateTime", 0x013B: "Artist", 0x8298: "Copyright", 0x829A: "ExposureTime", 0x829D: "FNumber", 0x8822: "ExposureProgram", 0x8827: "ISOSpeedRatings", 0x9003: "DateTimeOriginal",
-    0x9004: "DateTimeDigitized", 0x9207: "MeteringMode", 0x9209: "Flash", 0x920A: "FocalLength", 0xA002: "ExifImageWidth", 0xA003: "ExifImageHeight", 0xA405: "FocalLengthIn35mmFilm", 0xA434: "LensModel",
+    0x9004: "DateTimeDigitized", 0x9207: "MeteringMode", 0x9209: "Flash", 0x920A: "FocalLength", 0xA002: "ExifImageWidth", 0xA003: "ExifImageHeight", 0xA405: "FocalLengthIn35mmFilm", 0xA434: "LensModel", 0xA432: "LensSpecification",
+    0x013C: "HostComputer", 0x9286: "UserComment", 0xA001: "ColorSpace", 0xA402: "ExposureMode", 0xA403: "WhiteBalance", 0xA404: "DigitalZoomRatio", 0xA406: "SceneCaptureType",
 }
-GPS_TAGS = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 5: "GPSAltitudeRef", 6: "GPSAltitude", 29: "GPSDateStamp"}
+GPS_TAGS = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 5: "GPSAltitudeRef", 6: "GPSAltitude", 7: "GPSTimeStamp", 29: "GPSDateStamp"}
 _SUB, _GPS = 0x8769, 0x8825
 #: Bytes of each field type of the format.
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
+#: Names of the tags that a quality report shows.
+QUALITY_TAGS = [
+    "Make", "Model", "DateTime", "DateTimeOriginal", "DateTimeDigitized", "ExposureTime", "FNumber", "ISOSpeedRatings", "FocalLength", "FocalLengthIn35mmFilm", "Software", "LensModel", "LensSpecification",
+    "WhiteBalance", "Flash", "ExposureMode", "ExposureProgram", "SceneCaptureType", "Orientation", "ResolutionUnit", "XResolution", "YResolution", "ColorSpace", "DigitalZoomRatio", "GPSAltitude", "GPSAltitudeRef",
+    "GPSTimeStamp", "GPSDateStamp", "UserComment", "HostComputer", "Artist", "Copyright",
+]
+
+
 def _entries(data: bytes, order: str, at: int) -> Iterator[tuple[int, object]]:
     if at + 2 > len(data):
         return
@@ -78,9 +89,21 @@ def parse_exif(jpeg: bytes) -> dict[str, str]:
     return out
 
 
-def exif_tags(files: DataFrame, content: str = "content", head_bytes: int = 1 << 17) -> DataFrame:
-    """``files`` with ``exif``: a map of tags. Only the head of each file, where EXIF stands, goes to Python."""
-    rows = files.withColumn("_head", F.substring(content, 1, head_bytes)).drop(content)
+def quality_tags(tags: Column) -> Column:
+    """The tags a quality report shows; with both coordinates also ``GPS_Coordinates`` and links to two maps."""
+    lat, lon = (F.try_element_at(tags, F.lit(k)).try_cast("double") for k in ("GPS_Lat", "GPS_Lon"))
+    place = F.format_string("%.6f", lat), F.format_string("%.6f", lon)
+    links = F.map_from_arrays(
+        F.array(*map(F.lit, ("GPS_Coordinates", "GPS_Lat", "GPS_Lon", "Google_Maps", "OpenStreetMap"))),
+        F.array(F.concat_ws(", ", *place), *place, F.concat(F.lit("https://www.google.com/maps?q="), F.concat_ws(",", *place)), map_link(lat, lon)),
+    )
+    shown = F.map_filter(tags, lambda k, _: k.isin(*QUALITY_TAGS))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.map_concat(shown, links)).otherwise(shown)
+
+
+def exif_tags(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with ``exif``: a map of tags, from whole files: tags may stand behind other large segments."""
+    rows = files.withColumn("_head", F.col(content)).drop(content)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_head") + ", exif map<string,string>"
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,9 +27,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def image_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = IMAGE_SUFFIXES, content: bool = False) -> DataFrame:
+def image_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = IMAGE_SUFFIXES, content: bool = False, ordered: bool = False) -> DataFrame:
     """``(path, modificationTime, length, name, suffix)`` of images below a folder; contents are read only
-    on request. A missing folder: empty."""
+    on request, an order by path is made only on request. A missing folder: empty."""
     schema = "path string, modificationTime timestamp, length long" + (", content binary" if content else "")
     if not _exists(spark, folder):
         found = spark.createDataFrame([], schema)
@@ -37,7 +37,16 @@ def image_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = IMAG
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
         found = found if content else found.drop("content")
     named = found.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).withColumn("name", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1))
-    return named.filter(F.col("suffix").isin(*suffixes))
+    named = named.filter(F.col("suffix").isin(*suffixes))
+    return named.orderBy("path") if ordered else named
+
+
+def landed(spark: SparkSession, folder: str, files_a_trigger: int = 1000) -> DataFrame:
+    """A stream of the files that arrive in a folder, each once: ``(path, modificationTime, length, content, name)``.
+    A name that has come before is not taken again, as Spark's file source remembers paths."""
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    found = found.option("maxFilesPerTrigger", files_a_trigger).load(folder)
+    return found.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
 
 
 def decoded_images(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from casefile.plans import catalog
+from casefile.plans import catalog, catalog_media  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

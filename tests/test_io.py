@@ -58,7 +58,7 @@ def test_image_kernels(spark, folder):
     regions = sorted((round(r.cx), round(r.cy), r.area) for r in by["shadow"].regions)
     assert regions == [(40, 34, 1200), (174, 94, 1500)]
     verdicts = {r.name: r.v for r in rows.select("name", images.hidden_data_verdict(F.col("bits")).alias("v")).collect()}
-    assert verdicts["noise"] == "suspeito" and verdicts["flat"] == "sem_indicios"
+    assert verdicts["noise"] == "suspeito" and verdicts["flat"] == "nenhum"
     blocks = rows.select(F.col("name").alias("image_id"), F.explode("blocks").alias("b")).select("image_id", "b.*")
     pairs = similarity.copied_blocks(blocks).groupBy("image").count().collect()
     n = {r.image: r["count"] for r in pairs}
@@ -144,8 +144,8 @@ def test_reports(spark, tmp_path):
     rows = {r.name: r for r in df.collect()}
     assert rows["a<b>"].m == "# a<b>\n\n## One\n\nx & y\n\n## Two\n\nNão disponível.\n"
     assert "x &amp; y" in rows["a<b>"].h and "&lt;z&gt;" in rows["c"].h and "base64,cA==" in rows["c"].h
-    done = reports.export(df, str(tmp_path / "out"), "name", {"md": "m", "html": "h", "pdf": "m", "json": "missing"})
-    assert set(done) == {"md", "html"}
+    done, failed = reports.export(df, str(tmp_path / "out"), "name", {"md": "m", "html": "h", "pdf": "m", "json": "missing"})
+    assert set(done) == {"md", "html"} and set(failed) == {"json"}
     assert spark.read.text(done["md"]).filter("name = 'c'").first()[0] == "# c"
     t = spark.range(1).select(reports.telemetry_table(F.array(F.struct(F.lit("ocr").alias("stage"), F.lit("cached").alias("status"), F.lit(0.42).alias("duration_ms"), F.lit("a|b").alias("detail")))).alias("t")).first().t
     assert t.split("\n")[-1] == "| ocr | cached | 0.42 | a/b |"
