@@ -7,7 +7,7 @@ characters around a key do not hide it. Pattern spans always stay.
 
 Both models learn from labelled strings of all texts, which the base patterns label: what they match is
 random, with strings of a seeded generator; words outside their spans are ordinary, and so are the
-identifiers that words make in the usual manners (CamelCase, snake_case, kebab-case). Tasks count
+identifiers that words make in the usual manners (CamelCase, snake_case, kebab-case, path/names). Tasks count
 transitions; the driver gets one number for each pair of symbols and class.
 """
 
@@ -88,7 +88,7 @@ def stretches(run: str, chain: Chain) -> list[tuple[int, int]]:
     r, out, todo = chain.steps(run), [], [(0, len(run))]
     while todo:
         lo, hi = todo.pop()
-        found = _stretch(r[lo : hi - 1])
+        found = _stretch(r[lo : hi - 1]) if hi - lo > LEAST_STEPS else None
         if found:
             a, b = lo + found[0], lo + found[1] + 1
             while a > lo and run[a - 1] not in _SEPARATORS:
@@ -170,15 +170,15 @@ def _shown(n: np.ndarray) -> np.ndarray:
 
 def trained(counts: np.ndarray) -> Chain:
     """The two models' ratio, from counts of :func:`transitions`. Of nine words three each also stand in CamelCase,
-    snake_case and kebab-case identifiers of three words."""
+    snake_case and kebab-case identifiers and in paths, of three words each."""
     words, head, joint = (counts[k].astype(float) for k in (_WORD, _HEAD, _JOINT))
     ordinary, parts, joints = words.copy(), np.zeros_like(words), joint * 2 / 9
     camel = words - head
     np.add.at(camel, (_UP[:, None], _LOW[None, :]), head)
     np.add.at(parts, (_LOW[:, None], _LOW[None, :]), words)
-    ordinary += (camel + parts + words) / 3
+    ordinary += (camel + parts + 2 * words) / 3
     np.add.at(ordinary, (np.arange(_N)[:, None], _UP[None, :]), joints)
-    for mark, names in (("_", _LOW), ("-", np.arange(_N))):
+    for mark, names in (("_", _LOW), ("-", np.arange(_N)), ("/", np.arange(_N))):
         k = _SYMBOLS.index(mark)
         np.add.at(ordinary, (names, k), joints.sum(axis=1))
         np.add.at(ordinary, (k, names), joints.sum(axis=0))
