@@ -40,6 +40,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 LONG_WORD = 256
 #: Slots of the cache of pairs of pieces that agree or not.
 _SLOTS = 1 << 20
+#: Places of the table of marks, one for each end of a piece's hash.
+_MARKS = 1 << 20
 #: The types of pieces and models in a SentencePiece model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -91,6 +93,8 @@ class PieceModel:
         keys = np.array([_hash(self.pieces[i]) for i in ids], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], ids[order]
+        self.marked = np.zeros(_MARKS, bool)
+        self.marked[keys & np.uint64(_MARKS - 1)] = True
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
         self.bytes_at = np.full(256, self.unknown)
@@ -124,9 +128,13 @@ class PieceModel:
         return cls(pieces, np.array(scores), np.array(types), **options)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece of each hash, -1 if none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.key_ids[at], -1)
+        """Piece of each hash, -1 if none. Most hashes without a piece fail at a table of marks, unsearched."""
+        out, some = np.full(len(keys), -1), np.flatnonzero(self.marked[keys & np.uint64(_MARKS - 1)])
+        if len(self.keys):
+            own = keys[some]
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            out[some] = np.where(self.keys[at] == own, self.key_ids[at], -1)
+        return out
 
 
 def _hash(piece: str) -> np.uint64:
@@ -250,43 +258,45 @@ class Merges:
         return out
 
 
-def _viterbi(chars: np.ndarray, m: PieceModel) -> list[np.ndarray]:
-    """The boundaries of each row's best segmentation; of equally good ones that with the longest last piece."""
+def _viterbi(chars: np.ndarray, m: PieceModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best segmentation of each row, of equally good ones that with the longest last piece: the number of its
+    pieces, then row by row their ends and ids (-1 for a character without a piece)."""
     w, n = chars.shape
     h, power, rows = _prefixes(chars), _powers(n), np.arange(w)
-    best, back = np.zeros((w, n + 1)), np.zeros((w, n + 1), np.int64)
-    last = np.full((w, n + 1), -1)  # BPE: the last piece, -1 for a character without one
+    best, back, last = np.zeros((n + 1, w)), np.zeros((n + 1, w), np.int64), np.full((n + 1, w), -1)
+    h = np.ascontiguousarray(h.T)
     for j in range(1, n + 1):
         sizes = np.arange(min(m.longest, j), 0, -1)
-        options, ids = np.full((len(sizes), w), -np.inf), np.empty((len(sizes), w), np.int64)
-        for k, size in enumerate(sizes):
-            ids[k] = m.find(_between(h, rows, np.full(w, j - size), np.full(w, j), power))
+        lengths = sizes.astype(np.uint64)[:, None]
+        ids = m.find(((h[j] - h[j - sizes] * power[sizes][:, None]) ^ (lengths << np.uint64(57))).ravel()).reshape(len(sizes), w)
         if m.merges:
-            ids = np.where((ids >= 0) & m.merges.made[ids], ids, -1)
             k, row = np.nonzero(ids >= 0)
-            before = last[row, j - sizes[k]]
-            ok = before < 0  # nothing, or what merges with nothing
-            ok[~ok] = m.merges.agree(before[~ok], ids[k, row][~ok])
+            found, before = ids[k, row], last[j - sizes[k], row]
+            ok = m.merges.made[found]
+            inner = np.flatnonzero(ok & (before >= 0))  # before others stands nothing, or what merges with nothing
+            ok[inner] = m.merges.agree(before[inner], found[inner])
+            options = np.full((len(sizes), w), -np.inf)
             options[k[ok], row[ok]] = sizes[k[ok]]
             options[-1, ids[-1] < 0] = 1
         else:
             none = np.where(sizes == 1, m.lowest - _UNKNOWN_PENALTY, -np.inf)[:, None]
-            options = best[:, j - sizes].T + np.where(ids >= 0, m.scores[ids], none)
+            options = best[j - sizes] + np.where(ids >= 0, m.scores[ids], none)
         k = options.argmax(axis=0)
-        best[:, j], back[:, j], last[:, j] = options[k, rows], j - sizes[k], ids[k, rows]
-    if m.merges and not np.isfinite(best[:, 1:]).all():
+        best[j], back[j], last[j] = options[k, rows], j - sizes[k], ids[k, rows]
+    if m.merges and not np.isfinite(best[1:]).all():
         raise ValueError("no pieces of the model agree on a word")
-    out = []
-    for i in range(w):
-        edge = [n]
-        while edge[-1]:
-            edge.append(back[i, edge[-1]])
-        out.append(np.array(edge[::-1]))
-    return out
-
-
-def _viterbi_long(word: str, m: PieceModel) -> np.ndarray:
-    """:func:`_viterbi` for one long word: the substrings are looked up in slices, the steps taken in lists."""
+    ends, ids, at = [], [], np.full(w, n)
+    while at.any():  # all rows go back together; those at their start wait
+        ends.append(at)
+        ids.append(np.where(at > 0, last[at, rows], -2))
+        at = np.where(at > 0, back[at, rows], 0)
+    ends, ids = np.array(ends[::-1]).T, np.array(ids[::-1]).T
+    own = ids > -2
+    return own.sum(axis=1), ends[own], ids[own]
+
+
+def _viterbi_long(word: str, m: PieceModel) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, ids) of one long word, as :func:`_viterbi`: substrings are looked up in slices, steps taken in lists."""
     n, step = len(word), 1 << 15
     chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     best, back, last = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
@@ -321,10 +331,10 @@ def _viterbi_long(word: str, m: PieceModel) -> np.ndarray:
             if agree is not None and top < 0:
                 raise ValueError("no pieces of the model agree on a word")
             best[j], back[j], last[j] = top, where, which
-    edge = [n]
-    while edge[-1]:
-        edge.append(back[edge[-1]])
-    return np.array(edge[::-1])
+    ends = [n]
+    while back[ends[-1]]:
+        ends.append(back[ends[-1]])
+    return np.array(ends[::-1]), np.array([last[e] for e in ends[::-1]])
 
 
 def _encoded(words: list[str], m: PieceModel) -> list[list[int]]:
@@ -336,21 +346,22 @@ def _encoded(words: list[str], m: PieceModel) -> list[list[int]]:
         for at in range(0, len(own), max(1, (1 << 20) // int(n))):
             part = own[at : at + max(1, (1 << 20) // int(n))]
             chars = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), n).astype(np.uint64)
-            edges = [_viterbi_long(words[i], m) for i in part] if n > LONG_WORD else _viterbi(chars, m)
-            counts = np.fromiter((len(e) - 1 for e in edges), np.int64, len(edges))
-            row = np.repeat(np.arange(len(part)), counts)
-            lo, hi = np.concatenate([e[:-1] for e in edges]), np.concatenate([e[1:] for e in edges])
-            ids = m.find(_between(_prefixes(chars), row, lo, hi, _powers(int(n)))).tolist()
-            ends = np.cumsum(counts).tolist()
-            for k, (i, end) in enumerate(zip(part.tolist(), ends, strict=True)):
-                own_ids = ids[end - int(counts[k]) : end]
-                if -1 in own_ids:
-                    own_ids = _fallback(own_ids, words[i], edges[k], m)
-                out[i] = own_ids
+            if n > LONG_WORD:
+                found = [_viterbi_long(words[i], m) for i in part]
+                counts, ends, ids = np.array([len(e) for e, _ in found]), np.concatenate([e for e, _ in found]), np.concatenate([x for _, x in found])
+            else:
+                counts, ends, ids = _viterbi(chars, m)
+            stops, listed = np.cumsum(counts), ids.tolist()
+            odd = {int(k) for k in np.searchsorted(stops, np.flatnonzero(ids < 0), "right")}
+            before = 0
+            for k, (i, stop) in enumerate(zip(part.tolist(), stops.tolist(), strict=True)):
+                own_ids = listed[before:stop]
+                out[i] = _fallback(own_ids, words[i], [0, *ends[before:stop].tolist()], m) if k in odd else own_ids
+                before = stop
     return out
 
 
-def _fallback(ids: list[int], word: str, edge: np.ndarray, m: PieceModel) -> list[int]:
+def _fallback(ids: list[int], word: str, edge: list[int], m: PieceModel) -> list[int]:
     """Characters without a piece, as byte pieces, or runs of them as one unknown."""
     out, was = [], False
     for piece, lo, hi in zip(ids, edge, edge[1:], strict=False):
