@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casefile.llm.store import written
+from casefile.llm.store import dropped, written
 
-#: A shard's rows are numbered by bucket: the first hexadecimal digits of the key's MD5.
-BUCKET_DIGITS = 3
+#: A shard's rows are numbered by bucket, the first hexadecimal digits of the key's MD5, and in ranges of about so many rows.
+BUCKET_DIGITS, RANGE_ROWS = 3, 1_000_000
 
 
 def bid(key: Column, shard: int, weight: float = 1.0) -> Column:
@@ -39,9 +39,11 @@ def sharded(docs: DataFrame, shards: int = 24, key_col: str = "doc_id", text_col
     """One row per row of ``docs``: ``id, size, text_crc32, shard, slot, grown_shard``.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 8. ``slot`` numbers a shard's rows from 0
-    without gaps, by hash bucket, id, checksum and size: buckets are counted first, so no task holds a whole shard.
+    without gaps, by hash bucket, id, checksum and size, equal rows in any order: rows are dealt out in ranges of
+    that order, which split equal keys and equal rows too, so no task holds a whole shard or key.
     ``grown_shard`` is the shard if one of weight 1 were added. Repeated rows share a shard and get
-    slots of their own. Texts are read once and never shuffled.
+    slots of their own; null keys share a shard. Texts of any length are read once and never shuffled. Other
+    columns are not read. Empty table: empty result.
     """
     weights = list(weights or [1.0] * shards)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -53,11 +55,14 @@ def sharded(docs: DataFrame, shards: int = 24, key_col: str = "doc_id", text_col
         shard_of(F.col(key_col), [*weights, 1.0]).alias("grown_shard"),
         F.substring(F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary")), 1, BUCKET_DIGITS).alias("b"),
     )
-    rows = written(rows, "shards")
-    before = Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("shard", "b").agg(F.count("*").alias("n")).select("shard", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("shard", "b").orderBy("id", "text_crc32", "size")
-    placed = rows.withColumn("r", F.row_number().over(own) - 1).join(bases, ["shard", "b"])
+    rows = written(rows.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())), "shards")
+    order = ["b", "id", "text_crc32", "size", "tie"]
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    dealt = written(rows.repartitionByRange(ranges, "shard", *order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("shard", "range").agg(F.count("*").alias("n")).select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = dealt.withColumn("r", F.row_number().over(Window.partitionBy("shard", "range").orderBy(*order)) - 1).join(bases, ["shard", "range"])
+    dropped(rows)
     return placed.select("id", "size", "text_crc32", "shard", (F.col("base") + F.col("r")).alias("slot"), "grown_shard")
 
 
