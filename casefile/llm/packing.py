@@ -248,11 +248,11 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``found`` (from :func:`pieces`) with ``sequence_id`` and ``offset``.
 
     The plan is broadcast: its rows are bounded by the number of different lengths, not by the
-    pieces. Ranks: rows of a length are counted by bucket of their hash, so that a length that a
-    third of all pieces share is still spread over many groups.
+    pieces. Ranks: rows of a length are counted by bucket of their hash and of the task they come from, so that a
+    length that a third of all pieces share, or repeated rows, are still spread over many groups.
     """
     spark = found.sparkSession
-    rows = written(found.withColumn("b", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS))), "pieces")
+    rows = written(found.withColumn("b", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(RANK_BUCKETS))), "pieces")
     counted = written(rows.groupBy("length", "b").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.createDataFrame(packing_plan(histogram, capacity), "length long, lo long, hi long, sequence long, offset long")
