@@ -19,13 +19,14 @@ ENTITY_PATTERNS = {
 # Weights of the two check digits of a CNPJ.
 CNPJ_WEIGHTS = ([5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2], [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])
 
-# Timestamp patterns of a text, and of a surveillance recorder's overlay.
+# Timestamp patterns of a text.
 TIMESTAMP_PATTERNS = [
     r"\b\d{4}[-/]\d{2}[-/]\d{2}[\sT]\d{2}:\d{2}(?::\d{2})?\b",
     r"\b\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}(?::\d{2})?\b",
     r"\b\d{2}:\d{2}(?::\d{2})?\b",
     r"\b[A-Z][a-z]{2}\s+\d{1,2},?\s+\d{4}\b",
 ]
+# Timestamp patterns of a surveillance recorder's overlay.
 RECORDER_PATTERNS = [
     r"\b\d{4}[-/]\d{2}[-/]\d{2}\s+\d{2}:\d{2}:\d{2}\b",
     r"\b\d{2}[-/]\d{2}[-/]\d{4}\s+\d{2}:\d{2}:\d{2}\b",
@@ -33,9 +34,10 @@ RECORDER_PATTERNS = [
 ]
 # Formats that a timestamp is parsed with.
 TIMESTAMP_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm"]
+# Formats of EXIF times.
 EXIF_TIME_FORMATS = ["yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy:MM:dd HH:mm"]
 
-# Keywords of document types, threats and context tags, in order of precedence.
+# Keywords of document types, in order of precedence.
 DOCUMENT_TYPES = {
     "rg": ["registro geral", "identidade", "rg ", "carteira de identidade"],
     "cpf": ["cadastro de pessoa", "cpf"],
@@ -51,6 +53,7 @@ DOCUMENT_TYPES = {
     "vigilancia": ["câmera", "camera", "cctv", "vigilância", "monitoramento", "dvr"],
     "criptomoeda": ["bitcoin", "btc", "carteira digital", "exchange", "cripto"],
 }
+# Keywords of threats, in order of precedence.
 THREATS = {
     "phishing": ["phishing", "falso", "clique aqui", "senha", "atualizar cadastro", "urgente"],
     "fraude_financeira": ["pix", "transferência", "boleto falso", "código de barras", "qr code", "chave pix", "conta bancária", "agência", "saque", "depósito"],
@@ -63,6 +66,7 @@ THREATS = {
     "armas": ["arma", "pistola", "revólver", "fuzil", "munição"],
     "lavagem": ["lavagem", "cripto", "bitcoin", "mixer", "tumbler", "exchange"],
 }
+# Keywords of context tags, in order.
 CONTEXT_TAGS = {
     "financeiro": ["banco", "pix", "transferência", "dinheiro", "r$", "real", "pagamento"],
     "violencia": ["arma", "faca", "sangue", "ferimento", "agressão"],
@@ -73,6 +77,7 @@ CONTEXT_TAGS = {
     "comercial": ["loja", "empresa", "escritório", "comércio"],
     "via_publica": ["rua", "avenida", "estrada", "calçada"],
 }
+# Words that say nothing about agreement; letters that words are made of.
 STOPWORDS = ["que", "para", "com", "por", "uma", "dos", "das", "nos", "nas", "não", "mais", "como", "mas", "foi", "são", "tem", "ser", "ter", "está", "esta", "esse", "isso"]
 WORD_LETTERS = "a-záàâãéèêíïóôõúüç"
 
@@ -81,8 +86,9 @@ REPAIRS = [
     ("Ã£", "ã"), ("Ã¡", "á"), ("Ã©", "é"), ("Ã­", "í"), ("Ã³", "ó"), ("Ãº", "ú"), ("Ã§", "ç"), ("Ã¢", "â"), ("Ãª", "ê"), ("Ã´", "ô"),
     ("Ã", "à"), ("\x00", ""), ("�", ""), ("​", ""), ("‌", ""), ("﻿", ""), ("\xa0", " "),
 ]
-# Image and RAW suffixes are given by the caller; these mark permanent errors.
+# Marks of permanent errors in their texts.
 PERMANENT_MARKERS = ["invalid_api_key", "incorrect api key", "authentication", "unauthorized", "permission_denied", "invalid_request_error", "model_not_found", "does not exist", "content_policy", "billing", "insufficient_quota"]
+# HTTP statuses of permanent errors.
 PERMANENT_STATUS = [400, 401, 403, 404, 405, 422]
 
 # Names of editing software by a part of the EXIF value; the first match counts.
@@ -90,6 +96,7 @@ EDITORS = {
     "photoshop": "Adobe Photoshop", "gimp": "GIMP", "lightroom": "Adobe Lightroom", "snapseed": "Snapseed", "canva": "Canva", "pixlr": "Pixlr",
     "affinity": "Affinity Photo", "paint.net": "Paint.NET", "picsart": "PicsArt", "instagram": "Instagram", "whatsapp": "WhatsApp", "telegram": "Telegram",
 }
+# Parts of editors' names that weigh most.
 CRITICAL_EDITORS = ["photoshop", "gimp", "affinity", "pixlr"]
 
 # GPU memory in GB from which a model tier applies.
