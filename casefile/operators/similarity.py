@@ -66,6 +66,16 @@ def image_duplicates(df: DataFrame, id_col: str, phash: str, dhash: str, md5: st
     )
 
 
+def image_classes(df: DataFrame, id_col: str, phash: str, dhash: str, md5: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): images alike in both hashes and MD5 are one class, named by its smallest id. Classes, ``(id,
+    p, d, m, n)``, go through :func:`image_duplicates` in place of their images, so a large group of
+    copies is one node; members, ``(id, representative)``, lead back to the images."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(phash).alias("p"), F.col(dhash).alias("d"), F.col(md5).alias("m"))
+    classes = rows.groupBy("p", "d", "m").agg(F.min("id").alias("representative"), F.count("*").alias("n"))
+    same = rows["p"].eqNullSafe(classes["p"]) & rows["d"].eqNullSafe(classes["d"]) & rows["m"].eqNullSafe(classes["m"])
+    return classes.withColumnRenamed("representative", "id"), rows.join(classes, same).select(rows["id"], "representative")
+
+
 def _columns(joined: DataFrame) -> DataFrame:
     return joined.select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b"), hamming(F.col("x.p"), F.col("y.p")).alias("ph_distance"),

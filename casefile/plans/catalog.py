@@ -464,15 +464,36 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH h AS (SELECT vec_id, label AS image, (vec_id * 37 % 512)::INT AS x, (vec_id * 53 % 512)::INT AS y, {_SQL_BITS} AS h FROM embeddings)
+WITH h AS (SELECT vec_id, vec_id % 10 AS image, (vec_id * 37 % 512)::INT AS x, (vec_id * 53 % 512)::INT AS y, h FROM {_SQL_HASHES})
 SELECT a.image, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE AS similarity FROM h a JOIN h b
 ON a.image = b.image AND (a.y < b.y OR (a.y = b.y AND a.x < b.x)) AND NOT (abs(a.x - b.x) < 32 AND abs(a.y - b.y) < 32) AND bit_count(xor(a.h, b.h)) <= 16
 """)
 def block_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), (F.col("vec_id") * 37 % 512).cast("int").alias("x"), (F.col("vec_id") * 53 % 512).cast("int").alias("y"), _sign_hash("embedding").alias("hash"))
+    n = F.col("vec_id")
+    rows = _hashes(spark, sf_dir).select((n % 10).alias("image_id"), (n * 37 % 512).cast("int").alias("x"), (n * 53 % 512).cast("int").alias("y"), F.col("h").alias("hash"))
     return similarity.copied_blocks(rows, least=0.75)
 
 
+@query(f"""
+WITH c AS (SELECT h, m, min(vec_id) AS id, count(*) AS n FROM (SELECT vec_id, h, md5((vec_id % 7)::VARCHAR) AS m FROM {_SQL_HASHES}) GROUP BY h, m)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance, a.m = b.m AS same_md5, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 8
+UNION ALL SELECT a.id, b.id, bit_count(xor(a.h, b.h))::INT, true, a.n, b.n FROM c a JOIN c b ON a.id < b.id AND a.m = b.m AND bit_count(xor(a.h, b.h)) > 8
+""")
+def image_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates among classes of equal images, with the number of images of each."""
+    rows = _hashes(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("h").alias("d"), F.md5((F.col("vec_id") % 7).cast("string").cast("binary")).alias("m"))
+    classes, _ = similarity.image_classes(rows.withColumn("p", F.col("d")), "id", "p", "d", "m")
+    pairs = similarity.image_duplicates(classes, "id", "p", "d", "m")
+    n = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    return pairs.join(n("a"), "a").join(n("b"), "b").select("a", "b", F.col("ph_distance").alias("distance"), "same_md5", "n_a", "n_b")
+
+
+@query(f"SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY h, vec_id % 7) AS representative FROM {_SQL_HASHES}")
+def image_class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _hashes(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("h").alias("d"), F.md5((F.col("vec_id") % 7).cast("string").cast("binary")).alias("m"))
+    return similarity.image_classes(rows.withColumn("p", F.col("d")), "id", "p", "d", "m")[1]
+
+
 # --- roll-ups -------------------------------------------------------------------------------------
 
 
