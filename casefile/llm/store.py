@@ -11,11 +11,14 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_noting: list[list[DataFrame]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,9 +45,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._casefile_path = path
+    for made in _noting:
+        made.append(out)
     return out
 
 
+@contextmanager
+def cleared(keep: list[DataFrame]) -> Iterator[None]:
+    """Tables written meanwhile are deleted at the end, but for those that stand in ``keep`` by then: what
+    is kept must have been written, not be read from the others."""
+    made: list[DataFrame] = []
+    _noting.append(made)
+    try:
+        yield
+    finally:
+        _noting.pop()
+    for df in made:
+        if not any(df is k for k in keep):
+            dropped(df)
+
+
 def by_count(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` hinted for a join: broadcast where it has at most ``most`` rows (of a few numbers and a
     path each, some 20 MB), merged beyond. Files of repetitive rows are small, so their size is no guide."""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casefile.llm.store import by_count, deleted, dropped, new_path, written
+from casefile.llm.store import by_count, cleared, deleted, dropped, new_path, written
 
 MAGIC = b"WARC/1."
 END = "\r\n\r\n"
@@ -297,12 +297,15 @@ def archived(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     path = new_path(spark, "warc")
     write_warc(pages, path, id_col=id_col, payload_col=payload_col, url_col=url_col)
     page = lambda name: F.regexp_extract(F.col("headers")[name], r"^<urn:page:(-?[0-9]*)>$", 1).try_cast("long")
-    found = read_warc(spark, path).select(
-        page("warc-record-id").alias("id"), F.col("headers")["warc-type"].alias("record_type"), page("warc-refers-to").alias("refers_to"),
-        F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("d"),
-        F.regexp_extract(F.col("headers")["warc-payload-digest"], r"^sha256:([0-9a-f]{64})$", 1).alias("told"),
-    )
-    found = written(found, "archived")
+    kept = []
+    with cleared(kept):
+        found = read_warc(spark, path).select(
+            page("warc-record-id").alias("id"), F.col("headers")["warc-type"].alias("record_type"), page("warc-refers-to").alias("refers_to"),
+            F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("d"),
+            F.regexp_extract(F.col("headers")["warc-payload-digest"], r"^sha256:([0-9a-f]{64})$", 1).alias("told"),
+        )
+        found = written(found, "archived")
+        kept.append(found)
     deleted(spark, path)
     source = found.filter("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("d").alias("told"), F.col("n").alias("full")).distinct()
     again = found.filter("record_type = 'revisit'").join(source.hint("merge"), ["refers_to", "told"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from casefile.llm import alike, packing, quality_cnn, quality_rules, secrets
 from casefile.llm.batches import whole
 from casefile.llm.queries import good_labels, quality_labels, tokenizer_path
-from casefile.llm.store import by_count, written
+from casefile.llm.store import by_count, cleared, written
 
 
 def rowed(docs: DataFrame) -> DataFrame:
@@ -60,8 +60,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Other columns are carried and not read, whatever their names. Empty table: empty result.
     """
     rows = rowed(docs)
-    found = alike.near_copies(rows.select("row", "doc.doc_id", "doc.text"), "row")
-    gone = written(found.filter("row <> keeper").select("row"), "gone")
+    kept = []
+    with cleared(kept):
+        found = alike.near_copies(rows.select("row", "doc.doc_id", "doc.text"), "row")
+        gone = written(found.filter("row <> keeper").select("row"), "gone")
+        kept.append(gone)
     # up to 2 million places (some 50 MB) are broadcast, so texts stay where they are; more are merged
     return rows.join(by_count(gone, 2_000_000), "row", "left_anti").select("doc.*")
 
