@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from casefile.llm.graph import components
 from casefile.llm.simhash import links, majority, shingle_hashes
-from casefile.llm.batches import sliced
+from casefile.llm.batches import sliced, tidy
 from casefile.llm.store import by_count, dropped, sample_by_hash, written
 
 WORDS = 5
@@ -88,7 +88,7 @@ def _marked(rows: DataFrame, common: np.ndarray, words: int) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, cols, kinds)], names=["row", "id", *names])
 
-    return rows.mapInArrow(each, "row long, id long, key binary, n long, fp long, fold array<long>, wide binary, mins array<long>, prefix binary")
+    return rows.mapInArrow(tidy(each), "row long, id long, key binary, n long, fp long, fold array<long>, wide binary, mins array<long>, prefix binary")
 
 
 def _matched(nodes: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _matched(nodes: DataFrame) -> DataFrame:
         keep = same[1:] | same[:-1]
         return pa.table({"h": h[keep], "node": node[keep]})
 
-    return nodes.select("node", "prefix").mapInArrow(dealt, "part int, h binary, node binary").groupBy("part").applyInArrow(met, "h long, node long")
+    return nodes.select("node", "prefix").mapInArrow(tidy(dealt), "part int, h binary, node binary").groupBy("part").applyInArrow(met, "h long, node long")
 
 
 def _apart(x: str, y: str):
@@ -145,10 +145,10 @@ def _tested(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) ->
     a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
     n = F.col("n_a") + F.col("n_b")
     known = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").filter((P + Q) * _apart("fold_a", "fold_b") <= (Q - P) * n)
-    pairs = written(known.select("a", "b", n.alias("n"), "wide_a", "wide_b").mapInArrow(close, "a long, b long"), "pairs")
+    pairs = written(known.select("a", "b", n.alias("n"), "wide_a", "wide_b").mapInArrow(tidy(close), "a long, b long"), "pairs")
     ends = written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "ends")
     # up to 2 million places (some 50 MB) are broadcast, so texts stay where they are; more are merged
-    sets = written(rows.select("row", "t").join(by_count(ends, 2_000_000), "row", "left_semi").mapInArrow(each, "row long, s array<long>"), "sets")
+    sets = written(rows.select("row", "t").join(by_count(ends, 2_000_000), "row", "left_semi").mapInArrow(tidy(each), "row long, s array<long>"), "sets")
     a, b = (sets.select(F.col("row").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
     both = F.size(F.array_intersect("s_a", "s_b"))
     links = written(pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").filter((P + Q) * both >= P * (F.size("s_a") + F.size("s_b"))).select("a", "b"), "links")

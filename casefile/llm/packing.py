@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casefile.llm.batches import byte_slices
+from casefile.llm.batches import byte_slices, freed, tidy
 from casefile.llm.store import written
 
 CAPACITY, END_ID = 2048, 0
@@ -98,7 +98,9 @@ class WordCoder:
 
 @cache
 def _coder(path: str) -> WordCoder:
-    return WordCoder(path)
+    coder = WordCoder(path)
+    freed()  # the file's text and tables are large, what is kept of them is not
+    return coder
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -124,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(each, "id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(each), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Stock:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casefile.llm.batches import byte_slices
+from casefile.llm.batches import byte_slices, tidy
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -441,4 +441,4 @@ def tokenized(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, ids, pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(each, "id long, n_tokens long, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(tidy(each), "id long, n_tokens long, ids array<int>, round_trip boolean")

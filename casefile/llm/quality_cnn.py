@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casefile.llm.batches import sliced, text_in, whole
+from casefile.llm.batches import sliced, text_in, tidy, whole
 from casefile.llm.store import sample_by_hash
 
 #: Bounds of the sample that is learned from: rows, and bytes of all their texts. A text of over a quarter of that is left out.
@@ -185,7 +185,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             keep = [0, 1] if carried else [0]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), p], names=[*(batch.schema.names[i] for i in keep), "score"])
 
-    return rows.mapInArrow(each, T.StructType([f for f in rows.schema if f.name != "t"] + [T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(tidy(each), T.StructType([f for f in rows.schema if f.name != "t"] + [T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_col: str) -> Column:

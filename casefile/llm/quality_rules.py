@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casefile.llm.batches import sliced, text_in, whole
+from casefile.llm.batches import sliced, text_in, tidy, whole
 from casefile.llm.store import dropped, written
 
 #: Share of a stratum's good documents, of those that pass the base rules, that the rules together may reject; the error rate.
@@ -94,7 +94,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
             keep = [0, 1, 2] if carried else [0, 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *(pa.array(c, pa.int64()) for c in cols)], names=[*(batch.schema.names[i] for i in keep), *_COUNTS])
 
-    return rows.mapInArrow(each, T.StructType([f for f in rows.schema if f.name != "t"] + kinds))
+    return rows.mapInArrow(tidy(each), T.StructType([f for f in rows.schema if f.name != "t"] + kinds))
 
 
 def _ratio(a: str, b: str):

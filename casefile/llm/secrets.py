@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casefile.llm.batches import tidy
+
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -149,7 +151,7 @@ def counted(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(each, "cell long, n long")
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(each), "cell long, n long")
     out = np.zeros(4 * _N * _N, np.int64)
     for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most 4 numbers a pair of symbols
         out[r.cell] = r.n
@@ -269,7 +271,7 @@ def scanned(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(each, "id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(each), "id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
 
 
 def redacted_docs(docs: DataFrame, chain: Chain, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -282,5 +284,5 @@ def redacted_docs(docs: DataFrame, chain: Chain, text_col: str = "text", chars_c
             texts = [t if t is None else redacted(t, spans(t, chain)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(each, docs.schema)
+    out = docs.mapInArrow(tidy(each), docs.schema)
     return out.withColumn(chars_col, F.coalesce(F.char_length(text_col), F.col(chars_col)).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casefile.llm.batches import tidy
 from casefile.llm.graph import components
 from casefile.llm.store import written
 
@@ -75,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([m[1] for m in marks], pa.binary())], names=["id", "fp", "sketch"])
 
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return ids.mapInArrow(each, "id long, fp long, sketch binary")
+    return ids.mapInArrow(tidy(each), "id long, fp long, sketch binary")
 
 
 @cache
