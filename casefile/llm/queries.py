@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import packing, piece_codec, quality_cnn, quality_rules, secrets, sharding, simhash, url_templates, vector_dedup, warc
+from casefile.llm import conversation_trie, fill_middle, packing, piece_codec, quality_cnn, quality_rules, secrets, sharding, simhash, url_templates, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,9 +96,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.transformed(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-            op1_warc, op2_simhash_near_dedup, op3_url_filters, op4_quality_classifier, op5_sharding, op6_secret_scans, op7_sentencepiece, op8_embedding_near_dedup, op9_quality_rules, op10_best_fit_packing,
+            op1_warc, op2_simhash_near_dedup, op3_url_filters, op4_quality_classifier, op5_sharding, op6_secret_scans, op7_sentencepiece, op8_embedding_near_dedup, op9_quality_rules, op10_best_fit_packing, op11_fill_in_middle,
+            op13_conversation_trie,
         )}
 
 
@@ -154,4 +167,64 @@ ORACLE_SQL: dict[str, str] = {
                grown_shard::INT AS grown_shard
         FROM d
     """,
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x,
+                 regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+          FROM documents
+        ), h AS (
+          SELECT *, len(u) AS n, [('0x' || substr(x, 1 + 8 * i, 8))::BIGINT for i in range(0, 4)] AS h,
+                 contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR t = '' AS bare
+          FROM d
+        ), c AS (
+          SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                 CASE WHEN bare OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+          FROM h
+        ), p AS (
+          SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c
+        )
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                                WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
+    # a prefix is spelled out; each node adds to all prefixes of its smallest member
+    "op13_conversation_trie": r"""
+        WITH RECURSIVE k(i, c, n) AS (
+          SELECT i, i, 0 FROM range(256) t(i)
+          UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM k WHERE n < 8
+        ), crc AS (SELECT list(c ORDER BY i) AS t FROM k WHERE n = 8),
+        o AS (
+          SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+          FROM conversations WHERE conv_id IS NOT NULL
+        ), v AS (
+          SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, [unicode(x)::BIGINT for x in string_split(c::VARCHAR, '')]),
+                                    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 4 AS h
+          FROM (SELECT DISTINCT c FROM o), crc
+        ), s AS (
+          SELECT v.c, o.pos, o.role, o.text FROM v JOIN o ON o.c = v.c - ((v.c % 20) + 20) % 20 AND o.pos <= v.h
+          UNION ALL SELECT v.c, o.pos + 4, o.role, o.text FROM v JOIN o ON o.c = v.c AND o.pos > v.h
+        ), q AS (
+          SELECT c, row_number() OVER w AS depth, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS key,
+                 len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+          FROM s WINDOW w AS (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING)
+          UNION ALL SELECT c, 0, '', 0 FROM v
+        ), r AS (
+          SELECT *, coalesce(lag(key) OVER (PARTITION BY c ORDER BY depth), '') AS up, depth = max(depth) OVER (PARTITION BY c) AS last FROM q
+        ), n AS (
+          SELECT key, any_value(depth) AS depth, any_value(up) AS up, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own,
+                 sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256
+          FROM r GROUP BY key
+        ), kids AS (SELECT up AS key, count(*) AS n FROM n WHERE depth > 0 GROUP BY up),
+        below AS (
+          SELECT r.key, sum(n.own) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+          FROM n LEFT JOIN kids ON kids.key = n.key JOIN r ON r.c = n.c AND r.depth <= n.depth GROUP BY r.key
+        )
+        SELECT n.c AS conv_id, n.depth::BIGINT AS depth, p.c AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children,
+               below.leaves AS n_leaves, below.saved::BIGINT AS saved_tokens, n.ends_sha256
+        FROM n JOIN below ON below.key = n.key LEFT JOIN kids ON kids.key = n.key LEFT JOIN n p ON p.key = n.up AND n.depth > 0
+    """,
 }
