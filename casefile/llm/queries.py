@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import conversation_trie, fill_middle, packing, piece_codec, quality_cnn, quality_rules, secrets, sharding, simhash, url_templates, vector_dedup, warc
+from casefile.llm import conversation_trie, fill_middle, packing, piece_codec, quality_cnn, quality_rules, secrets, sharding, simhash, suffix_index, url_templates, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_index.passages_removed(_table(spark, sf_dir, "documents"))
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -111,7 +119,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
             op1_warc, op2_simhash_near_dedup, op3_url_filters, op4_quality_classifier, op5_sharding, op6_secret_scans, op7_sentencepiece, op8_embedding_near_dedup, op9_quality_rules, op10_best_fit_packing, op11_fill_in_middle,
-            op13_conversation_trie,
+            op12_suffix_array_dedup, op13_conversation_trie,
         )}
 
 
@@ -190,6 +198,24 @@ ORACLE_SQL: dict[str, str] = {
                sha256(t) AS restored_sha256
         FROM p
     """,
+    # windows as hexadecimal digits; a removed run starts where no removed window starts in the 50 bytes before
+    "op12_suffix_array_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+        c AS (SELECT doc_id, k, substr(x, 400 * k + 1, 498) AS y FROM (SELECT doc_id, x, unnest(range(0, (n - 50) // 200 + 1)) AS k FROM d WHERE n >= 50)),
+        w AS (
+          SELECT doc_id, 200 * k + i AS i, md5(substr(y, 2 * i + 1, 100)) AS v FROM (SELECT *, unnest(range(0, least(200, length(y) // 2 - 49))) AS i FROM c)
+        ), f AS (SELECT v, min(doc_id) AS first_id FROM w GROUP BY v),
+        r AS (SELECT doc_id, i FROM w JOIN f USING (v) WHERE first_id < doc_id),
+        g AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -51) > 50 AS fresh FROM r),
+        s AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+        p AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM s GROUP BY doc_id, k),
+        q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+        m AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, list({'a': before, 'b': a} ORDER BY a) AS parts FROM q GROUP BY doc_id)
+        SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(m.n_removed, 0)::BIGINT AS n_removed, coalesce(m.n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(array_to_string(list_transform(m.parts, lambda s: substr(d.x, 2 * s.a + 1, 2 * (s.b - s.a))), ''), '')
+                            || substr(d.x, 2 * coalesce(m.last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN m USING (doc_id)
+    """,
     # a prefix is spelled out; each node adds to all prefixes of its smallest member
     "op13_conversation_trie": r"""
         WITH RECURSIVE k(i, c, n) AS (
