@@ -233,7 +233,7 @@ def _contents(chunk: Chunk, codes: dict[int, bytes], buckets: int) -> Contents:
     start, windows, content, key = found.start[some], found.windows[some], found.content[some], found.anchor[some]
     if len(hot):
         n = found.windows[hot]
-        at = np.repeat(found.start[hot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at = _stretches(found.start[hot], n)
         one = _window_hashes(chunk, np.sort(at))
         start, windows = np.concatenate([start, np.sort(at)]), np.concatenate([windows, np.ones(len(at), np.int64)])
         content, key = np.concatenate([content, one]), np.concatenate([key, _spread(one)])
@@ -262,7 +262,7 @@ def _content_rows(chunk: Chunk, codes: dict[int, bytes], buckets: int) -> Iterat
     cuts = np.append(np.flatnonzero(_changes(sent.bucket)), len(sent.bucket))
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         size = sent.windows[lo:hi] + WINDOW - 1
-        at = np.repeat(sent.place[sent.first[lo:hi]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        at = _stretches(sent.place[sent.first[lo:hi]], size)
         head = np.array([hi - lo], np.int64)
         yield int(sent.bucket[lo]), _packed(head, sent.low[lo:hi], sent.high[lo:hi], sent.windows[lo:hi].astype(np.uint8), chunk.text[at])
 
@@ -382,23 +382,28 @@ def _matches(rows: list[bytes]) -> list[bytes]:
     low, high, windows, text, owner = (np.concatenate(c) for c in (low, high, windows, text, owner))
     size = windows + WINDOW - 1
     begin = np.cumsum(size) - size
-    order = np.lexsort((owner, low))
-    total = np.cumsum(windows[order])
+    member, start, count = _equal(text, begin, size, low)
+    head = member[start]  # the member of each class with the smallest document
+    order = np.argsort(low[head], kind="stable")
+    total = np.cumsum(windows[head[order]])
     family, out = IndexFamily(), [[] for _ in rows]
     lo = 0
     while lo < len(order):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BATCH, "right")))
         own = order[lo:hi]
-        n, width = windows[own], size[own]
-        body = text[np.repeat(begin[own] - np.cumsum(width) + width, width) + np.arange(width.sum())]
+        n, width = windows[head[own]], size[head[own]]
+        body = text[_stretches(begin[head[own]], width)]
         each = np.repeat(np.arange(len(own)), n)
         inner = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-        first = family.add(body, (np.cumsum(width) - width)[each] + inner, low[own][each])
+        first = family.add(body, (np.cumsum(width) - width)[each] + inner, low[head[own]][each])
         at = np.flatnonzero(_changes(each, first))
         till = np.append(at[1:], len(each)) - 1
-        lost = first[at] < high[own][each[at]]
-        at, till = at[lost], till[lost]
-        which = own[each[at]]
+        # every member of the class has the same stretches
+        times = count[own[each[at]]]
+        which = member[_stretches(start[own[each[at]]], times)]
+        at, till = np.repeat(at, times), np.repeat(till, times)
+        lost = first[at] < high[which]
+        at, till, which = at[lost], till[lost], which[lost]
         piece = np.stack([nth[which], inner[at], inner[till], first[at]], axis=1)
         whose = owner[which]
         turn = np.argsort(whose, kind="stable")
@@ -409,6 +414,37 @@ def _matches(rows: list[bytes]) -> list[bytes]:
     return [_packed(np.concatenate(p).T) if p else b"" for p in out]
 
 
+def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places from each beginning on, one stretch after the other."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _equal(text: np.ndarray, begin: np.ndarray, size: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(members by class and smallest document, start of each class, members of each class) of equal stretches of
+    text: grouped by hash, then compared byte by byte with the first of the group."""
+    code = np.zeros(len(begin), np.uint64)
+    total, lo = np.cumsum(size), 0
+    letters = _spread(np.arange(1, 257, dtype=np.uint64))
+    while lo < len(begin):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SEGMENT, "right")))
+        from_, n = begin[lo], int(total[hi - 1] - begin[lo])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[text[from_ : from_ + n]] * _powers(n))])
+        at = begin[lo:hi] - from_
+        code[lo:hi] = (sums[at + size[lo:hi]] - sums[at]) * _backs(n)[at]
+        lo = hi
+    member = np.lexsort((low, code, size))
+    new = _changes(size[member], code[member])
+    group = np.cumsum(new) - 1
+    first, differs = member[np.flatnonzero(new)[group]], np.zeros(len(member), bool)
+    for lo in range(0, len(member), 1 << 14):
+        own, other = member[lo : lo + (1 << 14)], first[lo : lo + (1 << 14)]
+        same = text[_stretches(begin[own], size[own])] == text[_stretches(begin[other], size[own])]
+        differs[lo : lo + (1 << 14)] = ~np.logical_and.reduceat(same, np.cumsum(size[own]) - size[own])
+    new |= np.isin(group, group[differs])  # one hash, several texts: each on its own
+    start = np.flatnonzero(new)
+    return member, start, np.diff(np.append(start, len(member)))
+
+
 def _cut(chunk: Chunk, codes: dict[int, bytes], runs: dict[int, bytes], buckets: int) -> np.ndarray:
     """Which bytes of the chunk go."""
     mark = np.zeros(len(chunk.text) + 1, np.int32)
@@ -418,7 +454,7 @@ def _cut(chunk: Chunk, codes: dict[int, bytes], runs: dict[int, bytes], buckets:
             content, lo, hi, first = np.frombuffer(zstandard.decompress(blob), np.int64).reshape(4, -1)
             content = content + np.searchsorted(sent.bucket, bucket)
             n = sent.after[content] - sent.first[content]
-            place = sent.place[np.repeat(sent.first[content] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            place = sent.place[_stretches(sent.first[content], n)]
             lo, hi, first = (np.repeat(c, n) for c in (lo, hi, first))
             later = chunk.ids[chunk.owner(place)] > first
             np.add.at(mark, (place + lo)[later], 1)
