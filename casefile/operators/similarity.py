@@ -1,12 +1,15 @@
 """Duplicates by hash, block copies, angles, and nearest neighbours.
 
-Hamming joins are banded: fingerprints within ``t`` bits agree in one of ``t + 1`` bands, so equal
-bands are joined and the distance is tested exactly inside the join. Equal hashes are one node, so
-groups of copies do not become pairs before they have to.
+Hamming joins look fingerprints up by segments of 16 bits: those within ``t`` bits are close in one of four
+segments, so one of two stands at its segments' values and the other probes all values near its own. The
+distance is tested exactly inside the join. Equal hashes and equal files are one node: copies do not become
+pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,19 +17,48 @@ from pyspark.sql.window import Window
 from casefile.functions.numeric import angle_gap, hamming, hash_similarity, squared_distance
 
 
-def _bands(h: Column, near: int) -> list[Column]:
-    edges = [64 * i // (near + 1) for i in range(near + 2)]
-    return [F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
+def segments(near: int, parts: int = 4) -> list[tuple[int, int, int]]:
+    """(lowest bit, width, most differing bits) of the segments of 64 bits: hashes within ``near`` bits are within the
+    given number in at least one segment, since one more in each would add up to more than ``near``."""
+    edges = [64 * i // parts for i in range(parts + 1)]
+    each, more = divmod(near + 1, parts)
+    return [(lo, hi - lo, each - (i >= more)) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if each - (i >= more) >= 0]
+
+
+def _homes(rows: DataFrame, hash_col: str, parts: list[tuple[int, int, int]]) -> DataFrame:
+    """A row for each segment, with the segment's number and value."""
+    values = [F.shiftrightunsigned(hash_col, lo).bitwiseAND(F.lit((1 << width) - 1)) for lo, width, _ in parts]
+    return rows.select("*", F.posexplode(F.array(*values)).alias("segment", "value"))
+
+
+def _probes(homes: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame:
+    """A row for each value within a segment's number of differing bits: at most 2,517 for 16 bits and 4 differing."""
+    masks = [(i, sum(1 << b for b in bits)) for i, (_, width, most) in enumerate(parts) for n in range(most + 1) for bits in combinations(range(width), n)]
+    table = homes.sparkSession.createDataFrame(masks, "segment int, mask long")  # a few thousand rows at most
+    return homes.join(F.broadcast(table), "segment").withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+
+
+def _first_meeting(a: Column, b: Column, segment: Column, parts: list[tuple[int, int, int]]) -> Column:
+    """No segment before this one would let the two meet."""
+    out = F.lit(True)
+    for i, (lo, width, most) in enumerate(parts[:-1]):
+        bits = F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(((1 << width) - 1) << lo if lo + width < 64 else -(1 << lo))))
+        out = out & ((segment <= i) | (bits > most))
+    return out
 
 
 def near_hashes(df: DataFrame, hash_col: str, near: int) -> DataFrame:
-    """``(a, b, distance)`` with a < b: different hash values of the column within ``near`` bits."""
+    """``(a, b, distance)`` with a < b: different hash values of the column within ``near`` bits.
+
+    One of the two stands at its own segments, the other probes all values near its segments, so they meet
+    wherever a segment allows; the first such segment gives the pair, so nothing is made distinct."""
     h = df.select(F.col(hash_col).alias("h")).filter("h is not null").distinct()
-    banded = h.select("h", F.posexplode(F.array(*_bands(F.col("h"), near))).alias("band", "value"))
-    a, b = (banded.withColumnRenamed("h", x) for x in "ab")
+    parts = segments(near)
+    home = _homes(h, "h", parts)
+    a, b = home.withColumnRenamed("h", "a"), _probes(home, parts).withColumnRenamed("h", "b")
     apart = hamming(F.col("a"), F.col("b"))
-    pairs = a.join(b, (a.band == b.band) & (a.value == b.value) & (F.col("a") < F.col("b")) & (apart <= near))
-    return pairs.select("a", "b", apart.alias("distance")).distinct()
+    pairs = a.join(b, ["segment", "value"]).filter((F.col("a") < F.col("b")) & (apart <= near) & _first_meeting(F.col("a"), F.col("b"), F.col("segment"), parts))
+    return pairs.select("a", "b", apart.alias("distance"))
 
 
 def members(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:
@@ -49,43 +81,42 @@ def representative_pairs(df: DataFrame, id_col: str, hash_col: str, near: int) -
     return apart.unionByName(groups.filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(0).alias("distance")))
 
 
-def image_duplicates(df: DataFrame, id_col: str, phash: str, dhash: str, md5: str, near: int = 8) -> DataFrame:
-    """``(a, b, ph_distance, dh_distance, similarity, same_md5)``, a < b: equal MD5, or both hashes
-    within ``near`` bits. A missing hash is 64 bits from any."""
+def image_classes(df: DataFrame, id_col: str, phash: str, dhash: str, md5: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): equal files are one class, and so are images without an MD5 that are equal in both hashes.
+
+    Classes, ``(id, p, d, m, n)``, are named by their smallest id, whose hashes they have (those of the next
+    id that has any, where it lacks one); members, ``(id, representative)``, lead back to all images."""
     rows = df.select(F.col(id_col).alias("id"), F.col(phash).alias("p"), F.col(dhash).alias("d"), F.col(md5).alias("m"))
-    same = _pairs(rows, rows, F.col("x.m") == F.col("y.m"))
+    keyed = rows.withColumn("_p", F.when(F.col("m").isNull(), F.col("p"))).withColumn("_d", F.when(F.col("m").isNull(), F.col("d")))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("id", c)))[c].alias(c)
+    classes = keyed.groupBy("m", "_p", "_d").agg(F.min("id").alias("id"), first("p"), first("d"), F.count("*").alias("n"))
+    named = classes.select(F.col("m").alias("cm"), F.col("_p").alias("cp"), F.col("_d").alias("cd"), F.col("id").alias("representative"))
+    same = F.col("m").eqNullSafe(F.col("cm")) & F.col("_p").eqNullSafe(F.col("cp")) & F.col("_d").eqNullSafe(F.col("cd"))
+    return classes.select("id", "p", "d", "m", "n"), keyed.join(named, same).select("id", "representative")
+
+
+def image_duplicates(classes: DataFrame, near: int = 8) -> DataFrame:
+    """``(a, b, ph_distance, dh_distance, similarity, same_md5, n_a, n_b)`` of classes of images, a <= b: both hashes within
+    ``near`` bits (a missing one is far from any). A class of several images stands in a row with itself; copies
+    are never expanded into pairs, their ids are in the members of :func:`image_classes`.
+    """
+    rows = classes.select("id", "p", "d", "m", "n")
     values = near_hashes(rows, "p", near).select("a", "b")
-    values = values.unionByName(values.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(
-        rows.filter("p is not null").select(F.col("p").alias("a"), F.col("p").alias("b")).distinct()
-    )
+    values = values.unionByName(rows.filter("p is not null").select(F.col("p").alias("a"), F.col("p").alias("b")).distinct())
     x, y = rows.alias("x"), rows.alias("y")
-    close = x.join(values, F.col("x.p") == F.col("a")).join(y, (F.col("y.p") == F.col("b")) & (F.col("x.id") < F.col("y.id")) & (hamming(F.col("x.d"), F.col("y.d")) <= near))
-    both = same.unionByName(_columns(close)).distinct()
-    return both.select(
-        "a", "b", "ph_distance", "dh_distance", hash_similarity(F.col("ph_distance"), F.col("known")).alias("similarity"), "same_md5"
-    )
-
-
-def image_classes(df: DataFrame, id_col: str, phash: str, dhash: str, md5: str) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): images alike in both hashes and MD5 are one class, named by its smallest id. Classes, ``(id,
-    p, d, m, n)``, go through :func:`image_duplicates` in place of their images, so a large group of
-    copies is one node; members, ``(id, representative)``, lead back to the images."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(phash).alias("p"), F.col(dhash).alias("d"), F.col(md5).alias("m"))
-    classes = rows.groupBy("p", "d", "m").agg(F.min("id").alias("representative"), F.count("*").alias("n"))
-    same = rows["p"].eqNullSafe(classes["p"]) & rows["d"].eqNullSafe(classes["d"]) & rows["m"].eqNullSafe(classes["m"])
-    return classes.withColumnRenamed("representative", "id"), rows.join(classes, same).select(rows["id"], "representative")
-
-
-def _columns(joined: DataFrame) -> DataFrame:
-    return joined.select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b"), hamming(F.col("x.p"), F.col("y.p")).alias("ph_distance"),
-        hamming(F.col("x.d"), F.col("y.d")).alias("dh_distance"), (F.col("x.p").isNotNull() & F.col("y.p").isNotNull()).alias("known"),
-        F.coalesce(F.col("x.m") == F.col("y.m"), F.lit(False)).alias("same_md5"),
-    )
-
-
-def _pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    return _columns(left.alias("x").join(right.alias("y"), on & (F.col("x.id") < F.col("y.id"))))
+    # a pair of values meets once; two classes of one value in the order of their ids
+    met = x.join(values, F.col("x.p") == F.col("a")).join(y, F.col("y.p") == F.col("b"))
+    met = met.filter(((F.col("a") != F.col("b")) | (F.col("x.id") < F.col("y.id"))) & (hamming(F.col("x.d"), F.col("y.d")) <= near))
+    turned = F.col("x.id") > F.col("y.id")
+    swap = lambda c: [F.when(turned, F.col(f"{s}.{c}")).otherwise(F.col(f"{t}.{c}")) for s, t in ("yx", "xy")]
+    apart = met.select(
+        *(v.alias(n) for v, n in zip(swap("id"), "ab", strict=True)), hamming(F.col("x.p"), F.col("y.p")).alias("ph_distance"), hamming(F.col("x.d"), F.col("y.d")).alias("dh_distance"),
+        F.lit(False).alias("same_md5"), *(v.alias(n) for v, n in zip(swap("n"), ("n_a", "n_b"), strict=True)),
+    )
+    both = F.when(F.col("p").isNull(), 64).otherwise(0), F.when(F.col("d").isNull(), 64).otherwise(0)
+    alone = rows.filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), both[0].alias("ph_distance"), both[1].alias("dh_distance"), F.col("m").isNotNull().alias("same_md5"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    found = apart.unionByName(alone)
+    return found.select("a", "b", "ph_distance", "dh_distance", hash_similarity(F.col("ph_distance"), F.col("ph_distance") < 64).alias("similarity"), "same_md5", "n_a", "n_b")
 
 
 def exact_groups(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
@@ -96,17 +127,18 @@ def exact_groups(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
 def copied_blocks(blocks: DataFrame, image: str = "image_id", least: float = 0.92, apart: int = 32) -> DataFrame:
     """``(image, ax, ay, bx, by, similarity)``: blocks of one image with hashes at least ``least``
-    alike, not close to each other in both directions. Candidates come from equal bands."""
+    alike, not close to each other in both directions. Candidates come from segments, as in :func:`near_hashes`."""
     near = int((1 - least) * 64 + 1e-9)
-    rows = blocks.select(F.col(image).alias("image"), "x", "y", "hash")
-    banded = rows.select("*", F.posexplode(F.array(*_bands(F.col("hash"), near))).alias("band", "value"))
-    a, b = banded.alias("a"), banded.alias("b")
+    parts = segments(near)
+    rows = blocks.select(F.col(image).alias("image"), "x", "y", "hash").filter("hash is not null")
+    home = _homes(rows, "hash", parts)
+    a, b = home.alias("a"), _probes(home, parts).alias("b")
     col = lambda n: (F.col(f"a.{n}"), F.col(f"b.{n}"))
     equal = lambda n: col(n)[0] == col(n)[1]
     after = (F.col("a.y") < F.col("b.y")) | (equal("y") & (F.col("a.x") < F.col("b.x")))
     far = ~((F.abs(F.col("a.x") - F.col("b.x")) < apart) & (F.abs(F.col("a.y") - F.col("b.y")) < apart))
     distance = hamming(*col("hash"))
-    met = a.join(b, equal("image") & equal("band") & equal("value") & after & far & (distance <= near))
+    met = a.join(b, equal("image") & equal("segment") & equal("value")).filter(after & far & (distance <= near) & _first_meeting(*col("hash"), F.col("a.segment"), parts))
     return met.select(F.col("a.image").alias("image"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), (1 - distance / 64.0).alias("similarity")).distinct()
 
 

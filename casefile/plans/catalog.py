@@ -436,15 +436,31 @@ def hash_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.members(_hashes(spark, sf_dir), "vec_id", "h")
 
 
-@query(f"""
-WITH h AS (SELECT vec_id AS id, CASE WHEN vec_id % 9 <> 0 THEN {_SQL_BITS} END AS p, {_SQL_BITS} AS d, md5((vec_id % 97)::VARCHAR) AS m FROM embeddings)
-SELECT a, b, ph AS ph_distance, dh AS dh_distance, CASE WHEN known THEN 1 - ph / 64.0::DOUBLE ELSE 0 END AS similarity, same AS same_md5 FROM (
-  SELECT x.id AS a, y.id AS b, coalesce(bit_count(xor(x.p, y.p)), 64)::INT AS ph, coalesce(bit_count(xor(x.d, y.d)), 64)::INT AS dh, x.p IS NOT NULL AND y.p IS NOT NULL AS known, x.m = y.m AS same
-  FROM h x JOIN h y ON x.id < y.id) WHERE same OR (ph <= 10 AND dh <= 10)
-""")
+#: Files with their hashes: equal MD5, equal hashes; every ninth image lacks the first.
+_SQL_FILES = f"(SELECT vec_id AS id, CASE WHEN vec_id % 9 <> 0 THEN h END AS p, h AS d, md5(h::VARCHAR || ':' || (vec_id % 3)) AS m FROM {_SQL_HASHES})"
+_SQL_CLASSES = f"(SELECT m, min(id) AS id, arg_min(p, id) FILTER (p IS NOT NULL) AS p, arg_min(d, id) AS d, count(*) AS n FROM {_SQL_FILES} GROUP BY m)"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = F.reverse(F.lpad(F.bin("h"), 64, "0"))
+    md5 = F.md5(F.concat(bits, F.lit(":"), (F.col("vec_id") % 3).cast("string")).cast("binary"))
+    return _hashes(spark, sf_dir).select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 9 != 0, F.col("h")).alias("p"), F.col("h").alias("d"), md5.alias("m"))
+
+
+def _sql_duplicates(near: int) -> str:
+    return f"""
+WITH c AS MATERIALIZED {_SQL_CLASSES}
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.p, b.p))::INT AS ph_distance, bit_count(xor(a.d, b.d))::INT AS dh_distance, 1 - bit_count(xor(a.p, b.p)) / 64.0::DOUBLE AS similarity, false AS same_md5, a.n AS n_a, b.n AS n_b
+FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.p, b.p)) <= {near} AND bit_count(xor(a.d, b.d)) <= {near}
+UNION ALL SELECT id, id, CASE WHEN p IS NULL THEN 64 ELSE 0 END, 0, CASE WHEN p IS NULL THEN 0 ELSE 1 END, true, n, n FROM c WHERE n > 1
+"""
+
+
+@query(_sql_duplicates(10))
 def image_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _sign_hash("embedding").alias("d"), F.md5((F.col("vec_id") % 97).cast("string").cast("binary")).alias("m"))
-    return similarity.image_duplicates(rows.withColumn("p", F.when(F.col("id") % 9 != 0, F.col("d"))), "id", "p", "d", "m", 10)
+    """Duplicates among files: classes of equal ones with their numbers; membership: :func:`image_class_members`."""
+    classes, _ = similarity.image_classes(_files(spark, sf_dir), "id", "p", "d", "m")
+    return similarity.image_duplicates(classes, 10)
 
 
 _SQL_DISTANCE = "list_sum(list_transform(list_zip(d.embedding, q.embedding), lambda z: ((z[1] - z[2])::DOUBLE) * ((z[1] - z[2])::DOUBLE)))"
@@ -475,23 +491,19 @@ def block_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH c AS (SELECT h, m, min(vec_id) AS id, count(*) AS n FROM (SELECT vec_id, h, md5((vec_id % 7)::VARCHAR) AS m FROM {_SQL_HASHES}) GROUP BY h, m)
-SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance, a.m = b.m AS same_md5, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 8
-UNION ALL SELECT a.id, b.id, bit_count(xor(a.h, b.h))::INT, true, a.n, b.n FROM c a JOIN c b ON a.id < b.id AND a.m = b.m AND bit_count(xor(a.h, b.h)) > 8
+WITH c AS MATERIALIZED (SELECT p, d, min(id) AS id, count(*) AS n FROM {_SQL_FILES} GROUP BY p, d)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.p, b.p))::INT AS distance, false AS same_md5, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.p, b.p)) <= 8 AND bit_count(xor(a.d, b.d)) <= 8
+UNION ALL SELECT id, id, CASE WHEN p IS NULL THEN 64 ELSE 0 END, false, n, n FROM c WHERE n > 1
 """)
 def image_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicates among classes of equal images, with the number of images of each."""
-    rows = _hashes(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("h").alias("d"), F.md5((F.col("vec_id") % 7).cast("string").cast("binary")).alias("m"))
-    classes, _ = similarity.image_classes(rows.withColumn("p", F.col("d")), "id", "p", "d", "m")
-    pairs = similarity.image_duplicates(classes, "id", "p", "d", "m")
-    n = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
-    return pairs.join(n("a"), "a").join(n("b"), "b").select("a", "b", F.col("ph_distance").alias("distance"), "same_md5", "n_a", "n_b")
+    """Duplicates among images without an MD5: classes by both hashes."""
+    classes, _ = similarity.image_classes(_files(spark, sf_dir).withColumn("m", F.lit(None).cast("string")), "id", "p", "d", "m")
+    return similarity.image_duplicates(classes).select("a", "b", F.col("ph_distance").alias("distance"), "same_md5", "n_a", "n_b")
 
 
-@query(f"SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY h, vec_id % 7) AS representative FROM {_SQL_HASHES}")
+@query(f"SELECT id, min(id) OVER (PARTITION BY m) AS representative FROM {_SQL_FILES}")
 def image_class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hashes(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("h").alias("d"), F.md5((F.col("vec_id") % 7).cast("string").cast("binary")).alias("m"))
-    return similarity.image_classes(rows.withColumn("p", F.col("d")), "id", "p", "d", "m")[1]
+    return similarity.image_classes(_files(spark, sf_dir), "id", "p", "d", "m")[1]
 
 
 # --- roll-ups -------------------------------------------------------------------------------------

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casefile.functions import checks
-from casefile.operators import incremental, records, rollup, summaries
-from casefile.plans.catalog import query, table
+from casefile.operators import incremental, records, rollup, similarity, summaries
+from casefile.plans.catalog import _SQL_CLASSES, _files, query, table
 from casefile.sinks import documents
 from casefile.sources.exif import quality_tags
 
@@ -55,9 +55,10 @@ def model_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.groupBy("model", "source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) FILTER (quality = 1) AS exact, count(*) FILTER (quality = 0) AS near FROM labels")
+@query(f"WITH c AS MATERIALIZED {_SQL_CLASSES} SELECT (SELECT count(*) FROM c WHERE n > 1) AS exact, (SELECT count(*) FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.p, b.p)) <= 8 AND bit_count(xor(a.d, b.d)) <= 8) AS near")
 def duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.duplicate_counts(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("same_md5")))
+    classes, _ = similarity.image_classes(_files(spark, sf_dir), "id", "p", "d", "m")
+    return rollup.duplicate_counts(similarity.image_duplicates(classes))
 
 
 @query("SELECT count(*) FILTER (l.doc_id IS NOT NULL) AS hits, count(*) AS total FROM documents d LEFT JOIN (SELECT * FROM labels WHERE toxic = 0) l USING (doc_id)")

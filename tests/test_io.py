@@ -63,7 +63,7 @@ def test_image_kernels(spark, folder):
     pairs = similarity.copied_blocks(blocks).groupBy("image").count().collect()
     n = {r.image: r["count"] for r in pairs}
     assert n.get("copied", 0) >= 9 and n.get("noise", 0) == 0
-    dup = similarity.image_duplicates(rows.withColumn("md5", F.md5("name")), "name", "phash", "dhash", "md5").collect()
+    dup = similarity.image_duplicates(similarity.image_classes(rows.withColumn("md5", F.md5("name")), "name", "phash", "dhash", "md5")[0]).collect()
     assert ("again", "gradient", 0, 0) in {(r.a, r.b, r.ph_distance, r.dh_distance) for r in dup}
 
 
@@ -81,8 +81,24 @@ def test_banded_join_is_brute_force(spark):
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed] + [(None,)], "h long")
     m = (1 << 64) - 1
-    got = {(r.a, r.b): r.distance for r in similarity.near_hashes(df, "h", 8).collect()}
-    assert got == {(a, b): ((a & m) ^ (b & m)).bit_count() for a in signed for b in signed if a < b and ((a & m) ^ (b & m)).bit_count() <= 8}
+    for near in (0, 3, 8, 10, 12, 16):
+        rows = similarity.near_hashes(df, "h", near).collect()
+        got = {(r.a, r.b): r.distance for r in rows}
+        assert got == {(a, b): ((a & m) ^ (b & m)).bit_count() for a in signed for b in signed if a < b and ((a & m) ^ (b & m)).bit_count() <= near}
+        assert len(rows) == len(got)
+        parts = similarity.segments(near)
+        share = sum(sum(comb(w, i) for i in range(n + 1)) / 2**w for _, w, n in parts)
+        assert share < {0: 1e-4, 3: 1e-3, 8: 0.003, 10: 0.007, 12: 0.017, 16: 0.071}[near]  # candidates among uniform hashes
+
+
+def test_classes_of_images(spark):
+    rows = [(1, 5, 6, "a"), (2, 5, 6, "a"), (3, None, 6, "b"), (4, 7, 6, "b"), (5, 5, 6, None), (6, 5, 6, None), (7, None, None, None), (8, None, None, None), (9, 1 << 40, 6, "c")]
+    classes, members = similarity.image_classes(spark.createDataFrame(rows, "i long, p long, d long, m string"), "i", "p", "d", "m")
+    assert {r.id: (r.p, r.d, r.n) for r in classes.collect()} == {1: (5, 6, 2), 3: (7, 6, 2), 5: (5, 6, 2), 7: (None, None, 2), 9: (1 << 40, 6, 1)}
+    assert {r.id: r.representative for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9}
+    got = {(r.a, r.b): (r.ph_distance, r.dh_distance, r.same_md5, r.n_a, r.n_b) for r in similarity.image_duplicates(classes, 3).collect()}
+    assert got == {(1, 1): (0, 0, True, 2, 2), (3, 3): (0, 0, True, 2, 2), (5, 5): (0, 0, False, 2, 2), (7, 7): (64, 64, False, 2, 2), (1, 5): (0, 0, False, 2, 2), (1, 3): (1, 0, False, 2, 2), (3, 5): (1, 0, False, 2, 2),
+                   (1, 9): (3, 0, False, 2, 1), (5, 9): (3, 0, False, 2, 1)}
 
 
 def test_markdown_and_json_sources(spark, tmp_path):
