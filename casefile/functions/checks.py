@@ -62,10 +62,19 @@ def dimension_verdict(width: Column, height: Column, least: int = 10, most: int
     return F.when(F.least(width, height) < least, "too_small").when(F.greatest(width, height) > most, "too_large").otherwise("ok")
 
 
+def repeatable(status: int | str | None, message: str) -> bool:
+    """The rule of :func:`transient` for one error; a status that is no number says nothing."""
+    code = status if isinstance(status, int) else 0
+    refused = code in PERMANENT_STATUS or any(mark in message.lower() for mark in PERMANENT_MARKERS)
+    return code == 429 or code >= 500 or not refused
+
+
 def transient(status: Column, message: Column) -> Column:
-    """Whether a failed call is worth repeating: by status, else unless the message marks it permanent."""
-    marked = F.exists(F.array(*map(F.lit, PERMANENT_MARKERS)), lambda m: F.contains(F.lower(F.coalesce(message, F.lit(""))), m))
-    return F.when((status == 429) | (status >= 500), True).when(status.isin(*PERMANENT_STATUS), False).otherwise(~marked)
+    """Whether a failed call is worth repeating: a busy or broken server always, else unless status or message refuse."""
+    text = F.lower(F.coalesce(message, F.lit("")))
+    code = F.coalesce(status, F.lit(0))
+    refused = code.isin(*PERMANENT_STATUS) | F.exists(F.array(*map(F.lit, PERMANENT_MARKERS)), lambda mark: F.contains(text, mark))
+    return (code == 429) | (code >= 500) | ~refused
 
 
 def run_status(success: Column, failed: Column) -> Column:

@@ -146,13 +146,31 @@ def copy_verdict(pairs: Column) -> Column:
     return F.when(pairs >= 3, "suspeito").when(pairs >= 1, "inconclusivo").otherwise("sem_indicios")
 
 
-def widest_angle(df: DataFrame, image: str, angles: str) -> DataFrame:
-    """``(image, max_gap, verdict)``: the largest circular gap between any two angles of an array, which
-    holds one image's few regions."""
-    a = F.col(angles)
-    gap = F.array_max(F.flatten(F.transform(a, lambda x: F.transform(a, lambda y: angle_gap(x, y)))))
-    verdict = F.when(F.size(a) < 2, "inconclusivo").when(gap > 50, "inconsistente").when(gap > 25, "inconclusivo").otherwise("consistente")
-    return df.select(F.col(image).alias("image"), gap.alias("max_gap"), verdict.alias("verdict"))
+def widest_angle(rows: DataFrame, image: str, angle: str) -> DataFrame:
+    """``(image, max_gap, verdict)``: the largest circular gap between any two of an image's angles (degrees), a row each;
+    an image whose only row has none stays.
+
+    The widest partner of an angle is one of the two that lie next to its opposite, so angles and opposites
+    are sorted together and no pairs are made. Images are split into sectors of a degree; next to an empty
+    stretch of a sector lies the last angle of the sector before it, or the first of the one after."""
+    own = rows.select(F.col(image).alias("image"), F.pmod(F.col(angle).cast("double"), F.lit(360.0)).alias("a"))
+    turned = F.pmod(F.col("a") + 180, F.lit(360.0))
+    sectors = own.filter("a is not null").groupBy("image", F.floor("a").cast("int").alias("sector")).agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    sectors = sectors.groupBy("image").agg(F.collect_list(F.struct("sector", "low", "high")).alias("sectors"))  # 360 at most
+    points = own.filter("a is not null").select("image", "a", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("a").alias("v")), F.struct(F.lit(False).alias("own"), turned.alias("v")))).alias("p"))
+    points = points.select("image", "a", "p.*", F.floor("p.v").cast("int").alias("sector"))
+    here, at = Window.partitionBy("image", "sector"), F.when(F.col("own"), F.col("v"))
+    beside = lambda order: F.last(at, ignorenulls=True).over(here.orderBy(order, F.desc("own")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = points.withColumn("below", beside(F.asc("v"))).withColumn("above", beside(F.desc("v"))).filter(~F.col("own"))
+    near = placed.join(sectors, "image")
+    others = lambda pick: F.filter("sectors", pick)
+    highs, lows = (lambda s: F.array_max(F.transform(s, lambda x: x["high"]))), (lambda s: F.array_min(F.transform(s, lambda x: x["low"])))
+    below = F.coalesce("below", highs(others(lambda x: x["sector"] < F.col("sector"))), highs(F.col("sectors")))
+    above = F.coalesce("above", lows(others(lambda x: x["sector"] > F.col("sector"))), lows(F.col("sectors")))
+    gaps = near.groupBy("image").agg(F.max(F.greatest(angle_gap(F.col("a"), below), angle_gap(F.col("a"), above))).alias("max_gap"), F.count("*").alias("n"))
+    every = own.groupBy("image").agg(F.count("a").alias("_")).select("image").join(gaps, "image", "left")
+    verdict = F.when(F.coalesce("n", F.lit(0)) < 2, "inconclusivo").when(F.col("max_gap") > 50, "inconsistente").when(F.col("max_gap") > 25, "inconclusivo").otherwise("consistente")
+    return every.select("image", "max_gap", verdict.alias("verdict"))
 
 
 def nearest(docs: DataFrame, query: list[float], id_col: str, vector_col: str, k: int = 5) -> DataFrame:

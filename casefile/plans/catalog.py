@@ -763,11 +763,11 @@ def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n_regionkey AS "group", min(n_nationkey) AS first, count(*) AS n, string_agg('### report_' || i || chr(10) || n_name, chr(10) || chr(10) ORDER BY n_nationkey) AS body
-FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) GROUP BY n_regionkey
+SELECT o_orderstatus AS "group", min(o_orderkey) OVER (PARTITION BY o_orderstatus) AS first, count(*) OVER (PARTITION BY o_orderstatus) AS n, i AS pos, '### report_' || i || chr(10) || o_orderpriority AS section
+FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS i FROM orders)
 """)
 def report_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.consolidated(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "n_name").withColumnRenamed("n_regionkey", "group")
+    return reports.consolidated(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey", "o_orderpriority").withColumnRenamed("o_orderstatus", "group")
 
 
 _SQL_BOTH = f"(SELECT id, question || chr(10) || answer AS t FROM ({_SQL_ACCOUNTS}))"
@@ -831,8 +831,7 @@ SELECT s_nationkey AS image, max_gap, CASE WHEN k < 2 THEN 'inconclusivo' WHEN m
 """)
 def shadow_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle = ((F.round("s_acctbal").cast("long") % 360 + 360) % 360).cast("double")
-    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(angle).alias("angles"))
-    return similarity.widest_angle(rows, "s_nationkey", "angles")
+    return similarity.widest_angle(table(spark, sf_dir, "supplier").select("s_nationkey", angle.alias("angle")), "s_nationkey", "angle")
 
 
 @query("""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casefile.functions import checks
 from casefile.operators import incremental, records, rollup, similarity, summaries
+from casefile.operators.numbering import numbered
 from casefile.plans.catalog import _SQL_CLASSES, _files, query, table
 from casefile.sinks import documents
 from casefile.sources.exif import quality_tags
@@ -76,10 +77,7 @@ def map_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events")
 def newest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    ordered = records.newest_first(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "ts")
-    return ordered.withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), "event_id"))).drop("ts")
+    return numbered(table(spark, sf_dir, "events").select("event_id", "ts"), [F.desc("ts"), F.asc("event_id")], "place", 1).drop("ts")
 
 
 @query("""
@@ -148,21 +146,21 @@ def exif_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT n_name, n_regionkey, n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation)
+WITH r AS (SELECT c_name, c_nationkey, c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer)
 SELECT 0 AS part, 0::BIGINT AS pos, '<!DOCTYPE html><html lang="pt-BR"><head><meta charset="UTF-8"><title>Relatório Consolidado - ' || count(*) || ' análises</title></head><body><h1>Relatório Consolidado</h1><ul>' AS html FROM r
-UNION ALL SELECT 1, pos, '<li><a href="#report_' || pos || '">' || n_name || ' (m&amp;)</a></li>' FROM r UNION ALL SELECT 2, 0, '</ul>'
-UNION ALL SELECT 3, pos, '<div id="report_' || pos || '" class="report"><h2>' || n_name || '</h2><p>m&amp; geral ' || printf('%.2f', n_regionkey::DOUBLE) || ' s</p><details><summary>OCR (' || length(repeat(n_name, 100)) || ')</summary><pre>' || left(repeat(n_name, 100), 500) || '...</pre></details><div>a<br>b</div></div>' FROM r
+UNION ALL SELECT 1, pos, '<li><a href="#report_' || pos || '">' || c_name || ' (m&amp;)</a></li>' FROM r UNION ALL SELECT 2, 0, '</ul>'
+UNION ALL SELECT 3, pos, '<div id="report_' || pos || '" class="report"><h2>' || c_name || '</h2><p>m&amp; geral ' || printf('%.2f', c_nationkey::DOUBLE) || ' s</p><details><summary>OCR (' || length(repeat(c_name, 100)) || ')</summary><pre>' || left(repeat(c_name, 100), 500) || '...</pre></details><div>a<br>b</div></div>' FROM r
 UNION ALL SELECT 4, 0, '</body></html>'
 """)
 def report_consolidated_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit("m&").alias("model"), F.lit("geral").alias("mode"), F.col("n_regionkey").alias("s"), F.repeat("n_name", F.lit(100)).alias("ocr"), F.lit("a\nb").alias("analysis"))
-    return documents.consolidated_html(rows, "n_nationkey", "n_name", "model", "mode", "s", "ocr", "analysis")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit("m&").alias("model"), F.lit("geral").alias("mode"), F.col("c_nationkey").alias("s"), F.repeat("c_name", F.lit(100)).alias("ocr"), F.lit("a\nb").alias("analysis"))
+    return documents.consolidated_html(rows, "c_custkey", "c_name", "model", "mode", "s", "ocr", "analysis")
 
 
 @query("""
-SELECT 0 AS part, 0::BIGINT AS pos, '{"metadata":{"total_reports":' || count(*) || '},"reports":[' AS json FROM nation
-UNION ALL SELECT 1, p, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","none":null}' || CASE WHEN p + 1 < (SELECT count(*) FROM nation) THEN ',' ELSE '' END FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation)
+SELECT 0 AS part, 0::BIGINT AS pos, '{"metadata":{"total_reports":' || count(*) || '},"reports":[' AS json FROM customer
+UNION ALL SELECT 1, p, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","none":null}' || CASE WHEN p + 1 < (SELECT count(*) FROM customer) THEN ',' ELSE '' END FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer)
 UNION ALL SELECT 2, 0, ']}'
 """)
 def report_consolidated_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.consolidated_json(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none")), "n_nationkey")
+    return documents.consolidated_json(table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit(None).cast("string").alias("none")), "c_custkey")

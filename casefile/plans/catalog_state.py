@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casefile.operators.cache_log import CLEAR, PUT, REMOVE, CacheLog
 from casefile.operators.knn_index import VectorIndex
 from casefile.plans.catalog import _SQL_DISTANCE, query, table
 from casefile.sources.scratch import scratch_path
@@ -41,3 +42,25 @@ def knn_indexed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double") / 10
     price = F.col("o_totalprice").cast("double") / 1000
     return _indexed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array(price, F.col("o_custkey").cast("double") / 10, day).alias("embedding")), 7)
+
+
+# --- cache ----------------------------------------------------------------------------------------
+
+
+@query("""
+WITH c AS (SELECT CASE WHEN event_id % 1000 = 77 THEN NULL ELSE user_id::VARCHAR END AS key, event_id % 3 AS batch, event_id AS seq,
+    CASE WHEN event_id % 1000 = 77 THEN 'clear' WHEN event_id % 5 = 0 THEN 'remove' ELSE 'put' END AS op, event_id AS value FROM events),
+l AS (SELECT key, row(batch, seq) AS place, op, value FROM c WHERE key IS NOT NULL AND row(batch, seq) > coalesce((SELECT max(row(batch, seq)) FROM c WHERE op = 'clear'), row(-1, -1)))
+SELECT key, max(value) FILTER (place = newest) AS value FROM (SELECT *, max(place) OVER (PARTITION BY key) AS newest FROM l) WHERE place = newest AND op = 'put' GROUP BY key
+""")
+def cache_log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of changes, a replay of the second, and a compaction between them."""
+    n = F.col("event_id")
+    op = F.when(n % 1000 == 77, CLEAR).when(n % 5 == 0, REMOVE).otherwise(PUT)
+    changes = table(spark, sf_dir, "events").select(F.when(n % 1000 != 77, F.col("user_id").cast("string")).alias("key"), n.alias("seq"), op.alias("op"), n.alias("value"))
+    log = CacheLog(spark, scratch_path(spark, "cache"), "bigint")
+    for batch in (0, 1, 1, 2):
+        log.apply(batch, changes.filter(n % 3 == batch))
+        if batch == 1:
+            log.compact()
+    return log.entries()

@@ -1,7 +1,7 @@
 """Reports as Word and PDF files, made in tasks from Markdown blocks with the standard library alone.
 
 A document is a list of blocks (kind, content), as ``records.markdown_blocks`` gives them: h1, h2, h3,
-paragraph, bullet, code, table. Tasks return the files' bytes as rows; :func:`write_files` streams
+paragraph, bullet, code, table. Tasks return the files' bytes as rows; ``file_writer`` writes
 them into a folder of any file system that Spark knows, one file at a time.
 """
 
@@ -17,9 +17,9 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from casefile.functions.text import xml_escaped
+from casefile.operators.numbering import numbered
 
 Block = tuple[str, str]
 
@@ -157,27 +157,9 @@ def blocks_of(rows: DataFrame, id_col: str, block: str = "block") -> DataFrame:
     return rows.groupBy(id_col).agg(F.transform(own, lambda b: F.struct(b["kind"].alias("kind"), b["content"].alias("content"))).alias("blocks"))
 
 
-def write_files(files: DataFrame, folder: str) -> list[str]:
-    """Write ``(name, content)`` as files below a folder and return their paths. The driver holds one
-    partition at a time."""
-    spark = files.sparkSession
-    jvm, conf, done = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for row in files.toLocalIterator():
-        where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['name']}")
-        stream = where.getFileSystem(conf).create(where, True)
-        try:
-            stream.write(bytes(row["content"]))
-        finally:
-            stream.close()
-        done.append(f"{folder}/{row['name']}")
-    return done
-
-
 def _numbered(reports: DataFrame, order: str, name: str = "pos") -> DataFrame:
-    """``reports`` with their number from 0 by ``order``, which differs between rows. Only that column meets in
-    one task: the reports themselves stay where they are or are merged by it."""
-    keys = reports.select(order).withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
-    return reports.join(keys, order)
+    """``reports`` with their number from 0 by ``order``, which differs between rows; the reports stay apart from the numbering."""
+    return reports.join(numbered(reports.select(order), [F.col(order)], name), order)
 
 
 def consolidated_html(reports: DataFrame, order: str, name: str, model: str, mode: str, seconds: str, ocr: str, analysis: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casefile.functions.text import or_placeholder, sanitized_filename, xml_escaped
+from casefile.operators.numbering import numbered
 
 EMPTY = "Não disponível."
 MARKDOWN, JSON, HTML = "md", "json", "html"
@@ -56,11 +57,15 @@ def export(df: DataFrame, folder: str, name_col: str, texts: dict[str, str]) ->
 
 
 def consolidated(df: DataFrame, group: str, order: str, text: str, most: int = 3000) -> DataFrame:
-    """One row per group in first-seen order: its texts, each cut to ``most``, under numbered anchors."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.left(F.col(text), F.lit(most)).alias("t"))))
-    grouped = df.groupBy(group).agg(F.min(order).alias("first"), F.count("*").alias("n"), rows.alias("r"))
-    body = F.array_join(F.transform(F.col("r"), lambda x, i: F.concat(F.lit("### report_"), (i + 1).cast("string"), F.lit("\n"), F.coalesce(x["t"], F.lit("")))), "\n\n")
-    return grouped.select(group, "first", "n", body.alias("body")).orderBy("first")
+    """``(group, first, n, pos, section)``, a row for each report: its text, cut to ``most``, under an anchor numbered from 1
+    within the group; groups come in the order of ``first``, sections in that of ``pos``. A group is never one row,
+    so it may be of any size. ``order`` differs between rows."""
+    rows = df.select(F.col(group).alias("group"), F.col(order).alias("order"), F.left(F.coalesce(F.col(text), F.lit("")), F.lit(most)).alias("text"))
+    placed = numbered(rows, [F.asc("group"), F.asc("order")], "place")
+    groups = placed.groupBy("group").agg(F.min("order").alias("first"), F.count("*").alias("n"), F.min("place").alias("from"))
+    pos = F.col("place") - F.col("from") + 1
+    both = placed.join(groups.withColumnRenamed("group", "_g"), F.col("group").eqNullSafe(F.col("_g")))
+    return both.select(F.col("group").alias(group), "first", "n", pos.alias("pos"), F.concat(F.lit("### report_"), pos.cast("string"), F.lit("\n"), F.col("text")).alias("section"))
 
 
 def batch_markdown(counts: DataFrame, tables: dict[str, DataFrame], first: int = 20) -> str:

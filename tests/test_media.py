@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casefile.operators import images, preprocess, recompression, records
-from casefile.sinks import documents
+from casefile.sinks import file_writer, documents, file_writer
 from casefile.sources import clients, files
 
 rng = np.random.default_rng(4)
@@ -240,9 +240,9 @@ def test_documents_of_markdown(spark, tmp_path):
     blocks = documents.blocks_of(records.markdown_blocks(rows, "id", "md"), "id")
     for form, magic in (("docx", b"PK"), ("pdf", b"%PDF")):
         made = documents.rendered(blocks, "id", "blocks", form)
-        paths = documents.write_files(made, f"file://{tmp_path}/out")
-        assert sorted(p.rsplit("/", 1)[1] for p in paths) == [f"one.{form}", f"two.{form}"]
-        assert all((tmp_path / "out" / p.rsplit("/", 1)[1]).read_bytes().startswith(magic) for p in paths)
+        file_writer.write_files(made, f"file://{tmp_path}/{form}")
+        paths = sorted((tmp_path / form).glob("part-*/*"))
+        assert [p.name for p in paths] == [f"one.{form}", f"two.{form}"] and all(p.read_bytes().startswith(magic) for p in paths)
     assert documents.rendered(blocks.limit(0), "id", "blocks", "pdf").count() == 0
 
 
