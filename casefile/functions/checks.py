@@ -8,22 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casefile.functions.lexicon import CNPJ_WEIGHTS, PERMANENT_MARKERS, PERMANENT_STATUS
+from casefile.functions.text import bound
 
 
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9]", "")
 
 
-def _mod11(d: Column, weights: Sequence[int]) -> Column:
-    total = sum((F.substring(d, i + 1, 1).try_cast("int") * w for i, w in enumerate(weights)), F.lit(0))
-    return F.when(total % 11 < 2, 0).otherwise(11 - total % 11)
+def _checked(c: Column, size: int, weights: Sequence[Sequence[int]]) -> Column:
+    """As many digits as told, not all the same, the last two being the check digits of those before them."""
 
+    def check(n: Column, own: Sequence[int]) -> Column:
+        table = F.array(*(F.lit(w) for w in own))
+        total = F.aggregate(F.zip_with(F.slice(n, 1, F.lit(len(own))), table, lambda x, w: x * w), F.lit(0), lambda s, x: s + x)
+        return bound(total % 11, lambda r: F.when(r < 2, 0).otherwise(11 - r)) == n[len(own)]
 
-def _checked(c: Column, size: int, weights: Sequence[Sequence[int]]) -> Column:
-    d = digits(c)
-    same = d == F.repeat(F.substring(d, 1, 1), F.lit(size))
-    ends = [F.substring(d, len(w) + 1, 1).try_cast("int") == _mod11(d, w) for w in weights]
-    return (F.length(d) == size) & ~same & F.coalesce(ends[0] & ends[1], F.lit(False))
+    def tested(d: Column) -> Column:
+        numbers = F.transform(F.split(d, "", size), lambda x: x.cast("int"))
+        same = d == F.repeat(F.substring(d, 1, 1), F.lit(size))
+        ends = bound(numbers, lambda n: check(n, weights[0]) & check(n, weights[1]))
+        return F.when((F.length(d) == size) & ~same, ends).otherwise(F.when(d.isNotNull(), False))
+
+    return bound(digits(c), tested)
 
 
 def valid_cpf(c: Column) -> Column:

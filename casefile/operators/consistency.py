@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casefile.functions.lexicon import STOPWORDS, WORD_LETTERS
-from casefile.operators.entities import entity_array
+from casefile.functions.text import bound
+from casefile.operators.entities import normalized_values
 
 
 def significant_words(text: Column) -> Column:
@@ -17,24 +18,31 @@ def significant_words(text: Column) -> Column:
 
 def consistency(first: Column, second: Column, entities: bool = True) -> Column:
     """Struct (score, inconsistencies (sorted), verdict). A text that is empty or a ``[status]``, and
-    one without significant words, are not judged."""
-    words = significant_words(first)
-    low = F.lower(second)
-    share = F.size(F.filter(words, lambda w: F.contains(low, w))) / F.size(words)
-    numbers = F.array_distinct(F.regexp_extract_all(first, F.lit(r"(?U)\b\d{3,}\b"), F.lit(0)))
-    odd = F.transform(F.filter(numbers, lambda n: ~F.contains(second, n)), lambda n: F.concat(F.lit("number:"), n))
-    if entities:
-        values = lambda t: F.transform(entity_array(t), lambda e: e["normalized"])
-        gone = F.array_except(values(first), values(second))
-        odd = F.concat(odd, F.transform(gone, lambda v: F.concat(F.lit("entity:"), v)))
-    odd = F.array_sort(odd)
-    skip = F.coalesce((first == "") | first.startswith("[") | (second == "") | (F.size(words) == 0), F.lit(True)) | second.isNull()
-    verdict = F.when((share >= 0.7) & (F.size(odd) <= 1), "consistente").when(share >= 0.4, "parcialmente_consistente").otherwise("inconsistente")
+    one without significant words, are not judged. Words, entities and differences are found once each."""
     none = F.array().cast("array<string>")
-    return F.struct(
-        F.when(skip, F.lit(0.0)).otherwise(share).alias("score"), F.when(skip, none).otherwise(odd).alias("inconsistencies"),
-        F.when(skip, "nao_avaliado").otherwise(verdict).alias("verdict"),
-    )
+
+    def found(a: Column, b: Column) -> Column:
+        numbers = F.array_distinct(F.regexp_extract_all(a, F.lit(r"(?U)\b\d{3,}\b"), F.lit(0)))
+        odd = F.transform(F.filter(numbers, lambda n: ~F.contains(b, n)), lambda n: F.concat(F.lit("number:"), n))
+        if entities:
+            gone = F.array_except(normalized_values(a), normalized_values(b))
+            odd = F.concat(odd, F.transform(gone, lambda v: F.concat(F.lit("entity:"), v)))
+        share = bound(F.struct(significant_words(a).alias("w"), F.lower(b).alias("low")), lambda x: F.size(F.filter(x["w"], lambda w: F.contains(x["low"], w))) / F.nullif(F.size(x["w"]), F.lit(0)))
+        return F.struct(F.array_sort(odd).alias("odd"), share.alias("share"))
+
+    def judged(x: Column) -> Column:
+        verdict = F.when((x["share"] >= 0.7) & (F.size(x["odd"]) <= 1), "consistente").when(x["share"] >= 0.4, "parcialmente_consistente").otherwise("inconsistente")
+        fit = x["share"].isNotNull()
+        return F.struct(
+            F.coalesce(x["share"], F.lit(0.0)).alias("score"), F.when(fit, x["odd"]).otherwise(none).alias("inconsistencies"), F.when(fit, verdict).otherwise("nao_avaliado").alias("verdict")
+        )
+
+    def compared(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        skip = (a == "") | a.startswith("[") | (b == "") | b.isNull()
+        return bound(F.when(F.coalesce(~skip, F.lit(False)), found(a, b)).otherwise(F.struct(none.alias("odd"), F.lit(None).cast("double").alias("share"))), judged)
+
+    return bound(F.struct(first.alias("a"), second.alias("b")), compared)
 
 
 def compare(df: DataFrame, first: str, second: str, entities: bool = True) -> DataFrame:

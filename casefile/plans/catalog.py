@@ -159,6 +159,12 @@ def entity_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("type", "n", rollup.with_rest(F.col("values"), F.col("n"), ",").alias("shown"))
 
 
+def _mod11(d: Column, weights) -> Column:
+    """The check digit of leading digits, a column of the made texts."""
+    total = sum((F.substring(d, i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0))
+    return F.when(total % 11 < 2, 0).otherwise(11 - total % 11)
+
+
 @query(f"""
 WITH o AS (SELECT o_orderkey AS id, lpad((o_orderkey * 104729 + o_custkey * 7919)::VARCHAR, 9, '0') AS b FROM orders),
 p AS (SELECT id, substr(b, 1, 9) AS b FROM o),
@@ -170,7 +176,7 @@ def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     b = F.substring(F.lpad((F.col("o_orderkey") * 104729 + F.col("o_custkey") * 7919).cast("string"), 9, "0"), 1, 9)
     rows = o.select(F.col("o_orderkey").alias("id"), b.alias("b"))
-    rows = rows.withColumn("cpf", F.concat("b", checks._mod11(F.col("b"), range(10, 1, -1)).cast("string"), (F.col("id") % 10).cast("string"))).withColumn("cnpj", F.lpad("b", 14, "1"))
+    rows = rows.withColumn("cpf", F.concat("b", _mod11(F.col("b"), range(10, 1, -1)).cast("string"), (F.col("id") % 10).cast("string"))).withColumn("cnpj", F.lpad("b", 14, "1"))
     return rows.select("id", "cpf", checks.valid_cpf(F.col("cpf")).alias("cpf_valid"), "cnpj", checks.valid_cnpj(F.col("cnpj")).alias("cnpj_valid"))
 
 

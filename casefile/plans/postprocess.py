@@ -11,11 +11,11 @@ from casefile.operators import classify, consistency, entities, timeline
 
 def process(df: DataFrame, id_col: str, ocr: str, llm: str, exif: str) -> DataFrame:
     """``(id, normalized_text, entities, classification, validation)`` without any shuffle."""
-    o, m = (F.coalesce(F.col(c), F.lit("")) for c in (ocr, llm))
-    both = F.concat(o, F.lit("\n"), m)
-    return df.select(
-        F.col(id_col), normalized(o).alias("normalized_text"), entities.entity_array(both).alias("entities"),
-        classify.classification(both).alias("classification"), consistency.consistency(o, m).alias("validation"),
+    texts = df.select(F.col(id_col), F.coalesce(F.col(ocr), F.lit("")).alias("_o"), F.coalesce(F.col(llm), F.lit("")).alias("_m"))
+    both = F.concat(F.col("_o"), F.lit("\n"), F.col("_m"))
+    return texts.select(
+        id_col, normalized(F.col("_o")).alias("normalized_text"), entities.entity_array(both).alias("entities"),
+        classify.classification(both).alias("classification"), consistency.consistency(F.col("_o"), F.col("_m")).alias("validation"),
     )
 
 
