@@ -27,8 +27,6 @@ from casefile.llm.store import by_count, cleared, deleted, dropped, new_path, wr
 MAGIC = b"WARC/1."
 END = "\r\n\r\n"
 MIN_REVISIT_BYTES = 100
-#: Bytes up to which a head that magics within it have cut is put together: a longer one does not parse.
-MOST_HEAD = 1 << 20
 #: Bytes of payload in a batch that leaves Python, but for a single larger one.
 BATCH_BYTES = 16 << 20
 _HEAD = re.compile(rb"[0-9]\r\n((?:[^\r\n]+\r\n)+)\r\n")
@@ -100,47 +98,93 @@ def _after(rel: int, found: tuple[int, int, list] | None) -> int:
     return rel + len(MAGIC) + found[0] + found[1] + len(END) if found else -1 << 40
 
 
+class _OpenHeads:
+    """Heads that magics within them have cut, while they wait for their blank line; each byte is looked at once.
+
+    They all end at the same blank line, so of what follows only the last Content-Length and its place are
+    kept. A line that a magic cuts cannot hold a number, whatever its name."""
+
+    def __init__(self) -> None:
+        self.rels: list[int] = []
+        self.length: tuple[int, int | None] = (-1, None)  # place of the last such line, and its number
+        self.cut = False  # the line in progress is a Content-Length that a magic cuts
+
+    def opened(self, rel: int, piece: bytes) -> None:
+        """A head whose version line and first lines are ``piece``, up to a magic."""
+        self.rels.append(rel)
+        self._lines(piece[3:], rel + len(MAGIC) + 3)
+
+    def _lines(self, data: bytes, at: int) -> None:
+        for line in data.split(b"\r\n")[:-1]:
+            self._line(line, at)
+            at += len(line) + 2
+        name, colon, _ = data[data.rfind(b"\r\n") + 2 if b"\r\n" in data else 0 :].partition(b":")
+        self.cut = bool(colon) and name.strip().lower() == b"content-length"
+        if self.cut:
+            self.length = at, None
+
+    def _line(self, line: bytes, at: int) -> None:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length":
+            digits = value.strip()
+            self.length = at, int(digits) if digits.isdigit() else None
+
+    def follow(self, rel: int, piece: bytes) -> list[tuple[int, int]]:
+        """(rel, successor) of the heads that the piece after the magic at ``rel`` settles; those before it."""
+        end = piece.find(END.encode())
+        part = piece[: end + 2] if end >= 0 else piece
+        lines = part.count(b"\r\n")
+        if lines != part.count(b"\r") or lines != part.count(b"\n"):
+            return self.settled(None)
+        first = part.find(b"\r\n") + 2
+        if first > 1:  # the line in progress ends here; others follow
+            self.cut = False
+            self._lines(part[first:], rel + len(MAGIC) + first)
+        return self.settled(rel + len(MAGIC) + end + len(END)) if end >= 0 else []
+
+    def settled(self, end: int | None) -> list[tuple[int, int]]:
+        at, number = self.length
+        out = [(rel, end + number + len(END) if end is not None and number is not None and at >= rel + len(MAGIC) + 3 else _after(rel, None)) for rel in self.rels]
+        self.__init__()
+        return out
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, block, rel, size, after) of every piece between magics; rel and after, its successor, count from
-    the split's first byte. Of the pieces only heads that a magic has cut are kept, until they end."""
+    the split's first byte. Of a head that magics have cut only numbers are kept until it ends."""
     key, pos, rows = None, 0, []
-    waiting: list[tuple[int, int, int]] = []  # (rel, size, first piece) of open heads
-    held: list[bytes] = []
+    heads, sizes = _OpenHeads(), {}
 
     def batch_of() -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [()] * 5
         rows.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["file", "block", "rel", "size", "after"])
 
-    def settle(data: list[bytes]) -> None:
-        rows.extend((*key, rel, size, _after(rel, _parsed(MAGIC.join(data[at:])))) for rel, size, at in waiting)
-        waiting.clear()
-        held.clear()
+    def settle(found: list[tuple[int, int]]) -> None:
+        rows.extend((*key, rel, sizes.pop(rel), after) for rel, after in found)
 
     for batch in batches:
         for file, block, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (file, block) != key:
-                if key:
-                    settle(held)
+                settle(heads.settled(None))
                 key, pos = (file, block), 0
             rel, size = pos - len(MAGIC), len(piece)
             pos += size + len(MAGIC)
-            if waiting:
-                held.append(piece)
+            if heads.rels:
+                settle(heads.follow(rel, piece))
             if rel < 0 and block == 0:  # the bytes before a file's first magic are no candidate
                 rows.append((*key, rel, size, _after(rel, None)))
             elif _OPEN.match(piece):
-                if not waiting:
-                    held.append(piece)
-                waiting.append((rel, size, len(held) - 1))
+                sizes[rel] = size
+                if heads.rels:  # its lines are part of those that the heads before it wait through
+                    heads.rels.append(rel)
+                else:
+                    heads.opened(rel, piece)
             else:
                 rows.append((*key, rel, size, _after(rel, _parsed(piece))))
-            if waiting and (END.encode() in piece or sum(map(len, held)) > MOST_HEAD):
-                settle(held)
             if len(rows) >= 1 << 16:
                 yield batch_of()
-    if key:
-        settle(held)
+    settle(heads.settled(None))
     yield batch_of()
 
 
@@ -202,8 +246,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """``(file, offset, headers, payload)`` of every record that a chain from its file's start reaches.
 
     Header names are lower-case; of repeated ones the last counts. A chain ends at a head that does
-    not parse (also where a magic within it stands across two splits, or one of over 1 MiB that magics
-    cut) or a length that leads to no record; what follows it in that file is not returned. Empty files
+    not parse (also where a magic within it stands across two splits) or a length that leads to no record; what follows it in that file is not returned. Empty files
     and a file that does not begin with a record give no rows. Null, repeated and tied records do not
     exist in files; payloads of any length come back whole. The files are read again when the result is,
     by splits as now: an error tells if the session's split size has changed meanwhile.

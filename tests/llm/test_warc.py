@@ -89,3 +89,39 @@ def test_magic_in_urls(spark, tmp_path):
     (tmp_path / "other.warc").write_bytes(raw)  # of a writer that leaves the magic as it is
     found = sorted(warc.read_warc(spark, str(tmp_path / "other.warc")).collect(), key=lambda r: r.offset)
     assert [(r.headers["warc-target-uri"], bytes(r.payload)) for r in found] == [(u.strip(), f"ab{i:02}".encode()) for i, u in enumerate(urls)]
+
+
+def test_open_heads_in_linear_time():
+    """One payload that looks like the start of a head over and over, far longer than any head that is real."""
+    import time
+
+    import pyarrow as pa
+
+    data = b"WARC/1.1\r\nfoo: " * 70_000 + b"x\r\nContent-Length: 5\r\n\r\n"
+    pieces = data.split(warc.MAGIC)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(pieces)), pa.array([0] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["file", "block", "piece"])
+    began = time.perf_counter()
+    rows = [r for b in warc._cut(iter([batch.slice(0, 1000), batch.slice(1000)])) for r in b.to_pylist()]
+    assert time.perf_counter() - began < 20
+    assert len(rows) == 70_001 and {r["after"] for r in rows if r["rel"] >= 0} == {len(data) + 5 + 4}  # all end where the blank line says
+    # the first head is one record whose headers hold all the others
+    assert min(r["rel"] for r in rows if r["rel"] >= 0) == 0
+
+
+def test_heads_that_magics_cut():
+    import random
+
+    import pyarrow as pa
+
+    own = random.Random(3)
+    parts = [b"WARC/1.1\r\n", b"WARC/1.", b"foo: x\r\n", b"Content-Length: 12\r\n", b"content-length: a\r\n", b"Content-Length: ", b"\r\n", b"\r\n\r\n", b"\r", b"\n", b"abc", b"1\r\n", b"Content-Length:WARC/1.1\r\n", b"5"]
+    for _ in range(3000):
+        data = b"WARC/1.1\r\n" + b"".join(own.choices(parts, k=own.randint(1, 14)))
+        pieces = data.split(warc.MAGIC)
+        batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(pieces)), pa.array([0] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["file", "block", "piece"])
+        got = {r["rel"]: r["after"] for b in warc._cut(iter([batch])) for r in b.to_pylist() if r["rel"] >= 0}
+        at = 0
+        for n, piece in enumerate(pieces[1:], 1):  # the head as it would be read with everything behind it
+            rel = at + len(pieces[0])
+            assert got[rel] == warc._after(rel, warc._parsed(warc.MAGIC.join(pieces[n:]))), data
+            at += len(warc.MAGIC) + len(piece)
