@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from casefile.operators.images import quality_numbers, rgb
+from casefile.operators.jpeg import encoded
 
 # Light below and above which an image is corrected, and the bounds of the correction.
 DARK, LIGHT, LEAST_FACTOR, MOST_FACTOR = 0.3, 0.7, 0.5, 2.0
@@ -151,9 +152,9 @@ def png(x: np.ndarray) -> bytes:
 STEPS = ("rotate", "deskew", "enhance", "denoise", "upscale")
 
 
-def prepared(images: DataFrame, steps: tuple[str, ...] = STEPS, most: int | None = 2048, orientation: str | None = None) -> DataFrame:
+def prepared(images: DataFrame, steps: tuple[str, ...] = STEPS, most: int | None = 2048, orientation: str | None = None, form: str = "png", quality: int = 90) -> DataFrame:
     """``(path, width, height, was_rotated, was_enhanced, content)`` per image of Spark's ``image`` source: the
-    asked steps in their fixed order, flattened on white, at most ``most`` pixels on the longer side, as PNG.
+    asked steps in their fixed order, flattened on white, at most ``most`` pixels on the longer side, as ``png`` or ``jpeg``.
     ``orientation``: a column with the EXIF orientation; null or unknown: upright."""
 
     def each(frames):
@@ -169,7 +170,7 @@ def prepared(images: DataFrame, steps: tuple[str, ...] = STEPS, most: int | None
                 x = denoised(x) if "denoise" in steps else x
                 x = enlarged(x) if "upscale" in steps else x
                 x = thumbnail(x, most) if most else x
-                rows.append((r.origin, x.shape[1], x.shape[0], turn != 1, lit, png(x)))
+                rows.append((r.origin, x.shape[1], x.shape[0], turn != 1, lit, png(x) if form == "png" else encoded(np.clip(x, 0, 255), quality)))
             yield pd.DataFrame(rows, columns=["path", "width", "height", "was_rotated", "was_enhanced", "content"])
 
     turn = f"cast({orientation} as int) as turn" if orientation else "cast(null as int) as turn"

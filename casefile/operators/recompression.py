@@ -33,32 +33,57 @@ _DCT = np.where(_K == 0, np.sqrt(1 / 8), np.sqrt(2 / 8) * np.cos(np.pi * _K * (2
 _YCC = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
 
 
-def _table(base: np.ndarray, quality: int) -> np.ndarray:
+def table(base: np.ndarray, quality: int) -> np.ndarray:
     scale = 5000 / quality if quality < 50 else 200 - 2 * quality
     return np.clip((base * scale + 50) // 100, 1, 255)
 
 
-def _rounded(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A plane after its blocks' coefficients are multiples of the table's."""
+def coefficients(plane: np.ndarray, quantized: np.ndarray) -> np.ndarray:
+    """Rounded coefficients of a plane's 8 x 8 blocks, by row and column of blocks; the last ones repeat the edge."""
     h, w = plane.shape
     x = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
     blocks = x.reshape(x.shape[0] // 8, 8, -1, 8).transpose(0, 2, 1, 3)
-    found = np.round(_DCT @ blocks @ _DCT.T / table) * table
-    back = (_DCT.T @ found @ _DCT).transpose(0, 2, 1, 3).reshape(x.shape)
+    return np.round(_DCT @ blocks @ _DCT.T / quantized)
+
+
+def _rounded(plane: np.ndarray, quantized: np.ndarray) -> np.ndarray:
+    """A plane after its blocks' coefficients are multiples of the table's."""
+    h, w = plane.shape
+    found = coefficients(plane, quantized) * quantized
+    back = (_DCT.T @ found @ _DCT).transpose(0, 2, 1, 3).reshape(found.shape[0] * 8, -1)
     return np.clip(np.round(back + 128), 0, 255)[:h, :w]
 
 
-def recompressed(x: np.ndarray, quality: int) -> np.ndarray:
-    """RGB pixels as a JPEG of that quality with halved chroma gives them back."""
+def planes(x: np.ndarray) -> list[np.ndarray]:
+    """Luma and the two halved chroma planes of RGB pixels, as whole numbers from 0 to 255."""
     h, w = x.shape[:2]
     ycc = x.astype(np.float64) @ _YCC.T
-    luma = _rounded(np.round(ycc[..., 0]), _table(LUMA, quality))
-    planes = [luma]
+    out = [np.round(ycc[..., 0])]
     for c in (1, 2):
-        even = np.pad(ycc[..., c] + 128, ((0, h % 2), (0, w % 2)), mode="edge")
-        small = np.round(even.reshape(even.shape[0] // 2, 2, -1, 2).mean(axis=(1, 3)))
-        planes.append(_rounded(small, _table(CHROMA, quality)).repeat(2, 0).repeat(2, 1)[:h, :w] - 128)
-    return np.clip(np.round(np.stack(planes, axis=2) @ np.linalg.inv(_YCC).T), 0, 255)
+        even = np.pad(np.round(ycc[..., c] + 128), ((0, h % 2), (0, w % 2)), mode="edge")
+        out.append(np.clip(np.round(even.reshape(even.shape[0] // 2, 2, -1, 2).mean(axis=(1, 3))), 0, 255))
+    return out
+
+
+def _enlarged(small: np.ndarray) -> np.ndarray:
+    """Twice the size both ways, as decoders do it: three parts of the nearer pixel and one of the next, edges repeated;
+    up to two columns are only repeated."""
+    if small.shape[1] <= 2:
+        return small.repeat(2, 0).repeat(2, 1)
+    x = small.astype(np.int64)
+    above, below = np.concatenate([x[:1], x[:-1]]), np.concatenate([x[1:], x[-1:]])
+    rows = np.stack([3 * x + above, 3 * x + below], axis=1).reshape(2 * len(x), -1)
+    left, right = np.concatenate([rows[:, :1], rows[:, :-1]], axis=1), np.concatenate([rows[:, 1:], rows[:, -1:]], axis=1)
+    return np.stack([3 * rows + left + 8 >> 4, 3 * rows + right + 7 >> 4], axis=2).reshape(len(rows), -1).astype(np.float64)
+
+
+def recompressed(x: np.ndarray, quality: int) -> np.ndarray:
+    """RGB pixels as a JPEG of that quality with halved chroma gives them back."""
+    h, w = x.shape[:2]
+    luma, *chroma = planes(x)
+    parts = [_rounded(luma, table(LUMA, quality))]
+    parts += [_enlarged(_rounded(p, table(CHROMA, quality)))[:h, :w] - 128 for p in chroma]
+    return np.clip(np.round(np.stack(parts, axis=2) @ np.linalg.inv(_YCC).T), 0, 255)
 
 
 def error_levels(x: np.ndarray, quality: int = 95) -> tuple[float, float, float, float, list[tuple[int, int, int, int]]]:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casefile.functions.lexicon import CONTEXT_TAGS, DOCUMENT_TYPES, ENTITY_PATTERNS, THREATS
-from casefile.operators import classify, consistency, drawing, entities, incremental
+from casefile.operators import classify, consistency, drawing, entities, incremental, jpeg, recompression
 from casefile.plans import postprocess
 from casefile.sources import checkpoints
 
@@ -45,6 +45,40 @@ def test_heat_and_overlay():
     assert drawing.blended(np.full((2, 2, 3), 10.0), np.full((1, 1, 3), 21), 0.5).tolist() == [[[15] * 3] * 2] * 2
 
 
+# --- JPEG -----------------------------------------------------------------------------------------
+
+
+def test_jpeg_files_are_what_the_kernel_says(spark, tmp_path):
+    rng, sent = np.random.default_rng(1), {}
+    for n, (h, w) in enumerate([(8, 8), (16, 16), (33, 47), (64, 100), (1, 1), (5, 3), (120, 90)]):
+        y, x = np.mgrid[0:h, 0:w]
+        kinds = {
+            "flat": np.full((h, w, 3), [200, 30, 90.0]), "ramp": np.stack([x * 255 / max(1, w - 1), y * 255 / max(1, h - 1), (x + y) % 256], 2),
+            "noise": rng.integers(0, 256, (h, w, 3)), "waves": np.clip(128 + 80 * np.sin(x / 9)[..., None] + rng.normal(0, 5, (h, w, 3)), 0, 255),
+        }
+        for kind, pixels in kinds.items():
+            for quality in (50, 90):
+                sent[f"{n}{kind}{quality}.jpg"] = pixels, quality
+                (tmp_path / f"{n}{kind}{quality}.jpg").write_bytes(jpeg.encoded(pixels, quality))
+    rows = spark.read.format("image").load(str(tmp_path)).select("image.*").collect()
+    assert len(rows) == len(sent)
+    for r in rows:
+        pixels, quality = sent[r.origin.rsplit("/", 1)[1]]
+        got = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, r.nChannels)[..., ::-1].astype(int)
+        gap = np.abs(got - recompression.recompressed(pixels, quality))
+        assert got.shape == pixels.shape and gap.max() <= 3 and gap.mean() <= (0.2 if min(pixels.shape[:2]) >= 8 else 1), r.origin
+
+
+def test_codes_have_at_most_sixteen_bits():
+    counts = np.zeros(256, int)
+    counts[:40] = [2**i for i in range(40)]  # as uneven as can be
+    held, codes, sizes = jpeg._code(counts)
+    assert sum(held[:16]) == 40 and sizes.max() <= 16
+    texts = sorted(f"{codes[s]:0{sizes[s]}b}" for s in range(40))
+    assert all(not b.startswith(a) for a, b in zip(texts, texts[1:], strict=False)) and "1" * max(map(len, texts)) not in texts and not any(set(t) == {"1"} for t in texts)
+    assert jpeg._code(np.eye(1, 256, 7, dtype=int)[0])[2][7] == 1
+
+
 # --- checkpoints ----------------------------------------------------------------------------------
 
 

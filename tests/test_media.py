@@ -48,7 +48,7 @@ def plain_block(block, table):
 def test_recompression_of_gray_blocks_is_the_definition():
     block = rng.integers(0, 256, (8, 8)).astype(float)
     for quality in (95, 75, 40):
-        table = recompression._table(recompression.LUMA, quality)
+        table = recompression.table(recompression.LUMA, quality)
         got = recompression.recompressed(np.repeat(block[..., None], 3, axis=2), quality)
         assert np.abs(got[..., 0] - np.clip(np.round(plain_block(block, table)), 0, 255)).max() <= 1
     x = smooth(33, 41)
