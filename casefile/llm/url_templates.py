@@ -4,7 +4,7 @@ Rules decide first. All other URLs are judged by templates learned from labelled
 that looks variable (digits, hexadecimal, long) is generalised by its shape; a branch of many
 rare children is generalised into a wildcard; sibling branches whose labelled shares do not differ
 significantly are merged into one wildcard. A template is rejected if its purity, the smoothed
-share of good labels, falls below a limit. Templates and statistics are counted over distinct
+share of good labels, is below that of all URLs by more than chance allows. Templates and statistics are counted over distinct
 host-path pairs, so a hot host is pre-aggregated before anything is shuffled by host.
 """
 
@@ -19,9 +19,9 @@ from casefile.llm.store import dropped, written
 MANY, FEW = 8, 4.0
 #: Siblings closer than so many standard errors are merged.
 Z = 1.96
-#: Labels that the overall share of good ones is worth in each template, and the purity under which a
-#: template is rejected.
-PRIOR, PURITY = 3.0, 0.5
+#: Labels that the overall share of good ones is worth in each template, and the standard errors by which a
+#: rejected template's purity is below that share: one chance in twenty.
+PRIOR, Z_BELOW = 3.0, 1.645
 
 
 def host_of(url: Column) -> Column:
@@ -66,7 +66,7 @@ def _segments(path: Column) -> Column:
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """``(host, path, template, rows, good, bad, purity)`` for each distinct host and path.
+    """``(host, path, template, rows, good, bad, purity, impure)`` for each distinct host and path.
 
     ``urls`` has ``host``, ``path`` and ``good`` (true, false, or null where no label is known).
     """
@@ -84,9 +84,13 @@ def templates(urls: DataFrame) -> DataFrame:
             dropped(before)
     leaf = tree.groupBy("host", "template").agg(F.sum("n").alias("rows"), F.sum("good").alias("t_good"), F.sum("bad").alias("t_bad"))
     g, b = shapes.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    leaf = leaf.withColumn("purity", (F.col("t_good") + PRIOR * (g + 1) / (g + b + 2)) / (F.col("t_good") + F.col("t_bad") + PRIOR))
+    share, n, p = (g + 1) / (g + b + 2), F.col("t_good") + F.col("t_bad") + PRIOR, F.col("purity")
+    leaf = leaf.withColumn("purity", (F.col("t_good") + PRIOR * share) / n)
+    # the highest share of good ones that these labels leave likely (Wilson's bound)
+    most = (p + Z_BELOW**2 / (2 * n) + Z_BELOW * F.sqrt(p * (1 - p) / n + Z_BELOW**2 / (4 * n * n))) / (1 + Z_BELOW**2 / n)
+    leaf = leaf.withColumn("impure", (F.col("t_good") + F.col("t_bad") > 0) & (most < share))
     known = tree.select("host", "parts", "template").join(leaf, ["host", "template"])
-    return paths.select("host", "path", "parts").join(known, ["host", "parts"]).select("host", "path", "template", "rows", F.col("t_good").alias("good"), F.col("t_bad").alias("bad"), "purity")
+    return paths.select("host", "path", "parts").join(known, ["host", "parts"]).select("host", "path", "template", "rows", F.col("t_good").alias("good"), F.col("t_bad").alias("bad"), "purity", "impure")
 
 
 def _grown(tree: DataFrame, level: int) -> DataFrame:
@@ -126,6 +130,5 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], labels: Da
     rows = rows.join(labels.groupBy("id").agg(F.bool_and("good").alias("good")), "id", "left")
     rows = written(rows.select("id", "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"), "good"), "urls")
     known = templates(rows.select("host", "path", "good"))
-    judged = rows.join(known.withColumnsRenamed({"good": "n_good", "bad": "n_bad"}), ["host", "path"], "left")
-    impure = (F.col("n_good") + F.col("n_bad") > 0) & (F.col("purity") < PURITY)
-    return judged.select("id", "host", "path", "rule", F.coalesce("ruled", F.when(impure, "block").otherwise("allow")).alias("verdict"), "template", "purity")
+    judged = rows.join(known.select("host", "path", "template", "purity", "impure"), ["host", "path"], "left")
+    return judged.select("id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("impure"), "block").otherwise("allow")).alias("verdict"), "template", "purity")

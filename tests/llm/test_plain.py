@@ -170,7 +170,10 @@ def plain_verdicts(pages, good):
     for i, key in pages.items():
         t = template[key[0], parts[key]]
         x, y = leaf[key[0], t]
-        out[i] = (t, "block" if x + y and (x + 3 * (g + 1) / (g + b + 2)) / (x + y + 3) < 0.5 else "allow")
+        share, n, z = (g + 1) / (g + b + 2), x + y + 3, 1.645
+        p = (x + 3 * share) / n
+        most = (p + z * z / (2 * n) + z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        out[i] = (t, "block" if x + y and most < share else "allow")
     return out
 
 
@@ -189,6 +192,18 @@ def test_templates_are_the_plain_version(spark):
     assert got == want and 50 < sum(v == "block" for _, v in want.values()) < 1000
 
 
+def test_the_registered_url_query_is_the_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.page_id: r for r in queries.op3_url_filters(spark, sf).collect()}
+    marks = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    pages = {i: (r.host, r.path) for i, r in got.items()}
+    number = {i: re.search(r"/([0-9]{1,18})(?:\.html)?/?$", path) for i, (_, path) in pages.items()}
+    good = {i: marks[int(m[1])] for i, m in number.items() if m and int(m[1]) in marks}
+    want = plain_verdicts(pages, good)
+    judged = {i: r for i, r in got.items() if r.rule is None}
+    assert all((r.template, r.verdict) == want[i] for i, r in judged.items()) and sum(r.verdict == "block" for r in judged.values()) > 0
+
+
 # --- secrets --------------------------------------------------------------------------------------
 
 
