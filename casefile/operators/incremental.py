@@ -14,8 +14,8 @@ from casefile.functions.checks import entry_complete
 
 
 def task_grid(items: DataFrame, models: DataFrame) -> DataFrame:
-    """Every item with every model; models are a list of configuration size."""
-    return items.join(F.broadcast(models), F.lit(True))
+    """Every item with every model; the planner broadcasts the models where their size, which it checks, allows."""
+    return items.crossJoin(models)
 
 
 def cache_key(image_hash: Column, model: Column, mode: Column, engine: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import zlib
 
 import numpy as np
@@ -9,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.operators import drawing, images
+from casefile.operators import drawing, images, jpeg
 from casefile.plans.catalog import query, table
+from casefile.sinks import documents
 from casefile.sources import checkpoints
 from casefile.sources.scratch import scratch_path
 
@@ -127,6 +129,26 @@ def heat_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "h.*", *(F.col(f"o.{c}").alias(f"over_{c}") for c in "rgb"))
 
 
+# --- documents with pictures ----------------------------------------------------------------------
+
+
+@query("""
+SELECT c_custkey AS id, form, CASE form WHEN 'pdf' THEN '%PDF' ELSE 'PK' || chr(3) || chr(4) END AS magic, c_custkey || '.' || form AS name, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS pictures
+FROM customer, (SELECT unnest(['docx', 'pdf']) AS form)
+""")
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as Word and PDF files; two of three hold a picture."""
+    bits = jpeg.encoded(np.add.outer(np.arange(24), np.arange(32))[..., None] * [4, 2, 1])
+    shown = F.when(F.col("c_custkey") % 3 != 0, F.lit(base64.b64encode(bits).decode())).otherwise("not a picture")
+    block = lambda kind, content: F.struct(F.lit(kind).alias("kind"), content.alias("content"))
+    blocks = F.array(block("h1", F.col("c_name")), block("paragraph", F.col("c_mktsegment")), block("image", shown))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", blocks.alias("blocks"))
+    made = [documents.rendered(rows, "c_custkey", "blocks", form).withColumn("form", F.lit(form)) for form in ("docx", "pdf")]
+    held = F.size(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"/Subtype /Image|word/media/image1\.jpg"), F.lit(0)))
+    pictures = F.when(F.col("form") == "docx", held / 2).otherwise(held).cast("int")  # a Word file names a part twice
+    return made[0].unionByName(made[1]).select(F.split_part("name", F.lit("."), F.lit(1)).cast("long").alias("id"), "form", F.decode(F.substring("content", 1, 4), "ISO-8859-1").alias("magic"), "name", pictures.alias("pictures"))
+
+
 # --- a stored checkpoint --------------------------------------------------------------------------
 
 

@@ -1,12 +1,14 @@
 """Reports as Word and PDF files, made in tasks from Markdown blocks with the standard library alone.
 
 A document is a list of blocks (kind, content), as ``records.markdown_blocks`` gives them: h1, h2, h3,
-paragraph, bullet, code, table. Tasks return the files' bytes as rows; ``file_writer`` writes
+paragraph, bullet, code, table; and image, whose content is a JPEG file in base 64. Tasks return the files' bytes as rows; ``file_writer`` writes
 them into a folder of any file system that Spark knows, one file at a time.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import io
 import re
 import zipfile
@@ -30,6 +32,26 @@ _CELLS = re.compile(r"\s*\|\s*")
 _BOLD = re.compile(r"\*\*(.+?)\*\*")
 
 
+def picture(content: str) -> tuple[bytes, int, int] | None:
+    """(file, width, height) of an image block; None if it is no JPEG file in base 64."""
+    try:
+        data = base64.b64decode(content, validate=True)
+    except (binascii.Error, ValueError):
+        return None
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 <= len(data) and data[at] == 0xFF:
+        if data[at + 1] in (0xC0, 0xC1, 0xC2):  # the frame's header
+            return data, int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None
+
+
+def _fitted(width: int, height: int) -> tuple[float, float]:
+    """Points that a picture takes: three for four pixels, and at most the page within its margins."""
+    scale = min(0.75, (PAGE[0] - 2 * MARGIN) / width, (PAGE[1] - 2 * MARGIN) / height)
+    return width * scale, height * scale
+
+
 def _cells(line: str) -> list[str]:
     return _CELLS.split(line.strip().strip("|").strip())
 
@@ -46,6 +68,15 @@ def _word_text(text: str, bold: bool) -> str:
     return f"<w:r>{'<w:rPr><w:b/></w:rPr>' if bold else ''}{lines}</w:r>"
 
 
+def _word_picture(n: int, width: int, height: int) -> str:
+    cx, cy = (round(v * 12700) for v in _fitted(width, height))
+    size, a, pic = f'cx="{cx}" cy="{cy}"', "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/picture"
+    shape = f'<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext {size}/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr>'
+    held = f'<pic:pic xmlns:pic="{pic}"><pic:nvPicPr><pic:cNvPr id="{n}" name="image{n}.jpg"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="i{n}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>{shape}</pic:pic>'
+    graphic = f'<a:graphic xmlns:a="{a}"><a:graphicData uri="{pic}">{held}</a:graphicData></a:graphic>'
+    return f'<w:p><w:r><w:drawing><wp:inline><wp:extent {size}/><wp:docPr id="{n}" name="image{n}"/>{graphic}</wp:inline></w:drawing></w:r></w:p>'
+
+
 def _word_block(kind: str, content: str) -> str:
     if kind == "table":
         rows = "".join("<w:tr>" + "".join(f"<w:tc><w:p>{_word_text(c, False)}</w:p></w:tc>" for c in _cells(line)) + "</w:tr>" for line in content.split("\n"))
@@ -61,25 +92,35 @@ def _xml_safe(text: str) -> str:
 
 
 def docx(blocks: list[Block]) -> bytes:
-    """A Word file. Equal blocks give equal bytes."""
+    """A Word file. Equal blocks give equal bytes; an image block that holds no JPEG is left out."""
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     sizes = {"Title": 40, "Heading1": 30, "Heading2": 26, "ListBullet": 20, "Code": 16}
     styles = "".join(f'<w:style w:type="paragraph" w:styleId="{n}"><w:name w:val="{n}"/><w:rPr>{"<w:b/>" * (z > 20)}<w:sz w:val="{z}"/></w:rPr></w:style>' for n, z in sizes.items())
-    body = "".join(_word_block(k, _xml_safe(c)) for k, c in blocks)
-    kinds = {"xml": "application/xml", "rels": "application/vnd.openxmlformats-package.relationships+xml"}
+    shown, body = [], ""
+    for kind, content in blocks:
+        if kind != "image":
+            body += _word_block(kind, _xml_safe(content))
+        elif found := picture(content):
+            shown.append(found[0])
+            body += _word_picture(len(shown), *found[1:])
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    links = "".join(f'<Relationship Id="i{n}" Type="{office}/image" Target="media/image{n}.jpg"/>' for n in range(1, len(shown) + 1))
+    kinds = {"jpg": "image/jpeg", "xml": "application/xml", "rels": "application/vnd.openxmlformats-package.relationships+xml"}
     parts = {
         "[Content_Types].xml": f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">' + "".join(f'<Default Extension="{e}" ContentType="{t}"/>' for e, t in kinds.items())
         + "".join(f'<Override PartName="/word/{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.{t}+xml"/>' for n, t in (("document", "document.main"), ("styles", "styles"))) + "</Types>",
         "_rels/.rels": f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/_rels/document.xml.rels": f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>',
+        "word/_rels/document.xml.rels": f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/>{links}</Relationships>',
         "word/styles.xml": f'{head}<w:styles xmlns:w="{w}">{styles}</w:styles>',
-        "word/document.xml": f'{head}<w:document xmlns:w="{w}"><w:body>{body}<w:sectPr/></w:body></w:document>',
+        "word/document.xml": f'{head}<w:document xmlns:w="{w}" xmlns:r="{office}" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"><w:body>{body}<w:sectPr/></w:body></w:document>',
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
             z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text.encode("utf-8"), zipfile.ZIP_DEFLATED)
+        for n, data in enumerate(shown, 1):
+            z.writestr(zipfile.ZipInfo(f"word/media/image{n}.jpg", (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_STORED)
     return out.getvalue()
 
 
@@ -101,9 +142,20 @@ def _wrapped(text: str, size: float, font: str) -> Iterator[str]:
 
 
 def pdf(blocks: list[Block]) -> bytes:
-    """A PDF file with text in the standard fonts (Windows Latin characters; others show as ``?``)."""
-    pages, lines, y = [], [], PAGE[1] - MARGIN
+    """A PDF file with text in the standard fonts (Windows Latin characters; others show as ``?``); an image block that
+    holds no JPEG is left out."""
+    pages, lines, y, images = [], [], PAGE[1] - MARGIN, []
     for kind, content in blocks:
+        if kind == "image":
+            if found := picture(content):
+                width, height = _fitted(*found[1:])
+                if y < MARGIN + height:
+                    pages.append(lines)
+                    lines, y = [], PAGE[1] - MARGIN
+                y -= height
+                images.append(found)
+                lines.append(b"q %.2f 0 0 %.2f %d %.2f cm /I%d Do Q" % (width, height, MARGIN, y, len(images)))
+            continue
         font, size, above = STYLES[kind]
         y -= above
         shown = "  ".join if kind == "table" else None
@@ -118,10 +170,13 @@ def pdf(blocks: list[Block]) -> bytes:
     pages.append(lines)
     fonts = b" ".join(b"/F%d << /Type /Font /Subtype /Type1 /BaseFont /%s /Encoding /WinAnsiEncoding >>" % (i, n) for i, n in enumerate((b"Helvetica", b"Helvetica-Bold", b"Courier"), 1))
     kids = b" ".join(b"%d 0 R" % (3 + 2 * i) for i in range(len(pages)))
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d /MediaBox [0 0 %d %d] /Resources << /Font << %s >> >> >>" % (kids, len(pages), *PAGE, fonts)]
+    pictures = b" ".join(b"/I%d %d 0 R" % (n, 2 + 2 * len(pages) + n) for n in range(1, len(images) + 1))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d /MediaBox [0 0 %d %d] /Resources << /Font << %s >> /XObject << %s >> >> >>" % (kids, len(pages), *PAGE, fonts, pictures)]
     for i, own in enumerate(pages):
         data = zlib.compress(b"\n".join(own))
         objects += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (4 + 2 * i), b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(data), data)]
+    for data, width, height in images:
+        objects.append(b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /DCTDecode /Length %d >>\nstream\n%s\nendstream" % (width, height, len(data), data))
     out, places = b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n", []
     chunks = [out]
     at = len(out)

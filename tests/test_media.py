@@ -235,6 +235,34 @@ def test_pdf_files():
     assert len(streams) > 3 and b"Title & <x>" in text and b"\\(c\\)\\\\" in text and text.count(b"point") == 30
 
 
+def test_documents_with_pictures(tmp_path):
+    import base64
+
+    from casefile.operators import jpeg
+
+    small, tall = (jpeg.encoded(rng.integers(0, 256, shape)) for shape in ((40, 60, 3), (3000, 20, 3)))
+    blocks = [("h1", "Head"), *(("image", base64.b64encode(x).decode()) for x in (small, tall)), ("image", "no picture"), ("image", base64.b64encode(b"GIF89a").decode()), ("paragraph", "end")]
+    with zipfile.ZipFile(io.BytesIO(documents.docx(blocks))) as z:
+        assert z.read("word/media/image1.jpg") == small and z.read("word/media/image2.jpg") == tall and len(z.namelist()) == 7
+        text, links = z.read("word/document.xml").decode(), z.read("word/_rels/document.xml.rels").decode()
+        assert text.count("<w:drawing>") == 2 and all(f'r:embed="i{n}"' in text and f'Id="i{n}"' in links for n in (1, 2)) and 'Extension="jpg"' in z.read("[Content_Types].xml").decode()
+        import xml.etree.ElementTree as ET
+
+        ET.fromstring(text)
+        ET.fromstring(links)
+    data = documents.pdf(blocks)
+    start = int(re.search(rb"startxref\n(\d+)", data)[1])
+    places = [int(x) for x in re.findall(rb"(\d{10}) 00000 n", data[start:])]
+    assert all(data[at:].startswith(b"%d 0 obj" % n) for n, at in enumerate(places, 1))
+    for n, held in ((1, small), (2, tall)):
+        number = int(re.search(rb"/I%d (\d+) 0 R" % n, data)[1])
+        body = data[places[number - 1] :]
+        assert b"/DCTDecode" in body[:200] and body[body.index(b"stream\n") + 7 :].startswith(held)
+    drawn = b"".join(zlib.decompress(data[m.end() : m.end() + int(m[1])]) for m in re.finditer(rb"/Length (\d+) /Filter /FlateDecode >>\nstream\n", data))
+    assert b"q 45.00 0 0 30.00 56 " in drawn and drawn.count(b" Do Q") == 2
+    assert documents.picture(base64.b64encode(small).decode())[1:] == (60, 40) and documents.picture("") is None
+
+
 def test_documents_of_markdown(spark, tmp_path):
     rows = spark.createDataFrame([("one", "## Head\ntext **b**\n- x\n```\ncode\n```"), ("two", "| a |\n|---|\n| 1 |")], "id string, md string")
     blocks = documents.blocks_of(records.markdown_blocks(rows, "id", "md"), "id")
