@@ -34,15 +34,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 _HINTS = ("passw", "secret", "token", "api")
 
-#: The method scores runs of so many characters on: shorter ones cannot reach TOTAL by what is usual per step.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST_STEPS = 19  # of a stretch: as many as the shortest run has
+#: The method scores runs of so many characters on.
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+LEAST_STEPS = 19  # of a stretch within a run
 _SEPARATORS = "+/_=-"
 _SYMBOLS = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 _CODE = np.full(128, len(_SYMBOLS), np.int64)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(len(_SYMBOLS))
 #: A run is random from so much log-likelihood ratio on, per step and in all.
 PER_STEP, TOTAL = 0.7, 16.0
+#: A run with fewer steps than a stretch needs so much more in all for each of them.
+SHORT = 1.0
 
 
 @dataclass(frozen=True)
@@ -223,7 +225,7 @@ def spans(text: str, chain: Chain) -> list[tuple[int, int, int]]:
         if covered(a, b):
             continue
         total, steps = chain.score(m[0])
-        if total >= TOTAL and total >= PER_STEP * steps:
+        if total >= TOTAL + SHORT * max(0, LEAST_STEPS - steps) and total >= PER_STEP * steps:
             out.append((a, 3, b))
         else:
             out += [(a + x, 3, a + y) for x, y in stretches(m[0], chain) if not covered(a + x, a + y)]

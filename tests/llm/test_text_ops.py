@@ -356,3 +356,29 @@ def test_tokenized(docs, empty):
     got = {r.id: r for r in piece_codec.tokenized(docs, path).collect()}
     assert len(got) == len(TEXTS) and all(r.round_trip and r.n_tokens == len(r.ids) for r in got.values())
     assert piece_codec.tokenized(empty, path).count() == 0
+
+
+def test_short_runs_need_more(spark):
+    """Keys of 12 to 19 characters are found, words and identifiers of the corpus as long are not."""
+    import random
+    import string
+
+    from casefile.llm import queries, secrets
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    chain, own = secrets.chain_of(docs), random.Random(5)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.hexdigits[:16]]
+    for letters in alphabets:
+        for size in (12, 15, 19):
+            keys = ["".join(own.choices(letters, k=size)) for _ in range(300)]
+            found = sum(secrets.spans(f"key {k} end", chain) == [(4, 3, 4 + size)] or bool(secrets.base_spans(f"key {k} end")) for k in keys)
+            assert found >= (210 if len(letters) == 16 and size == 12 else 280), (len(letters), size, found)
+    words = sorted({w for (t,) in docs.select("text").collect() for w in (t or "").split() if w.isalpha() and w.isascii()})
+    for mark in ("", "_", "-"):
+        names = [mark.join(own.choices(words, k=2))[:19] for _ in range(2000)]
+        clean = [w for w in names if len(w) >= 12 and (w.islower() or w.istitle())]
+        assert len(clean) > 100 and sum(bool(secrets.spans(f"x {w} y", chain)) for w in clean) <= len(clean) // 200
+    rows = secrets.scanned(docs, chain).filter("n_markov > 0").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    shown = [texts[r.id][int(s.split(":")[1]) : int(s.split(":")[2])] for r in rows for s in r.spans.split(",") if s.startswith("markov")]
+    assert all(any(c.isdigit() for c in x) for x in shown), shown  # no word of the corpus
