@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casefile.operators import drawing, images, jpeg
 from casefile.plans.catalog import query, table
@@ -76,7 +77,7 @@ def image_phash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- drawing --------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("struct<r:long,g:long,b:long>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in "rgb"]))
 def _weighed(content: pd.Series) -> pd.DataFrame:
     """Sums of a PNG file's channels, each pixel by its place from 1; files as ``preprocess.png`` writes them."""
     out = []
