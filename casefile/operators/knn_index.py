@@ -8,6 +8,7 @@ cannot rule out. New rows are appended; nothing is rebuilt.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,7 +57,7 @@ def _usable(vector: str):
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """An index under ``path``: ``centers``, ``rows`` and ``sizes``, the latter two grown by appends."""
+    """An index under ``path``: ``centers``, ``rows`` and ``sizes``; an append adds a batch to the latter two and reads only that."""
 
     spark: SparkSession
     path: str
@@ -64,14 +65,16 @@ class VectorIndex:
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, vector_col: str, path: str, clusters: int | None = None) -> VectorIndex:
         """Fit centers on at most ``SAMPLE`` rows (the first by a hash of the id) and index every row. By default as
-        many clusters as the square root of the rows, at most ``MOST_CENTERS``."""
+        many clusters as the square root of the rows, at most ``MOST_CENTERS``. Without any usable row: ValueError."""
         rows = docs.filter(_usable(vector_col))
         n = rows.count()
         part = min(1.0, 1.2 * SAMPLE / max(n, 1))
         some = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(part * (1 << 30))).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
         sample = np.array([r[0] for r in some.select(F.col(vector_col).cast("array<double>")).collect()], np.float64)
         wanted = clusters or min(MOST_CENTERS, max(1, round(n**0.5)))
-        centers = _fitted(sample, wanted) if len(sample) else np.zeros((0, 0))
+        if not len(sample):
+            raise ValueError("no row has a vector that can be indexed")
+        centers = _fitted(sample, wanted)
         spark = docs.sparkSession
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster int, center array<double>").coalesce(1).write.parquet(f"{path}/centers")
         index = cls(spark, path)
@@ -86,8 +89,6 @@ class VectorIndex:
         """Index more rows. Ids are not looked up: what stands there already is not replaced."""
         rows = docs.filter(_usable(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
         centers = self.centers()
-        if not len(centers):
-            return
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -100,21 +101,22 @@ class VectorIndex:
         kind = rows.schema["id"].dataType.simpleString()
         placed = rows.mapInArrow(place, f"id {kind}, vector array<double>, cluster int, away double")
         # sorted files let a search skip row groups by cluster and distance
-        placed.repartitionByRange("cluster", "away").sortWithinPartitions("cluster", "away").write.mode("append").parquet(f"{self.path}/rows")
-        self._resize()
-
-    def _resize(self) -> None:
-        """Sizes of all clusters as they stand, one small table that replaces the last."""
-        sizes = self.rows().groupBy("cluster").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high"))
-        found = [tuple(r) for r in sizes.collect()]
-        self.spark.createDataFrame(found, sizes.schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sizes")
+        batch = uuid.uuid4().hex
+        placed.repartitionByRange("cluster", "away").sortWithinPartitions("cluster", "away").write.parquet(f"{self.path}/rows/{batch}")
+        # the batch counts once its sizes stand: an append that fails before leaves nothing that a search reads
+        own = self.spark.read.parquet(f"{self.path}/rows/{batch}").groupBy("cluster").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high"))
+        own.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(f"{self.path}/sizes")
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        batches = [r.batch for r in self.spark.read.parquet(f"{self.path}/sizes").select("batch").distinct().collect()]
+        if not batches:  # nothing but rows that cannot be indexed so far
+            return self.spark.read.parquet(f"{self.path}/rows/*").limit(0)
+        return self.spark.read.parquet(*(f"{self.path}/rows/{b}" for b in sorted(batches)))
 
     def _sizes(self, clusters: int) -> tuple[np.ndarray, ...]:
         n, low, high = np.zeros(clusters, np.int64), np.zeros(clusters), np.zeros(clusters)
-        for r in self.spark.read.parquet(f"{self.path}/sizes").collect():
+        sizes = self.spark.read.parquet(f"{self.path}/sizes").groupBy("cluster").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        for r in sizes.collect():  # a row for each center
             n[r.cluster], low[r.cluster], high[r.cluster] = r.n, r.low, r.high
         return n, low, high
 

@@ -55,6 +55,11 @@ def test_index_of_little_and_nothing(spark, tmp_path):
     assert [tuple(r) for r in index.search(df, "id", "v").orderBy("query_id", "rank").collect()] == [(q, r, r, 0.0) for q in (1, 2) for r in (1, 2)]
 
 
+def test_index_of_nothing_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        VectorIndex.build(spark.createDataFrame([(1, None)], "id long, v array<double>"), "id", "v", str(tmp_path / "none"))
+
+
 # --- admission ------------------------------------------------------------------------------------
 
 
