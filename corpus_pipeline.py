@@ -41,14 +41,14 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a score under one half go. The model learns from the corpus as it came: the
-    rules have removed most of what a label marks as bad.
+    """Rows with a score under one half go. The model learns from the labelled rows of ``docs`` itself: the
+    raw table is gone by then, so bad examples are those that the rules have left.
 
     Null and empty texts get the score of an empty text, null ids are scored like others, repeated rows
     share a score. Whole texts are scored. Other columns are carried and not read, whatever their names.
     Without labels of both classes all rows share one side. Empty table: empty result.
     """
-    return quality_cnn.kept_docs(docs, quality_labels(spark, sf_dir), learn_from=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_cnn.kept_docs(docs, quality_labels(spark, sf_dir))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
