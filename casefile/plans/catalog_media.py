@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casefile.functions import checks
 from casefile.operators import incremental, records, rollup, similarity, summaries
-from casefile.operators.numbering import numbered
+from casefile.operators.numbering import numbered, spread
 from casefile.plans.catalog import _SQL_CLASSES, _files, query, table
 from casefile.sinks import documents
 from casefile.sources.exif import quality_tags
@@ -97,7 +97,7 @@ SELECT p_partkey,
 FROM (SELECT *, p_size::DOUBLE AS n, (p_size % 13)::INT AS k FROM part)
 """)
 def summary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, n = table(spark, sf_dir, "part"), F.col("p_size").cast("double")
+    p, n = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey", each=10_000), F.col("p_size").cast("double")
     k, none, v = (F.col("p_size") % 13).cast("int"), F.lit(""), F.lit("v")
     upto = lambda row: F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), row)).otherwise(F.filter(F.transform(F.array(F.lit(0)), row), lambda _: F.lit(False)))
     ghost = upto(lambda i: F.struct(i.alias("x"), F.lit(0).alias("y"), F.lit(90).alias("quality"), (n / 3).alias("gap")))
