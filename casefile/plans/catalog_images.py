@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casefile.operators import drawing, images, jpeg
+from casefile.operators.numbering import spread
 from casefile.plans.catalog import query, table
 from casefile.sinks import documents
 from casefile.sources import checkpoints
@@ -143,7 +144,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("c_custkey") % 3 != 0, F.lit(base64.b64encode(bits).decode())).otherwise("not a picture")
     block = lambda kind, content: F.struct(F.lit(kind).alias("kind"), content.alias("content"))
     blocks = F.array(block("h1", F.col("c_name")), block("paragraph", F.col("c_mktsegment")), block("image", shown))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", blocks.alias("blocks"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", each=5_000).select("c_custkey", blocks.alias("blocks"))
     made = [documents.rendered(rows, "c_custkey", "blocks", form).withColumn("form", F.lit(form)) for form in ("docx", "pdf")]
     held = F.size(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"/Subtype /Image|word/media/image1\.jpg"), F.lit(0)))
     pictures = F.when(F.col("form") == "docx", held / 2).otherwise(held).cast("int")  # a Word file names a part twice
