@@ -30,11 +30,16 @@ from casefile.llm.store import cleared, written
 WINDOW, GRAM = 50, 16
 #: Windows of a block; bytes of a chunk; bytes hashed at once; windows of a batch; text of a bucket;
 #: different blocks of an anchor from which it is hot.
-MOST_WINDOWS, CHUNK, SEGMENT, BATCH, BUCKET, HOT = 128, 4 << 20, 1 << 20, 1 << 18, 6 << 20, 60_000
+MOST_WINDOWS, CHUNK, SEGMENT, BATCH, BUCKET, HOT = 128, 8 << 20, 1 << 20, 1 << 18, 6 << 20, 60_000
+#: Most tasks of a shuffle; a chunk or a bucket is at most one.
+MOST_TASKS = 4096
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LATE = np.iinfo(np.int64).max  # a null id counts as the largest
+#: What seven bits say of a count: exact below 64, then in steps of a twelfth or less.
+_COUNTS = np.concatenate([np.arange(64), (64 * 2 ** (np.arange(64) / 8)).astype(np.int64)])
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()  # a worker runs one task at a time
 
 
 def _words(text: np.ndarray, order: str) -> np.ndarray:
@@ -50,7 +55,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 3)
+    return _ZIP.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
 
 @dataclass
@@ -164,10 +169,20 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _anchors(chunk: Chunk, found: Blocks, buckets: int) -> tuple[np.ndarray, ...]:
-    """(blocks by bucket and anchor, where a new anchor starts among them): the order in which replies come."""
-    order = np.lexsort((found.content, found.anchor, found.anchor % np.uint64(buckets)))
-    return order, _changes(found.anchor[order])
+def _ordered(key: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Rows by ``key``, equal ones by ``then``; most keys are single, so only the ties are ordered by both."""
+    order = np.argsort(key)
+    new = _changes(key[order])
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    at = np.flatnonzero(tied)
+    order[at] = order[at][np.lexsort((then[order[at]], np.cumsum(new[at])))]
+    return order
+
+
+def _keyed(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and anchor in one number."""
+    return (anchor % np.uint64(buckets)) << np.uint64(40) | anchor
 
 
 def _anchor_rows(chunk: Chunk, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -175,37 +190,40 @@ def _anchor_rows(chunk: Chunk, buckets: int) -> Iterator[tuple[int, bytes]]:
     found = blocks_of(chunk.text, chunk.ends)
     if not len(found.start):
         return
-    order, new = _anchors(chunk, found, buckets)
-    at = np.flatnonzero(new)
-    anchor = found.anchor[order]
+    key = _keyed(found.anchor, buckets)
+    order = _ordered(key, found.content)
+    key = key[order]
+    at = np.flatnonzero(_changes(key))
     doc = chunk.ids[chunk.owner(found.start[order])]
-    differ = np.add.reduceat(_changes(anchor, found.content[order]).astype(np.int64), at)
+    differ = np.add.reduceat(_changes(key, found.content[order]).astype(np.int64), at)
     several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
-    count = (np.minimum(differ, 127) + 128 * several).astype(np.uint8)
-    anchor = anchor[at]
-    bucket = (anchor % np.uint64(buckets)).astype(np.int64)
-    cuts = np.append(np.flatnonzero(_changes(bucket)), len(bucket))
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        steps = np.diff(anchor[lo:hi], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        yield int(bucket[lo]), _packed(steps.T, count[lo:hi])
+    count = (np.searchsorted(_COUNTS, differ, "right") - 1 + 128 * several).astype(np.uint8)
+    bucket = (key[at] >> np.uint64(40)).astype(np.int64)
+    steps = found.anchor[order[at]]
+    first = _changes(bucket)
+    steps[1:] -= np.where(first[1:], np.uint64(0), steps[:-1])
+    planes = np.concatenate([steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T, count[None]])
+    cuts = np.append(np.flatnonzero(first), len(bucket)).tolist()
+    for b, lo, hi in zip(bucket[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
+        yield b, _packed(planes[:, lo:hi])
 
 
 def _shared(rows: list[bytes]) -> list[bytes]:
     """For each chunk's anchors of one bucket: 0 where no other document has the anchor, 1 shared, 2 hot."""
-    anchors, counts = [], []
-    for blob in rows:
-        planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(6, -1)
-        steps = np.zeros((planes.shape[1], 8), np.uint8)
-        steps[:, :5] = planes[:5].T
-        anchors.append(np.cumsum(steps.view("<u8")[:, 0]))
-        counts.append(planes[5])
-    sizes = [len(a) for a in anchors]
-    anchor, count = np.concatenate(anchors), np.concatenate(counts)
+    planes = [np.frombuffer(_UNZIP.decompress(blob), np.uint8).reshape(6, -1) for blob in rows]
+    sizes = np.array([p.shape[1] for p in planes])
+    planes = np.concatenate(planes, axis=1)
+    count = planes[5]
+    steps = np.zeros((len(count), 8), np.uint8)
+    steps[:, :5] = planes[:5].T
+    anchor = np.cumsum(steps.view("<u8")[:, 0])
+    first = np.cumsum(sizes) - sizes
+    anchor -= np.repeat(np.concatenate([np.zeros(1, np.uint64), anchor[first[1:] - 1]]), sizes)  # each row counts from 0
     order = np.argsort(anchor, kind="stable")
     at = np.flatnonzero(_changes(anchor[order]))
     times = np.diff(np.append(at, len(order)))
     code = ((times > 1) | np.logical_or.reduceat(count[order] > 127, at)).astype(np.uint8)
-    code[(np.add.reduceat((count[order] & 127).astype(np.int64), at) > HOT) & (code > 0)] = 2
+    code[(np.add.reduceat(_COUNTS[count[order] & 127], at) > HOT) & (code > 0)] = 2
     out = np.empty(len(order), np.uint8)
     out[order] = np.repeat(code, times)
     return [_packed(part) for part in np.split(out, np.cumsum(sizes)[:-1])]
@@ -226,9 +244,10 @@ class Contents:
 
 def _contents(chunk: Chunk, codes: dict[int, bytes], buckets: int) -> Contents:
     found = blocks_of(chunk.text, chunk.ends)
-    order, new = _anchors(chunk, found, buckets)
-    code = np.concatenate([np.frombuffer(zstandard.decompress(codes[b]), np.uint8) for b in sorted(codes)]) if codes else np.zeros(0, np.uint8)
-    code = code[np.cumsum(new) - 1]
+    key = _keyed(found.anchor, buckets)
+    order = np.argsort(key)  # the order in which replies come
+    code = np.frombuffer(b"".join(_UNZIP.decompress(codes[b]) for b in sorted(codes)), np.uint8)
+    code = code[np.cumsum(_changes(key[order])) - 1]
     some, hot = order[code == 1], order[code == 2]
     start, windows, content, key = found.start[some], found.windows[some], found.content[some], found.anchor[some]
     if len(hot):
@@ -237,10 +256,11 @@ def _contents(chunk: Chunk, codes: dict[int, bytes], buckets: int) -> Contents:
         one = _window_hashes(chunk, np.sort(at))
         start, windows = np.concatenate([start, np.sort(at)]), np.concatenate([windows, np.ones(len(at), np.int64)])
         content, key = np.concatenate([content, one]), np.concatenate([key, _spread(one)])
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((start, windows, content, key, bucket))
-    start, windows, content, key, bucket = (c[order] for c in (start, windows, content, key, bucket))
-    at = np.flatnonzero(_changes(bucket, key, content, windows))
+    key = _keyed(key, buckets)
+    order = _ordered(key, content)
+    start, windows, content, key = (c[order] for c in (start, windows, content, key))
+    bucket = (key >> np.uint64(40)).astype(np.int64)
+    at = np.flatnonzero(_changes(key, content, windows))
     doc = chunk.ids[chunk.owner(start)] if len(start) else np.zeros(0, np.int64)
     low, high = (np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)) if len(at) else (doc, doc)
     return Contents(bucket[at], windows[at], low, high, at, np.append(at[1:], len(start)).astype(np.int64), start)
@@ -258,13 +278,22 @@ def _window_hashes(chunk: Chunk, at: np.ndarray) -> np.ndarray:
 
 
 def _content_rows(chunk: Chunk, codes: dict[int, bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """A bucket's contents, and where each stands: the reply names the places, so the chunk need not find them again."""
     sent = _contents(chunk, codes, buckets)
     cuts = np.append(np.flatnonzero(_changes(sent.bucket)), len(sent.bucket))
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        size = sent.windows[lo:hi] + WINDOW - 1
-        at = _stretches(sent.place[sent.first[lo:hi]], size)
-        head = np.array([hi - lo], np.int64)
-        yield int(sent.bucket[lo]), _packed(head, sent.low[lo:hi], sent.high[lo:hi], sent.windows[lo:hi].astype(np.uint8), chunk.text[at])
+    size, times = sent.windows + WINDOW - 1, (sent.after - sent.first).astype(np.uint32)
+    total = np.concatenate([[0], np.cumsum(size)])
+    a = 0
+    while a < len(cuts) - 1:
+        # texts of some buckets are gathered at once
+        z = max(a + 1, int(np.searchsorted(total[cuts], total[cuts[a]] + SEGMENT, "right")) - 1)
+        own = slice(cuts[a], cuts[z])
+        text = chunk.text[_stretches(sent.place[sent.first[own]], size[own])]
+        for lo, hi in zip(cuts[a:z].tolist(), cuts[a + 1 : z + 1].tolist(), strict=True):
+            place = sent.place[sent.first[lo] : sent.after[hi - 1]].astype(np.uint32)
+            body = text[total[lo] - total[cuts[a]] : total[hi] - total[cuts[a]]]
+            yield int(sent.bucket[lo]), _packed(np.array([hi - lo, len(place)]), sent.low[lo:hi], sent.high[lo:hi], times[lo:hi], place, sent.windows[lo:hi].astype(np.uint8), body)
+        a = z
 
 
 _DEPTHS = (*range(0, WINDOW - 7, 8), WINDOW - 8)
@@ -368,18 +397,21 @@ class IndexFamily:
 
 def _matches(rows: list[bytes]) -> list[bytes]:
     """For each chunk's contents in one bucket: stretches of windows (content, from, to, smallest document) that a
-    document of the chunk has to lose to a smaller one."""
-    low, high, windows, text, owner = [], [], [], [], []
-    for i, blob in enumerate(rows):
-        raw = zstandard.decompress(blob)
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        low.append(np.frombuffer(raw, np.int64, n, 8))
-        high.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
-        windows.append(np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64))
-        text.append(np.frombuffer(raw, np.uint8, -1, 8 + 17 * n))
-        owner.append(np.full(n, i))
-    nth = np.concatenate([np.arange(len(x)) for x in low])
-    low, high, windows, text, owner = (np.concatenate(c) for c in (low, high, windows, text, owner))
+    document of the chunk has to lose to a smaller one, and the places of these contents."""
+    parts, places = [], []
+    for blob in rows:
+        raw = _UNZIP.decompress(blob)
+        n, m = np.frombuffer(raw, np.int64, 2).tolist()
+        times, place = np.frombuffer(raw, np.uint32, n, 16 + 16 * n), np.frombuffer(raw, np.uint32, m, 16 + 20 * n)
+        places.append((times, place))
+        at = 16 + 20 * n + 4 * m
+        parts.append((np.frombuffer(raw, np.int64, 2 * n, 16).reshape(2, -1), np.frombuffer(raw, np.uint8, n, at), np.frombuffer(raw, np.uint8, -1, at + n)))
+    low, high = np.concatenate([p[0] for p in parts], axis=1)
+    windows = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    text = np.concatenate([p[2] for p in parts])
+    n = np.array([len(p[1]) for p in parts])
+    owner, nth = np.repeat(np.arange(len(rows)), n), _stretches(np.zeros(len(n), np.int64), n)
+    del parts
     size = windows + WINDOW - 1
     begin = np.cumsum(size) - size
     member, start, count = _equal(text, begin, size, low)
@@ -411,7 +443,16 @@ def _matches(rows: list[bytes]) -> list[bytes]:
         for a, b in zip(cuts, cuts[1:], strict=False):
             out[int(whose[turn[a]])].append(piece[turn[a:b]])
         lo = hi
-    return [_packed(np.concatenate(p).T) if p else b"" for p in out]
+    return [_reply(np.concatenate(p).T, *places[i]) if p else b"" for i, p in enumerate(out)]
+
+
+def _reply(pieces: np.ndarray, times: np.ndarray, place: np.ndarray) -> bytes:
+    content, lo, hi, first = pieces
+    hit = np.zeros(len(times), bool)
+    hit[content] = True
+    nth = (np.cumsum(hit) - 1)[content]
+    times, place = times[hit], place[np.repeat(hit, times)]
+    return _packed(np.array([len(lo), len(times), len(place)]), first, nth.astype(np.uint32), times, place, lo.astype(np.uint8), hi.astype(np.uint8))
 
 
 def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -446,20 +487,26 @@ def _equal(text: np.ndarray, begin: np.ndarray, size: np.ndarray, low: np.ndarra
 
 
 def _cut(chunk: Chunk, codes: dict[int, bytes], runs: dict[int, bytes], buckets: int) -> np.ndarray:
-    """Which bytes of the chunk go."""
-    mark = np.zeros(len(chunk.text) + 1, np.int32)
-    if runs:
-        sent = _contents(chunk, codes, buckets)
-        for bucket, blob in runs.items():
-            content, lo, hi, first = np.frombuffer(zstandard.decompress(blob), np.int64).reshape(4, -1)
-            content = content + np.searchsorted(sent.bucket, bucket)
-            n = sent.after[content] - sent.first[content]
-            place = sent.place[_stretches(sent.first[content], n)]
-            lo, hi, first = (np.repeat(c, n) for c in (lo, hi, first))
-            later = chunk.ids[chunk.owner(place)] > first
-            np.add.at(mark, (place + lo)[later], 1)
-            np.add.at(mark, (place + hi + WINDOW)[later], -1)
-    return np.cumsum(mark[:-1]) > 0
+    """Which bytes of the chunk go. The runs name their places, so what was sent is not made again: ``codes`` may be empty."""
+    mark, blobs = np.zeros(len(chunk.text) + 1, np.int32), list(runs.values())
+    for i in range(0, len(blobs), 256):
+        parts, before = [], 0
+        for blob in blobs[i : i + 256]:
+            raw = _UNZIP.decompress(blob)
+            m, n, k = np.frombuffer(raw, np.int64, 3).tolist()
+            at = 24 + 12 * m
+            parts.append((np.frombuffer(raw, np.int64, m, 24), np.frombuffer(raw, np.uint32, m, 24 + 8 * m).astype(np.int64) + before, np.frombuffer(raw, np.uint32, n, at),
+                          np.frombuffer(raw, np.uint32, k, at + 4 * n), *np.frombuffer(raw, np.uint8, 2 * m, at + 4 * (n + k)).reshape(2, -1)))
+            before += n
+        first, nth, times, place, lo, hi = (np.concatenate(c) for c in zip(*parts, strict=True))
+        times, place = times.astype(np.int64), place.astype(np.int64)
+        each = times[nth]
+        place = place[_stretches((np.cumsum(times) - times)[nth], each)]
+        later = chunk.ids[chunk.owner(place)] > np.repeat(first, each)
+        place = place[later]
+        np.add.at(mark, place + np.repeat(lo, each)[later], 1)
+        np.add.at(mark, place + np.repeat(hi, each)[later] + WINDOW, -1)
+    return np.cumsum(mark[:-1], dtype=np.int32) > 0
 
 
 def _removed(mask: np.ndarray) -> list[dict[str, int]]:
@@ -502,9 +549,14 @@ def passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield chunk()
 
     chunks = written(rows.mapInArrow(tidy(pack), "chunk long, bytes long, blob binary"), "chunks")
-    total = chunks.agg(F.sum("bytes")).first()[0] or 0
+    total, n_chunks = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     buckets = max(8, -(-total // BUCKET))
 
+    def by(df: DataFrame, key: str) -> DataFrame:
+        """In tasks of about one chunk or bucket each, so none grows with the input, whatever the session's partitions."""
+        return df.repartition(min(MOST_TASKS, max(8, n_chunks if key == "chunk" else buckets)), key)
+
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
@@ -523,7 +575,7 @@ def passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def follow(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([_batch([])])
-        name, codes = left["chunk"][0].as_py(), _replies(right, "code")
+        name, codes = left["chunk"][0].as_py(), _replies(right)
         out = pa.Table.from_batches([_batch([(b, name, x) for b, x in _content_rows(Chunk.unpack(left["blob"][0].as_py()), codes, buckets)])])
         freed()
         return out
@@ -532,7 +584,7 @@ def passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not left.num_rows:
             return pa.Table.from_pylist([], schema=out_schema)
         chunk = Chunk.unpack(left["blob"][0].as_py())
-        gone = _cut(chunk, _replies(right, "code"), _replies(right, "run"), buckets)
+        gone = _cut(chunk, {}, _replies(right), buckets)
         begin = np.concatenate([[0], chunk.ends[:-1]]).tolist()
         spans, kept = [], []
         for lo, hi in zip(begin, chunk.ends.tolist(), strict=True):
@@ -545,12 +597,11 @@ def passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     out_schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", _SPANS), ("kept", pa.binary())])
     answer = "bucket long, chunk long, blob binary"
-    codes = written(chunks.mapInArrow(tidy(send), answer).groupBy("bucket").applyInArrow(decide(_shared), answer), "codes")
-    texts = chunks.select("chunk", "blob").groupBy("chunk")
-    named = codes.withColumn("kind", F.lit("code"))
-    contents = texts.cogroup(named.groupBy("chunk")).applyInArrow(follow, answer)
-    runs = written(contents.groupBy("bucket").applyInArrow(decide(_matches), answer), "runs").withColumn("kind", F.lit("run"))
-    return chunks.select("chunk", "blob").groupBy("chunk").cogroup(named.unionByName(runs).groupBy("chunk")).applyInArrow(cut, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    codes = written(by(chunks.mapInArrow(tidy(send), answer), "bucket").groupBy("bucket").applyInArrow(decide(_shared), answer), "codes")
+    texts = by(chunks.select("chunk", "blob"), "chunk").groupBy("chunk")
+    contents = texts.cogroup(by(codes, "chunk").groupBy("chunk")).applyInArrow(follow, answer)
+    runs = written(by(contents, "bucket").groupBy("bucket").applyInArrow(decide(_matches), answer), "runs")
+    return texts.cogroup(by(runs, "chunk").groupBy("chunk")).applyInArrow(cut, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -558,5 +609,5 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(chunk, pa.int64()), pa.array(blob, pa.binary())], ["bucket", "chunk", "blob"])
 
 
-def _replies(table: pa.Table, kind: str) -> dict[int, bytes]:
-    return {r["bucket"]: r["blob"] for r in table.to_pylist() if r["kind"] == kind}
+def _replies(table: pa.Table) -> dict[int, bytes]:
+    return dict(zip(table["bucket"].to_pylist(), table["blob"].to_pylist(), strict=True))
