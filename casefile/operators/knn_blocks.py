@@ -38,27 +38,30 @@ def _first(q: np.ndarray, d: np.ndarray, away: np.ndarray, rank: np.ndarray, k:
     return q[place < k], d[place < k], away[place < k]
 
 
-def _nearest(asked: np.ndarray, rows: np.ndarray, rank: np.ndarray, k: int, step: int = 2048) -> tuple[np.ndarray, ...]:
-    """(query, row, distance) of the ``k`` nearest of all ``asked``. Each step keeps what may be nearer than the k-th so far."""
-    q64, reach = asked.astype(np.float64), np.full(len(asked), np.inf)
+def _nearest(asked: np.ndarray, rows: np.ndarray, rank: np.ndarray, k: int, step: int = 2048, most: np.ndarray | None = None, origin: np.ndarray | float = 0.0) -> tuple[np.ndarray, ...]:
+    """(query, row, distance) of the ``k`` nearest of all ``asked``. Each step keeps what may be nearer than the k-th so far.
+    ``most``: a squared distance for each query beyond which nothing is sought; ``origin``: a point near all, for sharper bounds."""
+    q64 = asked.astype(np.float64) - origin
+    most = np.full(len(asked), np.inf) if most is None else most
+    reach, far = most, 1e-14 * np.abs(origin).max()
     best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     with np.errstate(invalid="ignore", over="ignore"):
         q_size = (q64**2).sum(axis=1)
         for lo in range(0, len(rows), step):
-            part = rows[lo : lo + step].astype(np.float64)
+            part = rows[lo : lo + step].astype(np.float64) - origin
             size = (part**2).sum(axis=1)
             near = q_size[:, None] + size - 2 * q64 @ part.T
-            if lo == 0 and len(part) >= k:
-                reach = np.partition(near, k - 1, axis=1)[:, k - 1]
-            bound = reach + 2 * SLACK * (q_size + size.max())
+            if lo == 0 and len(part) >= k and not np.isfinite(most).all():
+                reach = np.fmin(most, np.partition(near, k - 1, axis=1)[:, k - 1])
+            bound = reach + 2 * SLACK * (q_size + size.max()) + far * np.sqrt(q_size + size.max())
             q, d = np.nonzero((near <= np.where(np.isfinite(bound), bound, np.inf)[:, None]) | ~np.isfinite(near))
             d += lo
             found = q, d, _exact(asked[q], rows[d])
             best = _first(*(np.concatenate(p) for p in zip(best, found, strict=True)), rank, k)
             n = np.bincount(best[0], minlength=len(asked))
             last = np.cumsum(n)[n >= k] - 1
-            reach = np.full(len(asked), np.inf)
-            reach[n >= k] = best[2][last]
+            reach = most.copy()
+            reach[n >= k] = np.fmin(reach[n >= k], best[2][last])
     return best
 
 
@@ -86,3 +89,20 @@ def nearest(queries: pa.Table, rows: pa.Table, k: int, step: int = 1024) -> pa.T
     joined = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
     q, d, away, known = joined(q, np.int64), joined(d, np.int64), joined(away, np.float64), joined(known, bool)
     return pa.table({"query_id": queries["query_id"].take(pa.array(q)), "id": rows["id"].take(pa.array(d)), "distance": pa.array(away, mask=~known)})
+
+
+def within(queries: pa.Table, rows: pa.Table, k: int, step: int = 1024) -> pa.Table:
+    """``(query_id, id, distance)`` of ``queries`` (query_id, qv, reach) among ``rows`` (id, vector), no farther than ``reach``. All vectors
+    are of one length, without missing parts."""
+    q, d, away = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if queries.num_rows and rows.num_rows:
+        flat = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        asked, of, reach = flat(queries["qv"]), flat(rows["vector"]), queries["reach"].to_numpy()
+        most, rank = (reach * (1 + SLACK) + SLACK) ** 2, np.empty(len(of), np.int64)
+        rank[pc.sort_indices(rows["id"].combine_chunks(), null_placement="at_start").to_numpy()] = np.arange(len(of))
+        for lo in range(0, len(asked), step):
+            a, b, c = _nearest(asked[lo : lo + step], of, rank, k, most=most[lo : lo + step], origin=of.mean(axis=0))
+            inside = c <= most[lo + a]
+            q, d, away = [*q, lo + a[inside]], [*d, b[inside]], [*away, c[inside]]
+    q, d = pa.array(np.concatenate(q)), pa.array(np.concatenate(d))
+    return pa.table({"query_id": queries["query_id"].take(q), "id": rows["id"].take(d), "distance": np.concatenate(away)})
