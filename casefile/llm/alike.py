@@ -8,8 +8,10 @@ under any one order of all shingles, two sets of similarity 4/5 or more share ``
 ``n // 5 + c`` of each, and pairs that share fewer need no test; ``c`` grows with the sets, so a
 passage in common makes no candidates. Pairs within one component are left out, as only components are asked for. Where prefixes meet, parity bitmaps that
 travel with them drop what cannot be similar inside the join; what passes is tested on whole sets.
-The order puts shingles that a sample shows to be common last; it decides the cost and never the
-pairs. Texts with equal sets are one node. What is left of a group costs the product of its parts.
+The order puts shingles that several texts have last, the most frequent at the end, by counts over
+a fixed share of all texts, so that how many texts meet at a shingle does not grow with their
+number; it decides the cost and never the pairs. Texts with equal sets are one node. What is left
+of a group costs the product of its parts.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ from pyspark.sql import functions as F
 from casefile.llm.graph import components
 from casefile.llm.simhash import links, majority, shingle_hashes
 from casefile.llm.batches import sliced, tidy
-from casefile.llm.store import by_count, dropped, sample_by_hash, written
+from casefile.llm.store import by_count, dropped, written
 
 WORDS = 5
 #: Similarity P / Q.
 P, Q = 4, 5
-#: Sampled texts, the characters read of each, and the sampled texts that make a shingle common (cost only).
-SAMPLE_DOCS, SAMPLE_CHARS, COMMON = 2000, 4000, 4
+#: One text of so many is counted for the order of shingles; a shingle is common if ``COMMON`` of them have it; and so
+#: many common shingles, the most frequent ones, are told apart, by counts up to ``TOP``. All are of cost only, never of the pairs.
+COUNTED_OF, COMMON, MOST_COMMON, TOP = 4, 4, 2_000_000, 4095
 #: Bits of the parity bitmap that travels with each prefix row, in words of 64; and of the one that sets of
 #: more than ``WIDE_FROM`` shingles have besides, for which the first is too small to tell much.
 FOLD_WORDS, WIDE_WORDS, WIDE_FROM = 8, 32, 1000
@@ -61,15 +64,57 @@ def fold(s: np.ndarray, words: int = FOLD_WORDS) -> np.ndarray:
     return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 == 1).view(np.int64)
 
 
-def common_shingles(rows: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Hashes that occur in ``COMMON`` of the sampled texts, ascending."""
-    short = rows.select("row", F.substring(F.coalesce("t", F.lit("")), 1, SAMPLE_CHARS).alias("t"))
-    sets = [shingle_set(r.t, words) for r in sample_by_hash(short, ["row"], SAMPLE_DOCS)]
-    values, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-    return values[n >= COMMON]
+def _short(s: np.ndarray) -> np.ndarray:
+    """The 40 bits of shingle hashes by which common ones are known; the few others that share them pass as common, too."""
+    return s >> np.uint64(24)
 
 
-def _marked(rows: DataFrame, common: np.ndarray, words: int) -> DataFrame:
+def common_shingles(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Short hashes that ``COMMON`` or more of the counted texts have, ascending, and how many have each (up to ``TOP``).
+
+    Short hashes travel in four bytes by parts of the hash space, which tell the rest; the driver gets the common ones alone,
+    ``MOST_COMMON`` at most."""
+    counted = rows.filter(F.pmod(F.xxhash64(F.lit(11), "row"), F.lit(COUNTED_OF)) == 0).select(F.coalesce("t", F.lit("")).alias("t"))
+    size = counted.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    more = max(0, (size // 6 // MATCHED).bit_length() - 8)  # 256 parts, and twice as many while they are too large
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            h = np.sort(np.concatenate([np.empty(0, np.uint64), *(_short(shingle_set(t, words)) for t in batch.column(0).to_pylist())]))
+            own, starts = np.unique(h >> np.uint64(32 - more), return_index=True)
+            packed = [x.tobytes() for x in np.split(h.astype(np.uint32), starts[1:])][: len(own)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "h"])
+
+    def tallied(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        h, n = np.unique(np.frombuffer(b"".join(group.column("h").to_pylist()), np.uint32), return_counts=True)
+        h, n = h[n >= COMMON].astype(np.int64), n[n >= COMMON]
+        return pa.table({"h": (key[0].as_py() >> more << 32) + h, "n": np.minimum(n, TOP).astype(np.int32)})
+
+    packed = counted.mapInArrow(tidy(dealt), "part int, h binary")
+    common = written(packed.groupBy("part").applyInArrow(tallied, "h long, n int"), "common")
+    least, told = TOP + 1, 0
+    for n, many in sorted(map(tuple, common.groupBy("n").count().collect()), reverse=True):
+        told += many
+        if told > MOST_COMMON:
+            break
+        least = n
+    found = common.filter(F.col("n") >= least).orderBy("h").toArrow()
+    dropped(common)
+    return found.column("h").to_numpy().astype(np.uint64), found.column("n").to_numpy().astype(np.uint16)
+
+
+def in_order(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """An ascending set in the order of prefixes, the same for all sets: rare shingles by hash, then common ones, those that more have later."""
+    h, n = common
+    if not len(h) or not len(s):
+        return s
+    short = _short(s)
+    at = np.minimum(np.searchsorted(h, short), len(h) - 1)
+    often = np.where(h[at] == short, n[at], 0)
+    return s[np.argsort(often, kind="stable")]
+
+
+def _marked(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int) -> DataFrame:
     """``(row, id, key, n, fp, fold, wide, mins, prefix)``; key: of the whole set."""
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary()]
     names = ["key", "n", "fp", "fold", "wide", "mins", "prefix"]
@@ -80,9 +125,8 @@ def _marked(rows: DataFrame, common: np.ndarray, words: int) -> DataFrame:
             for t in batch.column(2).to_pylist():
                 h = shingle_hashes(t, words)
                 s = np.unique(h.view(">u8").ravel().astype(np.uint64))
-                late = np.isin(s, common, assume_unique=True)
                 least = [(s * m).min().view(np.int64) for m in _TURNS] if len(s) else []
-                prefix = np.concatenate([s[~late], s[late]])[: len(s) * (Q - P) // Q + 1 + len(s) // SHARE_OF]
+                prefix = in_order(s, common)[: len(s) * (Q - P) // Q + 1 + len(s) // SHARE_OF]
                 wide = fold(s, WIDE_WORDS).tobytes() if len(s) > WIDE_FROM else None
                 out.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), int.from_bytes(majority(h), "big", signed=True), fold(s), wide, least, prefix.tobytes()))
             cols = list(zip(*out, strict=True)) or [()] * 7

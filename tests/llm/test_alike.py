@@ -107,3 +107,46 @@ def test_one_row_of_equal_texts_stays(spark):
         docs = spark.createDataFrame([(i, text) for i in ids] + [(1, "another text that shares nothing at all")], "doc_id long, text string")
         got = [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").filter(F.col("text") == text).collect()]
         assert got == [min((i for i in ids if i is not None), default=None)]
+
+
+def _shared_passage(n, r):
+    """Texts of 900 words of their own before one passage of 300 words, which begins beyond 4,000 characters."""
+    passage = " ".join(f"p{r.randrange(9000)}" for _ in range(300))
+    return [(i, " ".join(f"own{i}x{r.randrange(10**6)}" for _ in range(900)) + " " + passage) for i in range(n)]
+
+
+def test_a_passage_at_the_end_of_many_texts_makes_no_meetings(spark):
+    """Texts that meet at shingles of a passage do so pair by pair: with the square of their number."""
+    docs = spark.createDataFrame(_shared_passage(100, random.Random(4)), "row long, t string").withColumn("id", F.col("row")).repartition(3)
+    marked = alike._marked(docs.select("row", "id", "t"), alike.common_shingles(docs, alike.WORDS), alike.WORDS)
+    assert alike._matched(marked.withColumnRenamed("row", "node")).count() == 0
+
+
+def test_counts_behind_the_order_are_exact(spark, monkeypatch):
+    texts = [t for t in _texts(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, t string").repartition(4)
+    h, n = np.unique(np.concatenate([alike.shingle_set(t) for t in texts]) >> np.uint64(24), return_counts=True)
+    monkeypatch.setattr(alike, "COUNTED_OF", 1)
+    for common, matched in ((2, alike.MATCHED), (3, 20)):  # 20: the parts of the hash space are halved
+        monkeypatch.setattr(alike, "COMMON", common)
+        monkeypatch.setattr(alike, "MATCHED", matched)
+        got = alike.common_shingles(docs)
+        assert np.array_equal(got[0], h[n >= common]) and np.array_equal(got[1], n[n >= common])
+    most = int((n >= 4).sum())
+    monkeypatch.setattr(alike, "MOST_COMMON", most)  # only the most frequent ones are told apart
+    assert np.array_equal(alike.common_shingles(docs)[0], h[n >= 4])
+    assert len(alike.common_shingles(docs.limit(0))[0]) == 0
+
+
+def test_the_order_never_decides_the_pairs(spark, monkeypatch):
+    texts = _texts(8)
+    ids = list(range(len(texts)))
+    want, linked = _kept(ids, texts)
+    assert linked > 30
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    for of, common, most in ((1, 1, 40), (2, 2, 2_000_000)):
+        monkeypatch.setattr(alike, "COUNTED_OF", of)
+        monkeypatch.setattr(alike, "COMMON", common)
+        monkeypatch.setattr(alike, "MOST_COMMON", most)
+        got = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+        assert sorted((str(r.doc_id), str(r.text)) for r in got) == want
