@@ -6,12 +6,14 @@ pairs linear in its texts. Fingerprints within a few bits alone would miss pairs
 those of similarity 0.80 to 0.85, 4 % differ in four bits or fewer. So a prefix filter completes the links:
 under any one order of all shingles, two sets of similarity 4/5 or more share ``c`` among the first
 ``n // 5 + c`` of each, and pairs that share fewer need no test; ``c`` grows with the sets, so a
-passage in common makes no candidates. Pairs within one component are left out, as only components are asked for. Where prefixes meet, parity bitmaps that
-travel with them drop what cannot be similar inside the join; what passes is tested on whole sets.
+passage in common makes no candidates. Pairs within one component are left out, as only components are asked for: so one node
+of each prefix shingle is tested with the others at it first, which gathers most of what is still to be linked, and all pairs
+meet only between the parts that are left. Where prefixes meet, parity bitmaps that travel with them drop what cannot be similar
+inside the join, and so do the shingles before this one, at which a pair has met already; what passes is tested on whole sets.
 The order puts shingles that several texts have last, the most frequent at the end, by counts over
 a fixed share of all texts, so that how many texts meet at a shingle does not grow with their
-number; it decides the cost and never the pairs. Texts with equal sets are one node. What is left
-of a group costs the product of its parts.
+number; it decides the cost and never the pairs. Texts with equal sets are one node. Parts of a group
+that no link joins cost the product of their nodes, each pair a few rows however much it shares.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casefile.llm.graph import components
@@ -43,6 +45,8 @@ FOLD_WORDS, WIDE_WORDS, WIDE_FROM = 8, 32, 1000
 SHARE_OF = 32
 #: Prefix shingles that are matched in one task.
 MATCHED = 2_000_000
+#: A row of the last join has so many of its node's shingles before its own; a pair that shares one of them has met there.
+BEFORE = 8
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -170,8 +174,68 @@ def _apart(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
 
 
-def _tested(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose whole sets are similar. ``pairs`` may hold some twice."""
+def _meeting(shared: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(h, node, root, n, f0, f1, ..., before)`` of every shared shingle that nodes of different roots have; before: the
+    last ``BEFORE`` of these below ``h`` that the node has."""
+    rooted = written(shared.hint("merge").join(roots.hint("merge"), "node"), "rooted_shingles")
+    parted = written(rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h"), "parted")
+    at = rooted.join(parted.hint("merge"), "h", "left_semi").hint("merge").join(nodes.select("node", "n", "fold").hint("merge"), "node")
+    last = Window.partitionBy("node").orderBy("h").rowsBetween(-BEFORE, -1)
+    folds = (F.col("fold")[i].alias(f"f{i}") for i in range(FOLD_WORDS))
+    out = written(at.select("h", "node", "root", "n", *folds, F.collect_list("h").over(last).alias("before")), "meeting")
+    for done in (rooted, parted):
+        dropped(done)
+    return out
+
+
+def _met(at: DataFrame) -> DataFrame:
+    """``(a, b)`` of all nodes of different roots that meet at a shingle and may be similar, at the first where they meet and
+    at those that come over ``BEFORE`` of either's shingles after the one before."""
+    a, b = at.alias("x"), at.alias("y")
+    total = F.col("x.n") + F.col("y.n")
+    meet = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    apart = sum((F.bit_count(F.col(f"x.f{i}").bitwiseXOR(F.col(f"y.f{i}"))) for i in range(FOLD_WORDS)), F.lit(0))
+    meet &= ((P + Q) * apart <= (Q - P) * total) & ((P + Q) * F.least("x.n", "y.n") >= P * total)
+    meet &= ~F.arrays_overlap("x.before", "y.before")
+    return a.hint("merge").join(b, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _starred(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(a, b)`` of one node of each shingle, drawn by hash, and each node of another root there."""
+    rooted = written(shared.hint("merge").join(roots.hint("merge"), "node"), "rooted_shingles")
+    drawn = F.xxhash64("h", "node")
+    hubs = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", drawn).alias("hub"), F.min_by("root", drawn).alias("its"))
+    hubs = written(hubs.filter("low < high").select("h", "hub", "its"), "hubs")
+    pairs = rooted.hint("merge").join(hubs.hint("merge"), "h").filter("root <> its").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    out = written(pairs.distinct(), "star")
+    for done in (rooted, hubs):
+        dropped(done)
+    return out
+
+
+def _sharing(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The pairs whose prefixes, which ``ends`` have by ``node``, share as many shingles as those of similar sets."""
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                both = np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
+                keep.append(len(both) > n // SHARE_OF)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    a, b = (ends.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}")) for x in "ab")
+    known = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").select("a", "b", F.least("n_a", "n_b").alias("n"), "prefix_a", "prefix_b")
+    return known.mapInArrow(tidy(enough), "a long, b long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "ends")
+
+
+def _tested(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, prefixes: bool = False) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose whole sets are similar. ``pairs`` may hold some twice. With ``prefixes``, pairs
+    whose prefixes share too little are left out before their sets are made."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,9 +252,16 @@ def _tested(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) ->
 
     a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
     n = F.col("n_a") + F.col("n_b")
-    known = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").filter((P + Q) * _apart("fold_a", "fold_b") <= (Q - P) * n)
+    known = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").filter(((P + Q) * F.least("n_a", "n_b") >= P * n) & ((P + Q) * _apart("fold_a", "fold_b") <= (Q - P) * n))
     pairs = written(known.select("a", "b", n.alias("n"), "wide_a", "wide_b").mapInArrow(tidy(close), "a long, b long"), "pairs")
-    ends = written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "ends")
+    ends = _ends(pairs)
+    if prefixes:
+        known = nodes.join(by_count(ends.withColumnRenamed("row", "node"), 2_000_000), "node", "left_semi")
+        loose, before = pairs, ends
+        pairs = written(_sharing(loose, known), "pairs")
+        ends = _ends(pairs)
+        for done in (loose, before):
+            dropped(done)
     # up to 2 million places (some 50 MB) are broadcast, so texts stay where they are; more are merged
     sets = written(rows.select("row", "t").join(by_count(ends, 2_000_000), "row", "left_semi").mapInArrow(tidy(each), "row long, s array<long>"), "sets")
     a, b = (sets.select(F.col("row").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
@@ -234,18 +305,10 @@ def near_copies(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     first = _tested(equal.unionByName(close).unionByName(star).distinct(), nodes, rows, words)
     roots = written(_rooted(same.select("node"), first), "rooted")
 
-    shared = written(_matched(nodes), "shared").hint("merge").join(nodes.select("node", "n", "fold"), "node").join(roots.hint("merge"), "node")
-    at = written(shared.select("h", "node", "root", "n", *(F.col("fold")[i].alias(f"f{i}") for i in range(FOLD_WORDS))), "meeting")
-    parted = at.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
-    at = at.join(parted.hint("merge"), "h", "left_semi")
-    a, b = at.alias("x"), at.alias("y")
-    total = F.col("x.n") + F.col("y.n")
-    meet = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    apart = sum((F.bit_count(F.col(f"x.f{i}").bitwiseXOR(F.col(f"y.f{i}"))) for i in range(FOLD_WORDS)), F.lit(0))
-    meet &= ((P + Q) * apart <= (Q - P) * total) & ((P + Q) * F.least("x.n", "y.n") >= P * total)
-    met = a.hint("merge").join(b, meet).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    pairs = met.agg(F.count("*").alias("shared"), F.first(F.least("x.n", "y.n")).alias("least")).filter(f"shared > floor(least / {SHARE_OF})").select("a", "b")
-    links_ = first.unionByName(_tested(pairs, nodes, rows, words))
+    shared = written(_matched(nodes), "shared")
+    second = first.unionByName(_tested(_starred(shared, roots), nodes, rows, words, prefixes=True))
+    roots = written(_rooted(same.select("node"), second), "rooted")
+    links_ = second.unionByName(_tested(_met(_meeting(shared, nodes, roots)).distinct(), nodes, rows, words, prefixes=True))
 
     rooted = written(_rooted(same, links_), "rooted")
     keepers = written(rooted.groupBy("root").agg(F.min("best")["row"].alias("keeper")), "keepers")

@@ -150,3 +150,49 @@ def test_the_order_never_decides_the_pairs(spark, monkeypatch):
         monkeypatch.setattr(alike, "MOST_COMMON", most)
         got = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
         assert sorted((str(r.doc_id), str(r.text)) for r in got) == want
+
+
+def _stragglers(r, n, edits):
+    """Copies of one text of 300 words, each with words replaced at places of its own."""
+    base = [f"b{i}" for i in range(300)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for k, at in enumerate(r.sample(range(5, 295), edits)):
+            copy[at] = f"e{i}x{k}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_a_pair_meets_few_times_however_much_it_shares(spark, monkeypatch):
+    """Near copies that are parts of their own: the join made a row for every shingle that two prefixes share."""
+    monkeypatch.setattr(alike, "COMMON", 10**6)  # shingles of the group are not put last, so all its prefixes meet
+    docs = spark.createDataFrame(list(enumerate(_stragglers(random.Random(6), 40, 3))), "row long, t string").withColumn("id", F.col("row"))
+    nodes = alike.written(alike._marked(docs.select("row", "id", "t"), alike.common_shingles(docs), alike.WORDS).withColumnRenamed("row", "node"), "nodes")
+    got = [tuple(p) for p in alike._met(alike._meeting(alike._matched(nodes), nodes, nodes.select("node", F.col("node").alias("root")))).collect()]
+    marks = {m.node: (set(np.frombuffer(m.prefix, np.uint64).tolist()), m.n, np.array(m.fold, np.int64)) for m in nodes.collect()}
+    plain = {}
+    for a, (x, n, f) in marks.items():
+        for b, (y, m, g) in marks.items():
+            apart = int(np.bitwise_count((f ^ g).view(np.uint64)).sum())
+            if a < b and x & y and 9 * apart <= n + m and 9 * min(n, m) >= 4 * (n + m):
+                plain[a, b] = len(x & y)
+    assert set(got) == set(plain) and len(plain) > 300
+    assert sum(plain.values()) > 20 * len(plain) and len(got) < 3 * len(plain)
+
+
+def test_one_node_of_each_shingle_gathers_a_group_before_all_pairs_meet(spark, monkeypatch):
+    """The first candidates may leave a group in parts; all pairs of its nodes were tested then."""
+    monkeypatch.setattr(alike, "_TURNS", alike._TURNS[:0])  # no hubs of equal minimum hashes
+    tested, counted = alike._tested, []
+
+    def noted(pairs, *rest, **more):
+        counted.append(pairs.distinct().count())
+        return tested(pairs, *rest, **more)
+
+    monkeypatch.setattr(alike, "_tested", noted)
+    texts = _stragglers(random.Random(7), 60, 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(got) == sorted(int(i) for i, _ in _kept(list(range(60)), texts)[0])
+    assert len(got) == 1 and counted[-1] < 60
